@@ -30,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of an Arrow batch that operators ask for: rows hold whole texts, so a count of rows bounds nothing.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by size in this session, unless it has a smaller bound already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str((1 << 31) - 1))) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and return a reader of it: cuts lineage, survives the loss of
     any executor and, unlike an RDD checkpoint, stays columnar and compressed."""

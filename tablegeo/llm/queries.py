@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegeo.llm import bpe, exact_dedup, mixing, token_counts, topk
+from tablegeo.llm import bpe, exact_dedup, katz, mixing, suffix_dedup, token_counts, topk, toxicity
 from tablegeo.llm.common import text_bytes
 
 
@@ -36,17 +36,38 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.train(docs, labels.filter(~held_out))
+    verdicts = docs.select("doc_id", held_out.alias("held_out"), toxicity.scored("text", model).alias("verdict"))
+    return verdicts.select("doc_id", "held_out", "verdict.score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    model = katz.train(docs.filter(F.coalesce(~held_out, F.lit(True))))
+    return katz.score(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.scaled("embedding").alias("v"))
     return topk.search(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "v", 10)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op8_exact_dedup": op8_exact_dedup, "op10_topk": op10_topk}
+QUERIES = {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op5_toxicity": op5_toxicity, "op6_katz": op6_katz, "op8_exact_dedup": op8_exact_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk": op10_topk}
 
 ORACLE = {
     "op3_mixing": """
