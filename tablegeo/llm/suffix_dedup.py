@@ -2,24 +2,27 @@
 
 Suffixes are ordered only to the threshold depth, by most-significant-digit passes, and groups that are
 equal after the last pass are exactly the repeated windows.  Order among different suffixes is of no use
-here, so digits are 64-bit hashes and a pass is a hash partitioning; what has no equal after a digit is done
+here, so digits are hashes, compared in partitions by leading bits; what has no equal after a digit is done
 and takes no part in the next pass.  Three digits make up the depth:
 
 1. *Synchronising gram.*  In every window the ``gram``-byte string of least hash (the leftmost) is its
    anchor.  Equal windows have equal anchors at equal offsets, so the windows of one anchor, a run of
-   neighbours, travel as one block.  Pass one counts anchors and keeps the repeated ones.
-2. *Block.*  Blocks of repeated anchors are grouped by a 128-bit hash of all their bytes.  All but the first
+   neighbours, travel as one block.  Pass one keeps the blocks whose anchor occurs elsewhere.
+2. *Block.*  Those are grouped by anchor and a hash of all their bytes (128 bits in all).  All but the first
    of equal blocks are repeated window by window.
 3. *Window.*  First blocks that share their anchor with another, different block (the ends of passages, and
-   edited copies) are taken apart into windows, which are grouped by a 128-bit hash of their bytes.
+   edited copies) are taken apart into windows, which are grouped by 96 bits of hashes of their bytes.
 
-Every pass aggregates inside the tasks before it shuffles and is joined back by sort-merge joins whose hot
-keys Spark splits, so a passage that a third of all rows share does not meet in one task.
+Texts travel once, as compressed chunks of about ``CHUNK_BYTES``, and every later pass joins its answers to
+the same partitioning.  A pass first works inside each chunk: of equal anchors, blocks or windows in a chunk
+one is sent on and the others are settled on the spot, so a passage that a third of all rows share reaches a
+partition once for each chunk, not for each row.  What is sent are sorted arrays, a few binary values for
+each chunk and partition.
 
 "Earlier" means smaller id, or the same id and an earlier start; null ids come last and count as one id.
 Defined results: a null text is the empty text; texts shorter than ``depth`` lose nothing; rows that repeat
 an id are compared by start, so equal rows lose the same bytes; texts of any length are read whole (in
-pieces that overlap); an empty table gives an empty table.  Only the id and text columns are read.
+segments that overlap); an empty table gives an empty table.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -28,18 +31,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegeo.llm.common import BASE, materialize, mix, powers, text_bytes, values
+from tablegeo.llm.common import BASE, bound_batches, mix, powers, text_bytes, values
 
-DEPTH, GRAM = 100, 48
-#: Bytes hashed at once.
-CHUNK = 1 << 17
-#: The two tables of byte values of the 128-bit hashes.
+DEPTH, GRAM = 100, 32
+#: Bytes of a chunk, and bytes hashed at once.
+CHUNK_BYTES, SEGMENT = 2 << 20, 1 << 17
+#: The two tables of byte values of the hashes.
 BYTES_1, BYTES_2 = (mix(np.arange(first, first + 256, dtype=np.uint64) * BASE) for first in (1, 1001))
 LAST_ID = (1 << 63) - 1
 
+BLOB = "part int, chunk long, kind int, a binary, b binary, c binary, d binary, e binary"
+#: Kinds of what is sent: entries to compare, positions to look at next, and runs that are settled.
+ENTRIES, NEXT, SETTLED = range(3)
 
 class Sums:
     """Two 64-bit hashes of any range of some bytes."""
@@ -78,141 +86,355 @@ def least_positions(hashes: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def segments(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[np.ndarray, list]]:
-    """Texts packed to about CHUNK bytes: (bytes, [(key, twin, offset in text, start, end)]).  A longer text
-    is cut into segments that overlap by depth - 1, so every window lies in exactly one segment."""
-    held, spans, size = [], [], 0
-    for batch in batches:
-        for key, twin, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values(batch.column(2)), strict=True):
-            for offset in range(0, max(1, len(text) - depth + 1), CHUNK):
-                part = text[offset : offset + CHUNK + depth - 1]
-                if len(part) < depth:
-                    continue
-                held.append(part)
-                spans.append((key, twin, offset, size, size + len(part)))
-                size += len(part)
-                if size >= CHUNK:
-                    yield np.frombuffer(b"".join(held), np.uint8), spans
-                    held, spans, size = [], [], 0
-    if held:
-        yield np.frombuffer(b"".join(held), np.uint8), spans
-
-
-def anchored(data: np.ndarray, spans: list, depth: int, gram: int) -> tuple:
-    """(sums, segment, window, count, anchor): the blocks of some segments; ``window`` counts in ``data``."""
-    sums = Sums(data)
-    hashes = sums.grams(gram)
-    at = least_positions(hashes, depth - gram + 1)
-    windows = np.concatenate([np.arange(start, end - depth + 1, dtype=np.int32) for *_, start, end in spans])
-    segment = np.repeat(np.arange(len(spans)), [end - depth + 1 - start for *_, start, end in spans])
-    anchor = at[windows]
-    first = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
-    count = np.diff(np.append(first, len(anchor)))
-    return sums, segment[first], windows[first].astype(np.int64), count, hashes[anchor[first]]
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
-def repeated_anchors(docs: DataFrame, depth: int, gram: int) -> DataFrame:
-    """(anchor): the anchors of more than one block."""
+def block_runs(data: np.ndarray, sizes: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, count, anchor hash) of the blocks of texts that stand one after another in ``data``."""
+    out = [[], [], []]
+    ends = np.cumsum(sizes)
+    windows = np.maximum(sizes - depth + 1, 0)  # of each text; a segment holds some windows and the bytes under them
+    for at in range(0, len(data), SEGMENT):
+        part = data[at : at + SEGMENT + depth - 1]
+        if len(part) < depth:
+            break
+        sums = Sums(part)
+        hashes = sums.grams(gram)
+        anchor = least_positions(hashes, depth - gram + 1)
+        first, last = np.searchsorted(ends, at, side="right"), np.searchsorted(ends, at + SEGMENT, side="right")
+        texts = np.arange(first, min(last + 1, len(sizes)))
+        begin = np.maximum(ends[texts] - sizes[texts], at)
+        stop = np.minimum(ends[texts] - sizes[texts] + windows[texts], at + SEGMENT)
+        length = np.maximum(stop - begin, 0)
+        if not length.sum():
+            continue
+        where = np.repeat(begin - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) - at
+        own = anchor[where]
+        head = np.concatenate([[0], np.flatnonzero((own[1:] != own[:-1]) | (where[1:] != where[:-1] + 1)) + 1])
+        for held, x in zip(out, (where[head] + at, np.diff(np.append(head, len(own))), hashes[own[head]]), strict=True):
+            held.append(x)
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.uint64), strict=True))
+
+
+class Chunk:
+    """Some texts, one after another, with their ids."""
+
+    def __init__(self, keys: bytes, sizes: bytes, packed: bytes):
+        self.keys, self.sizes = np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int64)
+        self.bytes = zstandard.ZstdDecompressor().decompress(packed) if len(packed) else b""
+        self.data = np.frombuffer(self.bytes, np.uint8)
+        self.ends = np.cumsum(self.sizes)
+
+    def place(self, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id, start in its text) of positions."""
+        text = np.searchsorted(self.ends, position, side="right")
+        return self.keys[text], position - (self.ends - self.sizes)[text]
+
+    def hashes(self, position: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of byte ranges; neighbours are hashed together, a segment at a time."""
+        one, two = np.zeros(len(position), np.uint64), np.zeros(len(position), np.uint64)
+        order = np.argsort(position, kind="stable")
+        i = 0
+        while i < len(order):
+            at = int(position[order[i]])
+            j = int(np.searchsorted(position[order], at + SEGMENT))
+            some = order[i:j]
+            sums = Sums(self.data[at : int((position[some] + length[some]).max())])
+            one[some], two[some] = sums.ranges(position[some] - at, position[some] + length[some] - at)
+            i = j
+        return one, two
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, keys, sizes, packed): ``docs`` (key, bytes) in chunks, dealt by chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, spans in segments(batches, depth):
-            found, n = np.unique(anchored(data, spans, depth, gram)[4], return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(found), pa.array(np.minimum(n, 2).astype(np.int8))], names=["anchor", "n"])
+        def emit():
+            packed = zstandard.ZstdCompressor(level=1).compress(b"".join(held)) if size else b""
+            return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([x], pa.binary()) for x in (np.array(keys, np.int64).tobytes(), np.array([len(t) for t in held], np.int64).tobytes(), packed))], names=["chunk", "keys", "sizes", "packed"])
 
-    return docs.mapInArrow(run, "anchor long, n byte").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor")
+        number, keys, held, size = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
+                keys.append(key)
+                held.append(text)
+                size += len(text)
+                if size >= CHUNK_BYTES or len(keys) >= CHUNK_BYTES:
+                    yield emit()
+                    number, keys, held, size = number + 1, [], [], 0
+        if keys:
+            yield emit()
 
+    return docs.mapInArrow(run, "chunk long, keys binary, sizes binary, packed binary").repartition("chunk")
 
-def blocks(docs: DataFrame, depth: int, gram: int) -> DataFrame:
-    """(anchor, d1, d2, key, twin, start, count): all blocks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, spans in segments(batches, depth):
-            sums, segment, window, count, anchor = anchored(data, spans, depth, gram)
-            one, two = sums.ranges(window, window + count - 1 + depth)
-            key, twin, shift = (np.array(c, np.int64) for c in zip(*((k, t, offset - start) for k, t, offset, start, _ in spans), strict=True))
-            yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(one), _signed(two), pa.array(key[segment]), pa.array(twin[segment]), pa.array(window + shift[segment]), pa.array(count.astype(np.int32))], names=["anchor", "d1", "d2", "key", "twin", "start", "count"])
+def blob_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    columns = list(zip(*((*r, *[None] * (8 - len(r))) for r in rows), strict=True)) if rows else [[]] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "chunk", "kind", "a", "b", "c", "d", "e"])
+
+
+def small(x: np.ndarray) -> bytes:
+    """Non-negative integers with the number of bytes that the largest needs, and that number in front."""
+    most = int(x.max()) if len(x) else 0
+    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
+
+
+def large(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+
+
+def slices(digit: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(part, start, end) of sorted 64-bit digits by their leading bits."""
+    cuts = np.searchsorted(digit, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.int64)
+    cuts = np.append(cuts, len(digit))
+    return [(p, int(cuts[p]), int(cuts[p + 1])) for p in range(1 << bits) if cuts[p] < cuts[p + 1]]
+
+
+def same_as_before(*keys: np.ndarray) -> np.ndarray:
+    """For rows sorted by ``keys``: does the row before have equal ones?"""
+    out = np.zeros(len(keys[0]), bool)
+    if len(out):
+        out[1:] = np.logical_and.reduce([k[1:] == k[:-1] for k in keys])
+    return out
+
 
-    return docs.mapInArrow(run, "anchor long, d1 long, d2 long, key long, twin long, start long, count int")
+def firsts(one: np.ndarray, two: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (one, two, key, start), and which rows of that order repeat the one before and come later:
+    rows of the same id and start, which only rows that repeat an id can have, are equally early."""
+    order = np.lexsort((start, key, two, one))
+    repeat = same_as_before(one[order], two[order])
+    group = np.flatnonzero(~repeat)
+    first = np.repeat(group, np.diff(np.append(group, len(order)))) if len(order) else group
+    late = repeat & ((key[order] != key[order[first]]) | (start[order] != start[order[first]]))
+    return order, late
 
 
-def block_windows(docs: DataFrame, depth: int) -> DataFrame:
-    """(w1, w2, key, twin, start): the windows of the blocks listed with each text."""
+def with_answers(texts: DataFrame, answers: DataFrame) -> DataFrame:
+    """The chunks with what was sent back to each: arrays of (kind, a, b, c, d)."""
+    back = answers.groupBy("chunk").agg(F.collect_list(F.struct("kind", "a", "b", "c", "d")).alias("answers"))
+    return texts.join(back, "chunk", "left").select("chunk", "keys", "sizes", "packed", "answers")
+
+
+def gather(answers: list[dict] | None, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, count) of all answers of a kind."""
+    got = [(large(x["a"]), large(x["b"])) for x in answers or [] if x["kind"] == kind]
+    if not got:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+
+def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk, list | None]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
+            yield row["chunk"], Chunk(row["keys"], row["sizes"], row["packed"]), row.get("answers")
+
+
+def reduced(sent: DataFrame, settle) -> DataFrame:
+    """One pass's comparison: all entries of a partition at once; what is settled already passes through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit() -> pa.RecordBatch:
-            sums = Sums(np.frombuffer(b"".join(held), np.uint8))
-            at = np.concatenate([np.arange(begin, begin + n) for begin, n, *_ in spans])
-            key, twin, shift = (np.repeat(np.array([s[i] for s in spans], np.int64), [s[1] for s in spans]) for i in (2, 3, 4))
-            one, two = sums.ranges(at, at + depth)
-            return pa.RecordBatch.from_arrays([_signed(one), _signed(two), pa.array(key), pa.array(twin), pa.array(at + shift)], names=["w1", "w2", "key", "twin", "start"])
-
-        held, spans, size = [], [], 0
+        now, held = None, []
         for batch in batches:
-            listed = values(batch.column(3))
-            for key, twin, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values(batch.column(2)), listed, strict=True):
-                for block in own:
-                    start, count = block["start"], block["count"]
-                    held.append(text[start : start + count - 1 + depth])
-                    spans.append((size, count, key, twin, start - size))
-                    size += count - 1 + depth
-                    if size >= CHUNK:
-                        yield emit()
-                        held, spans, size = [], [], 0
+            for i in range(batch.num_rows):
+                part, chunk, kind, *blobs = (batch.column(j)[i].as_py() for j in range(8))
+                if part != now:
+                    if held:
+                        yield blob_rows(settle(held))
+                    now, held = part, []
+                if kind == ENTRIES:
+                    held.append((chunk, *blobs))
+                else:
+                    yield blob_rows([(0, chunk, kind, *blobs)])
         if held:
-            yield emit()
+            yield blob_rows(settle(held))
+
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(run, BLOB).select("chunk", "kind", "a", "b", "c", "d")
+
+
+def pass_one(texts: DataFrame, depth: int, gram: int, bits: int) -> DataFrame:
+    """NEXT: the blocks whose anchor occurs more than once."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk, _ in chunk_rows(batches):
+            position, count, anchor = block_runs(chunk.data, chunk.sizes, depth, gram)
+            order = np.argsort(anchor, kind="stable")
+            position, count, anchor = position[order], count[order], anchor[order]
+            again = same_as_before(anchor)
+            several = again | np.append(again[1:], False)  # settled here; one of them tells the others
+            yield blob_rows([(part, number, ENTRIES, anchor[i:j][~again[i:j]].tobytes(), small(position[i:j]), small(count[i:j]), np.packbits(again[i:j]).tobytes(), np.packbits(several[i:j]).tobytes()) for part, i, j in slices(anchor, bits)])
+
+    def settle(held: list) -> list[tuple]:
+        anchor = np.concatenate([np.frombuffer(h[1], np.uint64) for h in held])
+        order = np.argsort(anchor, kind="stable")
+        again = same_as_before(anchor[order])
+        shared = np.empty(len(anchor), bool)
+        shared[order] = again | np.append(again[1:], False)
+        out, at = [], 0
+        for chunk, own, position, count, packed, several in held:
+            position, count = large(position), large(count)
+            again, several = (np.unpackbits(np.frombuffer(x, np.uint8))[: len(position)].astype(bool) for x in (packed, several))
+            size = len(own) // 8
+            keep = several | shared[at : at + size][np.cumsum(~again) - 1]
+            at += size
+            if keep.any():
+                out.append((0, chunk, NEXT, small(position[keep]), small(count[keep])))
+        return out
 
-    return docs.mapInArrow(run, "w1 long, w2 long, key long, twin long, start long")
+    return reduced(texts.mapInArrow(send, BLOB), settle)
+
+
+def pass_two(texts: DataFrame, one: DataFrame, depth: int, gram: int, bits: int) -> DataFrame:
+    """SETTLED: blocks that occur earlier; NEXT: first blocks that share their anchor with a different one."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk, answers in chunk_rows(batches):
+            position, count = gather(answers, NEXT)
+            if not len(position):
+                continue
+            block = chunk.hashes(position, count - 1 + depth)[0]
+            # the anchor's hash, taken anew from the block's first window
+            anchor = anchor_of(chunk, position, depth, gram)
+            key, start = chunk.place(position)
+            order, late = firsts(anchor, block, key, start)
+            gone = order[late]
+            rows = [(number % (1 << bits), number, SETTLED, small(position[gone]), small(count[gone]))] if len(gone) else []
+            order = order[~late]
+            low = int(key.min())
+            for part, i, j in slices(anchor[order], bits):
+                o = order[i:j]
+                rows.append((part, number, ENTRIES, anchor[o].tobytes() + block[o].tobytes(), small(key[o] - low) + low.to_bytes(8, "little", signed=True), small(start[o]), small(position[o]), small(count[o])))
+            yield blob_rows(rows)
+
+    def settle(held: list) -> list[tuple]:
+        hashes = [np.frombuffer(h[1], np.uint64).reshape(2, -1) for h in held]
+        anchor, block = np.concatenate(hashes, axis=1)
+        key = np.concatenate([large(h[2][:-8]) + int.from_bytes(h[2][-8:], "little", signed=True) for h in held])
+        start, position, count = (np.concatenate([large(h[i]) for h in held]) for i in (3, 4, 5))
+        owner = np.repeat(np.arange(len(held)), [h.shape[1] for h in hashes])
+        order, late = firsts(anchor, block, key, start)
+        first = order[~same_as_before(anchor[order], block[order])]
+        shared = same_as_before(anchor[first])
+        shared = shared | np.append(shared[1:], False)
+        status = np.zeros(len(anchor), np.int8)
+        status[order[late]] = SETTLED
+        multi = np.zeros(len(anchor), bool)
+        multi[first[shared]] = True
+        # rows as early as the first (of an id that repeats) are looked at as well
+        early = np.zeros(len(anchor), bool)
+        early[order[~late]] = True
+        group = np.cumsum(~same_as_before(anchor[order], block[order])) - 1
+        status[order[early[order] & multi[first][group]]] = NEXT
+        return answers_of(held, owner, status, position, count)
+
+    return reduced(with_answers(texts, one).mapInArrow(send, BLOB), settle)
+
+
+def answers_of(held: list, owner: np.ndarray, status: np.ndarray, position: np.ndarray, count: np.ndarray) -> list[tuple]:
+    cuts, out = np.searchsorted(owner, np.arange(len(held) + 1)), []
+    for h, i, j in zip(held, cuts[:-1], cuts[1:], strict=True):
+        for kind in (NEXT, SETTLED):
+            some = i + np.flatnonzero(status[i:j] == kind)
+            if len(some):
+                out.append((0, h[0], kind, small(position[some]), small(count[some])))
+    return out
+
+
+def anchor_of(chunk: Chunk, position: np.ndarray, depth: int, gram: int) -> np.ndarray:
+    """Hash of the anchor of the windows at these positions."""
+    out = np.zeros(len(position), np.uint64)
+    order, i = np.argsort(position, kind="stable"), 0
+    while i < len(order):
+        at = int(position[order[i]])
+        j = int(np.searchsorted(position[order], at + SEGMENT))
+        hashes = Sums(chunk.data[at : int(position[order[j - 1]]) + depth]).grams(gram)
+        own = least_positions(hashes, depth - gram + 1)[position[order[i:j]] - at]
+        out[order[i:j]] = hashes[own]
+        i = j
+    return out
+
+
+def pass_three(texts: DataFrame, two: DataFrame, depth: int, bits: int) -> DataFrame:
+    """SETTLED: what pass two settled, and the windows of its other blocks that occur earlier."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk, answers in chunk_rows(batches):
+            rows = [(number % (1 << bits), number, SETTLED, x["a"], x["b"]) for x in answers or [] if x["kind"] == SETTLED]
+            position, count = gather(answers, NEXT)
+            if len(position):
+                position = np.repeat(position - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                one, two = chunk.hashes(position, np.full(len(position), depth))
+                two = two >> np.uint64(32)
+                key, start = chunk.place(position)
+                order, late = firsts(one, two, key, start)
+                gone = np.sort(position[order[late]])
+                if len(gone):
+                    rows.append((number % (1 << bits), number, SETTLED, *runs(gone)))
+                order, low = order[~late], int(key.min())
+                for part, i, j in slices(one[order], bits):
+                    o = order[i:j]
+                    rows.append((part, number, ENTRIES, one[o].tobytes(), two[o].astype(np.uint32).tobytes(), small(key[o] - low) + low.to_bytes(8, "little", signed=True), small(start[o]), small(position[o])))
+            if rows:
+                yield blob_rows(rows)
+
+    def settle(held: list) -> list[tuple]:
+        one = np.concatenate([np.frombuffer(h[1], np.uint64) for h in held])
+        two = np.concatenate([np.frombuffer(h[2], np.uint32) for h in held])
+        key = np.concatenate([large(h[3][:-8]) + int.from_bytes(h[3][-8:], "little", signed=True) for h in held])
+        start, position = (np.concatenate([large(h[i]) for h in held]) for i in (4, 5))
+        owner = np.repeat(np.arange(len(held)), [len(h[1]) // 8 for h in held])
+        order, late = firsts(one, two, key, start)
+        status = np.zeros(len(one), bool)
+        status[order[late]] = True
+        cuts, out = np.searchsorted(owner, np.arange(len(held) + 1)), []
+        for h, i, j in zip(held, cuts[:-1], cuts[1:], strict=True):
+            gone = np.sort(position[i:j][status[i:j]])
+            if len(gone):
+                out.append((0, h[0], SETTLED, *runs(gone)))
+        return out
+
+    return reduced(with_answers(texts, two).mapInArrow(send, BLOB), settle)
 
 
-def repeated_ranges(docs: DataFrame, depth: int, gram: int) -> DataFrame:
-    """(key, twin, start, count): runs of windows that occur earlier; ``docs``: (key, twin, bytes)."""
-    found = materialize(blocks(docs, depth, gram).join(repeated_anchors(docs, depth, gram), "anchor"))
-    place = F.struct("key", "start")
-    first = materialize(found.groupBy("d1", "d2").agg(F.min(F.struct("key", "start", "twin")).alias("f"), F.min("anchor").alias("anchor"), F.min("count").alias("count")))
-    whole = found.join(first.select("d1", "d2", F.struct("f.key", "f.start").alias("f")), ["d1", "d2"]).filter(place > F.col("f")).select("key", "twin", "start", "count")
-    several = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    ends = first.join(several, "anchor", "left_semi").select("f.key", "f.twin", F.struct("f.start", "count").alias("block"))
-    listed = docs.join(ends.groupBy("key", "twin").agg(F.collect_list("block").alias("blocks")), ["key", "twin"])
-    windows = materialize(block_windows(listed.select("key", "twin", "bytes", "blocks"), depth))
-    earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    single = windows.join(earliest, ["w1", "w2"]).filter(place > F.col("f")).select("key", "twin", "start", F.lit(1).alias("count"))
-    return whole.unionByName(single)
+def runs(positions: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted positions as runs of neighbours."""
+    head = np.concatenate([[0], np.flatnonzero(np.diff(positions) > 1) + 1])
+    return small(positions[head]), small(np.diff(np.append(head, len(positions))))
 
 
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", depth: int = DEPTH, gram: int | None = None) -> DataFrame:
     """(id, n_bytes, spans, kept): each row's removed spans [start, end) and the bytes that stay."""
+    spark = df.sparkSession
+    bound_batches(spark)
     gram = gram or max(1, depth * GRAM // DEPTH)
+    bits = max(2, (int(spark.conf.get("spark.sql.shuffle.partitions")) // 3).bit_length() - 1)
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID))
-    twins = df.groupBy(key.alias("key")).count().filter("count > 1").limit(1).count() > 0
-    twin = F.xxhash64(text_bytes(text)) if twins else F.lit(0).cast("long")  # tells rows of one id apart, if there are any
-    docs = df.select(key.alias("key"), twin.alias("twin"), text_bytes(text).alias("bytes"))
-    gone = repeated_ranges(docs.filter(F.octet_length("bytes") >= depth), depth, gram)
-    gathered = gone.groupBy("key", "twin").agg(F.collect_list(F.struct("start", "count")).alias("gone"))
-    joined = docs.join(gathered, ["key", "twin"], "left").select("key", "bytes", F.col("gone.start").alias("starts"), F.col("gone.count").alias("counts"))
+    texts = chunks(df.select(key.alias("key"), text_bytes(text).alias("bytes")))
+    one = pass_one(texts, depth, gram, bits)
+    two = pass_two(texts, one, depth, gram, bits)
+    three = pass_three(texts, two, depth, bits)
+    kinds = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                out = []
-                for k, data, starts, counts in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                    spans, kept = cut(data, starts, counts, depth)
-                    out.append((k, len(data), spans, kept))
-                columns = list(zip(*out, strict=True))
+        for _, chunk, answers in chunk_rows(batches):
+            position, count = gather(answers, SETTLED)
+            order = np.argsort(position, kind="stable")
+            position, count = position[order], count[order]
+            begin = chunk.ends - chunk.sizes
+            cuts = np.searchsorted(position, np.append(begin, len(chunk.data)))
+            out = []
+            for k, size, at, i, j in zip(chunk.keys.tolist(), chunk.sizes.tolist(), begin.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                out.append((k, size, *cut(chunk.bytes[at : at + size], position[i:j] - at, count[i:j], depth)))
+            for i in range(0, len(out), 256):
+                columns = list(zip(*out[i : i + 256], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(columns, kinds, strict=True)], schema=kinds)
 
-    cut_rows = joined.mapInArrow(run, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    return cut_rows.select(F.nullif(F.col("key"), F.lit(LAST_ID)).alias(id_column), "n_bytes", "spans", "kept")
+    rows = with_answers(texts, three).mapInArrow(run, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return rows.select(F.nullif(F.col("key"), F.lit(LAST_ID)).alias(id_column), "n_bytes", "spans", "kept")
 
 
-def cut(data: bytes, starts: list | None, counts: list | None, depth: int) -> tuple[list[dict], bytes]:
+def cut(data: bytes, starts, counts, depth: int) -> tuple[list[dict], bytes]:
     """Maximal removed spans and the remaining bytes, from runs of repeated windows."""
-    if not starts:
+    if not len(starts):
         return [], data
     begin = np.array(starts, np.int64)
     end = begin + np.array(counts, np.int64) - 1 + depth
