@@ -42,6 +42,10 @@ WORDS, PERCENT = 5, 80
 SKETCH_BITS = 22
 #: Followers compared in one place.
 PLACE = 512
+#: Lists up to this length are worked on together, so many pairs at once.
+SHORT, EXPANDED = 256, 2_000_000
+#: Elements for each counter of a set's outline, and the most counters.
+OUTLINE, COUNTERS = 4, 512
 
 
 # -- sets ----------------------------------------------------------------------------------------------
@@ -234,7 +238,7 @@ def leader_pairs(index: DataFrame, percent: int) -> DataFrame:
 
     dealt = index.select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "pos", "node")
     met = dealt.mapInArrow(run, "a long, b long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"))
-    return met.groupBy("a").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("low"))).alias("b"))
+    return materialize(met.groupBy("a").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("low"))).alias("b")))
 
 
 def cross_pairs(index: DataFrame, followers: DataFrame, percent: int) -> DataFrame:
@@ -243,36 +247,102 @@ def cross_pairs(index: DataFrame, followers: DataFrame, percent: int) -> DataFra
     dealt = named.select("token", "n", "pos", "node", F.coalesce("leader", "node").alias("leader"), F.coalesce("label", "node").alias("label"))
     dealt = dealt.repartition("token").sortWithinPartitions("token", "n", "pos", "node")
 
-    def of_list(n, pos, leader, label) -> Iterator[np.ndarray]:
+    def long_list(n, pos, leader, label) -> Iterator[np.ndarray]:
+        """Everything outside the list's main component against the block of sizes it can be similar to."""
         kinds, counts = np.unique(label, return_counts=True)
-        if len(kinds) < 2:
-            return
         main = label == kinds[np.argmax(counts)]
         for i in np.flatnonzero(~main).tolist():
             low, high = np.searchsorted(n, -(-percent * n[i] // 100)), np.searchsorted(n, 100 * n[i] // percent, side="right")
-            block = slice(low, high)  # sizes that can be similar
+            block = slice(low, high)
             other = (label[block] != label[i]) & (main[block] | (np.arange(low, high) > i)) & fits(n[i], pos[i], n[block], pos[block], percent)
             if other.any():
-                found = leader[block][other]
-                yield np.stack([np.minimum(found, leader[i]), np.maximum(found, leader[i])])
+                yield np.stack([leader[block][other], np.full(int(other.sum()), leader[i])])
+
+    def short_lists(rank, n, pos, leader, label) -> Iterator[np.ndarray]:
+        """Each set against the rest of its list as far as its block of sizes goes, many lists at once."""
+        key = (rank << 32) + n
+        many = np.searchsorted(key, (rank << 32) + 100 * n // percent, side="right") - np.arange(len(n)) - 1
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + EXPANDED, side="right")))
+            count = many[at:to]
+            left = np.repeat(np.arange(at, to), count)
+            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
+            good = label[left] != label[right]
+            left, right = left[good], right[good]
+            good = fits(n[left], pos[left], n[right], pos[right], percent)
+            yield np.stack([leader[left[good]], leader[right[good]]])
+            at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit() -> pa.RecordBatch:
+            pair = np.sort(np.concatenate(found, axis=1), axis=0)
+            pair = pair[:, np.lexsort((pair[1], pair[0]))]
+            fresh = np.ones(pair.shape[1], bool)
+            fresh[1:] = (pair[:, 1:] != pair[:, :-1]).any(axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pair[0][fresh]), pa.array(pair[1][fresh])], names=["a", "b"])
+
+        found, held = [], 0
         for token, n, pos, _, leader, label in lists(batches):
-            n, pos, found = n.astype(np.int64), pos.astype(np.int64), []
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
-            mixed = np.add.reduceat((label != np.repeat(label[cuts[:-1]], np.diff(cuts))).astype(np.int64), cuts[:-1]) > 0
-            for i, j in zip(cuts[:-1][mixed].tolist(), cuts[1:][mixed].tolist(), strict=True):
-                found += of_list(n[i:j], pos[i:j], leader[i:j], label[i:j])
-            if found:
-                pair = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
+            size = np.diff(cuts)
+            mixed = np.add.reduceat((label != np.repeat(label[cuts[:-1]], size)).astype(np.int64), cuts[:-1]) > 0
+            some = np.repeat(mixed & (size <= SHORT), size)
+            got = list(short_lists(np.repeat(np.arange(len(size)), size)[some], n[some], pos[some], leader[some], label[some]))
+            for i, j in zip(cuts[:-1][mixed & (size > SHORT)].tolist(), cuts[1:][mixed & (size > SHORT)].tolist(), strict=True):
+                got += long_list(n[i:j], pos[i:j], leader[i:j], label[i:j])
+            found += got
+            held += sum(g.shape[1] for g in got)
+            if held > EXPANDED:
+                yield emit()
+                found, held = [], 0
+        if held:
+            yield emit()
 
-    return dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+    return materialize(dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct())
 
 
 # -- comparison ----------------------------------------------------------------------------------------
 
 
+def outline(elements: np.ndarray) -> bytes:
+    """How many elements of a set start with each bit pattern, about OUTLINE for each pattern."""
+    bits = max(2, min(COUNTERS.bit_length() - 1, int(len(elements) // OUTLINE).bit_length()))
+    return small(np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits))
+
+
+def shared_at_most(one: bytes, two: bytes) -> int:
+    """A bound of the intersection of two sets from their outlines."""
+    a, b = large(one), large(two)
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.minimum(a.reshape(len(b), -1).sum(axis=1), b).sum())
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int, radius: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose outlines leave enough in common: for themselves to be similar or, with the
+    ``radius`` (leader, radius) of their followers, for any two followers to be."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            similar = np.maximum(percent / 100 - batch.column(6).to_numpy() - 1e-9, 0.0)
+            least = similar / (1 + similar) * (batch.column(2).to_numpy() + batch.column(4).to_numpy()) - 1e-6
+            good = [shared_at_most(x, y) >= z for x, y, z in zip(values(batch.column(3)), values(batch.column(5)), least.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    own = nodes.filter("outline is not null")
+    side = lambda name: own.select(F.col("node").alias(name), F.col("n_shingles").alias(f"{name}_size"), F.col("outline").alias(f"{name}_outline"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    slack = F.lit(0.0)
+    if radius is not None:
+        for name in ("a", "b"):
+            both = both.join(radius.select(F.col("leader").alias(name), F.col("radius").alias(f"{name}_radius")), name, "left")
+            slack = slack + F.coalesce(f"{name}_radius", F.lit(0.0))
+    return materialize(both.select("a", "b", "a_size", "a_outline", "b_size", "b_outline", slack.alias("slack")).mapInArrow(run, "a long, b long"))
+
+
 def compared(texts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """(a, b, both, a_size, b_size): sizes of the sets of each pair and of their intersection."""
     count = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k"))
@@ -316,6 +386,19 @@ def linked(checked: DataFrame, percent: int) -> DataFrame:
     return checked.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("a_size") + F.col("b_size") - F.col("both"))).select("a", "b")
 
 
+def numbered(texts: DataFrame, n: int) -> DataFrame:
+    """(key, n_shingles, node, outline): every row with its node; the outline stands with the node's own row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk in each_chunk(batches):
+            sizes, elements, same = chunk_sets(chunk, n)
+            ends = np.cumsum(sizes)
+            outlines = [outline(elements[e - s : e]) if s and k == i else None for i, (s, e, k) in enumerate(zip(sizes.tolist(), ends.tolist(), same.tolist(), strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.keys), pa.array(sizes), pa.array(node_of(number, same)), pa.array(outlines, pa.binary())], names=["key", "n_shingles", "node", "outline"])
+
+    return materialize(texts.mapInArrow(run, "key long, n_shingles long, node long, outline binary"))
+
+
 def near_components(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id): one row for each row; the frame must read alike each time."""
     spark = df.sparkSession
@@ -326,22 +409,23 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     flat, dealt = chunks(docs, False), chunks(docs)
     classes = spark.sparkContext.broadcast(rarity(count_sketch(flat, n, SKETCH_BITS)))
     index = index_lists(flat, n, percent, classes, bits)
+    nodes = numbered(flat, n)
     slack, reach = 1e-9, 1 - percent / 100
 
     # leaders, followers and their distances
-    first = compared(dealt, leader_pairs(index, percent), n)
+    first = compared(dealt, possible(leader_pairs(index, percent), nodes, percent), n)
     links = linked(first, percent)
     labels = components(links)
     following = first.join(links, ["a", "b"], "left_semi").select(F.col("a").alias("node"), F.col("b").alias("leader"), "distance")
     followers = materialize(labels.join(following, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"), F.coalesce("distance", F.lit(0.0)).alias("distance"), "label"))
 
     # leaders of different components
-    second = compared(dealt, cross_pairs(index, followers, percent), n)
+    radius = followers.groupBy("leader").agg(F.max("distance").alias("radius"))
+    second = compared(dealt, possible(cross_pairs(index, followers, percent), nodes, percent, radius), n)
     links = materialize(links.unionByName(linked(second, percent)))
     labels = materialize(components(links))
 
     # followers whose leaders' distances leave their own open
-    radius = followers.groupBy("leader").agg(F.max("distance").alias("radius"))
     side = lambda name: radius.select(F.col("leader").alias(name), F.col("radius").alias(f"{name}_radius"))
     label = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
     apart = second.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
@@ -355,12 +439,7 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     if third.limit(1).count():
         labels = components(links.unionByName(linked(compared(dealt, third, n), percent)))
 
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, chunk in each_chunk(batches):
-            sizes, _, same = chunk_sets(chunk, n)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.keys), pa.array(sizes), pa.array(node_of(number, same))], names=["key", "n_shingles", "node"])
-
-    rows = flat.mapInArrow(nodes, "key long, n_shingles long, node long").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = nodes.select("key", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = materialize(rows.select("key", "n_shingles", "label"))
     least = rows.groupBy("label").agg(F.min("key").alias("component_id"))
     out = rows.join(least, "label").select(F.nullif("key", F.lit(LAST_ID)).alias(id_column), "n_shingles", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id"))
