@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegeo.llm import bpe, exact_dedup, jaccard_join, katz, mixing, suffix_dedup, token_counts, topk, toxicity
-from tablegeo.llm.common import text_bytes
+from tablegeo.llm import bpe, exact_dedup, jaccard_join, katz, mixing, quotes, suffix_dedup, token_counts, topk, toxicity
+from tablegeo.llm.common import bound_batches, text_bytes
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -20,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     docs, path = table(spark, sf_dir, "documents"), tokenizer_path()
     ids = docs.select("doc_id", bpe.encoded("text", path).alias("ids"))
     both = ids.withColumn("decoded", bpe.decoded("ids", path))
@@ -41,6 +42,7 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = toxicity.train(docs, labels.filter(~held_out))
@@ -55,6 +57,10 @@ def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
 
+def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.in_reply_order(quotes.link_quotes(table(spark, sf_dir, "conversations")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -71,7 +77,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "v", 10)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_katz": op6_katz, "op8_exact_dedup": op8_exact_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk": op10_topk}
+QUERIES = {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_katz": op6_katz, "op7_quotes": op7_quotes, "op8_exact_dedup": op8_exact_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk": op10_topk}
 
 ORACLE = {
     "op3_mixing": """
