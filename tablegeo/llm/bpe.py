@@ -32,7 +32,9 @@ from tablegeo.llm.common import text_bytes, values
 #: Pre-token pattern of byte-level BPE (fixed value of the published tokenizer).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers before it starts its cache anew; bounds memory, not results.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
+#: Pairs of tokens whose compatibility a worker remembers.
+KNOWN_PAIRS = 300_000
 #: Longer pieces are not remembered.
 CACHE_LENGTH = 64
 
@@ -70,11 +72,12 @@ class Vocabulary:
         self.automaton.make_automaton()
         for name, i in self.special.items():
             self.bytes[i] = name.encode()
-        by_bytes = {self.bytes[i]: i for i in vocab.values()}
+        self.whole = by_bytes = {self.bytes[i]: i for i in vocab.values()}
         self.shorter = [-1] * size  # the longest token that is a proper prefix
         for i in vocab.values():
             whole = self.bytes[i]
             self.shorter[i] = next((by_bytes[whole[:n]] for n in range(len(whole) - 1, 0, -1) if whole[:n] in by_bytes), -1)
+        self.known: dict[tuple[int, int], bool] = {}
         self.length = [len(b) for b in self.bytes]
         self.pool = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.offset = np.concatenate([[0], np.cumsum(self.length)]).astype(np.int64)
@@ -110,31 +113,38 @@ class Vocabulary:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
+        if piece in self.whole:
+            return [self.whole[piece]]
         n = len(piece)
         longest = [-1] * n
-        reach = [0] * n
         for end, (length, token) in self.automaton.iter(piece.decode("latin-1")):
-            start = end - length + 1
-            if length > reach[start]:
-                reach[start], longest[start] = length, token
-        length, shorter, compatible = self.length, self.shorter, self.compatible
+            longest[end - length + 1] = token  # the later one from a start is the longer one
+        length, shorter, known = self.length, self.shorter, self.known
         out: list[int] = []
         dead = bytearray(n + 1)
-        at, token = 0, longest[0] if n else -1
+        at, token, last = 0, longest[0] if n else -1, -1
         while at < n:
-            last = out[-1] if out else -1
             while token >= 0:
-                if not dead[at + length[token]] and (last < 0 or compatible(last, token)):
-                    break
+                if not dead[at + length[token]]:
+                    if last < 0:
+                        break
+                    fits = known.get((last, token))
+                    if fits is None:
+                        fits = self.compatible(last, token)
+                        if len(known) < KNOWN_PAIRS:
+                            known[last, token] = fits
+                    if fits:
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = longest[at] if at < n else -1
+                last, token = token, longest[at] if at < n else -1
             else:
                 dead[at] = 1
                 token = shorter[out.pop()]
                 at -= length[last]
+                last = out[-1] if out else -1
         return out
 
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegeo.llm.bpe import PieceCache, vocabulary
-from tablegeo.llm.common import text_bytes, values
+from tablegeo.llm.common import bound_batches, text_bytes, values
 
 #: Entries of the broadcast table, and the longest pre-token (in characters) it may hold: about 2 MB at most.
 TABLE_SIZE, TABLE_LENGTH = 50_000, 32
@@ -82,5 +82,6 @@ _CACHES: dict = {}
 
 def with_token_counts(df: DataFrame, text: str, path: str, output: str = "n_tokens", table_size: int = TABLE_SIZE) -> DataFrame:
     """The frame with the number of tokens of ``text`` as column ``output`` (replaced if it exists)."""
+    bound_batches(df.sparkSession)
     table = df.sparkSession.sparkContext.broadcast(length_table(df, text, path, table_size))
     return df.withColumn(output, token_count(text, path, table))
