@@ -38,8 +38,9 @@ from tablegeo.llm.components import components
 from tablegeo.llm.katz import word_hashes
 
 WORDS, PERCENT = 5, 80
-#: log2 of the cells of the count sketch (fixed size: 2 ** 22 counts of 4 bytes); it decides order, not results.
-SKETCH_BITS = 22
+#: Least and greatest log2 of the count sketch's cells, a byte each; they decide the order, not results.
+SKETCH_BITS = (12, 27)
+QUARTER = np.uint64(1 << 62)
 #: Followers compared in one place.
 PLACE = 512
 #: Lists up to this length are worked on together, so many pairs at once.
@@ -121,16 +122,27 @@ def each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]
 # -- index ---------------------------------------------------------------------------------------------
 
 
-def count_sketch(texts: DataFrame, n: int, bits: int) -> np.ndarray:
-    """Cells counting the elements of all sets by the leading bits of their hashes; of fixed size."""
-    width = 1 << max(0, bits - 12)
+def sketch_bits(elements: int) -> int:
+    """log2 of the cells of the count sketch: about one for every 16 elements, within fixed bounds."""
+    return min(SKETCH_BITS[1], max(SKETCH_BITS[0], int(elements // 16).bit_length()))
+
+
+def cell_of(elements: np.ndarray, bits: int) -> np.ndarray:
+    """Cells of elements in the counted quarter of all hashes (the lowest, which fill the prefixes)."""
+    return (elements >> np.uint64(62 - bits)).astype(np.int64)
+
+
+def count_sketch(texts: DataFrame, n: int, bits: int, elements: int) -> np.ndarray:
+    """How frequent the elements of each cell are: log2 of the cell's count over the mean, plus one.  One byte
+    for each cell, so the size is bounded by SKETCH_BITS."""
+    width, mean = 1 << max(0, bits - 12), max(1.0, elements / 4 / (1 << bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, np.int64)
+        cells = np.zeros(1 << bits, np.uint32)
         for _, chunk in each_chunk(batches):
-            sizes, elements, same = chunk_sets(chunk, n)
-            own = np.repeat(same == np.arange(len(same)), sizes)
-            cells += np.bincount((elements[own] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            sizes, found, same = chunk_sets(chunk, n)
+            found = found[np.repeat(same == np.arange(len(same)), sizes)]
+            np.add.at(cells, cell_of(found[found < QUARTER], bits), np.uint32(1))
         parts = [(i, small(cells[i * width : (i + 1) * width])) for i in range(len(cells) // width)]
         yield pa.RecordBatch.from_pydict({"slice": pa.array([p[0] for p in parts], pa.int32()), "cells": pa.array([p[1] for p in parts], pa.binary())})
 
@@ -139,18 +151,22 @@ def count_sketch(texts: DataFrame, n: int, bits: int) -> np.ndarray:
         for batch in batches:
             for i, cells in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
                 sums[i] = sums.get(i, 0) + large(cells)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": pa.array([np.minimum(x, (1 << 32) - 1).astype(np.uint32).tobytes() for x in sums.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": pa.array([np.log2(x / mean + 1).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())})
 
     rows = texts.mapInArrow(count, "slice int, cells binary").repartition("slice").mapInArrow(add, "slice int, cells binary")
-    out = np.zeros(1 << bits, np.uint32)
+    out = np.zeros(1 << bits, np.uint8)
     for r in rows.toLocalIterator():
-        out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(bytes(r.cells), np.uint32)
+        out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(bytes(r.cells), np.uint8)
     return out
 
 
-def rarity(cells: np.ndarray) -> np.ndarray:
-    """Each cell's class: how many times (log2) its count is over the median."""
-    return np.log2(cells / max(1.0, float(np.median(cells))) + 1).astype(np.uint8)
+def rarity(elements: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The order's leading part: rare counted elements, then uncounted ones, then frequent ones."""
+    out = np.full(len(elements), 2, np.uint8)
+    counted = elements < QUARTER
+    own = classes[cell_of(elements[counted], int(len(classes) - 1).bit_length())]
+    out[counted] = np.where(own < 2, own, own + 1)
+    return out
 
 
 INDEX = "token long, node long, n int, pos int"
@@ -160,14 +176,12 @@ def index_lists(texts: DataFrame, n: int, percent: int, classes, bits: int) -> D
     """INDEX: the prefix elements that more than one set has, with set size and position in the order."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = classes.value
-        shift = np.uint64(64 - int(len(rare) - 1).bit_length())
         for number, chunk in each_chunk(batches):
             sizes, elements, same = chunk_sets(chunk, n)
             text = np.repeat(np.arange(len(sizes)), sizes)
             own = (same == np.arange(len(same)))[text]
             text, elements = text[own], elements[own]
-            order = np.lexsort((elements, rare[(elements >> shift).astype(np.int64)], text))
+            order = np.lexsort((elements, rarity(elements, classes.value), text))
             text, elements = text[order], elements[order]
             position = np.arange(len(text)) - np.searchsorted(text, text)
             prefix = position <= (sizes - needed(sizes, percent))[text]
@@ -236,7 +250,8 @@ def leader_pairs(index: DataFrame, percent: int) -> DataFrame:
             pair, times = np.unique(np.stack([node[some], node[head][some]]), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(times)], names=["a", "b", "times"])
 
-    dealt = index.select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token", "n", "pos", "node")
+    # the head stands earliest: fewest rare elements of its own, so nearest to the others
+    dealt = index.select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token", "pos", "n", "node")
     met = dealt.mapInArrow(run, "a long, b long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"))
     return materialize(met.groupBy("a").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("low"))).alias("b")))
 
@@ -407,9 +422,10 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID))
     docs = df.select(key.alias("key"), text_bytes(text).alias("bytes"))
     flat, dealt = chunks(docs, False), chunks(docs)
-    classes = spark.sparkContext.broadcast(rarity(count_sketch(flat, n, SKETCH_BITS)))
-    index = index_lists(flat, n, percent, classes, bits)
     nodes = numbered(flat, n)
+    total = nodes.filter("outline is not null").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    classes = spark.sparkContext.broadcast(count_sketch(flat, n, sketch_bits(total), total))
+    index = index_lists(flat, n, percent, classes, bits)
     slack, reach = 1e-9, 1 - percent / 100
 
     # leaders, followers and their distances
