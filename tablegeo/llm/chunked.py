@@ -14,6 +14,8 @@ from tablegeo.llm.common import BASE, mix, powers, values
 
 #: Bytes of a chunk, and bytes hashed at once.
 CHUNK_BYTES, SEGMENT = 2 << 20, 1 << 17
+#: Most texts of a chunk (node numbers keep 21 bits for a place in a chunk).
+CHUNK_TEXTS = 1 << 20
 #: The two tables of byte values of the hashes.
 BYTES_1, BYTES_2 = (mix(np.arange(first, first + 256, dtype=np.uint64) * BASE) for first in (1, 1001))
 LAST_ID = (1 << 63) - 1
@@ -75,29 +77,38 @@ class Chunk:
         return one, two
 
 
-def chunks(docs: DataFrame, dealt: bool = True) -> DataFrame:
-    """(chunk, keys, sizes, packed): ``docs`` (key, bytes) in chunks, dealt by chunk unless that is not needed.
-    Chunks are numbered by task, so a frame that reads alike each time is chunked alike each time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit():
-            packed = zstandard.ZstdCompressor(level=1).compress(b"".join(held)) if size else b""
-            return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([x], pa.binary()) for x in (np.array(keys, np.int64).tobytes(), np.array([len(t) for t in held], np.int64).tobytes(), packed))], names=["chunk", "keys", "sizes", "packed"])
-
-        number, keys, held, size = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
-                keys.append(key)
-                held.append(text)
-                size += len(text)
-                if size >= CHUNK_BYTES or len(keys) >= CHUNK_BYTES:
-                    yield emit()
-                    number, keys, held, size = number + 1, [], [], 0
-        if keys:
-            yield emit()
-
-    out = docs.mapInArrow(run, "chunk long, keys binary, sizes binary, packed binary")
-    return out.repartition("chunk") if dealt else out
+CHUNK = "chunk long, keys binary, sizes binary, packed binary"
+
+
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, bytes) as batches of one chunk each.  Chunks are numbered by task, so a frame that
+    reads alike each time is chunked alike each time."""
+
+    def emit() -> pa.RecordBatch:
+        packed = zstandard.ZstdCompressor(level=1).compress(b"".join(held)) if size else b""
+        return pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([x], pa.binary()) for x in (np.array(keys, np.int64).tobytes(), np.array([len(t) for t in held], np.int64).tobytes(), packed))], names=["chunk", "keys", "sizes", "packed"])
+
+    number, keys, held, size = TaskContext.get().partitionId() << 32, [], [], 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
+            keys.append(key)
+            held.append(text)
+            size += len(text)
+            if size >= CHUNK_BYTES or len(keys) >= CHUNK_TEXTS:
+                yield emit()
+                number, keys, held, size = number + 1, [], [], 0
+    if keys:
+        yield emit()
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """``docs`` (key, bytes) in chunks, dealt by chunk."""
+    return docs.mapInArrow(chunked, CHUNK).repartition("chunk")
+
+
+def over_chunks(docs: DataFrame, run, schema: str) -> DataFrame:
+    """What ``run`` makes of the chunks of ``docs`` where these are read, in the same Python worker."""
+    return docs.mapInArrow(lambda batches: run(chunked(batches)), schema)
 
 
 def blob_rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegeo.llm.chunked import LAST_ID, Chunk, blob_rows, chunks, large, slices, small
+from tablegeo.llm.chunked import BLOB, LAST_ID, Chunk, blob_rows, chunks, large, over_chunks, slices, small
 from tablegeo.llm.common import BASE, bound_batches, materialize, mix, text_bytes, values
 from tablegeo.llm.components import components
 from tablegeo.llm.katz import word_hashes
@@ -44,7 +44,7 @@ QUARTER = np.uint64(1 << 62)
 #: Followers compared in one place.
 PLACE = 512
 #: Lists up to this length are worked on together, so many pairs at once.
-SHORT, EXPANDED = 256, 2_000_000
+SHORT, EXPANDED = 256, 1_000_000
 #: Elements for each counter of a set's outline, and the most counters.
 OUTLINE, COUNTERS = 4, 512
 
@@ -132,7 +132,7 @@ def cell_of(elements: np.ndarray, bits: int) -> np.ndarray:
     return (elements >> np.uint64(62 - bits)).astype(np.int64)
 
 
-def count_sketch(texts: DataFrame, n: int, bits: int, elements: int) -> np.ndarray:
+def count_sketch(docs: DataFrame, n: int, bits: int, elements: int) -> np.ndarray:
     """How frequent the elements of each cell are: log2 of the cell's count over the mean, plus one.  One byte
     for each cell, so the size is bounded by SKETCH_BITS."""
     width, mean = 1 << max(0, bits - 12), max(1.0, elements / 4 / (1 << bits))
@@ -153,7 +153,7 @@ def count_sketch(texts: DataFrame, n: int, bits: int, elements: int) -> np.ndarr
                 sums[i] = sums.get(i, 0) + large(cells)
         yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": pa.array([np.log2(x / mean + 1).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())})
 
-    rows = texts.mapInArrow(count, "slice int, cells binary").repartition("slice").mapInArrow(add, "slice int, cells binary")
+    rows = over_chunks(docs, count, "slice int, cells binary").repartition("slice").mapInArrow(add, "slice int, cells binary")
     out = np.zeros(1 << bits, np.uint8)
     for r in rows.toLocalIterator():
         out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(bytes(r.cells), np.uint8)
@@ -172,7 +172,7 @@ def rarity(elements: np.ndarray, classes: np.ndarray) -> np.ndarray:
 INDEX = "token long, node long, n int, pos int"
 
 
-def index_lists(texts: DataFrame, n: int, percent: int, classes, bits: int) -> DataFrame:
+def index_lists(docs: DataFrame, n: int, percent: int, classes, bits: int) -> DataFrame:
     """INDEX: the prefix elements that more than one set has, with set size and position in the order."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +215,7 @@ def index_lists(texts: DataFrame, n: int, percent: int, classes, bits: int) -> D
         if held:
             yield from emit()
 
-    sent = texts.mapInArrow(send, "part int, chunk long, kind int, a binary, b binary, c binary, d binary, e binary").select("part", "chunk", "a", "b", "c", "d")
+    sent = over_chunks(docs, send, BLOB).select("part", "chunk", "a", "b", "c", "d")
     return materialize(sent.repartition("part").sortWithinPartitions("part").mapInArrow(merge, INDEX))
 
 
@@ -401,7 +401,7 @@ def linked(checked: DataFrame, percent: int) -> DataFrame:
     return checked.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("a_size") + F.col("b_size") - F.col("both"))).select("a", "b")
 
 
-def numbered(texts: DataFrame, n: int) -> DataFrame:
+def numbered(docs: DataFrame, n: int) -> DataFrame:
     """(key, n_shingles, node, outline): every row with its node; the outline stands with the node's own row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,7 +411,7 @@ def numbered(texts: DataFrame, n: int) -> DataFrame:
             outlines = [outline(elements[e - s : e]) if s and k == i else None for i, (s, e, k) in enumerate(zip(sizes.tolist(), ends.tolist(), same.tolist(), strict=True))]
             yield pa.RecordBatch.from_arrays([pa.array(chunk.keys), pa.array(sizes), pa.array(node_of(number, same)), pa.array(outlines, pa.binary())], names=["key", "n_shingles", "node", "outline"])
 
-    return materialize(texts.mapInArrow(run, "key long, n_shingles long, node long, outline binary"))
+    return materialize(over_chunks(docs, run, "key long, n_shingles long, node long, outline binary"))
 
 
 def near_components(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -421,11 +421,11 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     bits = max(2, (int(spark.conf.get("spark.sql.shuffle.partitions")) // 3).bit_length() - 1)
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID))
     docs = df.select(key.alias("key"), text_bytes(text).alias("bytes"))
-    flat, dealt = chunks(docs, False), chunks(docs)
-    nodes = numbered(flat, n)
+    dealt = chunks(docs)
+    nodes = numbered(docs, n)
     total = nodes.filter("outline is not null").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    classes = spark.sparkContext.broadcast(count_sketch(flat, n, sketch_bits(total), total))
-    index = index_lists(flat, n, percent, classes, bits)
+    classes = spark.sparkContext.broadcast(count_sketch(docs, n, sketch_bits(total), total))
+    index = index_lists(docs, n, percent, classes, bits)
     slack, reach = 1e-9, 1 - percent / 100
 
     # leaders, followers and their distances
