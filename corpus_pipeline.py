@@ -41,8 +41,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     bound_batches(spark)
     path = tokenizer_path()
-    coded = docs.select("doc_id", "lang", "source", "text", bpe.encoded("text", path).alias("token_ids"))
-    back = coded.withColumn("decoded", bpe.decoded("token_ids", path))
+    coded = docs.select("doc_id", "lang", "source", "text", bpe.round_trip("text", path).alias("both"))
+    back = coded.select("doc_id", "lang", "source", "text", F.col("both.ids").alias("token_ids"), "both.decoded")
     return back.select("doc_id", "lang", "source", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decodes"))
 
 

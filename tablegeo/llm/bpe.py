@@ -18,7 +18,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -27,14 +26,14 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablegeo.llm.common import text_bytes, values
+from tablegeo.llm.common import text_bytes, values, worker_cache
 
 #: Pre-token pattern of byte-level BPE (fixed value of the published tokenizer).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers before it starts its cache anew; bounds memory, not results.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 150_000
 #: Pairs of tokens whose compatibility a worker remembers.
-KNOWN_PAIRS = 300_000
+KNOWN_PAIRS = 150_000
 #: Longer pieces are not remembered.
 CACHE_LENGTH = 64
 
@@ -173,16 +172,14 @@ class PieceCache(dict):
         return made
 
 
-@lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     """Read once in each Python worker."""
-    return Vocabulary(path)
+    return worker_cache("bpe", ("vocabulary", path), lambda: Vocabulary(path))
 
 
-@lru_cache(maxsize=4)
 def id_cache(path: str) -> PieceCache:
     own = vocabulary(path)
-    return PieceCache(lambda piece: np.array(own.encode_piece(piece.encode()), "<u4").tobytes())
+    return worker_cache("bpe", ("ids", path), lambda: PieceCache(lambda piece: np.array(own.encode_piece(piece.encode()), "<u4").tobytes()))
 
 
 def encode_text(text: str, path: str) -> bytes:
@@ -228,6 +225,23 @@ def decoded(ids: str | Column, path: str) -> Column:
     return F.arrow_udf(run, "string")(F.col(ids) if isinstance(ids, str) else ids)
 
 
+def round_trip(text: str | Column, path: str) -> Column:
+    """Column struct<ids, decoded>: a text's packed ids, and the text decoded from them."""
+    kind = pa.struct([("ids", pa.binary()), ("decoded", pa.string())])
+
+    def both(value: bytes) -> dict:
+        ids = encode_text(value.decode("utf-8", "replace"), path)
+        return {"ids": ids, "decoded": decode_ids(ids, path)}
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [pa.array([both(v) for v in values(batch.slice(i, 512))], kind) for i in range(0, len(batch), 512)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "struct<ids:binary,decoded:string>")(text_bytes(text))
+
+
 def unpacked(ids: str | Column) -> Column:
     """Packed ids as an array of integers, with built-in functions."""
     ids = F.col(ids) if isinstance(ids, str) else ids

@@ -61,6 +61,20 @@ def values(column: pa.Array, step: int = 256) -> Iterator:
         yield from column.slice(start, step).to_pylist()
 
 
+_WORKER: dict = {}
+
+
+def worker_cache(owner: str, key: tuple, make):
+    """What an operator remembers in a Python worker from task to task.  Workers serve one operator after
+    another, so the first use by another owner lets go of what the one before remembered."""
+    if _WORKER.get("owner") != owner:
+        _WORKER.clear()
+        _WORKER["owner"] = owner
+    if key not in _WORKER:
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values over the whole range (one-to-one)."""
     x = x ^ (x >> np.uint64(30))

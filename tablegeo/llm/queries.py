@@ -22,8 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     docs, path = table(spark, sf_dir, "documents"), tokenizer_path()
-    ids = docs.select("doc_id", bpe.encoded("text", path).alias("ids"))
-    both = ids.withColumn("decoded", bpe.decoded("ids", path))
+    both = docs.select("doc_id", bpe.round_trip("text", path).alias("both")).select("doc_id", "both.ids", "both.decoded")
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegeo.llm.bpe import PieceCache, vocabulary
-from tablegeo.llm.common import bound_batches, text_bytes, values
+from tablegeo.llm.common import bound_batches, text_bytes, values, worker_cache
 
 #: Entries of the broadcast table, and the longest pre-token (in characters) it may hold: about 2 MB at most.
 TABLE_SIZE, TABLE_LENGTH = 50_000, 32
@@ -58,13 +58,8 @@ def token_count(text: str | Column, path: str, table) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own, frequent = vocabulary(path), table.value
-        key = (path, id(frequent))
-        if key not in _CACHES:
-            _CACHES.clear()
-            cache = PieceCache(lambda piece: frequent[piece] if piece in frequent else len(own.encode_piece(piece.encode())))
-            cache.update(frequent)
-            _CACHES[key] = cache
-        cache, find = _CACHES[key], own.pattern.findall
+        make = lambda: PieceCache(lambda piece: frequent[piece] if piece in frequent else len(own.encode_piece(piece.encode())))
+        cache, find = worker_cache("bpe", ("lengths", path, len(frequent), hash(frozenset(frequent.items()))), make), own.pattern.findall
 
         def count(value: bytes) -> int:
             whole = value.decode("utf-8", "replace")
@@ -77,9 +72,6 @@ def token_count(text: str | Column, path: str, table) -> Column:
     return F.arrow_udf(run, "long")(text_bytes(text))
 
 
-_CACHES: dict = {}
-
-
 def with_token_counts(df: DataFrame, text: str, path: str, output: str = "n_tokens", table_size: int = TABLE_SIZE) -> DataFrame:
     """The frame with the number of tokens of ``text`` as column ``output`` (replaced if it exists)."""
     bound_batches(df.sparkSession)
