@@ -1,0 +1 @@
+"""Tables from positioned words, and their repair, as Spark DataFrame plans."""
