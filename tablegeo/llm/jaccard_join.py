@@ -40,13 +40,15 @@ from tablegeo.llm.katz import word_hashes
 WORDS, PERCENT = 5, 80
 #: Least and greatest log2 of the count sketch's cells, a byte each; they decide the order, not results.
 SKETCH_BITS = (12, 27)
-QUARTER = np.uint64(1 << 62)
+HALF = np.uint64(1 << 63)
 #: Followers compared in one place.
 PLACE = 512
 #: Lists up to this length are worked on together, so many pairs at once.
-SHORT, EXPANDED = 256, 1_000_000
+SHORT, EXPANDED = 64, 1_000_000
 #: Elements for each counter of a set's outline, and the most counters.
 OUTLINE, COUNTERS = 4, 512
+#: Bits of a set's bitmap.
+BITMAP = 512
 
 
 # -- sets ----------------------------------------------------------------------------------------------
@@ -128,21 +130,21 @@ def sketch_bits(elements: int) -> int:
 
 
 def cell_of(elements: np.ndarray, bits: int) -> np.ndarray:
-    """Cells of elements in the counted quarter of all hashes (the lowest, which fill the prefixes)."""
-    return (elements >> np.uint64(62 - bits)).astype(np.int64)
+    """Cells of elements in the counted half of all hashes (the lower one, which fills the prefixes)."""
+    return (elements >> np.uint64(63 - bits)).astype(np.int64)
 
 
 def count_sketch(docs: DataFrame, n: int, bits: int, elements: int) -> np.ndarray:
-    """How frequent the elements of each cell are: log2 of the cell's count over the mean, plus one.  One byte
-    for each cell, so the size is bounded by SKETCH_BITS."""
-    width, mean = 1 << max(0, bits - 12), max(1.0, elements / 4 / (1 << bits))
+    """How frequent the elements of each cell are: twice log2 of the cell's count over the mean, plus one.  One
+    byte for each cell, so the size is bounded by SKETCH_BITS."""
+    width, mean = 1 << max(0, bits - 12), max(1.0, elements / 2 / (1 << bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << bits, np.uint32)
         for _, chunk in each_chunk(batches):
             sizes, found, same = chunk_sets(chunk, n)
             found = found[np.repeat(same == np.arange(len(same)), sizes)]
-            np.add.at(cells, cell_of(found[found < QUARTER], bits), np.uint32(1))
+            np.add.at(cells, cell_of(found[found < HALF], bits), np.uint32(1))
         parts = [(i, small(cells[i * width : (i + 1) * width])) for i in range(len(cells) // width)]
         yield pa.RecordBatch.from_pydict({"slice": pa.array([p[0] for p in parts], pa.int32()), "cells": pa.array([p[1] for p in parts], pa.binary())})
 
@@ -151,7 +153,7 @@ def count_sketch(docs: DataFrame, n: int, bits: int, elements: int) -> np.ndarra
         for batch in batches:
             for i, cells in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
                 sums[i] = sums.get(i, 0) + large(cells)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": pa.array([np.log2(x / mean + 1).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": pa.array([(2 * np.log2(x / mean + 1)).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())})
 
     rows = over_chunks(docs, count, "slice int, cells binary").repartition("slice").mapInArrow(add, "slice int, cells binary")
     out = np.zeros(1 << bits, np.uint8)
@@ -162,18 +164,19 @@ def count_sketch(docs: DataFrame, n: int, bits: int, elements: int) -> np.ndarra
 
 def rarity(elements: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The order's leading part: rare counted elements, then uncounted ones, then frequent ones."""
-    out = np.full(len(elements), 2, np.uint8)
-    counted = elements < QUARTER
+    out = np.full(len(elements), 3, np.uint8)
+    counted = elements < HALF
     own = classes[cell_of(elements[counted], int(len(classes) - 1).bit_length())]
-    out[counted] = np.where(own < 2, own, own + 1)
+    out[counted] = np.where(own < 3, own, own + 1)
     return out
 
 
-INDEX = "token long, node long, n int, pos int"
+INDEX = "token long, node long, n int, pos int, size int"
 
 
 def index_lists(docs: DataFrame, n: int, percent: int, classes, bits: int) -> DataFrame:
-    """INDEX: the prefix elements that more than one set has, with set size and position in the order."""
+    """INDEX: the prefix elements that more than one set has, with set size, position in the order and the
+    length of the element's list."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in each_chunk(batches):
@@ -199,9 +202,11 @@ def index_lists(docs: DataFrame, n: int, percent: int, classes, bits: int) -> Da
             again = np.zeros(len(token), bool)
             again[1:] = token[order][1:] == token[order][:-1]
             order = order[again | np.append(again[1:], False)]
+            _, which, length = np.unique(token[order], return_inverse=True, return_counts=True)
+            length = length[which].astype(np.int32)
             for i in range(0, len(order), 1 << 17):
                 o = order[i : i + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(token[o].view(np.int64)), pa.array(node[o]), pa.array(size[o].astype(np.int32)), pa.array(position[o].astype(np.int32))], names=["token", "node", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[o].view(np.int64)), pa.array(node[o]), pa.array(size[o].astype(np.int32)), pa.array(position[o].astype(np.int32)), pa.array(length[i : i + (1 << 17)])], names=["token", "node", "n", "pos", "size"])
 
         now, held = None, []
         for batch in batches:
@@ -256,22 +261,29 @@ def leader_pairs(index: DataFrame, percent: int) -> DataFrame:
     return materialize(met.groupBy("a").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("low"))).alias("b")))
 
 
-def cross_pairs(index: DataFrame, followers: DataFrame, percent: int) -> DataFrame:
-    """(a, b): leaders of sets that meet in a list, can be similar, and are in different components."""
+def cross_pairs(index: DataFrame, followers: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): leaders of sets that meet in a list, can be similar, and are in different components.  In long
+    lists, the bitmaps of the sets tell most pairs apart before they become rows."""
     named = index.join(followers.select("node", "leader", "label"), "node", "left")
-    dealt = named.select("token", "n", "pos", "node", F.coalesce("leader", "node").alias("leader"), F.coalesce("label", "node").alias("label"))
+    bitmaps = nodes.filter("bitmap is not null").select("node", "bitmap")
+    long_rows = named.filter(F.col("size") > SHORT).join(bitmaps, "node", "left")
+    both = named.filter(F.col("size") <= SHORT).withColumn("bitmap", F.lit(None).cast("binary")).unionByName(long_rows)
+    dealt = both.select("token", "n", "pos", "node", F.coalesce("leader", "node").alias("leader"), F.coalesce("label", "node").alias("label"), "bitmap")
     dealt = dealt.repartition("token").sortWithinPartitions("token", "n", "pos", "node")
 
-    def long_list(n, pos, leader, label) -> Iterator[np.ndarray]:
+    def long_list(n, pos, leader, label, bitmap) -> Iterator[np.ndarray]:
         """Everything outside the list's main component against the block of sizes it can be similar to."""
         kinds, counts = np.unique(label, return_counts=True)
         main = label == kinds[np.argmax(counts)]
+        bits = np.frombuffer(b"".join(x or bytes(BITMAP // 8) for x in bitmap), np.uint64).reshape(-1, BITMAP // 64)
         for i in np.flatnonzero(~main).tolist():
             low, high = np.searchsorted(n, -(-percent * n[i] // 100)), np.searchsorted(n, 100 * n[i] // percent, side="right")
             block = slice(low, high)
-            other = (label[block] != label[i]) & (main[block] | (np.arange(low, high) > i)) & fits(n[i], pos[i], n[block], pos[block], percent)
-            if other.any():
-                yield np.stack([leader[block][other], np.full(int(other.sum()), leader[i])])
+            other = low + np.flatnonzero((label[block] != label[i]) & (main[block] | (np.arange(low, high) > i)) & fits(n[i], pos[i], n[block], pos[block], percent))
+            differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1)
+            other = other[differ <= (n[other] + n[i]) * (100 - percent) / (100 + percent) + 1e-9]
+            if len(other):
+                yield np.stack([leader[other], np.full(len(other), leader[i])])
 
     def short_lists(rank, n, pos, leader, label) -> Iterator[np.ndarray]:
         """Each set against the rest of its list as far as its block of sizes goes, many lists at once."""
@@ -299,7 +311,7 @@ def cross_pairs(index: DataFrame, followers: DataFrame, percent: int) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array(pair[0][fresh]), pa.array(pair[1][fresh])], names=["a", "b"])
 
         found, held = [], 0
-        for token, n, pos, _, leader, label in lists(batches):
+        for token, n, pos, _, leader, label, bitmap in lists(batches):
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
             size = np.diff(cuts)
@@ -307,7 +319,7 @@ def cross_pairs(index: DataFrame, followers: DataFrame, percent: int) -> DataFra
             some = np.repeat(mixed & (size <= SHORT), size)
             got = list(short_lists(np.repeat(np.arange(len(size)), size)[some], n[some], pos[some], leader[some], label[some]))
             for i, j in zip(cuts[:-1][mixed & (size > SHORT)].tolist(), cuts[1:][mixed & (size > SHORT)].tolist(), strict=True):
-                got += long_list(n[i:j], pos[i:j], leader[i:j], label[i:j])
+                got += long_list(n[i:j], pos[i:j], leader[i:j], label[i:j], bitmap[i:j])
             found += got
             held += sum(g.shape[1] for g in got)
             if held > EXPANDED:
@@ -328,6 +340,13 @@ def outline(elements: np.ndarray) -> bytes:
     return small(np.bincount((elements >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits))
 
 
+def bitmap_of(elements: np.ndarray) -> bytes:
+    """For each of BITMAP patterns, whether an odd number of elements starts with it.  Two sets' bitmaps differ
+    in no more places than the sets have elements apart."""
+    odd = np.bincount((elements >> np.uint64(64 - (BITMAP.bit_length() - 1))).astype(np.int64), minlength=BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def shared_at_most(one: bytes, two: bytes) -> int:
     """A bound of the intersection of two sets from their outlines."""
     a, b = large(one), large(two)
@@ -402,16 +421,18 @@ def linked(checked: DataFrame, percent: int) -> DataFrame:
 
 
 def numbered(docs: DataFrame, n: int) -> DataFrame:
-    """(key, n_shingles, node, outline): every row with its node; the outline stands with the node's own row."""
+    """(key, n_shingles, node, outline, bitmap): every row with its node; outline and bitmap stand with the
+    node's own row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in each_chunk(batches):
             sizes, elements, same = chunk_sets(chunk, n)
             ends = np.cumsum(sizes)
-            outlines = [outline(elements[e - s : e]) if s and k == i else None for i, (s, e, k) in enumerate(zip(sizes.tolist(), ends.tolist(), same.tolist(), strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.keys), pa.array(sizes), pa.array(node_of(number, same)), pa.array(outlines, pa.binary())], names=["key", "n_shingles", "node", "outline"])
+            own = [elements[e - s : e] if s and k == i else None for i, (s, e, k) in enumerate(zip(sizes.tolist(), ends.tolist(), same.tolist(), strict=True))]
+            outlines, bitmaps = ([None if x is None else f(x) for x in own] for f in (outline, bitmap_of))
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.keys), pa.array(sizes), pa.array(node_of(number, same)), pa.array(outlines, pa.binary()), pa.array(bitmaps, pa.binary())], names=["key", "n_shingles", "node", "outline", "bitmap"])
 
-    return materialize(over_chunks(docs, run, "key long, n_shingles long, node long, outline binary"))
+    return materialize(over_chunks(docs, run, "key long, n_shingles long, node long, outline binary, bitmap binary"))
 
 
 def near_components(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -437,7 +458,7 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text: str = "text"
 
     # leaders of different components
     radius = followers.groupBy("leader").agg(F.max("distance").alias("radius"))
-    second = compared(dealt, possible(cross_pairs(index, followers, percent), nodes, percent, radius), n)
+    second = compared(dealt, possible(cross_pairs(index, followers, nodes, percent), nodes, percent, radius), n)
     links = materialize(links.unionByName(linked(second, percent)))
     labels = materialize(components(links))
 
