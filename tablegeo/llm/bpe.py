@@ -31,7 +31,7 @@ from tablegeo.llm.common import text_bytes, values, worker_cache
 #: Pre-token pattern of byte-level BPE (fixed value of the published tokenizer).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers before it starts its cache anew; bounds memory, not results.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 400_000
 #: Pairs of tokens whose compatibility a worker remembers.
 KNOWN_PAIRS = 150_000
 #: Longer pieces are not remembered.
