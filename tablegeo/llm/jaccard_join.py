@@ -262,8 +262,8 @@ def leader_pairs(index: DataFrame, percent: int) -> DataFrame:
 
 
 def cross_pairs(index: DataFrame, followers: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): leaders of sets that meet in a list, can be similar, and are in different components.  In long
-    lists, the bitmaps of the sets tell most pairs apart before they become rows."""
+    """(x, y, a, b): sets that meet in a list, can be similar, and are in different components, with their
+    leaders.  In long lists, the bitmaps of the sets tell most pairs apart before they become rows."""
     named = index.join(followers.select("node", "leader", "label"), "node", "left")
     bitmaps = nodes.filter("bitmap is not null").select("node", "bitmap")
     long_rows = named.filter(F.col("size") > SHORT).join(bitmaps, "node", "left")
@@ -271,7 +271,7 @@ def cross_pairs(index: DataFrame, followers: DataFrame, nodes: DataFrame, percen
     dealt = both.select("token", "n", "pos", "node", F.coalesce("leader", "node").alias("leader"), F.coalesce("label", "node").alias("label"), "bitmap")
     dealt = dealt.repartition("token").sortWithinPartitions("token", "n", "pos", "node")
 
-    def long_list(n, pos, leader, label, bitmap) -> Iterator[np.ndarray]:
+    def long_list(n, pos, node, leader, label, bitmap) -> Iterator[np.ndarray]:
         """Everything outside the list's main component against the block of sizes it can be similar to."""
         kinds, counts = np.unique(label, return_counts=True)
         main = label == kinds[np.argmax(counts)]
@@ -283,9 +283,9 @@ def cross_pairs(index: DataFrame, followers: DataFrame, nodes: DataFrame, percen
             differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1)
             other = other[differ <= (n[other] + n[i]) * (100 - percent) / (100 + percent) + 1e-9]
             if len(other):
-                yield np.stack([leader[other], np.full(len(other), leader[i])])
+                yield np.stack([node[other], np.full(len(other), node[i]), leader[other], np.full(len(other), leader[i])])
 
-    def short_lists(rank, n, pos, leader, label) -> Iterator[np.ndarray]:
+    def short_lists(rank, n, pos, node, leader, label) -> Iterator[np.ndarray]:
         """Each set against the rest of its list as far as its block of sizes goes, many lists at once."""
         key = (rank << 32) + n
         many = np.searchsorted(key, (rank << 32) + 100 * n // percent, side="right") - np.arange(len(n)) - 1
@@ -299,27 +299,28 @@ def cross_pairs(index: DataFrame, followers: DataFrame, nodes: DataFrame, percen
             good = label[left] != label[right]
             left, right = left[good], right[good]
             good = fits(n[left], pos[left], n[right], pos[right], percent)
-            yield np.stack([leader[left[good]], leader[right[good]]])
+            yield np.stack([x[k[good]] for x in (node, leader) for k in (left, right)])
             at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit() -> pa.RecordBatch:
-            pair = np.sort(np.concatenate(found, axis=1), axis=0)
-            pair = pair[:, np.lexsort((pair[1], pair[0]))]
-            fresh = np.ones(pair.shape[1], bool)
-            fresh[1:] = (pair[:, 1:] != pair[:, :-1]).any(axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0][fresh]), pa.array(pair[1][fresh])], names=["a", "b"])
+            x, y, a, b = np.concatenate(found, axis=1)
+            turn = x > y
+            x, y, a, b = np.where(turn, y, x), np.where(turn, x, y), np.where(turn, b, a), np.where(turn, a, b)
+            order = np.lexsort((y, x))
+            fresh = order[np.concatenate([[True], (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])])]
+            return pa.RecordBatch.from_arrays([pa.array(v[fresh]) for v in (x, y, a, b)], names=["x", "y", "a", "b"])
 
         found, held = [], 0
-        for token, n, pos, _, leader, label, bitmap in lists(batches):
+        for token, n, pos, node, leader, label, bitmap in lists(batches):
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
             size = np.diff(cuts)
             mixed = np.add.reduceat((label != np.repeat(label[cuts[:-1]], size)).astype(np.int64), cuts[:-1]) > 0
             some = np.repeat(mixed & (size <= SHORT), size)
-            got = list(short_lists(np.repeat(np.arange(len(size)), size)[some], n[some], pos[some], leader[some], label[some]))
+            got = list(short_lists(np.repeat(np.arange(len(size)), size)[some], n[some], pos[some], node[some], leader[some], label[some]))
             for i, j in zip(cuts[:-1][mixed & (size > SHORT)].tolist(), cuts[1:][mixed & (size > SHORT)].tolist(), strict=True):
-                got += long_list(n[i:j], pos[i:j], leader[i:j], label[i:j], bitmap[i:j])
+                got += long_list(n[i:j], pos[i:j], node[i:j], leader[i:j], label[i:j], bitmap[i:j])
             found += got
             held += sum(g.shape[1] for g in got)
             if held > EXPANDED:
@@ -328,7 +329,7 @@ def cross_pairs(index: DataFrame, followers: DataFrame, nodes: DataFrame, percen
         if held:
             yield emit()
 
-    return materialize(dealt.mapInArrow(run, "a long, b long").filter("a <> b").distinct())
+    return materialize(dealt.mapInArrow(run, "x long, y long, a long, b long").distinct())
 
 
 # -- comparison ----------------------------------------------------------------------------------------
@@ -456,23 +457,24 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     following = first.join(links, ["a", "b"], "left_semi").select(F.col("a").alias("node"), F.col("b").alias("leader"), "distance")
     followers = materialize(labels.join(following, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"), F.coalesce("distance", F.lit(0.0)).alias("distance"), "label"))
 
-    # leaders of different components
+    # leaders of different components whose followers met
     radius = followers.groupBy("leader").agg(F.max("distance").alias("radius"))
-    second = compared(dealt, possible(cross_pairs(index, followers, nodes, percent), nodes, percent, radius), n)
+    met = cross_pairs(index, followers, nodes, percent)
+    leading = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    second = compared(dealt, possible(leading, nodes, percent, radius), n)
     links = materialize(links.unionByName(linked(second, percent)))
     labels = materialize(components(links))
 
-    # followers whose leaders' distances leave their own open
-    side = lambda name: radius.select(F.col("leader").alias(name), F.col("radius").alias(f"{name}_radius"))
+    # what met, where the leaders' distances leave it open
     label = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
-    apart = second.join(label("a"), "a", "left").join(label("b"), "b", "left").filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
-    wide = apart.join(side("a"), "a", "left").join(side("b"), "b", "left").fillna(0.0, ["a_radius", "b_radius"])
-    open_pairs = wide.filter((F.col("a_radius") + F.col("b_radius") > 0) & (F.col("distance") <= F.col("a_radius") + F.col("b_radius") + reach + slack)).select("a", "b", "distance")
-    alone = open_pairs.select(F.col("a").alias("leader")).unionByName(open_pairs.select(F.col("b").alias("leader"))).distinct().select(F.col("leader").alias("node"), "leader", F.lit(0.0).alias("distance"))
-    members = followers.select("node", "leader", "distance").unionByName(alone).distinct()
-    part = lambda name: members.select(F.col("node").alias(f"{name}_node"), F.col("leader").alias(name), F.col("distance").alias(f"{name}_distance"))
-    between = open_pairs.join(part("a"), "a").join(part("b"), "b").filter(F.col("distance") <= F.col("a_distance") + F.col("b_distance") + reach + slack)
-    third = materialize(between.filter((F.col("a_distance") > 0) | (F.col("b_distance") > 0)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
+    away = lambda name: followers.filter("distance > 0").select(F.col("node").alias(name), F.col("distance").alias(f"{name}_away"))
+    ranked = met.filter("x <> a or y <> b").withColumns({"a": F.greatest("a", "b"), "b": F.least("a", "b")})
+    known = ranked.join(second.select("a", "b", "distance"), ["a", "b"])
+    for name in ("x", "y"):
+        known = known.join(label(name), name, "left").join(away(name), name, "left")
+    known = known.fillna(0.0, ["x_away", "y_away"]).filter(F.coalesce("x_label", "x") != F.coalesce("y_label", "y"))
+    open_pairs = known.filter(F.col("distance") <= F.col("x_away") + F.col("y_away") + reach + slack)
+    third = possible(open_pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), nodes, percent)
     if third.limit(1).count():
         labels = components(links.unionByName(linked(compared(dealt, third, n), percent)))
 
