@@ -44,11 +44,11 @@ HALF = np.uint64(1 << 63)
 #: Followers compared in one place.
 PLACE = 512
 #: Lists up to this length are worked on together, so many pairs at once.
-SHORT, EXPANDED = 64, 1_000_000
+SHORT, EXPANDED = 12, 1_000_000
 #: Elements for each counter of a set's outline, and the most counters.
 OUTLINE, COUNTERS = 4, 512
 #: Bits of a set's bitmap.
-BITMAP = 512
+BITMAP = 1024
 
 
 # -- sets ----------------------------------------------------------------------------------------------

@@ -40,7 +40,7 @@ VOCABULARY, HOT_PAIRS = 60_000, 65_536
 #: Counts above this are trusted as they are (Katz's k).
 TRUSTED = 5
 #: Bytes of texts worked on at once, words of a very long text hashed at once, entries a task merges at once.
-BLOCK_BYTES, HASH_BYTES, MERGED = 1 << 21, 1 << 19, 3_000_000
+BLOCK_BYTES, HASH_BYTES, MERGED = 1 << 21, 1 << 19, 1_500_000
 END = np.uint64(0x0E4D)
 #: Odd factor (and its inverse) that spreads 32-bit pair keys over partitions, one-to-one.
 SPREAD = np.uint32(0x9E3779B1)

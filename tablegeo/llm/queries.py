@@ -43,7 +43,7 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     model = toxicity.train(docs, labels.filter(~held_out))
     verdicts = docs.select("doc_id", held_out.alias("held_out"), toxicity.scored("text", model).alias("verdict"))
     return verdicts.select("doc_id", "held_out", "verdict.score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -51,9 +51,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    model = katz.train(docs.filter(F.coalesce(~held_out, F.lit(True))))
-    return katz.score(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    model = katz.train(docs.filter(~held_out))
+    return katz.score(docs, model).withColumn("held_out", held_out)
 
 
 def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
