@@ -118,8 +118,8 @@ def blob_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def small(x: np.ndarray) -> bytes:
-    """Non-negative integers with the number of bytes that the largest needs, and that number in front."""
-    most = int(x.max()) if len(x) else 0
+    """Integers with the number of bytes that the largest needs, and that number in front; negative ones wrap."""
+    most = 0 if not len(x) else 1 << 63 if x.min() < 0 else int(x.max())
     kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64
     return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
 

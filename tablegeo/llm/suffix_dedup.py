@@ -261,18 +261,24 @@ def pass_three(texts: DataFrame, two: DataFrame, depth: int, bits: int) -> DataF
                 gone = np.sort(position[order[late]])
                 if len(gone):
                     rows.append((number % (1 << bits), number, SETTLED, *runs(gone)))
-                order, low = order[~late], int(key.min())
+                order, low = order[~late], int(chunk.keys.min())
+                names = small(chunk.keys - low) + low.to_bytes(8, "little", signed=True), small(chunk.sizes)  # id and start follow from the position
                 for part, i, j in slices(one[order], bits):
                     o = order[i:j]
-                    rows.append((part, number, ENTRIES, one[o].tobytes(), two[o].astype(np.uint32).tobytes(), small(key[o] - low) + low.to_bytes(8, "little", signed=True), small(start[o]), small(position[o])))
+                    rows.append((part, number, ENTRIES, one[o].tobytes(), two[o].astype(np.uint32).tobytes(), small(position[o]), *names))
             if rows:
                 yield blob_rows(rows)
 
     def settle(held: list) -> list[tuple]:
         one = np.concatenate([np.frombuffer(h[1], np.uint64) for h in held])
         two = np.concatenate([np.frombuffer(h[2], np.uint32) for h in held])
-        key = np.concatenate([large(h[3][:-8]) + int.from_bytes(h[3][-8:], "little", signed=True) for h in held])
-        start, position = (np.concatenate([large(h[i]) for h in held]) for i in (4, 5))
+        positions, places = [large(h[3]) for h in held], []
+        for h, at in zip(held, positions, strict=True):
+            sizes = large(h[5])
+            ends = np.cumsum(sizes)
+            text = np.searchsorted(ends, at, side="right")
+            places.append(np.stack([(large(h[4][:-8]) + int.from_bytes(h[4][-8:], "little", signed=True))[text], at - (ends - sizes)[text]]))
+        position, (key, start) = np.concatenate(positions), np.concatenate(places, axis=1)
         owner = np.repeat(np.arange(len(held)), [len(h[1]) // 8 for h in held])
         order, late = firsts(one, two, key, start)
         status = np.zeros(len(one), bool)
