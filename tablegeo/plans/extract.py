@@ -5,6 +5,7 @@ Only the wide table needs to know the widest page first (``max_columns``, the on
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,13 @@ def max_columns(analysis: DataFrame) -> int:
 
 
 def page_table(analysis: DataFrame, width: int | None = None) -> DataFrame:
-    """page_number, row_number, col_1 .. col_n: short rows padded with empty text."""
-    names = column_names(width or max_columns(analysis))
+    """page_number, row_number, col_1 .. col_n: short rows padded with empty text.  Without a given width the
+    texts are kept (in memory, then on disk) while the widest row is looked for, so pages are analysed once."""
     texts = C.table_texts(analysis)
+    if width is None:
+        texts = texts.persist(StorageLevel.MEMORY_AND_DISK)
+        width = texts.agg(F.max("n_cols")).first()[0]
+    names = column_names(width or 1)
     return texts.select("doc_key", "page_number", "row_number", *(F.coalesce(F.get("texts", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)))
 
 

@@ -133,6 +133,26 @@ def pdf_words(content: bytes, page_number: int) -> list[tuple[str, float, list[t
     return [(w[4], 1.0, [(w[0], w[1]), (w[2], w[1]), (w[2], w[3]), (w[0], w[3])]) for w in words]
 
 
+def pdf_page_count(content: bytes) -> int:
+    """Number of pages of a PDF; needs PyMuPDF."""
+    try:
+        import fitz
+    except ImportError as e:
+        raise RuntimeError("reading PDF files needs the package PyMuPDF") from e
+    with fitz.open(stream=content, filetype="pdf") as document:
+        return document.page_count
+
+
+def count_pages(files: DataFrame, count: Callable[[bytes], int] = pdf_page_count) -> DataFrame:
+    """(doc_key, n_pages) of binary files (doc_key, content); ``operators.items.page_numbers`` lists them."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch[["doc_key"]].assign(n_pages=[count(bytes(c)) for c in batch.content])
+
+    return files.select("doc_key", "content").mapInPandas(run, "doc_key string, n_pages int")
+
+
 def read_pages(files: DataFrame, pages: DataFrame, reader: PageWords = pdf_words) -> DataFrame:
     """Items of the pages (doc_key, page_number) of binary files (doc_key, content): pages are dealt over all
     tasks, and a reader is called once for each."""
