@@ -161,3 +161,32 @@ def test_word_box_source(spark, tmp_path):
     assert read(pages="2") == [(2, 0, "b", 2.0)]
     parsed = I.build_boxes(words.boxes_from_json(spark.read.text(str(tmp_path / "w.json")))).orderBy("page_number").collect()
     assert [(r.page_number, r.text, r.x0, r.x1) for r in parsed] == [(1, "a", 1.0, 3.0), (2, "b", 0.0, 2.0)]
+
+
+def test_plug_in_reader(spark):
+    from tablegeo.sources import words
+
+    def reader(content, page):
+        return [(f"{content.decode()}{page}", 0.5, [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0)]), (" ", 1.0, [(0.0, 0.0)] * 4)]
+
+    files = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"y"))], "doc_key string, content binary")
+    pages = I.page_numbers(words.count_pages(files, lambda content: 2))
+    items = words.read_pages(files, pages, reader)
+    assert sorted(r.text for r in items.collect()) == ["x1", "x2", "y1", "y2"]
+    assert items.columns == [c.split()[0] for c in ITEMS.split(", ")]
+    calls = []
+
+    def engine(**options):
+        calls.append(options)
+        if options:
+            raise TypeError("unknown option")
+        return "engine"
+
+    assert words.build_engine(engine) == "engine" and len(calls) == 2
+
+
+def test_escape_and_strip(spark):
+    from tablegeo.functions.text import escape_html, strip_ws
+
+    row = spark.range(1).select(strip_ws(F.lit("\t 　a b\n ")).alias("a"), escape_html(F.lit("<a & 'b'>")).alias("b")).first()
+    assert (row.a, row.b) == ("a b", "&lt;a &amp; &#39;b&#39;&gt;")
