@@ -3,19 +3,22 @@
 *Model.*  P(w|v) = d(r) r / c(v) for a pair seen r times in training, d(r) being Katz's Good-Turing discount;
 otherwise alpha(v) P(w), with alpha(v) computed from all seen pairs of v so that P(.|v) sums to one exactly.
 The recursion ends at the add-one unigram P(w) = (c(w) + 1) / (N + V + 1), which leaves one share to all
-unknown words together.  In pairs, words beyond the ``vocabulary`` most frequent stand for one class, whose
-share is dealt to its words in proportion to their unigram, so every word keeps its own exact count.  A text
-is scored from a start symbol to an end symbol; words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, known by
-64-bit hashes.
-
-*Tables.*  Counts live in two partitioned tables of sorted arrays: words by hash, pairs by (mixed) key.
-Counting merges inside the tasks and ships sorted arrays, one binary value for each task and partition,
-instead of a row for each n-gram.
-
-*Scoring.*  Frequent words and pairs are looked up in broadcast arrays of bounded size.  The rest goes, as
-arrays again, to the partition of the table that holds its count, where the recursion is evaluated for each
-token; what comes back is one partial sum for each text and partition.  A hot word or pair therefore never
-travels, and no text does.
+unknown words together.  Pairs of all words are counted.  Only a caller who gives a ``vocabulary`` lets the
+words beyond so many most frequent stand for one class in pairs, whose share is dealt to its words in
+proportion to their unigram.  A text is scored from a start symbol to an end symbol; words are
+`[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, known by 64-bit hashes.
+
+*Tables.*  Counts live in partitioned tables of sorted arrays: words by hash, pairs of frequent words by
+(mixed) key of their numbers, other pairs with their rarer words: at the context's partition if it is not
+frequent, else at the word's.  So no frequent word gathers its pairs anywhere, and c(v), P(w) and alpha(v)
+follow where a pair lies; only the counts of second words of two rare ones are fetched (``known``).  Counting
+merges inside the tasks and ships sorted arrays, one binary value for each task and partition, instead of a
+row for each n-gram.
+
+*Scoring.*  A token's score is log P(w) + log alpha(v), and for a seen pair what the pair gains over that.
+Frequent words and pairs are looked up in broadcast arrays of bounded size, a cache that decides no result.
+The rest goes, as arrays again, to the partition of the table that holds it; what comes back is one partial
+sum for each text and partition.  A hot word or pair therefore never travels, and no text does.
 
 Defined results: a null text is the empty text, which holds the end symbol alone; repeated rows and null ids
 get a row each; texts of any length are scored whole; with an empty training set every token is unknown.
@@ -33,10 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegeo.llm.common import bound_batches, materialize, prefix_sums, range_hashes, text_bytes, values
+from tablegeo.llm.common import BASE, bound_batches, materialize, mix, prefix_sums, range_hashes, text_bytes, values
 
-#: Bounds of the broadcast arrays: words of the pair model, and pairs looked up without a shuffle.
-VOCABULARY, HOT_PAIRS = 60_000, 65_536
+#: Bounds of the broadcast arrays: words and pairs looked up without a shuffle.  Keys of 32 bits hold pairs of
+#: at most MOST_HOT words.
+HOT_WORDS, HOT_PAIRS, MOST_HOT = 60_000, 65_536, 65_000
 #: Counts above this are trusted as they are (Katz's k).
 TRUSTED = 5
 #: Bytes of texts worked on at once, words of a very long text hashed at once, entries a task merges at once.
@@ -50,7 +54,10 @@ SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 BLOB = "part int, block long, kind int, a binary, b binary, c binary, d binary"
-WORDS_TABLE, PAIRS_TABLE, WORDS_ASKED, PAIRS_ASKED, TEXTS = range(5)
+WORDS_TABLE, PAIRS_TABLE, KNOWN, RARE_TABLE, WORDS_ASKED, PAIRS_ASKED, RARE_ASKED, TEXTS = range(8)
+TABLE = "part int, kind int, a binary, b binary, c binary, d binary, n long"
+#: In pairs with a rare word, frequent words are their numbers plus this, the others their hashes.
+CODED = 1 << 16
 
 
 # -- tokens --------------------------------------------------------------------------------------------
@@ -109,42 +116,72 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return table[at] == keys, at
 
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys with the sums of their counts."""
+def merged(keys: list[np.ndarray], counts: list[np.ndarray], *more: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys with the sums of their counts, and one of their further values each."""
     key, count = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key, kind="stable")
     key, count = key[order], count[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(count, first) if len(first) else count
+    return key[first], np.add.reduceat(count, first) if len(first) else count, *(np.concatenate(m)[order[first]] for m in more)
 
 
-def sliced(keys: np.ndarray, bits: int, width: int) -> list[tuple[int, int, int]]:
-    """(part, start, end) of sorted keys by their leading bits."""
-    part = (keys >> keys.dtype.type(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+def part_of(keys: np.ndarray, bits: int, width: int = 64) -> np.ndarray:
+    return (keys >> keys.dtype.type(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def cuts_of(part: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(part, start, end) of ascending parts."""
     cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
     return [(p, int(cuts[p]), int(cuts[p + 1])) for p in range(1 << bits) if cuts[p] < cuts[p + 1]]
 
 
+def sliced(keys: np.ndarray, bits: int, width: int) -> list[tuple[int, int, int]]:
+    """(part, start, end) of sorted keys by their leading bits."""
+    return cuts_of(part_of(keys, bits, width), bits)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as their first bytes, their second bytes and so on, which compresses well."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unplaned(data: bytes, dtype=np.uint64) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+
+
 def rows_of(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
     columns = list(zip(*((*r, *[None] * (7 - len(r))) for r in rows), strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "block", "kind", "a", "b", "c", "d"])
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder, and its shuffle files let go of at once."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return materialize(df)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
 # -- model ---------------------------------------------------------------------------------------------
 
 
 @dataclass
 class Arrays:
-    """What every task needs; its size is bounded by VOCABULARY and HOT_PAIRS."""
+    """What every task needs; its size is bounded by MOST_HOT and HOT_PAIRS."""
 
-    words: np.ndarray  # sorted hashes of the vocabulary; the word's number is its place
+    words: np.ndarray  # sorted hashes of the frequent words; the word's number is its place
     counts: np.ndarray
     tokens: int  # N
     types: int  # V
-    tail: float  # unigram share of the class of all other words
+    tail: float  # unigram share of all other words
+    whole: bool  # other words are themselves in pairs, not a class
     discounts: np.ndarray  # d(r) for r up to TRUSTED, 1 beyond
-    context: np.ndarray  # c(v) by number; the class is number K, the start K + 1
+    context: np.ndarray  # c(v) by number; other words are number K, the start K + 1
     alpha: np.ndarray
     hot: np.ndarray  # sorted mixed keys of hot pairs
     hot_counts: np.ndarray
@@ -160,9 +197,12 @@ class Arrays:
         """Log of the lower-level probability of each number of the pair model."""
         return np.append(self.unigram(self.counts), np.log10(self.tail))
 
-    def seen(self, contexts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        discount = self.discounts[np.minimum(counts, TRUSTED + 1)]
-        return np.log10(discount * counts / self.context[contexts])
+    def kept(self, counts: np.ndarray) -> np.ndarray:
+        return self.discounts[np.minimum(counts, TRUSTED + 1)] * counts
+
+    def gain(self, contexts: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What seen pairs of numbers add to log alpha(v) + log P(w)."""
+        return np.log10(self.kept(counts) / self.context[contexts] / self.alpha[contexts]) - self.low()[numbers]
 
 
 def numbered(tokens: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,20 +220,37 @@ def pair_keys(context: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
     return (context * (k + 2) + number).astype(np.uint32) * SPREAD
 
 
-def count_table(texts: DataFrame, bits: int, words=None) -> DataFrame:
-    """(part, keys, counts, n): the partitioned table of words, or of pairs of the numbers of ``words``."""
-    width = 64 if words is None else 32
+def rare_pairs(tokens: np.ndarray, sizes: np.ndarray, number: np.ndarray, context: np.ndarray, k: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which tokens?, v, w): the pairs with a rare word, coded; none where rare words are a class."""
+    apart = (number == k) | (context == k) if whole else np.zeros(len(tokens), bool)
+    at = np.flatnonzero(apart)
+    coded = lambda number, tokens: np.where(number == k, tokens, (number + CODED).astype(np.uint64))
+    return apart, coded(context[at], tokens[np.maximum(at - 1, 0)]), coded(number[at], tokens[at])
+
+
+def frequent(codes: np.ndarray) -> np.ndarray:
+    return (codes >= CODED) & (codes < 2 * CODED)
+
+
+def rare_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(v * BASE + w)
+
+
+def home(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The word with which a pair with a rare word lies."""
+    return np.where(frequent(v), w, v)
+
+
+def count_words(texts: DataFrame, bits: int) -> DataFrame:
+    """(part, keys, counts, n): the partitioned table of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit():
             key, n = merged(keys, counts)
-            return rows_of([(part, 0, 0, key[i:j].tobytes(), n[i:j].tobytes()) for part, i, j in sliced(key, bits, width)])
+            return rows_of([(part, 0, WORDS_TABLE, key[i:j].tobytes(), n[i:j].tobytes()) for part, i, j in sliced(key, bits, 64)])
 
         keys, counts, held = [], [], 0
-        for _, tokens, sizes in token_blocks(batches):
-            if words is not None:
-                _, number, context = numbered(tokens, sizes, words.value)
-                tokens = pair_keys(context, number, len(words.value))
+        for _, tokens, _ in token_blocks(batches):
             key, n = np.unique(tokens, return_counts=True)
             keys.append(key)
             counts.append(n.astype(np.int64))
@@ -204,36 +261,103 @@ def count_table(texts: DataFrame, bits: int, words=None) -> DataFrame:
         if keys:
             yield emit()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = np.uint64 if width == 64 else np.uint32
+    counted = texts.mapInArrow(count, BLOB).select("part", "kind", "a", "b", "c")
+    merged_rows = counted.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(merge_tables, TABLE)
+    return settled(merged_rows.select("part", F.col("a").alias("keys"), F.col("b").alias("counts"), "n"))
+
+
+def count_pairs(texts: DataFrame, bits: int, words, table: DataFrame, whole: bool) -> DataFrame:
+    """(part, kind, a, b, c, d, n): the partitioned tables of pairs.  Of frequent words: keys, counts; with a
+    rare word: v, w, counts, and the count of the word each lies with."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit():
             key, n = merged(keys, counts)
-            return pa.RecordBatch.from_pydict({"part": pa.array([now], pa.int32()), "keys": pa.array([key.tobytes()], pa.binary()), "counts": pa.array([n.astype(np.uint32).tobytes() if n.max() < 1 << 32 else n.tobytes()], pa.binary()), "n": pa.array([len(key)], pa.int64())})
-
-        now, keys, counts, held = None, [], [], 0
-        for batch in batches:
-            for part, a, b in zip(batch.column(0).to_pylist(), values(batch.column(1), 16), values(batch.column(2), 16), strict=True):
-                if part != now:
-                    if keys:
-                        yield emit()
-                    now, keys, counts, held = part, [], [], 0
-                keys.append(np.frombuffer(a, dtype))
-                counts.append(np.frombuffer(b, np.int64))
-                held += len(keys[-1])
-                if len(keys) > 1 and held > 2 * len(keys[0]) + MERGED:
-                    key, n = merged(keys, counts)
-                    keys, counts, held = [key], [n], len(key)
+            out = [(part, 0, PAIRS_TABLE, key[i:j].tobytes(), n[i:j].tobytes()) for part, i, j in sliced(key, bits, 32)]
+            if rare:
+                _, n, v, w = merged(*zip(*rare, strict=True))
+                own = home(v, w)
+                order = np.argsort(own)
+                v, w, n, own = v[order], w[order], n[order], own[order]
+                out += [(part, 0, RARE_TABLE, planes(v[i:j]), planes(w[i:j]), planes(n[i:j])) for part, i, j in sliced(own, bits, 64)]
+            return rows_of(out)
+
+        k = len(words.value)
+        keys, counts, rare, held = [], [], [], 0
+        for _, tokens, sizes in token_blocks(batches):
+            _, number, context = numbered(tokens, sizes, words.value)
+            apart, v, w = rare_pairs(tokens, sizes, number, context, k, whole)
+            key, n = np.unique(pair_keys(context[~apart], number[~apart], k), return_counts=True)
+            keys.append(key)
+            counts.append(n.astype(np.int64))
+            held += len(key)
+            if len(v):
+                key, first, n = np.unique(rare_keys(v, w), return_index=True, return_counts=True)
+                rare.append((key, n.astype(np.int64), v[first], w[first]))
+                held += 2 * len(key)
+            if held >= MERGED:
+                yield emit()
+                keys, counts, rare, held = [], [], [], 0
         if keys:
             yield emit()
 
-    counted = texts.mapInArrow(count, BLOB).select("part", "a", "b")
-    return materialize(counted.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "part int, keys binary, counts binary, n long"))
+    counted = texts.mapInArrow(count, BLOB).select("part", "kind", "a", "b", "c")
+    if whole:
+        held = table.select("part", F.lit(WORDS_TABLE).alias("kind"), F.col("keys").alias("a"), F.col("counts").alias("b"), F.lit(None).cast("binary").alias("c"))
+        counted = counted.unionByName(held)
+    merged_rows = counted.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(merge_tables, TABLE)
+    return settled(merged_rows.filter(F.col("kind") != WORDS_TABLE))
+
+
+def packed(counts: np.ndarray) -> bytes:
+    return (counts.astype(np.uint32) if counts.max() < 1 << 32 else counts).tobytes()
+
+
+def merge_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of each kind and partition from its sorted counts."""
+
+    def emit():
+        out = merged(*zip(*held, strict=True))
+        key, n = out[:2]
+        row = [key.tobytes(), packed(n), None, None]
+        if now[1] == RARE_TABLE:
+            v, w = out[2:]
+            own = home(v, w)
+            order = np.argsort(own, kind="stable")
+            v, w, n, own = v[order], w[order], n[order], own[order]
+            row = [planes(v), planes(w), packed(n), packed(words[1][find(words[0], own)[1]])]
+        elif now[1] == WORDS_TABLE:
+            words[:] = key, n
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((*now, *row, len(key)), kinds, strict=True)], names=["part", "kind", "a", "b", "c", "d", "n"])
+
+    now, held, size, words = None, [], 0, [None, None]
+    for batch in batches:
+        for part, kind, *blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(values(batch.column(i), 16) for i in (2, 3, 4)), strict=True):
+            if (part, kind) != now:
+                if held:
+                    yield emit()
+                now, held, size = (part, kind), [], 0
+            if kind == RARE_TABLE:
+                v, w = unplaned(blobs[0]), unplaned(blobs[1])
+                held.append((rare_keys(v, w), unplaned(blobs[2], np.int64), v, w))
+            else:
+                held.append(unpack(blobs[0], blobs[1], np.uint64 if kind == WORDS_TABLE else np.uint32))
+            size += len(held[-1][0])
+            if len(held) > 1 and size > 2 * len(held[0][0]) + MERGED:
+                held = [merged(*zip(*held, strict=True))]
+                size = len(held[0][0])
+    if held:
+        yield emit()
 
 
 def unpack(keys: bytes, counts: bytes, dtype) -> tuple[np.ndarray, np.ndarray]:
     key = np.frombuffer(keys, dtype)
-    return key, np.frombuffer(counts, np.uint32 if len(counts) == 4 * len(key) else np.int64).astype(np.int64)
+    return key, counts_of(counts, len(key))
+
+
+def counts_of(counts: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(counts, np.uint32 if len(counts) == 4 * size else np.int64).astype(np.int64)
 
 
 def coarse(counts: np.ndarray) -> np.ndarray:
@@ -242,17 +366,17 @@ def coarse(counts: np.ndarray) -> np.ndarray:
     return counts // unit * unit
 
 
-def histogram(table: DataFrame, dtype) -> list[tuple[int, int, int]]:
-    """(count, entries, sum): ascending."""
+def histogram(table: DataFrame) -> list[tuple[int, int, int]]:
+    """(count, entries, sum): ascending, of the rows (counts, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, counts in zip(values(batch.column(0), 1), values(batch.column(1), 1), strict=True):
-                n = unpack(keys, counts, dtype)[1]
+            for counts, size in zip(values(batch.column(0), 1), batch.column(1).to_pylist(), strict=True):
+                n = counts_of(counts, size)
                 step, at, entries = np.unique(coarse(n), return_inverse=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(entries), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["step", "entries", "total"])
 
-    rows = table.select("keys", "counts").mapInArrow(run, "step long, entries long, total long").groupBy("step").agg(F.sum("entries").alias("entries"), F.sum("total").alias("total"))
+    rows = table.select("counts", "n").mapInArrow(run, "step long, entries long, total long").groupBy("step").agg(F.sum("entries").alias("entries"), F.sum("total").alias("total"))
     return sorted((r.step, r.entries, r.total) for r in rows.collect())
 
 
@@ -291,22 +415,59 @@ def katz_discounts(seen: dict[int, int]) -> np.ndarray:
     return out
 
 
-def context_sums(pairs: DataFrame, words, low, discounts: np.ndarray) -> list:
-    """(v, c, kept, covered): of each context the count, the discounted count, the lower level's share of
-    the words seen after it.  At most VOCABULARY + 2 rows."""
+def context_sums(pairs: DataFrame, sent) -> list:
+    """(v, c, kept, covered): of each frequent context the count, the discounted count, the lower level's share
+    of the words seen after it.  At most MOST_HOT + 2 rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k, share = len(words.value), 10.0**low.value
+        arrays = sent.value
+        k, share = arrays.k, 10.0 ** arrays.low()
         for batch in batches:
-            for keys, counts in zip(values(batch.column(0), 1), values(batch.column(1), 1), strict=True):
-                key, n = unpack(keys, counts, np.uint32)
-                plain = (key * UNSPREAD).astype(np.int64)
-                v, w = plain // (k + 2), plain % (k + 2)
-                sums = [np.bincount(v, weights=x, minlength=k + 2) for x in (n, n * discounts[np.minimum(n, TRUSTED + 1)], share[w])]
+            for kind, size, a, b, c, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(values(batch.column(i), 1) for i in (2, 3, 4, 5)), strict=True):
+                if kind == PAIRS_TABLE:
+                    key, n = unpack(a, b, np.uint32)
+                    plain = (key * UNSPREAD).astype(np.int64)
+                    v, low = plain // (k + 2), share[plain % (k + 2)]
+                else:  # after a frequent context the rare word is the second
+                    v = unplaned(a)
+                    some = frequent(v)
+                    v, n = v[some].astype(np.int64) - CODED, counts_of(c, size)[some]
+                    low = 10.0 ** arrays.unigram(counts_of(d, size)[some])
+                sums = [np.bincount(v, weights=x, minlength=k + 2) for x in (n, arrays.kept(n), low)]
                 some = np.flatnonzero(sums[0])
                 yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(s[some]) for s in sums)], names=["v", "c", "kept", "covered"])
 
-    return pairs.select("keys", "counts").mapInArrow(run, "v long, c double, kept double, covered double").groupBy("v").agg(*(F.sum(x).alias(x) for x in ("c", "kept", "covered"))).collect()
+    return pairs.select("kind", "n", "a", "b", "c", "d").mapInArrow(run, "v long, c double, kept double, covered double").groupBy("v").agg(*(F.sum(x).alias(x) for x in ("c", "kept", "covered"))).collect()
+
+
+def second_words(pairs: DataFrame, words: DataFrame, bits: int) -> DataFrame:
+    """(part, a, b): words and counts, for each partition the second words of its pairs of two rare words."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, a, b in zip(batch.column(0).to_pylist(), values(batch.column(1), 1), values(batch.column(2), 1), strict=True):
+                v, w = unplaned(a), unplaned(b)
+                w = np.unique(w[~frequent(v) & ~frequent(w)])
+                yield rows_of([(at, part, KNOWN, w[i:j].tobytes(), None) for at, i, j in sliced(w, bits, 64)] or [(0, part, KNOWN, b"", None)])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = table = None
+        for batch in batches:
+            for part, block, kind, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), values(batch.column(3), 16), values(batch.column(4), 16), strict=True):
+                if kind == WORDS_TABLE:
+                    now, table = part, unpack(a, b, np.uint64)
+                elif a and now == part:
+                    w = np.frombuffer(a, np.uint64)
+                    yield rows_of([(block, 0, KNOWN, a, packed(table[1][find(table[0], w)[1]]))])
+
+    asked = pairs.filter(F.col("kind") == RARE_TABLE).select("part", "a", "b").mapInArrow(ask, BLOB).select("part", "block", "kind", "a", "b")
+    held = words.select("part", F.lit(-1).cast("long").alias("block"), F.lit(WORDS_TABLE).alias("kind"), F.col("keys").alias("a"), F.col("counts").alias("b"))
+    return settled(held.unionByName(asked).repartition("part").sortWithinPartitions("part", "block").mapInArrow(tell, BLOB).select("part", "a", "b"))
+
+
+def alphas(c, kept, covered):
+    """What is left to unseen words over their lower level's share."""
+    return np.maximum(1 - kept / c, 1e-12) / np.maximum(1 - covered, 1e-12)
 
 
 @dataclass
@@ -314,35 +475,41 @@ class KatzModel:
     arrays: Arrays
     words: DataFrame
     pairs: DataFrame
+    known: DataFrame | None
     bits: int
 
 
 def partition_bits(df: DataFrame) -> int:
-    return max(2, (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3).bit_length() - 1)
+    """Bits of a word's or pair's hash that name its part: some parts to a shuffle partition, as a task holds one at a time."""
+    return max(2, (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3).bit_length() - 1)
 
 
-def train(texts: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, hot_pairs: int = HOT_PAIRS) -> KatzModel:
-    """Count all texts of a frame and fit the model."""
+def train(texts: DataFrame, text: str = "text", vocabulary: int | None = None, hot_pairs: int = HOT_PAIRS, hot_words: int = HOT_WORDS) -> KatzModel:
+    """Count all texts of a frame and fit the model, of all words unless a ``vocabulary`` is given."""
+    if max(vocabulary or 0, hot_words) > MOST_HOT:
+        raise ValueError(f"at most {MOST_HOT} words can be numbered; without a vocabulary, all words are in pairs")
     spark = texts.sparkSession
     bound_batches(spark)
-    bits = partition_bits(texts)
+    bits, whole = partition_bits(texts), vocabulary is None
     read = texts.select(F.lit(0).cast("long").alias("id"), text_bytes(text).alias("text"))
-    words = count_table(read, bits)
-    steps = histogram(words, np.uint64)
+    words = count_words(read, bits)
+    steps = histogram(words)
     tokens, types = sum(s[2] for s in steps), sum(s[1] for s in steps)
-    own, counts = most_frequent(words, np.uint64, steps, min(vocabulary, 65_000))
+    own, counts = most_frequent(words, np.uint64, steps, hot_words if whole else vocabulary)
     k = len(own)
     tail = float((tokens - counts.sum()) + (types - k) + 1) / (tokens + types + 1)
-    sent = spark.sparkContext.broadcast(own)
-    pairs = count_table(read, bits, sent)
-    steps = histogram(pairs, np.uint32)
-    discounts = katz_discounts({s: n for s, n, _ in steps})
-    arrays = Arrays(own, counts, tokens, types, tail, discounts, np.zeros(k + 2), np.ones(k + 2), *most_frequent(pairs, np.uint32, steps, hot_pairs))
-    for r in context_sums(pairs, sent, spark.sparkContext.broadcast(arrays.low()), discounts):
+    pairs = count_pairs(read, bits, spark.sparkContext.broadcast(own), words, whole)
+    near = pairs.filter(F.col("kind") == PAIRS_TABLE).select(F.col("a").alias("keys"), F.col("b").alias("counts"), "n")
+    rare = pairs.filter(F.col("kind") == RARE_TABLE).select(F.col("c").alias("counts"), "n")
+    steps = histogram(near)
+    seen: dict[int, int] = {}
+    for s, n, _ in [*steps, *(histogram(rare) if whole else [])]:
+        seen[s] = seen.get(s, 0) + n
+    arrays = Arrays(own, counts, tokens, types, tail, whole, katz_discounts(seen), np.zeros(k + 2), np.ones(k + 2), *most_frequent(near, np.uint32, steps, hot_pairs))
+    for r in context_sums(pairs, spark.sparkContext.broadcast(arrays)):
         arrays.context[r.v] = r.c
-        left, open_share = 1 - r.kept / r.c, 1 - r.covered
-        arrays.alpha[r.v] = max(left, 1e-12) / max(open_share, 1e-12)
-    return KatzModel(arrays, words, pairs, bits)
+        arrays.alpha[r.v] = alphas(r.c, r.kept, r.covered)
+    return KatzModel(arrays, words, pairs, second_words(pairs, words, bits) if whole else None, bits)
 
 
 # -- scores --------------------------------------------------------------------------------------------
@@ -350,61 +517,98 @@ def train(texts: DataFrame, text: str = "text", vocabulary: int = VOCABULARY, ho
 
 def asked(batches: Iterator[pa.RecordBatch], arrays: Arrays, bits: int) -> Iterator[pa.RecordBatch]:
     """What is known on the spot, and questions to the tables' partitions."""
-    low, number_of_block = arrays.low(), (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0
+    low, log_alpha, number_of_block = arrays.low(), np.log10(arrays.alpha), (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0
     for ids, tokens, sizes in token_blocks(batches):
         known, number, context = numbered(tokens, sizes, arrays.words)
         text = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
         base = np.where(known, np.append(low[:-1], 0)[number], 0.0)
+        apart, v, w = rare_pairs(tokens, sizes, number, context, arrays.k, arrays.whole)
         key = pair_keys(context, number, arrays.k)
         hot, at = find(arrays.hot, key)
-        score = np.zeros(len(tokens))
-        score[hot] = arrays.seen(context[hot], arrays.hot_counts[at[hot]])
+        hot &= ~apart
+        score = base + log_alpha[context]  # of rare contexts 0: it comes with the answer about the word
+        score[hot] += arrays.gain(context[hot], number[hot], arrays.hot_counts[at[hot]])
         total = lambda x, text=text, n=len(sizes): np.bincount(text, weights=x, minlength=n)
         facts = np.stack([sizes.astype(float), total(known), total(base), total(score)])
         void = np.array([i is None for i in ids])
         plain = np.array([0 if i is None else i for i in ids], np.int64)
         rows = [(number_of_block % (1 << bits), number_of_block, TEXTS, plain.tobytes(), void.tobytes(), facts.tobytes())]
-        for kind, keys, some, width in ((WORDS_ASKED, tokens[~known], text[~known], 64), (PAIRS_ASKED, key[~hot], text[~hot], 32)):
-            order = np.argsort(keys, kind="stable")
+        near = ~hot & ~apart
+        for kind, keys, some, part in (
+            (WORDS_ASKED, tokens[~known], text[~known], part_of(tokens[~known], bits)),
+            (PAIRS_ASKED, key[near], text[near], part_of(key[near], bits, 32)),
+            (RARE_ASKED, rare_keys(v, w), text[apart], part_of(home(v, w), bits)),
+        ):
+            order = np.lexsort((keys, part)) if kind == RARE_ASKED else np.argsort(keys, kind="stable")
             keys, some = keys[order], some[order]
-            rows += [(part, number_of_block, kind, keys[i:j].tobytes(), some[i:j].tobytes()) for part, i, j in sliced(keys, bits, width)]
+            rows += [(at, number_of_block, kind, planes(keys[i:j]), planes(some[i:j])) for at, i, j in cuts_of(part[order], bits)]
         yield rows_of(rows)
         number_of_block += 1
 
 
+def fitted(v: np.ndarray, w: np.ndarray, n: np.ndarray, own: np.ndarray, known: tuple[np.ndarray, np.ndarray], arrays: Arrays) -> tuple:
+    """((keys, gains), (contexts, log alphas)) of a partition's pairs with a rare word."""
+    after, plain = frequent(v), frequent(w)
+    count = own.copy()  # c(w): of the word the pair lies with, of a frequent word, or fetched
+    count[plain] = arrays.counts[w[plain].astype(np.int64) - CODED]
+    both = ~after & ~plain
+    count[both] = known[1][find(known[0], w[both])[1]]
+    low, kept = arrays.unigram(count), arrays.kept(n)
+    rare = np.flatnonzero(~after)
+    contexts, first, at = np.unique(v[rare], return_index=True, return_inverse=True)
+    c = own[rare][first]
+    alpha = alphas(c, *(np.bincount(at, weights=x[rare], minlength=len(contexts)) for x in (kept, 10.0**low)))
+    below = np.empty(len(v))
+    below[rare] = (c * alpha)[at]
+    some = v[after].astype(np.int64) - CODED
+    below[after] = arrays.context[some] * arrays.alpha[some]
+    keys = rare_keys(v, w)
+    order = np.argsort(keys)
+    return (keys[order], (np.log10(kept / below) - low)[order]), (contexts, np.log10(alpha))
+
+
 def answered(batches: Iterator[pa.RecordBatch], arrays: Arrays) -> Iterator[pa.RecordBatch]:
     """Partial sums for each text and partition; tables come before the questions of their partition."""
-    low, tail, k = arrays.low(), np.log10(arrays.tail), arrays.k
-    log_alpha = np.log10(arrays.alpha)
-    empty = {WORDS_TABLE: (np.zeros(0, np.uint64), np.zeros(0, np.int64)), PAIRS_TABLE: (np.zeros(0, np.uint32), np.zeros(0, np.int64))}
-    now, tables = None, dict(empty)
+    k, none = arrays.k, np.zeros(0)
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    empty = {WORDS_TABLE: nothing, PAIRS_TABLE: (np.zeros(0, np.uint32), nothing[1]), RARE_TABLE: ((nothing[0], none), (nothing[0], none))}
+    now, tables, known = None, dict(empty), []
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(3)]
-        for part, block, kind, a, b, c in zip(*columns, *(values(batch.column(i), 8) for i in (3, 4, 5)), strict=True):
+        for part, block, kind, a, b, c, d in zip(*columns, *(values(batch.column(i), 8) for i in (3, 4, 5, 6)), strict=True):
             if part != now:
-                now, tables = part, dict(empty)
+                now, tables, known = part, dict(empty), []
             if kind == TEXTS:
                 yield rows_of([(0, block, TEXTS, a, b, c)])
-            elif kind in empty:
+            elif kind in (WORDS_TABLE, PAIRS_TABLE):
                 tables[kind] = unpack(a, b, empty[kind][0].dtype)
+            elif kind == KNOWN:
+                known.append(unpack(a, b, np.uint64))
+            elif kind == RARE_TABLE:
+                v = unplaned(a)
+                tables[kind] = fitted(v, unplaned(b), counts_of(c, len(v)), counts_of(d, len(v)), merged(*zip(*known, strict=True)) if known else nothing, arrays)
             else:
-                keys = np.frombuffer(a, empty[kind - 2][0].dtype)
-                table, counts = tables[kind - 2]
-                found, at = find(table, keys)
+                keys = unplaned(a, np.uint32 if kind == PAIRS_ASKED else np.uint64)
                 if kind == WORDS_ASKED:
+                    table, counts = tables[WORDS_TABLE]
+                    found, at = find(table, keys)
                     base = arrays.unigram(np.where(found, counts[at] if len(counts) else 0, 0))
-                    parts = found.astype(float), base, base - tail
+                    contexts, log_alpha = tables[RARE_TABLE][1]
+                    follows, at = find(contexts, keys)
+                    parts = found.astype(float), base, base + np.where(follows, log_alpha[at] if len(contexts) else 0, 0)
+                elif kind == PAIRS_ASKED:
+                    table, counts = tables[PAIRS_TABLE]
+                    found, at = find(table, keys)
+                    plain = (keys[found] * UNSPREAD).astype(np.int64)
+                    score = np.zeros(len(keys))
+                    score[found] = arrays.gain(plain // (k + 2), plain % (k + 2), counts[at[found]])
+                    parts = (score,)
                 else:
-                    plain = (keys * UNSPREAD).astype(np.int64)
-                    v, w = plain // (k + 2), plain % (k + 2)
-                    score = log_alpha[v] + low[w]
-                    score[found] = arrays.seen(v[found], counts[at[found]])
-                    parts = np.zeros(len(keys)), np.zeros(len(keys)), score
-                text = np.frombuffer(b, np.uint32)
-                some, place = np.unique(text, return_inverse=True)
+                    table, gains = tables[RARE_TABLE][0]
+                    found, at = find(table, keys)
+                    parts = (np.where(found, gains[at] if len(gains) else 0, 0),)
+                some, place = np.unique(unplaned(b, np.uint32), return_inverse=True)
                 sums = [np.bincount(place, weights=p) for p in parts]
-                if kind == PAIRS_ASKED:
-                    sums = sums[2:]
                 yield rows_of([(0, block, kind, some.astype(np.uint32).tobytes(), None, np.stack(sums).tobytes())])
 
 
@@ -426,7 +630,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             some = np.frombuffer(a, np.uint32)
             sums = np.frombuffer(c, float).reshape(-1, len(some))
-            for row, part in zip((3,) if kind == PAIRS_ASKED else (1, 2, 3), sums, strict=True):
+            for row, part in zip((1, 2, 3) if kind == WORDS_ASKED else (3,), sums, strict=True):
                 facts[row, some] += part
     if now is not None:
         yield emit()
@@ -440,9 +644,15 @@ def score(texts: DataFrame, model: KatzModel, id_column: str = "doc_id", text: s
     sent, bits = spark.sparkContext.broadcast(model.arrays), model.bits
     read = texts.select(F.col(id_column).cast("long"), text_bytes(text))
     questions = read.mapInArrow(lambda batches: asked(batches, sent.value, bits), BLOB)
-    held = [t.select("part", F.lit(-1).cast("long").alias("block"), F.lit(kind).alias("kind"), F.col("keys").alias("a"), F.col("counts").alias("b"), F.lit(None).cast("binary").alias("c"), F.lit(None).cast("binary").alias("d")) for kind, t in ((WORDS_TABLE, model.words), (PAIRS_TABLE, model.pairs))]
-    dealt = held[0].unionByName(held[1]).unionByName(questions).repartition("part").sortWithinPartitions("part", "block", "kind")
-    sums = dealt.select("part", "block", "kind", "a", "b", "c").mapInArrow(lambda batches: answered(batches, sent.value), BLOB)
+    void = F.lit(None).cast("binary")
+    held = [model.words.select("part", F.lit(-1).cast("long").alias("block"), F.lit(WORDS_TABLE).alias("kind"), F.col("keys").alias("a"), F.col("counts").alias("b"), void.alias("c"), void.alias("d"))]
+    held.append(model.pairs.select("part", F.lit(-1).cast("long").alias("block"), "kind", "a", "b", "c", "d"))
+    if model.known is not None:
+        held.append(model.known.select("part", F.lit(-1).cast("long").alias("block"), F.lit(KNOWN).alias("kind"), "a", "b", void.alias("c"), void.alias("d")))
+    for t in held:
+        questions = questions.unionByName(t)
+    dealt = questions.repartition("part").sortWithinPartitions("part", "block", "kind")
+    sums = dealt.mapInArrow(lambda batches: answered(batches, sent.value), BLOB)
     back = sums.select("block", "kind", "a", "b", "c").repartition("block").sortWithinPartitions("block", F.desc("kind"))
     rows = back.mapInArrow(gathered, "id long, n_tokens long, n_known long, base_score double, score double")
     return rows.select(F.col("id").alias(id_column), "n_tokens", "n_known", F.lit(model.arrays.tokens).cast("long").alias("train_tokens"), "base_score", "score")

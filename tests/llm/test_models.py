@@ -71,6 +71,42 @@ def test_katz(docs, vocabulary, hot):
         assert own[0].n_known == sum(c[w] > 0 for w in t) and own[0].train_tokens == n
 
 
+@pytest.mark.parametrize("cache", [{}, {"hot_words": 40, "hot_pairs": 10}, {"hot_words": 0, "hot_pairs": 0}])
+def test_katz_counts_pairs_of_all_words(spark, docs, cache):
+    """More words than keys of 32 bits can number, none of them a class, whatever the cache holds."""
+    many = [(1000 + i, " ".join(f"w{(i * 700 + j) % (997 if j % 3 == 0 else 10**9)}" for j in range(700)), "en", "s", 0) for i in range(200)]
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    every = own.unionByName(spark.createDataFrame(many, own.schema)).repartition(3).cache()
+    taught = every.filter("doc_id is null or doc_id % 7 <> 2")
+    model = katz.train(taught, **cache)
+    texts = [tokens(r.text) for r in taught.collect()]
+    c = Counter(w for t in texts for w in t)
+    n, v = sum(c.values()), len(c)
+    assert v > katz.MOST_HOT
+    pairs = Counter(p for t in texts for p in zip(["\0start", *t], t))
+    d = katz.katz_discounts(dict(Counter(pairs.values())))
+    base = lambda w: (c[w] + 1) / (n + v + 1)
+    total, kept, covered = Counter(), Counter(), Counter()
+    for (a, b), k in pairs.items():
+        total[a] += k
+        kept[a] += k * d[min(k, katz.TRUSTED + 1)]
+        covered[a] += base(b)
+
+    def probability(a, b):
+        k = pairs.get((a, b), 0)
+        if k:
+            return d[min(k, katz.TRUSTED + 1)] * k / total[a]
+        return (max(1 - kept[a] / total[a], 1e-12) / (1 - covered[a]) if total[a] else 1.0) * base(b)
+
+    got = {}
+    for r in katz.score(every, model).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for r in every.collect():
+        t = tokens(r.text)
+        score = sum(math.log10(probability(a, b)) for a, b in zip(["\0start", *t], t))
+        assert any(x.n_tokens == len(t) and abs(x.score - score) < 1e-6 * max(1, abs(score)) for x in got[r.doc_id]), (r.doc_id, score, got[r.doc_id])
+
+
 def test_katz_empty(nothing, docs):
     model = katz.train(nothing)
     assert katz.score(nothing, model).count() == 0
