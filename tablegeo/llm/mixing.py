@@ -25,8 +25,38 @@ def uniform(key: Column, seed: int, salt: str = "") -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k from 0 to far in the tail, as an array; one is made for each source, not each row."""
+#: Largest mean whose distribution is built up from P(0), which is still a normal number there.
+SMALL = 700.0
+
+
+def running(first: Column, ks: Column, factor) -> Column:
+    """The array of the products of ``first`` and factor(k) over ks, without ``first``."""
+    zero = F.struct(first.alias("p"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc: Column, k: Column) -> Column:
+        p = acc["p"] * factor(k)
+        return F.struct(p.alias("p"), F.concat(acc["out"], F.array(p)).alias("out"))
+
+    return F.aggregate(ks, zero, step, lambda acc: acc["out"])
+
+
+def large_cdf(rate: Column) -> Column:
+    """P(X <= k) from weights relative to the mode's, normalised by their sum; 0 further below than 12 deviations."""
+    mode, spread = F.floor(rate).cast("int"), F.ceil(12 * F.sqrt(rate) + 30).cast("int")
+    below = running(F.lit(1.0), F.sequence(mode, mode - spread + 1, F.lit(-1)), lambda k: k / rate)
+    above = running(F.lit(1.0), F.sequence(mode + 1, mode + spread), lambda k: rate / k)
+    weights = F.concat(F.reverse(below), F.array(F.lit(1.0)), above)
+    zero = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        return F.struct((acc["sum"] + p).alias("sum"), F.concat(acc["out"], F.array(acc["sum"] + p)).alias("out"))
+
+    scaled = F.aggregate(weights, zero, step, lambda acc: F.transform(acc["out"], lambda c: c / acc["sum"]))
+    return F.concat(F.array_repeat(F.lit(0.0), mode - spread), scaled)
+
+
+def small_cdf(rate: Column) -> Column:
+    """P(X <= k) by adding up from P(0)."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
     zero = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("out"))
 
@@ -37,6 +67,11 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), zero, step, lambda acc: acc["out"])
 
 
+def poisson_cdf(rate: Column) -> Column:
+    """P(X <= k) for k from 0 to far in the tail, as an array; one is made for each source, not each row."""
+    return F.when(rate > SMALL, large_cdf(F.greatest(rate, F.lit(SMALL)))).otherwise(small_cdf(F.least(rate, F.lit(SMALL))))
+
+
 def source_rates(df: DataFrame, source: str, weights: dict | None = None, total: int | None = None, default: float = 1.0) -> DataFrame:
     """(_source, rate): mean copies of a row of each source."""
     counts = df.groupBy(F.col(source).alias("_source")).agg(F.count(F.lit(1)).alias("n"))

@@ -66,6 +66,16 @@ def test_poisson(spark):
     assert abs(np.mean(n) - 3) < 0.15 and abs(np.var(n) - 3) < 0.3
 
 
+def test_poisson_of_large_means(spark):
+    for mean in (699.5, 744.0, 746.0, 1000.0, 6000.25):
+        cdf = spark.createDataFrame([(mean,)], "rate double").select(mixing.poisson_cdf(F.col("rate"))).first()[0]
+        p = [math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(len(cdf))]
+        assert np.abs(np.cumsum(p) - cdf).max() < 1e-9 and abs(cdf[-1] - 1) < 1e-9
+    data = spark.range(400).withColumnRenamed("id", "doc_id").withColumn("source", F.lit("s"))
+    n = [r["count"] for r in mixing.mix(data, total=440_000).groupBy("doc_id").count().collect()]
+    assert len(n) == 400 and abs(np.mean(n) - 1100) < 9 and abs(np.var(n) - 1100) < 400
+
+
 CHAT = [
     (1, 0, "user", "Hello there.\n\nHow does this work?"),
     (1, 1, "assistant", "> How does  THIS work?\nLike so."),
