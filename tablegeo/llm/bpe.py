@@ -26,14 +26,14 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablegeo.llm.common import text_bytes, values, worker_cache
+from tablegeo.llm.common import staged, text_bytes, values, worker_cache
 
 #: Pre-token pattern of byte-level BPE (fixed value of the published tokenizer).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers before it starts its cache anew; bounds memory, not results.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 #: Pairs of tokens whose compatibility a worker remembers.
-KNOWN_PAIRS = 150_000
+KNOWN_PAIRS = 100_000
 #: Longer pieces are not remembered.
 CACHE_LENGTH = 64
 
@@ -210,8 +210,9 @@ def encoded(text: str | Column, path: str) -> Column:
         for batch in batches:
             yield pa.array((encode_text(t.decode("utf-8", "replace"), path) for t in values(batch)), pa.binary(), size=len(batch))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "binary")(text_bytes(text))
+    task = staged("bpe", run)
+    task.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(task, "binary")(text_bytes(text))
 
 
 def decoded(ids: str | Column, path: str) -> Column:
@@ -221,8 +222,9 @@ def decoded(ids: str | Column, path: str) -> Column:
         for batch in batches:
             yield pa.array((decode_ids(x or b"", path) for x in values(batch)), pa.string(), size=len(batch))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "string")(F.col(ids) if isinstance(ids, str) else ids)
+    task = staged("bpe", run)
+    task.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(task, "string")(F.col(ids) if isinstance(ids, str) else ids)
 
 
 def round_trip(text: str | Column, path: str) -> Column:
@@ -238,8 +240,9 @@ def round_trip(text: str | Column, path: str) -> Column:
             parts = [pa.array([both(v) for v in values(batch.slice(i, 512))], kind) for i in range(0, len(batch), 512)]
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "struct<ids:binary,decoded:string>")(text_bytes(text))
+    task = staged("bpe", run)
+    task.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(task, "struct<ids:binary,decoded:string>")(text_bytes(text))
 
 
 def unpacked(ids: str | Column) -> Column:

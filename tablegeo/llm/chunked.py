@@ -10,7 +10,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tablegeo.llm.common import BASE, mix, powers, values
+from tablegeo.llm.common import BASE, mix, powers, staged, values
 
 #: Bytes of a chunk, and bytes hashed at once.
 CHUNK_BYTES, SEGMENT = 2 << 20, 1 << 17
@@ -103,12 +103,12 @@ def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def chunks(docs: DataFrame) -> DataFrame:
     """``docs`` (key, bytes) in chunks, dealt by chunk."""
-    return docs.mapInArrow(chunked, CHUNK).repartition("chunk")
+    return docs.mapInArrow(staged("chunks", chunked), CHUNK).repartition("chunk")
 
 
 def over_chunks(docs: DataFrame, run, schema: str) -> DataFrame:
     """What ``run`` makes of the chunks of ``docs`` where these are read, in the same Python worker."""
-    return docs.mapInArrow(lambda batches: run(chunked(batches)), schema)
+    return docs.mapInArrow(staged("chunks", lambda batches: run(chunked(batches))), schema)
 
 
 def blob_rows(rows: list[tuple]) -> pa.RecordBatch:

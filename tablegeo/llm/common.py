@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,13 +20,15 @@ MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, as in
-    tests on one machine, a temporary folder becomes the checkpoint folder."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).  Where it is unset, a temporary
+    folder becomes the checkpoint folder if all runs on one machine, as in tests; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tablegeo-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -61,15 +65,60 @@ def values(column: pa.Array, step: int = 256) -> Iterator:
         yield from column.slice(start, step).to_pylist()
 
 
+def hidden(name: str, *frames: DataFrame) -> str:
+    """A name for a helper column that none of the frames has (names differ by more than case)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 _WORKER: dict = {}
 
 
-def worker_cache(owner: str, key: tuple, make):
-    """What an operator remembers in a Python worker from task to task.  Workers serve one operator after
-    another, so the first use by another owner lets go of what the one before remembered."""
+def _return_memory() -> None:
+    """Give freed memory back to the system: an executor's workers and its JVM share one bound."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def serve(owner: str) -> None:
+    """A Python worker begins a task of ``owner``.  Workers serve one operator after another, so the first task
+    of another owner lets go of what the one before remembered."""
+    if not _WORKER.get("tuned"):
+        _WORKER["tuned"] = True
+        try:  # allocations of 1 MB and more go back to the system when they are freed (fixed: M_MMAP_THRESHOLD)
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)
+        except (AttributeError, OSError):
+            pass
     if _WORKER.get("owner") != owner:
         _WORKER.clear()
-        _WORKER["owner"] = owner
+        _WORKER.update(tuned=True, owner=owner)
+        _POWERS.update(up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
+        gc.collect()
+        _return_memory()
+
+
+def staged(owner: str, run):
+    """``run``, a function of Arrow batches, as a task of ``owner`` that returns its memory at its end."""
+
+    def task(batches: Iterator) -> Iterator:
+        serve(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _return_memory()
+
+    return task
+
+
+def worker_cache(owner: str, key: tuple, make):
+    """What an operator remembers in a Python worker from task to task."""
+    serve(owner)
     if key not in _WORKER:
         _WORKER[key] = make()
     return _WORKER[key]

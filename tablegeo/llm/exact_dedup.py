@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegeo.llm.common import materialize, mix, text_bytes, values
+from tablegeo.llm.common import materialize, mix, staged, text_bytes, values
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Digests of an index shard: its size in memory is about 60 bytes times this.
@@ -161,7 +161,7 @@ def digest_rows(df: DataFrame, id_column: str, text: str) -> DataFrame:
         if groups:
             yield emit(groups)
 
-    return df.select(F.col(id_column).cast("long"), text_bytes(text)).mapInArrow(run, ROWS)
+    return df.select(F.col(id_column).cast("long"), text_bytes(text)).mapInArrow(staged("digests", run), ROWS)
 
 
 def entries(rows: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def build_index(found: DataFrame, shards: int) -> DataFrame:
             yield emit()
 
     dealt = found.select(shard_of("digest", shards).alias("shard"), "digest", "length", "best", "n").repartition("shard").sortWithinPartitions("shard", "digest")
-    return dealt.mapInArrow(run, "shard int, payload binary")
+    return dealt.mapInArrow(staged("digests", run), "shard int, payload binary")
 
 
 def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
@@ -225,7 +225,7 @@ def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(yes), take(shard.ids if shard else [], void), take(shard.length if shard else []), take(shard.n if shard else [])], names=["digest", "members", "member", "keep_id", "keep_length", "group_size"])
                 at = end
 
-    return held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, FOUND)
+    return held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(staged("digests", run), FOUND)
 
 
 def resolve(df: DataFrame, id_column: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:

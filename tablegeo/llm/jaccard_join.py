@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegeo.llm.chunked import BLOB, LAST_ID, Chunk, blob_rows, chunks, large, over_chunks, slices, small
-from tablegeo.llm.common import BASE, bound_batches, materialize, mix, text_bytes, values
+from tablegeo.llm.common import BASE, bound_batches, materialize, mix, staged, text_bytes, values
 from tablegeo.llm.components import components
 from tablegeo.llm.katz import word_hashes
 
@@ -155,7 +155,7 @@ def count_sketch(docs: DataFrame, n: int, bits: int, elements: int) -> np.ndarra
                 sums[i] = sums.get(i, 0) + large(cells)
         yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": pa.array([(2 * np.log2(x / mean + 1)).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())})
 
-    rows = over_chunks(docs, count, "slice int, cells binary").repartition("slice").mapInArrow(add, "slice int, cells binary")
+    rows = over_chunks(docs, count, "slice int, cells binary").repartition("slice").mapInArrow(staged("jaccard", add), "slice int, cells binary")
     out = np.zeros(1 << bits, np.uint8)
     for r in rows.toLocalIterator():
         out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(bytes(r.cells), np.uint8)
@@ -221,7 +221,7 @@ def index_lists(docs: DataFrame, n: int, percent: int, classes, bits: int) -> Da
             yield from emit()
 
     sent = over_chunks(docs, send, BLOB).select("part", "chunk", "a", "b", "c", "d")
-    return materialize(sent.repartition("part").sortWithinPartitions("part").mapInArrow(merge, INDEX))
+    return materialize(sent.repartition("part").sortWithinPartitions("part").mapInArrow(staged("jaccard", merge), INDEX))
 
 
 def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -257,7 +257,7 @@ def leader_pairs(index: DataFrame, percent: int) -> DataFrame:
 
     # the head stands earliest: fewest rare elements of its own, so nearest to the others
     dealt = index.select("token", "node", "n", "pos").repartition("token").sortWithinPartitions("token", "pos", "n", "node")
-    met = dealt.mapInArrow(run, "a long, b long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"))
+    met = dealt.mapInArrow(staged("jaccard", run), "a long, b long, times long").groupBy("a", "b").agg(F.sum("times").alias("times"))
     return materialize(met.groupBy("a").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("low"))).alias("b")))
 
 
@@ -329,7 +329,7 @@ def cross_pairs(index: DataFrame, followers: DataFrame, nodes: DataFrame, percen
         if held:
             yield emit()
 
-    return materialize(dealt.mapInArrow(run, "x long, y long, a long, b long").distinct())
+    return materialize(dealt.mapInArrow(staged("jaccard", run), "x long, y long, a long, b long").distinct())
 
 
 # -- comparison ----------------------------------------------------------------------------------------
@@ -375,7 +375,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, percent: int, radius: DataFrame
         for name in ("a", "b"):
             both = both.join(radius.select(F.col("leader").alias(name), F.col("radius").alias(f"{name}_radius")), name, "left")
             slack = slack + F.coalesce(f"{name}_radius", F.lit(0.0))
-    return materialize(both.select("a", "b", "a_size", "a_outline", "b_size", "b_outline", slack.alias("slack")).mapInArrow(run, "a long, b long"))
+    return materialize(both.select("a", "b", "a_size", "a_outline", "b_size", "b_outline", slack.alias("slack")).mapInArrow(staged("jaccard", run), "a long, b long"))
 
 
 def compared(texts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
@@ -412,8 +412,8 @@ def compared(texts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "both", "a_size", "b_size"])
 
-    sets = texts.join(by_chunk, "chunk").select("chunk", "keys", "sizes", "packed", "asked").mapInArrow(send, "b long, place int, kind int, a long, elements binary")
-    checked = sets.repartition("b", "place").sortWithinPartitions("b", "place", "kind").mapInArrow(check, "a long, b long, both long, a_size long, b_size long")
+    sets = texts.join(by_chunk, "chunk").select("chunk", "keys", "sizes", "packed", "asked").mapInArrow(staged("jaccard", send), "b long, place int, kind int, a long, elements binary")
+    checked = sets.repartition("b", "place").sortWithinPartitions("b", "place", "kind").mapInArrow(staged("jaccard", check), "a long, b long, both long, a_size long, b_size long")
     return materialize(checked.withColumn("distance", 1 - F.col("both") / (F.col("a_size") + F.col("b_size") - F.col("both"))))
 
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegeo.llm.common import BASE, bound_batches, materialize, mix, prefix_sums, range_hashes, text_bytes, values
+from tablegeo.llm.common import BASE, bound_batches, materialize, mix, prefix_sums, range_hashes, staged, text_bytes, values
 
 #: Bounds of the broadcast arrays: words and pairs looked up without a shuffle.  Keys of 32 bits hold pairs of
 #: at most MOST_HOT words.
@@ -261,8 +261,8 @@ def count_words(texts: DataFrame, bits: int) -> DataFrame:
         if keys:
             yield emit()
 
-    counted = texts.mapInArrow(count, BLOB).select("part", "kind", "a", "b", "c")
-    merged_rows = counted.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(merge_tables, TABLE)
+    counted = texts.mapInArrow(staged("katz", count), BLOB).select("part", "kind", "a", "b", "c")
+    merged_rows = counted.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(staged("katz", merge_tables), TABLE)
     return settled(merged_rows.select("part", F.col("a").alias("keys"), F.col("b").alias("counts"), "n"))
 
 
@@ -301,11 +301,11 @@ def count_pairs(texts: DataFrame, bits: int, words, table: DataFrame, whole: boo
         if keys:
             yield emit()
 
-    counted = texts.mapInArrow(count, BLOB).select("part", "kind", "a", "b", "c")
+    counted = texts.mapInArrow(staged("katz", count), BLOB).select("part", "kind", "a", "b", "c")
     if whole:
         held = table.select("part", F.lit(WORDS_TABLE).alias("kind"), F.col("keys").alias("a"), F.col("counts").alias("b"), F.lit(None).cast("binary").alias("c"))
         counted = counted.unionByName(held)
-    merged_rows = counted.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(merge_tables, TABLE)
+    merged_rows = counted.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(staged("katz", merge_tables), TABLE)
     return settled(merged_rows.filter(F.col("kind") != WORDS_TABLE))
 
 
@@ -376,7 +376,7 @@ def histogram(table: DataFrame) -> list[tuple[int, int, int]]:
                 step, at, entries = np.unique(coarse(n), return_inverse=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(entries), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["step", "entries", "total"])
 
-    rows = table.select("counts", "n").mapInArrow(run, "step long, entries long, total long").groupBy("step").agg(F.sum("entries").alias("entries"), F.sum("total").alias("total"))
+    rows = table.select("counts", "n").mapInArrow(staged("katz", run), "step long, entries long, total long").groupBy("step").agg(F.sum("entries").alias("entries"), F.sum("total").alias("total"))
     return sorted((r.step, r.entries, r.total) for r in rows.collect())
 
 
@@ -395,7 +395,7 @@ def most_frequent(table: DataFrame, dtype, steps: list[tuple[int, int, int]], mo
                 big = n >= least
                 yield pa.RecordBatch.from_arrays([pa.array([key[big].tobytes()], pa.binary()), pa.array([n[big].tobytes()], pa.binary())], names=["keys", "counts"])
 
-    found = table.select("keys", "counts").mapInArrow(run, "keys binary, counts binary").filter(F.octet_length("keys") > 0).collect()
+    found = table.select("keys", "counts").mapInArrow(staged("katz", run), "keys binary, counts binary").filter(F.octet_length("keys") > 0).collect()
     if not found:
         return np.zeros(0, dtype), np.zeros(0, np.int64)
     return merged([np.frombuffer(bytes(r[0]), dtype) for r in found], [np.frombuffer(bytes(r[1]), np.int64) for r in found])
@@ -437,7 +437,7 @@ def context_sums(pairs: DataFrame, sent) -> list:
                 some = np.flatnonzero(sums[0])
                 yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(s[some]) for s in sums)], names=["v", "c", "kept", "covered"])
 
-    return pairs.select("kind", "n", "a", "b", "c", "d").mapInArrow(run, "v long, c double, kept double, covered double").groupBy("v").agg(*(F.sum(x).alias(x) for x in ("c", "kept", "covered"))).collect()
+    return pairs.select("kind", "n", "a", "b", "c", "d").mapInArrow(staged("katz", run), "v long, c double, kept double, covered double").groupBy("v").agg(*(F.sum(x).alias(x) for x in ("c", "kept", "covered"))).collect()
 
 
 def second_words(pairs: DataFrame, words: DataFrame, bits: int) -> DataFrame:
@@ -460,9 +460,9 @@ def second_words(pairs: DataFrame, words: DataFrame, bits: int) -> DataFrame:
                     w = np.frombuffer(a, np.uint64)
                     yield rows_of([(block, 0, KNOWN, a, packed(table[1][find(table[0], w)[1]]))])
 
-    asked = pairs.filter(F.col("kind") == RARE_TABLE).select("part", "a", "b").mapInArrow(ask, BLOB).select("part", "block", "kind", "a", "b")
+    asked = pairs.filter(F.col("kind") == RARE_TABLE).select("part", "a", "b").mapInArrow(staged("katz", ask), BLOB).select("part", "block", "kind", "a", "b")
     held = words.select("part", F.lit(-1).cast("long").alias("block"), F.lit(WORDS_TABLE).alias("kind"), F.col("keys").alias("a"), F.col("counts").alias("b"))
-    return settled(held.unionByName(asked).repartition("part").sortWithinPartitions("part", "block").mapInArrow(tell, BLOB).select("part", "a", "b"))
+    return settled(held.unionByName(asked).repartition("part").sortWithinPartitions("part", "block").mapInArrow(staged("katz", tell), BLOB).select("part", "a", "b"))
 
 
 def alphas(c, kept, covered):
@@ -654,5 +654,5 @@ def score(texts: DataFrame, model: KatzModel, id_column: str = "doc_id", text: s
     dealt = questions.repartition("part").sortWithinPartitions("part", "block", "kind")
     sums = dealt.mapInArrow(lambda batches: answered(batches, sent.value), BLOB)
     back = sums.select("block", "kind", "a", "b", "c").repartition("block").sortWithinPartitions("block", F.desc("kind"))
-    rows = back.mapInArrow(gathered, "id long, n_tokens long, n_known long, base_score double, score double")
+    rows = back.mapInArrow(staged("katz", gathered), "id long, n_tokens long, n_known long, base_score double, score double")
     return rows.select(F.col("id").alias(id_column), "n_tokens", "n_known", F.lit(model.arrays.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegeo.llm.common import bound_batches, materialize, text_bytes, values
+from tablegeo.llm.common import bound_batches, materialize, staged, text_bytes, values
 
 MARK = re.compile(r"\s{0,3}((?:>\s?)+)")
 INTRODUCTION = re.compile(r"(?i)\s*(?:on\b.{0,200}|.{1,100})\b(?:wrote|writes|said)\s*:\s*")
@@ -81,7 +81,7 @@ def parsed(df: DataFrame, conversation: str, turn: str, role: str, text: str) ->
             got = [parse(v.decode("utf-8", "replace")) for v in values(batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([g[0] for g in got], pa.string()), pa.array([[{"level": a, "hash": b, "text": c} for a, b, c in g[1]] for g in got], kind), pa.array([sorted(units(g[0])) for g in got], pa.list_(pa.binary()))], names=["conv", "turn", "role", "own", "passages", "units"])
 
-    return df.select(F.col(conversation).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), text_bytes(text)).mapInArrow(run, PARSED)
+    return df.select(F.col(conversation).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), text_bytes(text)).mapInArrow(staged("quotes", run), PARSED)
 
 
 def paths(edges: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegeo.llm.chunked import BLOB, LAST_ID, SEGMENT, Chunk, Sums, blob_rows, chunks, large, slices, small
-from tablegeo.llm.common import bound_batches, text_bytes
+from tablegeo.llm.common import bound_batches, staged, text_bytes
 
 DEPTH, GRAM = 100, 32
 #: Kinds of what is sent: entries to compare, positions to look at next, and runs that are settled.
@@ -140,7 +140,7 @@ def reduced(sent: DataFrame, settle) -> DataFrame:
         if held:
             yield blob_rows(settle(held))
 
-    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(run, BLOB).select("chunk", "kind", "a", "b", "c", "d")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(staged("suffixes", run), BLOB).select("chunk", "kind", "a", "b", "c", "d")
 
 
 def pass_one(texts: DataFrame, depth: int, gram: int, bits: int) -> DataFrame:
@@ -172,7 +172,7 @@ def pass_one(texts: DataFrame, depth: int, gram: int, bits: int) -> DataFrame:
                 out.append((0, chunk, NEXT, small(position[keep]), small(count[keep])))
         return out
 
-    return reduced(texts.mapInArrow(send, BLOB), settle)
+    return reduced(texts.mapInArrow(staged("suffixes", send), BLOB), settle)
 
 
 def pass_two(texts: DataFrame, one: DataFrame, depth: int, gram: int, bits: int) -> DataFrame:
@@ -218,7 +218,7 @@ def pass_two(texts: DataFrame, one: DataFrame, depth: int, gram: int, bits: int)
         status[order[early[order] & multi[first][group]]] = NEXT
         return answers_of(held, owner, status, position, count)
 
-    return reduced(with_answers(texts, one).mapInArrow(send, BLOB), settle)
+    return reduced(with_answers(texts, one).mapInArrow(staged("suffixes", send), BLOB), settle)
 
 
 def answers_of(held: list, owner: np.ndarray, status: np.ndarray, position: np.ndarray, count: np.ndarray) -> list[tuple]:
@@ -290,7 +290,7 @@ def pass_three(texts: DataFrame, two: DataFrame, depth: int, bits: int) -> DataF
                 out.append((0, h[0], SETTLED, *runs(gone)))
         return out
 
-    return reduced(with_answers(texts, two).mapInArrow(send, BLOB), settle)
+    return reduced(with_answers(texts, two).mapInArrow(staged("suffixes", send), BLOB), settle)
 
 
 def runs(positions: np.ndarray) -> tuple[bytes, bytes]:
@@ -326,7 +326,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
                 columns = list(zip(*out[i : i + 256], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(columns, kinds, strict=True)], schema=kinds)
 
-    rows = with_answers(texts, three).mapInArrow(run, "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    rows = with_answers(texts, three).mapInArrow(staged("suffixes", run), "key long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return rows.select(F.nullif(F.col("key"), F.lit(LAST_ID)).alias(id_column), "n_bytes", "spans", "kept")
 
 

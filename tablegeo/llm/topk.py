@@ -121,5 +121,5 @@ def search(candidates: DataFrame, queries: DataFrame, id_column: str, vector: st
                 held[kind + 1].append(part.column(5).flatten().to_numpy().reshape(end - start, -1))
         yield from answer(*held)
 
-    found = dealt.repartition("shard", "block").sortWithinPartitions("shard", "block", "d", "kind").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = dealt.repartition("shard", "block").sortWithinPartitions("shard", "block", "d", "kind").mapInArrow(staged("topk", run), "query_id long, vec_id long, score long")
     return merge_best(found, k)

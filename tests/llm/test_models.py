@@ -130,32 +130,41 @@ def edit_distance(a, b):
 
 
 def test_automaton_is_edit_distance():
-    terms = {("idiot", False): 1.0, ("pathetic", False): 1.0, ("disgusting", False): 1.0, ("bad", False): 1.0, ("lowei", True): 1.0}
+    """Whole words at their distance, stems at the least distance of any beginning of the word."""
+    terms = {("idiot", False): 1.0, ("pathetic", False): 1.0, ("disgusting", False): 1.0, ("bad", False): 1.0, ("lowei", True): 1.0, ("lostra", True): 1.0}
     lexicon, rng = toxicity.Lexicon(terms), random.Random(4)
     for _ in range(4000):
-        word = list(rng.choice(["idiot", "pathetic", "disgusting", "bad", "lowei", "moronic"]))
+        word = list(rng.choice(["idiot", "pathetic", "disgusting", "bad", "lowei", "moronic", "lostraun", "lostra"]))
         for _ in range(rng.randrange(4)):
             at = rng.randrange(len(word) + 1)
             kind = rng.randrange(3)
             word[at : at + (kind > 0)] = [rng.choice("abcdiotx")] if kind < 2 else []
         word = "".join(word)
-        exact = next((t for t in terms if word.startswith(t[0]) and (t[1] or word == t[0])), None)
-        near = sorted((edit_distance(word, t[0]), t) for t in terms if not t[1] and edit_distance(word, t[0]) <= toxicity.edits(t[0]))
-        found = lexicon.find(word)
-        if exact:
-            assert found[1] == 0
-        else:
-            assert found == ((near[0][1], near[0][0]) if near else None), word
+        near = []
+        for term, stem in terms:
+            cost = min(edit_distance(word[:n], term) for n in range(len(word) + 1)) if stem else edit_distance(word, term)
+            if cost <= toxicity.edits(term, stem):
+                near.append((cost, stem, (term, stem)))
+        best = min(near, default=None)
+        assert lexicon.find(word) == ((best[2], best[0]) if best else None), word
 
 
-def labelled(spark, n=400):
+MISSPELT = ["idiut", "idi0t", "idiott", "m0ron", "moronn", "worthles", "worthiess", "wor7hless"]
+
+
+def labelled(spark, n=600):
+    """Toxic rows with insults, some misspelt; clean rows, some quoting insults; words of a productive stem."""
     rng = random.Random(9)
-    plain = ["table", "river", "green", "seven", "walks", "under", "light", "paper"]
+    plain = ["table", "river", "green", "seven", "walks", "under", "light", "paper", "idioms"]
     data = []
     for i in range(n):
         words = [rng.choice(plain) for _ in range(40)]
         bad = i % 4 == 0
-        if bad:
+        if bad and i % 12 == 0:
+            words[rng.randrange(40)] = rng.choice(MISSPELT)
+        elif bad and i % 12 == 4:
+            words[rng.randrange(40)] = "zorkel" + "".join(rng.choice("abmnu") for _ in range(4))
+        elif bad:
             for w in rng.sample(["idiot", "moron", "worthless"], 2):
                 words[rng.randrange(40)] = w
         elif i % 4 == 1:
@@ -164,21 +173,64 @@ def labelled(spark, n=400):
     return spark.createDataFrame(data, "doc_id long, text string, toxic int")
 
 
+def brute_score(text, model):
+    """The score from edit distances of every word to every term."""
+    lower, weights = (text or "").lower(), dict(zip(toxicity.FEATURES, model.weights, strict=True))
+    exact, misspelt, marked = [], [], []
+    for m in toxicity.WORD.finditer(lower):
+        spans = [(m.start(), m.end())]
+        if not m.group().isalpha():
+            spans += [(p.start(), p.end()) for p in toxicity.PLAIN.finditer(lower, m.start(), m.end())]
+        for k, (a, b) in enumerate(spans):
+            word, near = lower[a:b], []
+            for term, stem in model.terms:
+                cost = min(edit_distance(word[:n], term) for n in range(len(word) + 1)) if stem else edit_distance(word, term)
+                if cost <= toxicity.edits(term, stem):
+                    near.append((cost, stem, (term, stem)))
+            if near and toxicity.PLAIN.search(word) and not (min(near)[0] and word in model.clean):
+                cost, _, term = min(near)
+                (marked if toxicity.quoted(lower, a, b) else misspelt if cost else exact).append(term)
+                if not k:
+                    break
+    heavy = lambda found: math.log1p(sum(model.terms[t] for t in found))
+    z = weights["constant"] + weights["exact"] * bool(exact) + weights["exact weight"] * heavy(exact) + weights["misspelled"] * bool(misspelt) + weights["misspelled weight"] * heavy(misspelt)
+    z += weights["quoted"] * bool(marked) + weights["quoted weight"] * heavy(marked) + weights["density"] * math.log1p(100 * len(exact) / (len(lower.split()) + 10)) + weights["several"] * (len({t[0] for t in exact}) > 1)
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+
+
 def test_toxicity(spark, docs, nothing):
     data = labelled(spark).cache()
     model = toxicity.train(data, data.filter("doc_id % 5 <> 0").select("doc_id", "toxic"))
-    assert {t for t, stem in model.terms} & {"idiot", "moron", "worthless", "wort", "moro", "idio"}
-    scored = data.withColumn("v", toxicity.scored("text", model)).select("toxic", "v.score", "v.hits", "doc_id")
+    assert {("idiot", False), ("moron", False), ("worthless", False), ("zorkel", True)} <= set(model.terms)
+    assert not any(stem and ("idiot".startswith(t) or "moron".startswith(t)) for t, stem in model.terms)
+    scored = data.withColumn("v", toxicity.scored("text", model)).select("toxic", "v.score", "v.hits", "doc_id", "text")
     held = scored.filter("doc_id % 5 = 0").collect()
     assert all((r.score >= 0.5) == bool(r.toxic) for r in held)
-    text = "you are an idiot and a m0ron"
+    assert all(abs(r.score - brute_score(r.text, model)) < 1e-9 for r in held)
+    weights = dict(zip(toxicity.FEATURES, model.weights, strict=True))
+    assert weights["misspelled"] + weights["misspelled weight"] > 0.5 and abs(weights["quoted"] + weights["quoted weight"]) > 0.1
+    misspelt = [r for r in held if r.toxic and r.doc_id % 12 == 0]
+    assert misspelt and all(h.edits for r in misspelt for h in r.hits) and all(r.hits for r in misspelt)
+    quoting = [r for r in held if r.doc_id % 4 == 1]
+    assert quoting and all(h.quoted for r in quoting for h in r.hits) and all(r.hits for r in quoting)
+    text = "you are an idiot and a m0ron, w@rthless tr@sh, reading idioms"
     hits = spark.createDataFrame([(text,)], "text string").select(toxicity.scored("text", model).alias("v")).first().v.hits
-    assert text[hits[0].start : hits[0].end] == "idiot" and hits[0].edits == 0 and not hits[0].quoted
-    odd = docs.select("doc_id", toxicity.scored("text", model)["score"].alias("score")).collect()
+    assert [(text[h.start : h.end], h.term, h.edits) for h in hits] == [("idiot", "idiot", 0), ("m0ron", "moron", 1), ("w@rthless", "worthless", 1)]
+    odd = docs.select("doc_id", "text", toxicity.scored("text", model)["score"].alias("score")).collect()
     assert all(0 <= r.score <= 1 for r in odd)
+    assert all(abs(r.score - brute_score(r.text, model)) < 1e-9 for r in odd if len(r.text or "") < 2000)
     assert nothing.select(toxicity.scored("text", model)).count() == 0
 
 
+def test_automaton_starts_anew(monkeypatch):
+    terms = {("disgusting", False): 1.0, ("worthless", False): 1.0, ("lostra", True): 1.0}
+    words = [w[:i] + c + w[i:] for w in ("disgusting", "worthless", "lostraun") for i in range(len(w)) for c in "axq"]
+    whole = [toxicity.Lexicon(terms).find(w) for w in words]
+    monkeypatch.setattr(toxicity, "MOST_STATES", 3)
+    small = toxicity.Lexicon(terms)
+    assert [small.find(w) for w in words] == whole and len(small.states) < 20
+
+
 def test_toxicity_without_lessons(spark, docs, nothing):
     model = toxicity.train(docs, spark.createDataFrame([(4, 1), (5, None)], "doc_id long, toxic int"))
     assert {r[0] for r in docs.select(toxicity.scored("text", model)["score"]).collect()} == {0.0}
