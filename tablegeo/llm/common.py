@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Odd multiplier of the polynomial hash (any odd number has an inverse modulo 2**64).
@@ -74,6 +74,19 @@ def hidden(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def keep_rows(df: DataFrame, locator: Column, kept: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``locator`` (not null) is among those of ``kept`` (one column), all columns as they
+    are.  Of rows with one locator the one with the least hash of all its values stays.  The rows are dealt by
+    locator once, for the join and for the choice."""
+    name, place = hidden("locator", df), hidden("place", df)
+    own = [F.col(f"`{c}`") for c in df.columns]
+    whole = F.xxhash64(*(c for c, kind in zip(own, df.dtypes, strict=True) if "map<" not in kind[1]))
+    keyed = df.withColumn(name, locator)
+    found = keyed.join(kept.toDF(name).distinct(), name, "left_semi")
+    first = F.row_number().over(Window.partitionBy(name).orderBy(whole))
+    return found.withColumn(place, first).filter(F.col(place) == 1).select(*own)
+
+
 _WORKER: dict = {}
 
 

@@ -1,18 +1,26 @@
-"""Exact deduplication through a minimal perfect hash over distinct digests.
+"""Exact deduplication through a minimal perfect hash over historical distinct digests.
 
-The texts' digests (SHA-256 of the normalised bytes) are grouped inside each task first, so a digest that
-a third of all rows share leaves a task as one row.  The distinct digests, with the locator of the row that
-stays, are kept in an index: it is dealt into shards of about ``SHARD_KEYS`` digests, and each shard is a
-minimal perfect hash whose slots hold the full 32-byte digest and the winner's locator.  A lookup computes
-one slot and compares all 32 bytes there: equal means a repeat, anything else a nonmember, since a perfect
-hash also gives nonmembers some slot.  Rows found in the history are repeats of its winners; the others are
-grouped separately, become an index of their own, and are resolved by lookups in that.
+Texts are known by the SHA-256 of their bytes without white space.  The distinct digests of what was seen
+before (the history), each with the locator of the row that stays, are kept in an index: it is dealt into
+shards of about ``SHARD_KEYS`` digests, and each shard is a minimal perfect hash whose slots hold the full
+32-byte digest and the winner's locator.  A lookup computes one slot and compares all 32 bytes there: equal
+means a repeat, anything else a nonmember, since a perfect hash also gives nonmembers some slot.  Rows found in
+the history are repeats of its winners; the others are grouped separately and become entries of their own.
+
+``resolve`` takes a history of earlier runs, whose rows stay.  ``two_runs`` is for a table that is all there
+is: one part of it is the history, the other is looked up in that, winners are replaced where a later row
+ranks before them, and the index of both resolves every row.
+
+Digests are grouped inside each task first, so a digest that a third of all rows share leaves a task as one
+row; and only digests go to the index: the rows of a digest wait where they are dealt by task and digest, and
+never come together.
 
 Which row stays: of the history, the row on record; otherwise the most code points in the original text,
-then the smallest id (null ids last).  Defined results: a null text counts as the empty text; texts of white
-space only are equal to it; rows that agree in id, length and digest are the same row, listed as often as it
-occurs and kept if that row is; invalid UTF-8 counts code points after replacement; an empty table gives an
-empty table.  Only the id and text columns are read, so other columns cannot clash.
+then the smallest id (null ids last).  Defined results: ids are integers, or strings of them; a null text counts
+as the empty text; texts of white space only are equal to it; rows that agree in id, length and digest are the
+same row, listed as often as it occurs and kept if that row is (``keep_first`` keeps one of them); invalid UTF-8
+counts code points after replacement; an empty table gives an empty table.  Only the id and text columns are
+read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -23,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegeo.llm.common import materialize, mix, staged, text_bytes, values
+from tablegeo.llm.common import hidden, keep_rows, materialize, mix, staged, text_bytes, values
 
 WHITE = b" \t\n\x0b\x0c\r"
 #: Digests of an index shard: its size in memory is about 60 bytes times this.
@@ -34,9 +43,9 @@ SHARD_KEYS = 40_000
 #: Bits for each key of a level, levels of hashing, and digests that a task groups at once.
 GAMMA, LEVELS, TASK_GROUPS = 2.0, 24, 50_000
 
-ROWS = "digest binary, length long, best long, members array<struct<id:long,length:long>>"
+ROWS = "rid long, digest binary, length long, best long, members array<struct<id:long,length:long>>"
 ENTRIES = "digest binary, length long, best long, n long"
-FOUND = "digest binary, members array<struct<id:long,length:long>>, member boolean, keep_id long, keep_length long, group_size long"
+FOUND = "rid long, member boolean, keep_id long, keep_length long, group_size long"
 
 
 # -- minimal perfect hash ------------------------------------------------------------------------------
@@ -138,39 +147,52 @@ def _rank(length: int, best: int | None) -> tuple:
     return -length, best is None, best or 0
 
 
+def digest_of(value: bytes) -> tuple[bytes, int]:
+    """(digest, code points) of a text's bytes."""
+    return hashlib.sha256(value.translate(None, WHITE)).digest(), len(value.decode("utf-8", "replace"))
+
+
 def digest_rows(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """ROWS: for each task and digest one row with its members and the best of them."""
+    """ROWS: for each task and digest one row, with a number, its members and the best of them."""
 
-    def emit(groups: dict) -> pa.RecordBatch:
+    def emit(groups: dict, first: int) -> pa.RecordBatch:
         lists = list(groups.values())
         tops = [min(g, key=lambda m: _rank(m[1], m[0])) for g in lists]
         return pa.RecordBatch.from_pydict({
+            "rid": pa.array(range(first, first + len(lists)), pa.int64()),
             "digest": pa.array(list(groups), pa.binary()), "length": pa.array([t[1] for t in tops], pa.int64()), "best": pa.array([t[0] for t in tops], pa.int64()),
             "members": pa.array([[{"id": i, "length": n} for i, n in g] for g in lists], pa.list_(pa.struct([("id", pa.int64()), ("length", pa.int64())]))),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, held = {}, 0
+        groups, held, number = {}, 0, TaskContext.get().partitionId() << 40
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
-                groups.setdefault(hashlib.sha256(value.translate(None, WHITE)).digest(), []).append((doc, len(value.decode("utf-8", "replace"))))
+                digest, length = digest_of(value)
+                groups.setdefault(digest, []).append((doc, length))
                 held += 1
                 if held >= TASK_GROUPS:
-                    yield emit(groups)
+                    yield emit(groups, number)
+                    number += len(groups)
                     groups, held = {}, 0
         if groups:
-            yield emit(groups)
+            yield emit(groups, number)
 
-    return df.select(F.col(id_column).cast("long"), text_bytes(text)).mapInArrow(staged("digests", run), ROWS)
+    return materialize(df.select(F.col(id_column).cast("long"), text_bytes(text)).mapInArrow(staged("digests", run), ROWS))
 
 
-def entries(rows: DataFrame) -> DataFrame:
-    """ENTRIES: the distinct digests of ``digest_rows`` with winner and count."""
+def best_of(rows: DataFrame) -> DataFrame:
+    """ENTRIES of (digest, length, best, n) rows: for each digest the row that stays and the count."""
     order = F.struct((-F.col("length")).alias("a"), F.col("best").isNull().alias("b"), F.col("best").alias("c"))
-    grouped = rows.groupBy("digest").agg(F.min(order).alias("top"), F.sum(F.size("members")).cast("long").alias("n"))
+    grouped = rows.groupBy("digest").agg(F.min(order).alias("top"), F.sum("n").alias("n"))
     return grouped.select("digest", (-F.col("top.a")).alias("length"), F.col("top.c").alias("best"), "n")
 
 
+def entries(rows: DataFrame) -> DataFrame:
+    """ENTRIES: the distinct digests of ``digest_rows`` with winner and count."""
+    return best_of(rows.select("digest", "length", "best", F.size("members").cast("long").alias("n")))
+
+
 def shard_of(digest: str, shards: int):
     return F.pmod(F.xxhash64(F.col(digest)), F.lit(shards)).cast("int")
 
@@ -199,9 +221,9 @@ def build_index(found: DataFrame, shards: int) -> DataFrame:
 
 
 def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """FOUND: each row of ROWS with what the index holds for its digest, if it is a member."""
-    asked = rows.select(shard_of("digest", shards).alias("shard"), F.lit(1).alias("kind"), "digest", "members", F.lit(None).cast("binary").alias("payload"))
-    held = index.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast(asked.schema["members"].dataType).alias("members"), "payload")
+    """FOUND: what the index holds for the digest of each of ROWS, if it is a member."""
+    asked = rows.select(shard_of("digest", shards).alias("shard"), F.lit(1).alias("kind"), "digest", "rid", F.lit(None).cast("binary").alias("payload"))
+    held = index.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("rid"), "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, shard = None, None
@@ -216,45 +238,82 @@ def lookup(rows: DataFrame, index: DataFrame, shards: int) -> DataFrame:
                 while end < len(numbers) and kinds[end] == 1 and numbers[end] == numbers[at]:
                     end += 1
                 part = batch.slice(at, end - at)
-                digests = part.column(2).to_pylist()
-                slots = shard.find(digests) if shard is not None and now == numbers[at] else np.full(len(digests), -1)
-                yes, s = slots >= 0, np.maximum(slots, 0)
-                none = ~yes
-                take = lambda values, void=none, s=s: pa.array(np.zeros(len(s), np.int64) if shard is None or not len(values) else values[s], pa.int64(), mask=void)
-                void = none | shard.missing[s] if shard is not None else none
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(yes), take(shard.ids if shard else [], void), take(shard.length if shard else []), take(shard.n if shard else [])], names=["digest", "members", "member", "keep_id", "keep_length", "group_size"])
+                known = shard is not None and now == numbers[at] and len(shard.ids)
+                slots = shard.find(part.column(2).to_pylist()) if known else np.full(end - at, -1)
+                none, s = slots < 0, np.maximum(slots, 0)
+                take = lambda name, void: pa.array(getattr(shard, name)[s], pa.int64(), mask=void) if known else pa.nulls(len(s), pa.int64())  # noqa: E731, B023
+                void = none | shard.missing[s] if known else none
+                yield pa.RecordBatch.from_arrays([part.column(3), pa.array(~none), take("ids", void), take("length", none), take("n", none)], names=["rid", "member", "keep_id", "keep_length", "group_size"])
                 at = end
 
     return held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(staged("digests", run), FOUND)
 
 
-def resolve(df: DataFrame, id_column: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:
-    """FOUND for all rows: members of ``history`` (ENTRIES of earlier runs) with its winners, the others with
+def index_of(found: DataFrame) -> tuple[DataFrame, int]:
+    """The index of ENTRIES, and its number of shards."""
+    shards = 1 + found.count() // SHARD_KEYS
+    return build_index(found, shards), shards
+
+
+def resolve(rows: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """FOUND for all of ROWS: members of ``history`` (ENTRIES of earlier runs) with its winners, the others with
     the winners among themselves; ``member`` tells which (true: a repeat of the history)."""
-    rows = materialize(digest_rows(df, id_column, text))
     seen = None
     if history is not None:
-        shards = 1 + history.count() // SHARD_KEYS
-        checked = materialize(lookup(rows, build_index(history, shards), shards))
+        checked = materialize(lookup(rows, *index_of(history)))
         seen = checked.filter("member")
-        rows = rows.join(seen.select("digest").distinct(), "digest", "left_anti")
-    own = materialize(entries(rows))
-    shards = 1 + own.count() // SHARD_KEYS
-    found = lookup(rows, build_index(own, shards), shards).withColumn("member", F.lit(False))
+        rows = rows.join(seen.select("rid"), "rid", "left_anti")
+    found = lookup(rows, *index_of(materialize(entries(rows)))).withColumn("member", F.lit(False))
     return found if seen is None else found.unionByName(seen)
 
 
 def exact_dedup(df: DataFrame, id_column: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:
     """One row for each row of ``df``: id, keep_id, group_size, kept, text_sha256, length (code points)."""
-    found = resolve(df, id_column, text, history)
-    each = found.select(F.explode("members").alias("m"), "member", "keep_id", "keep_length", "group_size", F.lower(F.hex("digest")).alias("text_sha256"))
+    rows = digest_rows(df, id_column, text)
+    return listed(rows, resolve(rows, history), id_column)
+
+
+def two_runs(earlier: DataFrame, later: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``exact_dedup`` of both frames together: ``earlier`` is indexed, ``later`` is looked up in that index."""
+    old, new = digest_rows(earlier, id_column, text), digest_rows(later, id_column, text)
+    history = materialize(entries(old))
+    checked = materialize(lookup(new, *index_of(history)))
+    asked = new.select("rid", "digest", "length", "best", F.size("members").cast("long").alias("n"))
+    repeats = asked.join(checked.filter("member").select("rid"), "rid", "left_semi").drop("rid")
+    fresh = asked.join(checked.filter("not member").select("rid"), "rid", "left_semi").drop("rid")
+    both = materialize(best_of(history.unionByName(repeats)).unionByName(best_of(fresh)))
+    index, shards = index_of(both)
+    far = new.withColumn("rid", -1 - F.col("rid"))  # the two parts' numbers apart
+    rows = old.unionByName(far)
+    return listed(rows, lookup(rows, index, shards).withColumn("member", F.lit(False)), id_column)
+
+
+def listed(rows: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
+    """One row for each member of ROWS, with what was found for its digest."""
+    each = rows.select("rid", "digest", "members").join(found, "rid").select(F.explode("members").alias("m"), "member", "keep_id", "keep_length", "group_size", F.lower(F.hex("digest")).alias("text_sha256"))
     stays = ~F.col("member") & F.col("m.id").eqNullSafe(F.col("keep_id")) & (F.col("m.length") == F.col("keep_length"))
     return each.select(F.col("m.id").alias(id_column), "keep_id", "group_size", stays.alias("kept"), "text_sha256", F.col("m.length").alias("length"))
 
 
+def locator(digest: Column, length: Column, key: Column) -> Column:
+    return F.concat_ws(":", F.hex(digest), length.cast("string"), F.coalesce(key.cast("long").cast("string"), F.lit("null")))
+
+
 def keep_first(df: DataFrame, id_column: str = "doc_id", text: str = "text", history: DataFrame | None = None) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns; of rows that are the same row, one stays."""
-    kept = exact_dedup(df, id_column, text, history).filter("kept").select(F.col(id_column).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("length").alias("_length")).distinct()
-    keyed = df.withColumn("_sha", F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+", "").cast("binary"), 256)).withColumn("_length", F.length(F.coalesce(F.col(text), F.lit(""))).cast("long"))
-    joined = keyed.alias("d").join(kept.alias("k"), F.col(f"d.{id_column}").cast("long").eqNullSafe(F.col("k._id")) & (F.col("d._sha") == F.col("k._sha")) & (F.col("d._length") == F.col("k._length")), "left_semi")
-    return joined.dropDuplicates([id_column, "_sha", "_length"]).select(*df.columns)
+    """The rows of ``df`` that stay, with all their columns; of rows that are the same row (they agree in id,
+    length and digest), the one with the least hash of all its values stays."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("digest", pa.binary()), ("length", pa.int64())])
+        for batch in batches:
+            yield pa.array([dict(zip(("digest", "length"), digest_of(v), strict=True)) for v in values(batch)], kind)
+
+    task = staged("digests", run)
+    task.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    own = F.arrow_udf(task, "digest binary, length long")(text_bytes(text))
+    kept = exact_dedup(df, id_column, text, history).filter("kept")
+    kept = kept.select(locator(F.unhex("text_sha256"), F.col("length"), F.col(id_column)))
+    name = hidden("own", df)
+    keyed = df.withColumn(name, own)
+    rows = keep_rows(keyed, locator(F.col(name)["digest"], F.col(name)["length"], F.col(id_column)), kept)
+    return rows.drop(name)

@@ -25,6 +25,7 @@ a component has no other; an empty table gives an empty table.  Only id and text
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegeo.llm.chunked import BLOB, LAST_ID, Chunk, blob_rows, chunks, large, over_chunks, slices, small
-from tablegeo.llm.common import BASE, bound_batches, materialize, mix, staged, text_bytes, values
+from tablegeo.llm.common import keep_rows, BASE, bound_batches, materialize, mix, staged, text_bytes, values
 from tablegeo.llm.components import components
 from tablegeo.llm.katz import word_hashes
 
@@ -49,6 +50,8 @@ SHORT, EXPANDED = 12, 1_000_000
 OUTLINE, COUNTERS = 4, 512
 #: Bits of a set's bitmap.
 BITMAP = 1024
+#: Places that a component's rows are dealt to.
+SALTS = 16
 
 
 # -- sets ----------------------------------------------------------------------------------------------
@@ -422,8 +425,8 @@ def linked(checked: DataFrame, percent: int) -> DataFrame:
 
 
 def numbered(docs: DataFrame, n: int) -> DataFrame:
-    """(key, n_shingles, node, outline, bitmap): every row with its node; outline and bitmap stand with the
-    node's own row."""
+    """(key, n_shingles, node, outline, bitmap, digest): every row with its node and the MD5 of its text; outline
+    and bitmap stand with the node's own row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in each_chunk(batches):
@@ -431,13 +434,14 @@ def numbered(docs: DataFrame, n: int) -> DataFrame:
             ends = np.cumsum(sizes)
             own = [elements[e - s : e] if s and k == i else None for i, (s, e, k) in enumerate(zip(sizes.tolist(), ends.tolist(), same.tolist(), strict=True))]
             outlines, bitmaps = ([None if x is None else f(x) for x in own] for f in (outline, bitmap_of))
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.keys), pa.array(sizes), pa.array(node_of(number, same)), pa.array(outlines, pa.binary()), pa.array(bitmaps, pa.binary())], names=["key", "n_shingles", "node", "outline", "bitmap"])
+            digests = [hashlib.md5(chunk.bytes[e - s : e]).digest() for s, e in zip(chunk.sizes.tolist(), chunk.ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.keys), pa.array(sizes), pa.array(node_of(number, same)), pa.array(outlines, pa.binary()), pa.array(bitmaps, pa.binary()), pa.array(digests, pa.binary())], names=["key", "n_shingles", "node", "outline", "bitmap", "digest"])
 
-    return materialize(over_chunks(docs, run, "key long, n_shingles long, node long, outline binary, bitmap binary"))
+    return materialize(over_chunks(docs, run, "key long, n_shingles long, node long, outline binary, bitmap binary, digest binary"))
 
 
-def near_components(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id): one row for each row; the frame must read alike each time."""
+def labelled_rows(df: DataFrame, id_column: str, text: str, n: int, percent: int) -> DataFrame:
+    """(key, digest, n_shingles, label): one row for each row; rows of one component share the label."""
     spark = df.sparkSession
     bound_batches(spark)
     bits = max(2, (int(spark.conf.get("spark.sql.shuffle.partitions")) // 3).bit_length() - 1)
@@ -478,14 +482,25 @@ def near_components(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     if third.limit(1).count():
         labels = components(links.unionByName(linked(compared(dealt, third, n), percent)))
 
-    rows = nodes.select("key", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = materialize(rows.select("key", "n_shingles", "label"))
+    rows = nodes.select("key", "digest", "n_shingles", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return materialize(rows.select("key", "digest", "n_shingles", "label"))
+
+
+def near_components(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id): one row for each row; the frame must read alike each time."""
+    rows = labelled_rows(df, id_column, text, n, percent)
     least = rows.groupBy("label").agg(F.min("key").alias("component_id"))
-    out = rows.join(least, "label").select(F.nullif("key", F.lit(LAST_ID)).alias(id_column), "n_shingles", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id"))
-    return out
+    salt = F.pmod(F.xxhash64("key", "digest"), F.lit(SALTS)).cast("int")  # a component may hold a third of all rows
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = rows.withColumn("salt", salt).join(spread, ["label", "salt"])
+    return out.select(F.nullif("key", F.lit(LAST_ID)).alias(id_column), "n_shingles", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df`` whose id is the least of its component, with all their columns."""
-    found = near_components(df, id_column, text, n, percent).filter(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("_kept")).distinct()
-    return df.join(found, df[id_column].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of ``df`` of each component, with all its columns: the one with the least id (null ids last), then
+    the least MD5 of its text; rows that agree in both are the same row, of which one stays."""
+    rows = labelled_rows(df, id_column, text, n, percent)
+    first = rows.groupBy("label").agg(F.min(F.struct("key", "digest")).alias("first"))
+    locator = lambda digest, key: F.concat_ws(":", F.lower(digest), key.cast("string"))
+    kept = first.select(locator(F.hex("first.digest"), F.col("first.key")))
+    return keep_rows(df, locator(F.md5(text_bytes(text)), F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID))), kept)

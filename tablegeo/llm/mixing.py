@@ -4,13 +4,14 @@ Each source's mean repetition rate is its share of the wanted total over its row
 is a Poisson number with that mean, found by inverting the distribution at a uniform number that is a hash
 of the row's id and the seed; so it does not depend on partitions, order or retries.  Rows are exploded by
 that number and dealt to partitions, and ordered inside them, by a hash of id, copy and seed: a global
-shuffle.  Only built-in functions are used, and no row moves before the global shuffle: the rates of the
-sources are joined to the rows, by broadcast as long as Spark finds their size under its threshold and by a
-sort-merge join, whose hot sources Spark splits, beyond.
+shuffle.  Only built-in functions are used.  The distributions of the sources, whose size is counted first,
+are broadcast up to ``BROADCAST`` numbers, so that no row moves before the global shuffle; beyond, rows and
+distributions are joined by source and one of ``SALTS`` salts, so that a hot source is split.
 
 Defined results: a null source is a source of its own; a source without a given weight gets weight
 ``default``; weight 0 or an empty table gives no rows; rows that repeat an id get the same number of copies;
-null ids and texts are kept as they are.  The columns added are ``copy`` (from 1), replaced if it exists.
+null ids and texts are kept as they are.  The columns added are ``copy`` (from 1), replaced if it exists; all
+other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablegeo.llm.common import hidden, materialize
+
+#: Numbers of all distributions together (8 bytes each) that are broadcast, and salts of a source beyond.
+BROADCAST, SALTS = 1_000_000, 64
+
 
 def uniform(key: Column, seed: int, salt: str = "") -> Column:
     """A number in [0, 1) from the first 52 bits of an MD5 hash."""
@@ -85,13 +91,21 @@ def source_rates(df: DataFrame, source: str, weights: dict | None = None, total:
     return weighed.join(F.broadcast(sums)).select("_source", rate.cast("double").alias("rate"))
 
 
-def mix(df: DataFrame, id_column: str = "doc_id", source: str = "source", weights: dict | None = None, total: int | None = None, seed: int = 7, default: float = 1.0) -> DataFrame:
+def mix(df: DataFrame, id_column: str = "doc_id", source: str = "source", weights: dict | None = None, total: int | None = None, seed: int = 7, default: float = 1.0, broadcast: int = BROADCAST) -> DataFrame:
     """The mixed and shuffled rows with column ``copy``."""
-    rates = source_rates(df, source, weights, total, default).select("_source", poisson_cdf(F.col("rate")).alias("_cdf"))
+    df = df.drop("copy")
+    own, cdf, salt, times = (hidden(n, df) for n in ("source", "cdf", "salt", "times"))
+    rates = materialize(source_rates(df, source, weights, total, default))
+    numbers = rates.agg(F.sum(F.col("rate") + 12 * F.sqrt("rate") + 32)).first()[0] or 0.0
+    held = rates.select(F.col("_source").alias(own), poisson_cdf(F.col("rate")).alias(cdf))
+    if numbers <= broadcast:
+        rated = df.join(F.broadcast(held), F.col(source).eqNullSafe(F.col(own)))
+    else:
+        split = held.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = df.withColumn(salt + "_", F.pmod(F.xxhash64(id_column), F.lit(SALTS)).cast("int"))
+        rated = salted.join(split, F.col(source).eqNullSafe(F.col(own)) & (F.col(salt + "_") == F.col(salt)))
     u = uniform(F.col(id_column), seed)
-    rated = df.drop("copy").join(rates, F.col(source).eqNullSafe(F.col("_source")))
-    times = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    copies = rated.withColumn("_u", u).withColumn("_k", times).filter("_k > 0").drop("_cdf", "_u", "_source")
-    each = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
+    drawn = rated.withColumn(times, F.size(F.filter(cdf, lambda c: c <= u))).filter(F.col(times) > 0)
+    copies = drawn.select(*(F.col(f"`{c}`") for c in df.columns), F.explode(F.sequence(F.lit(1), F.col(times))).alias("copy"))
     place = F.xxhash64(F.col(id_column), F.col("copy"), F.lit(seed))
-    return each.withColumn("_place", place).repartition("_place").sortWithinPartitions("_place").drop("_place")
+    return copies.repartition(place).sortWithinPartitions(place)

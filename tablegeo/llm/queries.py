@@ -61,7 +61,9 @@ def op7_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    earlier = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0  # what counts as the history of the other rows
+    found = exact_dedup.two_runs(docs.filter(earlier), docs.filter(~earlier))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 

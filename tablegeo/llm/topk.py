@@ -9,8 +9,9 @@ term by term while a candidate can still compete.  The cells' lists are merged b
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; a query is
 compared with vectors of its own length, and never with rows of its own id; ties go to the smaller id;
-repeated rows are candidates as often as they occur; rows without id take no part; fewer candidates than k
-give fewer rows; an empty table gives none.  Scores are 64-bit integers and wrap beyond that range.
+repeated rows are candidates as often as they occur; query rows that repeat id and vector are one query, and
+one id with several vectors has a list of k for each of them; rows without id take no part; fewer candidates than
+k give fewer rows; an empty table gives none.  Ids are integers, or strings of them.  Scores are 64-bit integers and wrap beyond that range.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablegeo.llm.common import staged
+
 #: Candidates of a shard and queries of a block: a cell holds at most about both, times 8 bytes a component.
 SHARD_ROWS, BLOCK_QUERIES = 8_192, 1_024
 #: Below this magnitude of all partial sums floating point is exact, and is used for its speed.
@@ -67,7 +70,7 @@ def top_of_shard(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own_id
 
 
 def merge_best(df: DataFrame, k: int) -> DataFrame:
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    window = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -82,15 +85,16 @@ def search(candidates: DataFrame, queries: DataFrame, id_column: str, vector: st
     """(query_id, rank, vec_id, score): the k best candidates of each query; ``vector``: array of long."""
     usable = F.col(id_column).isNotNull() & F.col(vector).isNotNull()
     cells = lambda df: df.filter(usable).select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<long>").alias("v"))
-    rows, asked = cells(candidates), cells(queries)
+    rows, asked = cells(candidates), cells(queries).distinct()
     shards = 1 + rows.count() // SHARD_ROWS
     blocks = 1 + asked.count() // BLOCK_QUERIES
     place = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
-    left = rows.withColumn("shard", place(shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("kind", F.lit(0))
+    spread = F.pmod(F.xxhash64("id", "v", F.spark_partition_id()), F.lit(shards)).cast("int")  # repeated rows apart
+    left = rows.withColumn("shard", spread).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("kind", F.lit(0))
     right = asked.withColumn("block", place(blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("kind", F.lit(1))
-    dealt = left.unionByName(right).select("shard", "block", F.size("v").alias("d"), "kind", "id", "v")
+    dealt = left.unionByName(right).select("shard", "block", F.size("v").alias("d"), "kind", "id", "v", F.xxhash64("v").alias("query"))
 
-    def answer(ids: list[np.ndarray], rows: list[np.ndarray], query_ids: list[np.ndarray], asked: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def answer(ids: list[np.ndarray], rows: list[np.ndarray], _, query_ids: list[np.ndarray], asked: list[np.ndarray], vectors: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not rows or not asked:
             return
         own, postings, found = np.concatenate(ids), np.ascontiguousarray(np.concatenate(rows).T), []
@@ -98,14 +102,14 @@ def search(candidates: DataFrame, queries: DataFrame, id_column: str, vector: st
         size = float(np.abs(postings.astype(float)).max()) * float(np.abs(wanted.astype(float)).max()) * postings.shape[0] * 4
         if size < EXACT:
             postings, wanted = postings.astype(float), wanted.astype(float)
-        for query_id, query in zip(np.concatenate(query_ids).tolist(), wanted, strict=True):
+        for query_id, vector, query in zip(np.concatenate(query_ids).tolist(), np.concatenate(vectors).tolist(), wanted, strict=True):
             best, scores = top_of_shard(postings, own, query, query_id, k)
-            found.append((np.full(len(best), query_id), best, scores.astype(np.int64)))
+            found.append((np.full(len(best), query_id), np.full(len(best), vector), best, scores.astype(np.int64)))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "query", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, ([], [], [], [])
+        now, held = None, ([], [], [], [], [], [])
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
             cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
@@ -114,12 +118,13 @@ def search(candidates: DataFrame, queries: DataFrame, id_column: str, vector: st
                     continue
                 if now != (cell := tuple(keys[start, :3])):
                     yield from answer(*held)
-                    now, held = cell, ([], [], [], [])
+                    now, held = cell, ([], [], [], [], [], [])
                 part = batch.slice(start, end - start)
-                kind = 2 * int(keys[start, 3])
+                kind = 3 * int(keys[start, 3])
                 held[kind].append(part.column(4).to_numpy())
                 held[kind + 1].append(part.column(5).flatten().to_numpy().reshape(end - start, -1))
+                held[kind + 2].append(part.column(6).to_numpy())
         yield from answer(*held)
 
-    found = dealt.repartition("shard", "block").sortWithinPartitions("shard", "block", "d", "kind").mapInArrow(staged("topk", run), "query_id long, vec_id long, score long")
+    found = dealt.repartition("shard", "block").sortWithinPartitions("shard", "block", "d", "kind").mapInArrow(staged("topk", run), "query_id long, query long, vec_id long, score long")
     return merge_best(found, k)

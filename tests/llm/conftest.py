@@ -5,7 +5,7 @@ import random
 import pytest
 
 #: Columns that the operators also use as names of their own.
-EXTRA = "key long, n long, node string, label string, chunk long, anchor string, copy string, rank string, digest string, bytes string, id string"
+EXTRA = "key long, n long, node string, label string, chunk long, anchor string, copy string, rank string, digest string, bytes string, id string, _source string, _cdf string, _k long, _u string, _place long, _sha string, _length long, _kept string, _toxicity string, _id string, __own string, __locator string, __place string, __source string, __cdf string, __salt string, __times string, salt string"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

@@ -32,13 +32,28 @@ def test_exact(spark, docs, nothing):
     got = [(r.group_size, r.kept, r.keep_id, r.text_sha256, r.doc_id) for r in found.collect()]
     assert sorted(got, key=repr) == sorted(wanted, key=repr)
     assert exact_dedup.exact_dedup(nothing).count() == 0
+    two = exact_dedup.two_runs(docs.filter("doc_id % 3 = 0"), docs.filter("doc_id is null or doc_id % 3 <> 0"))
+    assert sorted([(r.group_size, r.kept, r.keep_id, r.text_sha256, r.doc_id) for r in two.collect()], key=repr) == sorted(wanted, key=repr)
+    assert exact_dedup.two_runs(nothing, nothing).count() == 0 and exact_dedup.two_runs(docs, nothing).count() == len(wanted)
     kept = exact_dedup.keep_first(docs)
-    assert kept.columns == docs.columns and kept.count() == len(groups)
+    assert kept.columns == docs.columns
+    stay = {(normal(t), i) for i, t in all_rows if (-len(t or ""), i is None, i or 0) == min(groups[normal(t)])}
+    assert sorted([(normal(r.text), r.doc_id) for r in kept.collect()], key=repr) == sorted(stay, key=repr)
+
+
+def test_keep_first_odd_rows(spark):
+    """Invalid UTF-8 stays; of rows with one id, digest and length exactly one stays, the same each time."""
+    odd = spark.sql("select 1L doc_id, cast(x'6162ff206364' as string) text, 'a' _sha union all select 2, 'a b', 'b' union all select 2, 'a\\tb', 'c' union all select 3, 'x', 'd' union all select 3, 'x', 'd'")
+    first = [exact_dedup.keep_first(odd.repartition(n)).selectExpr("doc_id", "hex(cast(text as binary)) t", "_sha").collect() for n in (1, 3)]
+    assert sorted(first[0]) == sorted(first[1]) and sorted(r.doc_id for r in first[0]) == [1, 2, 3]
+    kept = exact_dedup.exact_dedup(odd).filter("kept").select("doc_id").distinct().collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 3]
 
 
 def test_history(spark, docs):
     old, new = docs.filter("doc_id < 33"), docs.filter("doc_id >= 33 or doc_id is null")
     history = exact_dedup.entries(exact_dedup.digest_rows(old, "doc_id", "text"))
+    assert {normal(r.text) for r in exact_dedup.keep_first(new, history=history).collect()} == {normal(r.text) for r in new.collect()} - {normal(r.text) for r in old.collect()}
     found = {(r.doc_id, r.text_sha256): r for r in exact_dedup.exact_dedup(new, history=history).collect()}
     seen = {normal(r.text) for r in old.collect()}
     for r in new.collect():
@@ -89,7 +104,24 @@ def test_jaccard(docs, nothing):
     texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert rows(jaccard_join.near_components(docs)) == sorted(brute_components(texts), key=repr)
     assert jaccard_join.near_components(nothing).count() == 0
-    assert jaccard_join.keep_one(docs).columns == docs.columns
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    parts: dict = {}  # components by brute force, from the rows' sets
+    for k, (i, t) in enumerate(texts):
+        own = shingles(t)
+        near = [p for p, members in parts.items() if any(own and s and 100 * len(own & s) >= 80 * len(own | s) for s, _ in members)]
+        joined = [m for p in near for m in parts.pop(p)] + [(own, (i is None, i or 0, hashlib.md5((t or "").encode()).hexdigest()))]
+        parts[k] = joined
+    wanted = {min(key for _, key in members) for members in parts.values()}
+    assert sorted((r.doc_id is None, r.doc_id or 0, hashlib.md5((r.text or "").encode()).hexdigest()) for r in kept.collect()) == sorted(wanted)
+
+
+def test_keep_one_repeated_ids(spark):
+    """Survivors are rows, not ids: one of each component, whatever ids repeat or are null."""
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    data = [(1, " ".join(a)), (1, " ".join([*b[:-1], "z"])), (0, " ".join(b)), (None, " ".join([*a[:-1], "y"])), (None, "one two"), (None, "one two"), (None, "three")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.text) for r in kept], key=repr) == sorted([data[0], data[2], data[4], data[6]], key=repr)
 
 
 @pytest.mark.parametrize("seed", [1, 2])

@@ -142,3 +142,25 @@ def test_pipeline_stages_take_odd_rows(spark, data, docs, nothing):
     for df in (docs, docs.select("doc_id", "text", "lang", "source", "n_chars"), nothing):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, df, data).count() >= 0
+
+
+def test_mix_large_rates(spark):
+    """Means far above 745, against the mean and variance of Poisson numbers; and both ways of joining."""
+    many = spark.range(3000).selectExpr("id doc_id", "'big' source", "'x' _cdf").unionByName(spark.range(3).selectExpr("10000 + id doc_id", "'rare' source", "'y' _cdf"))
+    rates = {r._source: r.rate for r in mixing.source_rates(many, "source", total=6000, weights={"big": 0.0}).collect()}
+    assert rates == {"big": 0.0, "rare": 2000.0}
+    some = spark.range(400).selectExpr("id doc_id", "'a' source")
+    copies = [r["count"] for r in mixing.mix(some, total=400 * 1500).groupBy("doc_id").count().collect()]
+    assert len(copies) == 400 and abs(np.mean(copies) - 1500) < 8 and 0.75 < np.var(copies) / 1500 < 1.35
+    one, two = (mixing.mix(many, broadcast=b) for b in (1 << 20, 0))
+    assert one.columns == ["doc_id", "source", "_cdf", "copy"] and sorted(one.collect()) == sorted(two.collect())
+
+
+def test_topk_repeated_queries(spark):
+    vectors = spark.createDataFrame([(i, [i % 7, i % 5, -i % 11]) for i in range(40)] + [(3, [3, 3, 8])], "vec_id long, v array<long>")
+    once = topk.search(vectors, vectors.filter("vec_id in (0, 5)"), "vec_id", "v", 10)
+    asked = vectors.filter("vec_id in (0, 5)")
+    twice = topk.search(vectors, asked.unionByName(asked), "vec_id", "v", 10)
+    assert sorted(once.collect()) == sorted(twice.collect()) and once.count() == 20
+    other = asked.filter("vec_id = 0").unionByName(spark.createDataFrame([(0, [1, 1, 1])], "vec_id long, v array<long>"))
+    assert topk.search(vectors, other, "vec_id", "v", 10).count() == 20
