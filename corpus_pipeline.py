@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegeo.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
-from tablegeo.llm.common import bound_batches, materialize
+from tablegeo.llm.common import bound_batches, hidden, materialize
 from tablegeo.llm.queries import tokenizer_path
 
 
@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, fitted to the labelled ones, scores below one half."""
     bound_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    verdict = toxicity.scored("text", model)["score"]
-    return docs.withColumn("_toxicity", verdict).filter("_toxicity < 0.5").select(*docs.columns)
+    score = hidden("toxicity", docs)
+    return docs.withColumn(score, toxicity.scored("text", model)["score"]).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
