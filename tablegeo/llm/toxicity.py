@@ -1,7 +1,8 @@
 """Toxicity scores from a learned lexicon, misspellings and the context of each hit.
 
 *Lexicon.*  Whole words that mark toxic texts are learned from labelled rows: those whose rate in toxic texts
-is far above chance.  Word beginnings (stems) join them where they mark more toxic texts than any whole word
+is far above what chance gives any of the terms tried.  Near copies of a text are one lesson: of texts of one
+label with an equal least shingle hash, by three hashes in turn, one is used.  Word beginnings (stems) join them where they mark more toxic texts than any whole word
 below them does, as productive insults do.  All form one trie.
 
 *Misspellings.*  Each term has a Levenshtein automaton (0, 1 or 2 edits by its length; a stem's accepts a word
@@ -36,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegeo.llm.common import materialize, staged, text_bytes, values, worker_cache
+from tablegeo.llm.common import BASE, materialize, mix, staged, text_bytes, values, worker_cache
+from tablegeo.llm.jaccard_join import ngram_sets
 
 #: The bound of what is fitted: labelled rows.
 MAX_LABELLED = 20_000
@@ -262,6 +264,23 @@ def fit_logistic(rows: np.ndarray, labels: np.ndarray, penalty: float = 0.3) ->
     return w.tolist()
 
 
+def lessons(taught: DataFrame) -> DataFrame:
+    """(bytes, label): one of the near copies among the labelled texts; the same one each time."""
+    names = ["one", "two", "three"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [ngram_sets([v])[1] for v in values(batch.column(0))]
+            least = [pa.array([int(mix(x + np.uint64(k) * BASE).min() >> np.uint64(1)) if len(x) else -1 for x in sets], pa.int64()) for k in range(1, 4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *least], names=["bytes", "label", *names])
+
+    held = taught.mapInArrow(staged("toxicity", run), "bytes binary, label int, one long, two long, three long")
+    for name in names:
+        rest = [n for n in names if n != name]
+        held = held.groupBy("label", name).agg(F.min(F.struct(*rest, "bytes")).alias("m")).select("label", name, "m.*")
+    return materialize(held.select("bytes", "label"))
+
+
 def term_counts(taught: DataFrame) -> DataFrame:
     """(term, stem, toxic, clean): labelled texts with each word and each beginning of a word, quotations
     left out."""
@@ -315,14 +334,16 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     picked = labels.filter(F.col(label).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label).cast("int").alias("label")).distinct()
     picked = picked.orderBy(F.xxhash64("_id"), "_id", "label").limit(max_labelled)  # the bound under which it is broadcast
     taught = materialize(docs.select(F.col(id_column).alias("_id"), text_bytes(text).alias("bytes")).join(F.broadcast(picked), "_id").select("bytes", "label"))
-    sizes = {r.label: r["count"] for r in taught.groupBy("label").count().collect()}
+    apart = lessons(taught)
+    sizes = {r.label: r["count"] for r in apart.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return Model()
     rate = sizes[1] / (sizes[0] + sizes[1])
-    counts = materialize(term_counts(taught))
+    counts = materialize(term_counts(apart))
+    least = math.log(100 * max(counts.count(), 1)) / math.log(1 / rate)  # so many toxic texts alone: once in 100 such samples
     n = F.col("toxic") + F.col("clean")
     above = (F.col("toxic") - n * rate) / F.sqrt(n * rate * (1 - rate))
-    marked = counts.filter((F.col("toxic") >= 3) & (above >= 6) & (F.col("toxic") > 1.5 * F.col("clean")))
+    marked = counts.filter((F.col("toxic") >= least) & (above >= 6) & (F.col("toxic") > 1.5 * F.col("clean")))
     bare = Model(choose_terms(marked.collect()))  # of a bounded sample
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
