@@ -1,5 +1,6 @@
-"""Corrections of page tables.  Rows are named by (page_number, row_number); every operator is lazy, except
-for the checks that name a row, which look for it first."""
+"""Corrections of page tables.  A page is its number or, in tables of many documents (with ``doc_key``), the
+pair (doc_key, page_number); rows are named by (page, row_number).  Every operator is lazy, except for the checks
+that name a row, which look for it first; no operator touches a document that it does not name."""
 
 from __future__ import annotations
 
@@ -7,25 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegeo.functions.text import join_nonblank, join_stripped, partition, strip_ws, text_of
-from tablegeo.schema import data_columns
+from tablegeo.schema import data_columns, on_page, page_keys
 
+Page = int | tuple[str, int]
 
-def _key(page_number: int, row_number: int) -> Column:
-    return (F.col("page_number") == page_number) & (F.col("row_number") == row_number)
 
+def _key(df: DataFrame, page: Page, row_number: int) -> Column:
+    return on_page(df, page) & F.col("row_number").eqNullSafe(F.lit(row_number))
 
-def _keys(rows: list[tuple[int, int]]) -> Column:
-    by_page: dict[int, list[int]] = {}
+
+def _keys(df: DataFrame, rows: list[tuple[Page, int]]) -> Column:
+    by_page: dict[Page, list[int]] = {}
     for page, row in rows:
         by_page.setdefault(page, []).append(row)
     test = F.lit(False)
     for page, numbers in by_page.items():
-        test = test | ((F.col("page_number") == page) & F.col("row_number").isin(numbers))
+        test = test | (on_page(df, page) & F.coalesce(F.col("row_number").isin(numbers), F.lit(False)))
     return test
 
 
-def _require(df: DataFrame, rows: list[tuple[int, int]], message: str) -> None:
-    if df.filter(_keys(rows)).select("page_number", "row_number").distinct().count() < len(set(rows)):
+def _require(df: DataFrame, rows: list[tuple[Page, int]], message: str) -> None:
+    if df.filter(_keys(df, rows)).select(*page_keys(df), "row_number").distinct().count() < len(set(rows)):
         raise ValueError(message)
 
 
@@ -39,7 +42,7 @@ def normalize_row_numbers(df: DataFrame, *before: str) -> DataFrame:
     """Row numbers 1..n of each page in present order; ``before``: columns that break ties of the number."""
     if "page_number" not in df.columns or "row_number" not in df.columns:
         return df
-    place = Window.partitionBy("page_number").orderBy("row_number", *before)
+    place = Window.partitionBy(*page_keys(df)).orderBy("row_number", *before)
     return df.withColumn("row_number", F.row_number().over(place))
 
 
@@ -102,13 +105,13 @@ def rename_column(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.withColumnRenamed(column, name)
 
 
-def edit_cell(df: DataFrame, page_number: int, row_number: int, column: str, value: str) -> DataFrame:
+def edit_cell(df: DataFrame, page: Page, row_number: int, column: str, value: str) -> DataFrame:
     _named(df, column)
-    _require(df, [(page_number, row_number)], "no such cell")
-    return df.withColumn(column, F.when(_key(page_number, row_number), F.lit(value)).otherwise(F.col(column)))
+    _require(df, [(page, row_number)], "no such cell")
+    return df.withColumn(column, F.when(_key(df, page, row_number), F.lit(value)).otherwise(F.col(column)))
 
 
-def move_cell(df: DataFrame, source: tuple[int, int, str], target: tuple[int, int, str]) -> DataFrame:
+def move_cell(df: DataFrame, source: tuple[Page, int, str], target: tuple[Page, int, str]) -> DataFrame:
     """Appends the source's text to the target's and clears the source; a blank source changes no target."""
     if tuple(source) == tuple(target):
         raise ValueError("source and target are the same cell")
@@ -116,23 +119,23 @@ def move_cell(df: DataFrame, source: tuple[int, int, str], target: tuple[int, in
     _named(df, column)
     _named(df, to_column)
     _require(df, [(page, row), (to_page, to_row)], "no such source or target cell")
-    moved = df.filter(_key(page, row)).limit(1).select(strip_ws(text_of(F.col(column))).alias("_moved"))  # one row
+    moved = df.filter(_key(df, page, row)).limit(1).select(strip_ws(text_of(F.col(column))).alias("_moved"))  # one row
     both = df.crossJoin(F.broadcast(moved))
-    clear = lambda c: F.when(_key(page, row), F.lit("")).otherwise(c)
+    clear = lambda c: F.when(_key(df, page, row), F.lit("")).otherwise(c)
     old = strip_ws(text_of(F.col(to_column)))
     joined = F.when(old != "", F.concat(old, F.lit(" "), F.col("_moved"))).otherwise(F.col("_moved"))
-    fill = F.when(_key(to_page, to_row) & (F.col("_moved") != ""), joined).otherwise(F.col(to_column))
+    fill = F.when(_key(df, to_page, to_row) & (F.col("_moved") != ""), joined).otherwise(F.col(to_column))
     if column == to_column:
         return both.withColumn(column, clear(fill)).drop("_moved")
     return both.withColumns({to_column: fill, column: clear(F.col(column))}).drop("_moved")
 
 
-def split_row(df: DataFrame, page_number: int, row_number: int, delimiter: str) -> DataFrame:
+def split_row(df: DataFrame, page: Page, row_number: int, delimiter: str) -> DataFrame:
     """Splits every data column of a row at the first literal delimiter; the right parts make a new row."""
     if not delimiter:
         raise ValueError("the delimiter is empty")
-    _require(df, [(page_number, row_number)], "no such row")
-    here = _key(page_number, row_number)
+    _require(df, [(page, row_number)], "no such row")
+    here = _key(df, page, row_number)
     two = df.withColumn("_half", F.explode(F.when(here, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     new = {}
     for c in data_columns(df):
@@ -141,39 +144,42 @@ def split_row(df: DataFrame, page_number: int, row_number: int, delimiter: str)
     return normalize_row_numbers(two.withColumns(new), "_half").drop("_half")
 
 
-def merge_rows(df: DataFrame, rows: list[tuple[int, int]]) -> DataFrame:
+def merge_rows(df: DataFrame, rows: list[tuple[Page, int]]) -> DataFrame:
     """Joins the stripped non-blank values of rows into the first of them and drops the others."""
     if len(set(rows)) < 2:
         raise ValueError("at least two rows are merged")
     _require(df, rows, "no such row")
-    first, chosen = min(rows), _keys(rows)
-    names = data_columns(df)
-    ordered = F.array_sort(F.collect_list(F.struct("page_number", "row_number", *names)))
+    chosen, names, keys = _keys(df, rows), data_columns(df), [*page_keys(df), "row_number"]
+    ordered = F.array_sort(F.collect_list(F.struct(*keys, *names)))
     joined = lambda c: join_stripped(F.transform("_all", lambda s: s[c])).alias(c)
-    one = df.filter(chosen).agg(ordered.alias("_all")).select(F.lit(first[0]).cast(df.schema["page_number"].dataType).alias("page_number"), F.lit(first[1]).cast(df.schema["row_number"].dataType).alias("row_number"), *map(joined, names))
+    first = F.col("_all")[0]
+    one = df.filter(chosen).agg(ordered.alias("_all")).select(*(first[c].alias(c) for c in keys), *map(joined, names))
     return normalize_row_numbers(df.filter(~chosen).unionByName(one))
 
 
-def insert_row(df: DataFrame, page_number: int, after_row: int | None = None) -> DataFrame:
+def insert_row(df: DataFrame, page: Page, after_row: int | None = None) -> DataFrame:
     """A blank row after a row of the page (0: at its top; none: at its end)."""
     after = 2147483647 if after_row is None else after_row
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    blank = df.sparkSession.range(1).select(*(F.lit(page_number if c == "page_number" else after if c == "row_number" else "").cast(kinds[c]).alias(c) for c in df.columns))
+    on_page(df, page)  # is it a page of this table?
+    own = dict(zip(reversed(page_keys(df)), reversed(page if isinstance(page, tuple) else (page,)), strict=False)) | {"row_number": after}
+    blank = df.sparkSession.range(1).select(*(F.lit(own.get(c, "")).cast(kinds[c]).alias(c) for c in df.columns))
     both = df.withColumn("_sub", F.lit(0)).unionByName(blank.withColumn("_sub", F.lit(1)))
     return normalize_row_numbers(both, "_sub").drop("_sub")
 
 
-def delete_rows(df: DataFrame, rows: list[tuple[int, int]]) -> DataFrame:
+def delete_rows(df: DataFrame, rows: list[tuple[Page, int]]) -> DataFrame:
     if not rows:
         raise ValueError("at least one row is removed")
     _require(df, rows, "no such row")
-    return normalize_row_numbers(df.filter(~_keys(rows)))
+    return normalize_row_numbers(df.filter(~_keys(df, rows)))
 
 
-def commit_page_edits(df: DataFrame, page_number: int, edited: DataFrame) -> tuple[DataFrame, bool]:
+def commit_page_edits(df: DataFrame, page: Page, edited: DataFrame) -> tuple[DataFrame, bool]:
     """The table with a page's cells overwritten by an edited page (row_number and data columns), and whether
     that changed anything.  A page of another number of rows is refused."""
-    page = df.filter(F.col("page_number") == page_number)
+    here = on_page(df, page)
+    page = df.filter(here)
     if page.count() != edited.count():
         raise ValueError("the page has another number of rows; rows are added and removed by row operators")
     shared = [c for c in data_columns(df) if c in edited.columns]
@@ -182,4 +188,4 @@ def commit_page_edits(df: DataFrame, page_number: int, edited: DataFrame) -> tup
     changed = joined.select(*(F.col(f"_new_{c}").alias(c) if c in shared else F.col(c) for c in df.columns))
     if not changed.exceptAll(page).limit(1).count() and not page.exceptAll(changed).limit(1).count():
         return df, False
-    return df.filter(~F.coalesce(F.col("page_number") == page_number, F.lit(False))).unionByName(changed), True
+    return df.filter(~here).unionByName(changed), True

@@ -1,5 +1,7 @@
 """Splits along a guide line: boxes with their center on or before the guide go left or up, the others right
-or down.  Cells are found by their present position in the table, as they were extracted."""
+or down.  Cells are found by their present position in the table, as they were extracted.  Cells and boxes belong
+to the page of their document; a page is named as in ``edits``.  Splits of one page look only at that page's cells
+and boxes, so frames that are made for one page (see ``plans.extract.page_frames``) are all they need."""
 
 from __future__ import annotations
 
@@ -8,17 +10,20 @@ from pyspark.sql import functions as F
 
 from tablegeo.functions.geometry import center_x, center_y
 from tablegeo.functions.text import strip_ws, text_of
-from tablegeo.operators.edits import _require, normalize_row_numbers
-from tablegeo.schema import data_columns
+from tablegeo.operators.edits import Page, _require, normalize_row_numbers
+from tablegeo.schema import SYSTEM_COLUMNS, data_columns, on_page, page_keys
 
-CELL = ["page_number", "row_index", "col_index"]
+
+def cell_keys(cells: DataFrame) -> list[str]:
+    return [*page_keys(cells), "row_index", "col_index"]
 
 
 def cell_boxes(cells: DataFrame, items: DataFrame) -> DataFrame:
     """A row for each box of each cell, with its order in the cell."""
-    each = cells.select(*CELL, F.posexplode("source_item_indexes").alias("_order", "item_index"))
-    boxes = items.select("page_number", "item_index", F.col("text").alias("_text"), center_x().alias("_cx"), center_y().alias("_cy"))
-    return each.join(boxes, ["page_number", "item_index"])
+    keys = page_keys(cells)
+    each = cells.select(*cell_keys(cells), F.posexplode("source_item_indexes").alias("_order", "item_index"))
+    boxes = items.select(*keys, "item_index", F.col("text").alias("_text"), center_x().alias("_cx"), center_y().alias("_cy"))
+    return each.join(boxes, [*keys, "item_index"])
 
 
 def _before(axis: str, guide: Column | float) -> Column:
@@ -30,62 +35,88 @@ def partition_cells(cells: DataFrame, items: DataFrame, axis: str, guide) -> Dat
     first = _before(axis, guide)
     text = lambda side: strip_ws(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(side, F.struct("_order", "_text")))), lambda s: s["_text"]), " "))
     count = lambda side: F.sum(F.when(side, 1).otherwise(0)).cast("int")
-    return cell_boxes(cells, items).groupBy(*CELL).agg(count(first).alias("n_before"), count(~first).alias("n_after"), text(first).alias("before"), text(~first).alias("after"))
+    return cell_boxes(cells, items).groupBy(*cell_keys(cells)).agg(count(first).alias("n_before"), count(~first).alias("n_after"), text(first).alias("before"), text(~first).alias("after"))
 
 
 def columns_crossing(cells: DataFrame, items: DataFrame, guide_x) -> DataFrame:
     """(page, col_index): columns with a cell that has boxes on both sides."""
-    return partition_cells(cells, items, "x", guide_x).filter("n_before > 0 and n_after > 0").select("page_number", "col_index").distinct()
+    return partition_cells(cells, items, "x", guide_x).filter("n_before > 0 and n_after > 0").select(*page_keys(cells), "col_index").distinct()
 
 
 def rows_crossing(cells: DataFrame, items: DataFrame, guide_y) -> DataFrame:
     """(page, row_index): rows with boxes on both sides, over the whole row."""
-    sides = partition_cells(cells, items, "y", guide_y).groupBy("page_number", "row_index").agg(F.sum("n_before").alias("a"), F.sum("n_after").alias("b"))
-    return sides.filter("a > 0 and b > 0").select("page_number", "row_index")
+    sides = partition_cells(cells, items, "y", guide_y).groupBy(*page_keys(cells), "row_index").agg(F.sum("n_before").alias("a"), F.sum("n_after").alias("b"))
+    return sides.filter("a > 0 and b > 0").select(*page_keys(cells), "row_index")
 
 
 def cells_crossing_rows(cells: DataFrame, items: DataFrame, guide_y) -> DataFrame:
     """(page, row_index): rows with a cell that itself has boxes on both sides."""
-    return partition_cells(cells, items, "y", guide_y).filter("n_before > 0 and n_after > 0").select("page_number", "row_index").distinct()
+    return partition_cells(cells, items, "y", guide_y).filter("n_before > 0 and n_after > 0").select(*page_keys(cells), "row_index").distinct()
 
 
-def split_column_visual(table: DataFrame, cells: DataFrame, items: DataFrame, page_number: int, column: str, guide_x, left: str = "", right: str = "") -> DataFrame:
-    """Replaces a column by its texts left and right of the guide; rows of other pages stay left."""
-    at, number = table.columns.index(column), data_columns(table).index(column) + 1
-    names = [left.strip() or f"{column}_left", right.strip() or f"{column}_right"]
-    if set(names) & (set(table.columns) - {column}) or names[0] == names[1]:
-        raise ValueError(f"column {names[0]} or {names[1]} exists")
-    here = lambda df: df.filter((F.col("page_number") == page_number) & (F.col("col_index") == number))
-    sides = partition_cells(here(cells), items.filter(F.col("page_number") == page_number), "x", guide_x)
-    whole = here(cells).select(*CELL).join(sides, CELL, "left").select("page_number", F.col("row_index").alias("row_number"), F.lit(True).alias("_cell"), "before", "after")
-    joined = table.join(whole, ["page_number", "row_number"], "left")
-    new_left = F.when(F.col("_cell"), F.coalesce("before", F.lit(""))).otherwise(text_of(F.col(column)))
-    rest = [c for c in table.columns if c != column]
-    return joined.select(*rest[:at], new_left.alias(names[0]), F.coalesce("after", F.lit("")).alias(names[1]), *rest[at:])
-
-
-def split_columns_visual(table: DataFrame, cells: DataFrame, items: DataFrame, page_number: int, columns: list[str], guide_x, left: str = "", right: str = "") -> DataFrame:
-    """One column after another, each at the position it then has; unknown columns are passed over."""
+def _sides(table: DataFrame, cells: DataFrame, items: DataFrame, page: Page, some: Column, axis: str, guide) -> DataFrame:
+    """Some cells of one page, with both sides where they have boxes, keyed as the table is."""
+    here = cells.filter(on_page(cells, page) & some)
+    sides = partition_cells(here, items.filter(on_page(items, page)), axis, guide)
+    whole = here.select(*cell_keys(here)).join(sides, cell_keys(here), "left")
+    return whole.select(*page_keys(table), F.col("row_index").alias("row_number"), "col_index", "before", "after")
+
+
+def split_columns_visual(table: DataFrame, cells: DataFrame, items: DataFrame, page: Page, columns: list[str], guide_x, left: str = "", right: str = "") -> DataFrame:
+    """Columns one after another, each at the position it then has; unknown columns are passed over.  The texts of
+    all of them come from one look at the page's cells."""
     left, right = left.strip() or "left", right.strip() or "right"
-    for column in columns:
-        if column in table.columns:
-            table = split_column_visual(table, cells, items, page_number, column, guide_x, f"{column}_{left}", f"{column}_{right}")
-    return table
+    named = [(c, f"{c}_{left}", f"{c}_{right}") for c in columns if c in table.columns]
+    return _split_columns(table, cells, items, page, named, guide_x)
+
+
+def _split_columns(table: DataFrame, cells: DataFrame, items: DataFrame, page: Page, named: list[tuple[str, str, str]], guide_x) -> DataFrame:
+    order, numbers = list(table.columns), {}
+    for column, one, two in named:
+        if column not in order:
+            continue
+        at = order.index(column)
+        if one == two or {one, two} & (set(order) - {column}):
+            raise ValueError(f"column {one} or {two} exists")
+        numbers[column] = (data_of(order).index(column) + 1, one, two)
+        order[at : at + 1] = [one, two]
+    if not numbers:
+        return table
+    sides = _sides(table, cells, items, page, F.col("col_index").isin([n for n, _, _ in numbers.values()]), "x", guide_x)
+    value = F.struct(F.coalesce("before", F.lit("")).alias("a"), F.coalesce("after", F.lit("")).alias("b"))
+    keys = [*page_keys(table), "row_number"]
+    by_row = sides.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("col_index", value))).alias("_m"))
+    joined = table.join(F.broadcast(by_row), keys, "left")  # one page's rows
+    new = {}
+    for column, (number, one, two) in numbers.items():
+        own = F.try_element_at("_m", F.lit(number))
+        new[one] = F.coalesce(own["a"], text_of(F.col(column)))
+        new[two] = F.coalesce(own["b"], F.lit(""))
+    return joined.select(*(new[c].alias(c) if c in new else F.col(c) for c in order))
 
 
-def split_rows_visual(table: DataFrame, cells: DataFrame, items: DataFrame, page_number: int, rows: list[int], guide_y) -> DataFrame:
+def data_of(columns: list[str]) -> list[str]:
+    return [c for c in columns if c not in SYSTEM_COLUMNS]
+
+
+def split_column_visual(table: DataFrame, cells: DataFrame, items: DataFrame, page: Page, column: str, guide_x, left: str = "", right: str = "") -> DataFrame:
+    """Replaces a column by its texts left and right of the guide; rows of other pages stay left."""
+    table.columns.index(column)
+    return _split_columns(table, cells, items, page, [(column, left.strip() or f"{column}_left", right.strip() or f"{column}_right")], guide_x)
+
+
+def split_rows_visual(table: DataFrame, cells: DataFrame, items: DataFrame, page: Page, rows: list[int], guide_y) -> DataFrame:
     """Splits rows of a page along a horizontal guide, all in one pass; a column without a cell keeps its
     value above."""
     if not rows:
         return table
-    _require(table, [(page_number, r) for r in rows], "no such row")
-    names = data_columns(table)
-    here = lambda df: df.filter((F.col("page_number") == page_number) & F.col("row_index").isin(rows))
-    sides = here(cells).select(*CELL).join(partition_cells(here(cells), items.filter(F.col("page_number") == page_number), "y", guide_y), CELL, "left")
+    _require(table, [(page, r) for r in rows], "no such row")
+    names, keys = data_columns(table), [*page_keys(table), "row_number"]
+    sides = _sides(table, cells, items, page, F.col("row_index").isin(rows), "y", guide_y)
     value = F.struct(F.coalesce("before", F.lit("")).alias("a"), F.coalesce("after", F.lit("")).alias("b"))
-    by_row = sides.groupBy("page_number", F.col("row_index").alias("row_number")).agg(F.map_from_entries(F.collect_list(F.struct("col_index", value))).alias("_m"))
-    joined = table.join(by_row, ["page_number", "row_number"], "left")
-    chosen = (F.col("page_number") == page_number) & F.col("row_number").isin(rows)
+    by_row = sides.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("col_index", value))).alias("_m"))
+    joined = table.join(F.broadcast(by_row), keys, "left")  # one page's rows
+    chosen = on_page(table, page) & F.coalesce(F.col("row_number").isin(rows), F.lit(False))
     two = joined.withColumn("_half", F.explode(F.when(chosen, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     new = {}
     for i, c in enumerate(names, start=1):
@@ -94,13 +125,11 @@ def split_rows_visual(table: DataFrame, cells: DataFrame, items: DataFrame, page
     return normalize_row_numbers(two.withColumns(new), "_half").select(*table.columns)
 
 
-def split_row_visual(table: DataFrame, cells: DataFrame, items: DataFrame, page_number: int, row_number: int, guide_y) -> DataFrame:
-    return split_rows_visual(table, cells, items, page_number, [row_number], guide_y)
+def split_row_visual(table: DataFrame, cells: DataFrame, items: DataFrame, page: Page, row_number: int, guide_y) -> DataFrame:
+    return split_rows_visual(table, cells, items, page, [row_number], guide_y)
 
 
-def crossing_row_numbers(table: DataFrame, cells: DataFrame, items: DataFrame, page_number: int, guide_y) -> list[int]:
+def crossing_row_numbers(table: DataFrame, cells: DataFrame, items: DataFrame, page: Page, guide_y) -> list[int]:
     """The rows of one page that a guide crosses; as many as a page has at most."""
-    page = lambda df: df.filter(F.col("page_number") == page_number)
-    return sorted(r.row_index for r in rows_crossing(page(cells), page(items), guide_y).collect())
-
-
+    here = lambda df: df.filter(on_page(df, page))
+    return sorted(r.row_index for r in rows_crossing(here(cells), here(items), guide_y).collect())

@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegeo.functions.text import text_of
-from tablegeo.schema import PAGE, data_columns
+from tablegeo.schema import PAGE, data_columns, on_page, page_keys
 
 
-def page_slice(table: DataFrame, page_number: int) -> DataFrame:
-    return table.filter(F.col("page_number") == page_number).drop("page_number")
+def page_slice(table: DataFrame, page: int | tuple[str, int]) -> DataFrame:
+    """The rows of one page; of many documents, ``page`` is (doc_key, page_number)."""
+    return table.filter(on_page(table, page)).drop(*PAGE)
 
 
 def cell_lookup(table: DataFrame, cells: DataFrame) -> DataFrame:
-    """The long table with each cell's hull and sources, by page, row and column."""
-    found = cells.select("page_number", F.col("row_index").alias("row_number"), "col_index", "x0", "y0", "x1", "y1", "source_item_indexes")
-    return table.join(found, ["page_number", "row_number", "col_index"], "left")
+    """The long table with each cell's hull and sources, by document, page, row and column."""
+    keys = page_keys(table)
+    found = cells.select(*keys, F.col("row_index").alias("row_number"), "col_index", "x0", "y0", "x1", "y1", "source_item_indexes")
+    return table.join(found, [*keys, "row_number", "col_index"], "left")
 
 
 def lineage_items(cells: DataFrame, row_number: int | None = None, col_index: int | None = None) -> DataFrame:
@@ -29,18 +31,18 @@ def lineage_items(cells: DataFrame, row_number: int | None = None, col_index: in
 
 
 def workspace_payload(table: DataFrame, cells: DataFrame, items: DataFrame) -> DataFrame:
-    """(page_number, part, position, payload): what an editor shows, as JSON lines: rows (null as empty
+    """(page, part, position, payload): what an editor shows, as JSON lines: rows (null as empty
     text), cells and items, and the last row number."""
-    names = data_columns(table)
-    rows = table.select("page_number", F.lit("row").alias("part"), F.col("row_number").alias("position"), F.to_json(F.struct("row_number", *(text_of(F.col(c)).alias(c) for c in names))).alias("payload"))
-    boxes = items.select("page_number", F.lit("item").alias("part"), F.col("item_index").alias("position"), F.to_json(F.struct("item_index", "text", "confidence", "x0", "y0", "x1", "y1")).alias("payload"))
-    found = cells.select("page_number", F.lit("cell").alias("part"), (F.col("row_index") * 1000 + F.col("col_index")).alias("position"), F.to_json(F.struct("row_index", "col_index", "text", "x0", "y0", "x1", "y1", "source_item_indexes")).alias("payload"))
-    last = table.groupBy("page_number").agg(F.max("row_number").alias("n")).select("page_number", F.lit("max_row").alias("part"), F.lit(0).alias("position"), F.col("n").cast("string").alias("payload"))
+    names, keys = data_columns(table), page_keys(table)
+    rows = table.select(*keys, F.lit("row").alias("part"), F.col("row_number").alias("position"), F.to_json(F.struct("row_number", *(text_of(F.col(c)).alias(c) for c in names))).alias("payload"))
+    boxes = items.select(*keys, F.lit("item").alias("part"), F.col("item_index").alias("position"), F.to_json(F.struct("item_index", "text", "confidence", "x0", "y0", "x1", "y1")).alias("payload"))
+    found = cells.select(*keys, F.lit("cell").alias("part"), (F.col("row_index") * 1000 + F.col("col_index")).alias("position"), F.to_json(F.struct("row_index", "col_index", "text", "x0", "y0", "x1", "y1", "source_item_indexes")).alias("payload"))
+    last = table.groupBy(*keys).agg(F.max("row_number").alias("n")).select(*keys, F.lit("max_row").alias("part"), F.lit(0).alias("position"), F.col("n").cast("string").alias("payload"))
     return rows.unionByName(found).unionByName(boxes).unionByName(last)
 
 
 def preview(table: DataFrame, rows: int = 20) -> DataFrame:
-    return table.orderBy("page_number", "row_number").limit(rows)
+    return table.orderBy(*page_keys(table), "row_number").limit(rows)
 
 
 def table_metrics(table: DataFrame) -> DataFrame:

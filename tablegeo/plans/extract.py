@@ -1,18 +1,17 @@
 """Page extraction: items to cells and page tables, for all pages in one plan.
 
-One shuffle deals the items by page; slant, rows, segments, columns and cells all work under that dealing.
-Only the wide table needs to know the widest page first (``max_columns``, the one action)."""
+Slant, rows, segments, columns and cells all work page by page.  Only the wide table needs to know the widest
+page first (``max_columns``, the one action)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegeo.operators import columns as C
 from tablegeo.operators import rows as R
 from tablegeo.operators.items import estimate_slant
-from tablegeo.schema import PAGE, column_names
+from tablegeo.schema import PAGE, column_names, on_page
 
 
 def analyzed(items: DataFrame, slant: DataFrame | None = None) -> DataFrame:
@@ -38,15 +37,23 @@ def max_columns(analysis: DataFrame) -> int:
 
 def page_table(analysis: DataFrame, width: int | None = None) -> DataFrame:
     """page_number, row_number, col_1 .. col_n: short rows padded with empty text.  Without a given width the
-    texts are kept (in memory, then on disk) while the widest row is looked for, so pages are analysed once."""
+    texts are written to the checkpoint folder, if there is one, while the widest row is looked for, so that pages
+    are analysed once and nothing stays in memory; else they are analysed twice."""
     texts = C.table_texts(analysis)
     if width is None:
-        texts = texts.persist(StorageLevel.MEMORY_AND_DISK)
+        if texts.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            texts = texts.checkpoint()
         width = texts.agg(F.max("n_cols")).first()[0]
     names = column_names(width or 1)
     return texts.select("doc_key", "page_number", "row_number", *(F.coalesce(F.get("texts", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)))
 
 
+def page_frames(items: DataFrame, page: tuple[str, int], slant: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, cells) of one page: what splits along a guide need, read and analysed for that page only."""
+    own = items.filter(on_page(items, page))
+    return own, cells(analyzed(own, None if slant is None else slant.filter(on_page(slant, page))))
+
+
 def table_long(analysis: DataFrame) -> DataFrame:
     """The page table in long form: page, row_number, col_index, text."""
     return C.table_texts(analysis).select(*PAGE, "row_number", F.posexplode("texts").alias("col_index", "text")).withColumn("col_index", F.col("col_index") + 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -9,9 +10,11 @@ from datetime import UTC, datetime
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegeo.operators.lookup import page_slice
+
 
 def content_key(files: DataFrame) -> DataFrame:
     """Binary files with their hexadecimal SHA-256 as doc_key."""
@@ -105,12 +108,12 @@ class Session:
             self.log.append(operation_record(action, {}))
         return self.current
 
-    def store_draft(self, key: str, page_number: int, page: DataFrame) -> None:
-        self.drafts[key, page_number] = page
+    def store_draft(self, key: str, page: int | tuple[str, int], rows: DataFrame) -> None:
+        self.drafts[key, page] = rows
 
-    def draft(self, key: str, page_number: int) -> DataFrame:
-        """The draft of a page, else the page as it is."""
-        return self.drafts.get((key, page_number), self.current.filter(F.col("page_number") == page_number).drop("page_number"))
+    def draft(self, key: str, page: int | tuple[str, int]) -> DataFrame:
+        """The draft of a page, else the page as it is; of many documents, ``page`` is (doc_key, page_number)."""
+        return self.drafts[key, page] if (key, page) in self.drafts else page_slice(self.current, page)
 
     def report(self) -> dict[str, Any]:
         return {
@@ -119,6 +122,34 @@ class Session:
         }
 
 
+class Sessions:
+    """The open sessions by state key.  Opening a key again gives the session as it stands: corrections, stacks
+    and log are not lost, and the table is not made again."""
+
+    def __init__(self) -> None:
+        self.open_sessions: dict[str, Session] = {}
+
+    def open(self, key: str, make: Callable[[], DataFrame], selective: dict[str, Any] | None = None) -> Session:
+        if key not in self.open_sessions:
+            self.open_sessions[key] = Session(make(), selective)
+        return self.open_sessions[key]
+
+    def close(self, key: str) -> None:
+        self.open_sessions.pop(key, None)
+
+
+def memoised(spark: SparkSession, folder: str, doc_key: str, version: str, pages: list[int] | None, parse: Callable[[], DataFrame]) -> DataFrame:
+    """What ``parse`` gives for a document, made once for each content, version and choice of pages: it is kept as
+    Parquet under ``folder`` (any store that Spark writes to) and read from there afterwards.  A write that was cut
+    short has no success mark and is made again."""
+    name = hashlib.sha256(f"{state_key(doc_key, pages)}|{version}".encode()).hexdigest()
+    path = f"{folder}/{name}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        parse().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def operation_log(session: str, log: list[dict[str, Any]], spark) -> DataFrame:
     """A session's log as rows."""
     rows = [(session, i, datetime.fromisoformat(r["timestamp"]), r["action"], json.dumps(r["metadata"], default=str)) for i, r in enumerate(log, start=1)]

@@ -35,12 +35,28 @@ def polygon(*points: tuple[float, float]):
     return F.array(*(point(F.lit(float(x)), F.lit(float(y))) for x, y in points))
 
 
-def first_page(spark: SparkSession, sf_dir: str) -> int:
+def first_order(spark: SparkSession, sf_dir: str) -> int:
     """The first order with three lines or more: the page that single-page edits work on."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").count().filter("count >= 3")
     return lines.agg(F.min("l_orderkey")).first()[0]
 
 
+def first_page(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """That page in the layouts of boxes."""
+    return "d", first_order(spark, sf_dir)
+
+
+def edit_page(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """That page in the table of edits."""
+    order = first_order(spark, sf_dir)
+    return ("even" if order % 2 == 0 else "odd"), order // 2
+
+
+def of_document(sql: str) -> str:
+    """SQL over the layouts of boxes, which are all of the document d, with its key."""
+    return f"SELECT 'd' AS doc_key, * FROM ({sql})"
+
+
 def analysis(spark: SparkSession, sf_dir: str, layout=lay.gaps) -> DataFrame:
     items = layout(spark, sf_dir)
     return extract.analyzed(items, extract.upright(items))
@@ -107,9 +123,9 @@ tgrid AS (SELECT DISTINCT page_number, row_index AS row_number, CAST(unnest(rang
 long AS (SELECT g.page_number, g.row_number, g.col_index, coalesce(text, '') AS text FROM tgrid g LEFT JOIN tt USING (page_number, row_number, col_index))"""
 WITH = "WITH RECURSIVE "
 L7 = NL + """,
-t AS (SELECT page_number, rn AS row_number, CAST(k AS VARCHAR) AS col_1, CASE WHEN k % 2 = 0 THEN flag || ' ' || status ELSE flag END AS col_2,
+t AS (SELECT CASE WHEN page_number % 2 = 0 THEN 'even' ELSE 'odd' END AS doc_key, CAST(page_number // 2 AS INTEGER) AS page_number, rn AS row_number, CAST(k AS VARCHAR) AS col_1, CASE WHEN k % 2 = 0 THEN flag || ' ' || status ELSE flag END AS col_2,
   CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN ' ' ELSE quantity END AS col_3, status AS col_4 FROM nl),
-fp AS (SELECT CAST(min(l_orderkey) AS INTEGER) AS p FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3))"""
+fp AS (SELECT CASE WHEN m % 2 = 0 THEN 'even' ELSE 'odd' END AS d, CAST(m // 2 AS INTEGER) AS p FROM (SELECT min(l_orderkey) AS m FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 3)))"""
 
 
 # -- sources and boxes -----------------------------------------------------------------------------------
@@ -181,9 +197,15 @@ d AS (SELECT page_number, text, priority, confidence, x0 + dx AS x0, y0 + dy AS
 NEAR = "abs({0}.x0 - {1}.x0) <= greatest(2, 0.35::DOUBLE * least({0}.x1 - {0}.x0, {1}.x1 - {1}.x0)) AND abs({0}.x1 - {1}.x1) <= greatest(2, 0.35::DOUBLE * least({0}.x1 - {0}.x0, {1}.x1 - {1}.x0)) AND abs({0}.y0 - {1}.y0) <= greatest(2, 0.35::DOUBLE * least({0}.y1 - {0}.y0, {1}.y1 - {1}.y0)) AND abs({0}.y1 - {1}.y1) <= greatest(2, 0.35::DOUBLE * least({0}.y1 - {0}.y0, {1}.y1 - {1}.y0))"
 
 
-@query(WITH + DUPLICATES + f" SELECT a.page_number, a.seq AS seq_a, b.seq AS seq_b FROM d a JOIN d b ON a.page_number = b.page_number AND a.text = b.text AND a.seq < b.seq WHERE {NEAR.format('a', 'b')}")
+#: One text of a page after another, so that pairs are made inside groups and never over a whole page.
+PAIRS = """, g AS MATERIALIZED (SELECT page_number, list({'seq': seq, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}) AS l FROM d GROUP BY page_number, text),
+ga AS MATERIALIZED (SELECT page_number, l, unnest(l) AS a FROM g), gb AS MATERIALIZED (SELECT page_number, a, unnest(l) AS b FROM ga)
+SELECT page_number, a.seq AS seq_a, b.seq AS seq_b FROM gb WHERE a.seq < b.seq AND """
+
+
+@query(of_document(WITH + DUPLICATES + PAIRS + NEAR.format("a", "b")))
 def same_item_pairs(spark, sf_dir):
-    return I.same_item_pairs(lay.duplicates(spark, sf_dir)).drop("doc_key")
+    return I.same_item_pairs(lay.duplicates(spark, sf_dir))
 
 
 @query(WITH + DUPLICATES + f""", s AS (SELECT *, row_number() OVER (PARTITION BY page_number, text ORDER BY priority, confidence DESC, y0, x0, seq) AS ord FROM d),
@@ -230,15 +252,15 @@ def selective_items(spark, sf_dir):
     return I.select_in_polygon(lay.report(spark, sf_dir), polygon(*DIAMOND)).select("page_number", "text", "item_index")
 
 
-@query(WITH + L1 + " SELECT page_number, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM items GROUP BY page_number")
+@query(of_document(WITH + L1 + " SELECT page_number, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM items GROUP BY page_number"))
 def page_hull(spark, sf_dir):
-    return I.page_hull(lay.report(spark, sf_dir)).drop("doc_key")
+    return I.page_hull(lay.report(spark, sf_dir))
 
 
-@query(WITH + L1 + ' SELECT page_number, item_index, x0 / 480 * 100 AS "left", y0 / 842 * 100 AS top, (x1 - x0) / 480 * 100 AS width, (y1 - y0) / 842 * 100 AS height FROM items')
+@query(of_document(WITH + L1 + ' SELECT page_number, item_index, x0 / 480 * 100 AS "left", y0 / 842 * 100 AS top, (x1 - x0) / 480 * 100 AS width, (y1 - y0) / 842 * 100 AS height FROM items'))
 def overlay_percent(spark, sf_dir):
     items = lay.report(spark, sf_dir)
-    return I.overlay_percent(items, lay.pages_of(items)).drop("doc_key")
+    return I.overlay_percent(items, lay.pages_of(items))
 
 
 @query(WITH + L1 + " SELECT page_number, (greatest(0, least(480, min(x0) - 70)) + greatest(0, least(480, max(x1) + 300))) / 2 AS x_guide, (greatest(0, least(842, min(y0))) + greatest(0, least(842, max(y1)))) / 2 AS y_guide FROM items GROUP BY page_number")
@@ -251,9 +273,9 @@ def guide_value(spark, sf_dir):
 # -- rows and columns ------------------------------------------------------------------------------------
 
 
-@query(WITH + L1 + CLUSTERED + " SELECT * FROM tol")
+@query(of_document(WITH + L1 + CLUSTERED + " SELECT * FROM tol"))
 def row_tolerance(spark, sf_dir):
-    return R.row_tolerance(lay.report(spark, sf_dir)).drop("doc_key")
+    return R.row_tolerance(lay.report(spark, sf_dir))
 
 
 @query(WITH + L1 + CLUSTERED + " SELECT page_number, item_index, row_index FROM rows0")
@@ -261,19 +283,19 @@ def cluster_rows(spark, sf_dir):
     return R.cluster_rows(lay.report(spark, sf_dir)).select("page_number", "item_index", "row_index")
 
 
-@query(WITH + L5 + CLUSTERED + EXTENTS + " SELECT * FROM ext")
+@query(of_document(WITH + L5 + CLUSTERED + EXTENTS + " SELECT * FROM ext"))
 def row_extents(spark, sf_dir):
-    return R.row_extents(R.cluster_rows(lay.gaps(spark, sf_dir))).drop("doc_key")
+    return R.row_extents(R.cluster_rows(lay.gaps(spark, sf_dir)))
 
 
-@query(WITH + L5 + CLUSTERED + EXTENTS + """, st AS (SELECT *, row_index - row_number() OVER (PARTITION BY page_number ORDER BY row_index) AS g FROM ext WHERE n >= 2 OR width >= 0.35::DOUBLE * 480),
+@query(of_document(WITH + L5 + CLUSTERED + EXTENTS + """, st AS (SELECT *, row_index - row_number() OVER (PARTITION BY page_number ORDER BY row_index) AS g FROM ext WHERE n >= 2 OR width >= 0.35::DOUBLE * 480),
 runs AS (SELECT page_number, min(row_index) AS s, max(row_index) AS e FROM st GROUP BY page_number, g),
 best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY page_number ORDER BY e - s DESC, s) = 1),
 last AS (SELECT page_number, max(row_index) AS l FROM ext GROUP BY page_number)
-SELECT page_number, CAST(coalesce(s - 1, 0) AS INTEGER) AS band_start, CAST(coalesce(e, l) - 1 AS INTEGER) AS band_end FROM last LEFT JOIN best USING (page_number)""")
+SELECT page_number, CAST(coalesce(s - 1, 0) AS INTEGER) AS band_start, CAST(coalesce(e, l) - 1 AS INTEGER) AS band_end FROM last LEFT JOIN best USING (page_number)"""))
 def table_band(spark, sf_dir):
     items = lay.gaps(spark, sf_dir)
-    return R.table_band(R.cluster_rows(items), lay.pages_of(items)).drop("doc_key")
+    return R.table_band(R.cluster_rows(items), lay.pages_of(items))
 
 
 @query(WITH + L5 + CLUSTERED + SEGMENTED + " SELECT DISTINCT page_number, row_index, segment_id FROM segs")
@@ -352,55 +374,60 @@ def column_names(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in names(width)], "name string")
 
 
-@query(WITH + L5 + CLUSTERED + TEXTS + " SELECT * FROM long")
+@query(of_document(WITH + L5 + CLUSTERED + TEXTS + " SELECT * FROM long"))
 def extract_table(spark, sf_dir):
-    return extract.table_long(analysis(spark, sf_dir)).drop("doc_key")
+    return extract.table_long(analysis(spark, sf_dir))
 
 
 PAGE_TABLE = TEXTS + ",\npt AS (SELECT page_number, row_number, coalesce(max(text) FILTER (col_index = 1), '') AS col_1, coalesce(max(text) FILTER (col_index = 2), '') AS col_2, coalesce(max(text) FILTER (col_index = 3), '') AS col_3, coalesce(max(text) FILTER (col_index = 4), '') AS col_4 FROM long GROUP BY ALL)"
 
 
-@query(WITH + L1 + CLUSTERED + PAGE_TABLE + " SELECT * FROM pt")
+@query(of_document(WITH + L1 + CLUSTERED + PAGE_TABLE + " SELECT * FROM pt"))
 def page_table(spark, sf_dir):
-    return extract.page_table(analysis(spark, sf_dir, lay.report)).drop("doc_key")
+    return extract.page_table(analysis(spark, sf_dir, lay.report))
 
 
-@query(WITH + INSIDE.replace("items AS", "all_items AS").replace("FROM items i", "FROM all_items i") + ", items AS (SELECT a.* EXCLUDE (item_index), CAST(row_number() OVER (PARTITION BY page_number ORDER BY a.item_index) - 1 AS INTEGER) AS item_index FROM all_items a JOIN hit h USING (page_number, item_index) WHERE inside)" + CLUSTERED + TEXTS + " SELECT * FROM long")
+@query(of_document(WITH + INSIDE.replace("items AS", "all_items AS").replace("FROM items i", "FROM all_items i") + ", items AS (SELECT a.* EXCLUDE (item_index), CAST(row_number() OVER (PARTITION BY page_number ORDER BY a.item_index) - 1 AS INTEGER) AS item_index FROM all_items a JOIN hit h USING (page_number, item_index) WHERE inside)" + CLUSTERED + TEXTS + " SELECT * FROM long"))
 def selective_extract(spark, sf_dir):
     items = I.select_in_polygon(lay.report(spark, sf_dir), polygon(*DIAMOND))
-    return extract.table_long(extract.analyzed(items, extract.upright(items))).drop("doc_key")
+    return extract.table_long(extract.analyzed(items, extract.upright(items)))
 
 
 # -- reading tables --------------------------------------------------------------------------------------
 
 
-@query(WITH + L7 + " SELECT row_number, col_1, col_2, col_3, col_4 FROM t JOIN fp ON page_number = p")
+@query(WITH + L7 + " SELECT row_number, col_1, col_2, col_3, col_4 FROM t JOIN fp ON doc_key = d AND page_number = p")
 def page_slice(spark, sf_dir):
-    return L.page_slice(lay.edit_table(spark, sf_dir), first_page(spark, sf_dir))
+    return L.page_slice(lay.edit_table(spark, sf_dir), edit_page(spark, sf_dir))
 
 
-@query(WITH + L5 + CLUSTERED + TEXTS + CELLS.removeprefix(COLUMNS) + " SELECT l.*, c.x0, c.y1, len(c.source_item_indexes) AS n_sources FROM long l LEFT JOIN cells c ON l.page_number = c.page_number AND l.row_number = c.row_index AND l.col_index = c.col_index")
+@query(of_document(WITH + L5 + CLUSTERED + TEXTS + CELLS.removeprefix(COLUMNS) + " SELECT l.*, c.x0, c.y1, len(c.source_item_indexes) AS n_sources FROM long l LEFT JOIN cells c ON l.page_number = c.page_number AND l.row_number = c.row_index AND l.col_index = c.col_index"))
 def cell_lookup(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    found = L.cell_lookup(extract.table_long(a).drop("doc_key"), extract.cells(a))
-    return found.select("page_number", "row_number", "col_index", "text", "x0", "y1", F.size("source_item_indexes").cast("long").alias("n_sources"))
+    found = L.cell_lookup(extract.table_long(a), extract.cells(a))
+    return found.select("doc_key", "page_number", "row_number", "col_index", "text", "x0", "y1", F.size("source_item_indexes").cast("long").alias("n_sources"))
 
 
-@query(WITH + L5 + CLUSTERED + CELLS + " SELECT DISTINCT page_number, unnest(source_item_indexes) AS item_index FROM cells WHERE col_index = 2")
+@query(of_document(WITH + L5 + CLUSTERED + CELLS + " SELECT DISTINCT page_number, unnest(source_item_indexes) AS item_index FROM cells WHERE col_index = 2"))
 def lineage_items(spark, sf_dir):
-    return L.lineage_items(extract.cells(analysis(spark, sf_dir)), col_index=2).drop("doc_key")
+    return L.lineage_items(extract.cells(analysis(spark, sf_dir)), col_index=2)
+
 
+PAYLOAD = """
+SELECT page_number, 'row' AS part, CAST(row_number AS INTEGER) AS position, CAST(to_json({'row_number': row_number, 'col_1': col_1, 'col_2': col_2, 'col_3': col_3, 'col_4': col_4}) AS VARCHAR) AS payload FROM pt
+UNION ALL SELECT page_number, 'item', item_index, CAST(to_json({'item_index': item_index, 'text': text, 'confidence': 1.0::DOUBLE, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}) AS VARCHAR) FROM items
+UNION ALL SELECT page_number, 'cell', row_index * 1000 + col_index, CAST(to_json({'row_index': row_index, 'col_index': col_index, 'text': text, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'source_item_indexes': source_item_indexes}) AS VARCHAR) FROM cells
+UNION ALL SELECT page_number, 'max_row', 0, CAST(max(row_number) AS VARCHAR) FROM pt GROUP BY page_number"""
 
-@query(WITH + L1 + ", r AS (SELECT page_number, max(rn) AS n FROM nl GROUP BY page_number) SELECT page_number, CAST(n AS VARCHAR) AS last_row, 4 * n AS n_items, 4 * n AS n_cells, CAST(n AS BIGINT) AS n_rows FROM r")
+
+@query(of_document(WITH + L1 + CLUSTERED + CELLS + TEXTS.removeprefix(COLUMNS) + PAGE_TABLE.removeprefix(TEXTS) + PAYLOAD))
 def workspace_payload(spark, sf_dir):
     items = lay.report(spark, sf_dir)
     a = extract.analyzed(items, extract.upright(items))
-    rows = L.workspace_payload(extract.page_table(a, 4).drop("doc_key"), extract.cells(a), items)
-    count = lambda part: F.sum(F.when(F.col("part") == part, 1).otherwise(0))
-    return rows.groupBy("page_number").agg(F.max(F.when(F.col("part") == "max_row", F.col("payload"))).alias("last_row"), count("item").alias("n_items"), count("cell").alias("n_cells"), count("row").alias("n_rows"))
+    return L.workspace_payload(extract.page_table(a, 4), extract.cells(a), items)
 
 
-@query(WITH + L7 + " SELECT * FROM t ORDER BY page_number, row_number LIMIT 20")
+@query(WITH + L7 + " SELECT * FROM t ORDER BY doc_key, page_number, row_number LIMIT 20")
 def preview_head(spark, sf_dir):
     return L.preview(lay.edit_table(spark, sf_dir))
 
@@ -413,17 +440,17 @@ def table_metrics(spark, sf_dir):
 # -- corrections -----------------------------------------------------------------------------------------
 
 
-@query(WITH + L7 + " SELECT page_number, row_number, col_1, trim(concat_ws(' ', CASE WHEN trim(col_4) <> '' THEN col_4 END, CASE WHEN trim(col_2) <> '' THEN col_2 END, CASE WHEN trim(coalesce(col_3, '')) <> '' THEN col_3 END)) AS merged FROM t")
+@query(WITH + L7 + " SELECT doc_key, page_number, row_number, col_1, trim(concat_ws(' ', CASE WHEN trim(col_4) <> '' THEN col_4 END, CASE WHEN trim(col_2) <> '' THEN col_2 END, CASE WHEN trim(coalesce(col_3, '')) <> '' THEN col_3 END)) AS merged FROM t")
 def merge_columns(spark, sf_dir):
     return E.merge_columns(lay.edit_table(spark, sf_dir), ["col_4", "col_2", "col_3"], " merged ")
 
 
-@query(WITH + L7 + " SELECT page_number, row_number, col_1, trim(string_split(col_2, ' ')[1]) AS flag, trim(string_split(col_2, ' ')[2]) AS status, col_3, col_4 FROM t")
+@query(WITH + L7 + " SELECT doc_key, page_number, row_number, col_1, trim(string_split(col_2, ' ')[1]) AS flag, trim(string_split(col_2, ' ')[2]) AS status, col_3, col_4 FROM t")
 def split_column(spark, sf_dir):
     return E.split_column(lay.edit_table(spark, sf_dir), "col_2", " ", "flag", "status")
 
 
-@query(WITH + L7 + " SELECT page_number, row_number, col_1, trim(col_2) AS col_2_left, '' AS col_2_right, col_3, col_4 FROM t")
+@query(WITH + L7 + " SELECT doc_key, page_number, row_number, col_1, trim(col_2) AS col_2_left, '' AS col_2_right, col_3, col_4 FROM t")
 def split_column_no_hit(spark, sf_dir):
     return E.split_column(lay.edit_table(spark, sf_dir), "col_2", "#")
 
@@ -433,63 +460,64 @@ def insert_column(spark, sf_dir):
     return E.insert_column(lay.edit_table(spark, sf_dir), "col_2")
 
 
-@query(WITH + L7 + " SELECT page_number, row_number, col_1, col_3 FROM t")
+@query(WITH + L7 + " SELECT doc_key, page_number, row_number, col_1, col_3 FROM t")
 def delete_columns(spark, sf_dir):
     return E.delete_columns(lay.edit_table(spark, sf_dir), ["col_2", "col_4"])
 
 
-@query(WITH + L7 + " SELECT page_number, row_number, col_1 AS part, col_2, col_3, col_4 FROM t")
+@query(WITH + L7 + " SELECT doc_key, page_number, row_number, col_1 AS part, col_2, col_3, col_4 FROM t")
 def rename_column(spark, sf_dir):
     return E.rename_column(lay.edit_table(spark, sf_dir), "col_1", " part ")
 
 
-@query(WITH + L7 + " SELECT page_number, row_number, col_1, CASE WHEN page_number = p AND row_number = 2 THEN ' new ' ELSE col_2 END AS col_2, col_3, col_4 FROM t, fp")
+@query(WITH + L7 + " SELECT doc_key, page_number, row_number, col_1, CASE WHEN doc_key = d AND page_number = p AND row_number = 2 THEN ' new ' ELSE col_2 END AS col_2, col_3, col_4 FROM t, fp")
 def edit_cell(spark, sf_dir):
-    return E.edit_cell(lay.edit_table(spark, sf_dir), first_page(spark, sf_dir), 2, "col_2", " new ")
+    return E.edit_cell(lay.edit_table(spark, sf_dir), edit_page(spark, sf_dir), 2, "col_2", " new ")
 
 
-@query(WITH + L7 + """, m AS (SELECT trim(col_2) AS v FROM t, fp WHERE page_number = p AND row_number = 1)
-SELECT page_number, row_number, col_1, CASE WHEN page_number = p AND row_number = 1 THEN '' ELSE col_2 END AS col_2, col_3, CASE WHEN page_number = p AND row_number = 3 THEN trim(trim(col_4) || ' ' || v) ELSE col_4 END AS col_4 FROM t, fp, m""")
+@query(WITH + L7 + """, m AS (SELECT trim(col_2) AS v FROM t, fp WHERE doc_key = d AND page_number = p AND row_number = 1)
+SELECT doc_key, page_number, row_number, col_1, CASE WHEN doc_key = d AND page_number = p AND row_number = 1 THEN '' ELSE col_2 END AS col_2, col_3, CASE WHEN doc_key = d AND page_number = p AND row_number = 3 THEN trim(trim(col_4) || ' ' || v) ELSE col_4 END AS col_4 FROM t, fp, m""")
 def move_cell(spark, sf_dir):
-    p = first_page(spark, sf_dir)
+    p = edit_page(spark, sf_dir)
     return E.move_cell(lay.edit_table(spark, sf_dir), (p, 1, "col_2"), (p, 3, "col_4"))
 
 
-@query(WITH + L7 + """, h AS (SELECT t.*, CAST(unnest(CASE WHEN page_number = p AND row_number = 2 THEN [0, 1] ELSE [0] END) AS INTEGER) AS half, page_number = p AND row_number = 2 AS here FROM t, fp),
-s AS (SELECT page_number, row_number, half, """ + ", ".join(f"CASE WHEN NOT here THEN {c} WHEN half = 0 THEN trim(string_split(coalesce({c}, ''), ' ')[1]) WHEN contains(coalesce({c}, ''), ' ') THEN trim(substr({c}, strpos({c}, ' ') + 1)) ELSE '' END AS {c}" for c in ("col_1", "col_2", "col_3", "col_4")) + """ FROM h)
-SELECT page_number, CAST(row_number() OVER (PARTITION BY page_number ORDER BY row_number, half) AS INTEGER) AS row_number, col_1, col_2, col_3, col_4 FROM s""")
+@query(WITH + L7 + """, h AS (SELECT t.*, CAST(unnest(CASE WHEN doc_key = d AND page_number = p AND row_number = 2 THEN [0, 1] ELSE [0] END) AS INTEGER) AS half, doc_key = d AND page_number = p AND row_number = 2 AS here FROM t, fp),
+s AS (SELECT doc_key, page_number, row_number, half, """ + ", ".join(f"CASE WHEN NOT here THEN {c} WHEN half = 0 THEN trim(string_split(coalesce({c}, ''), ' ')[1]) WHEN contains(coalesce({c}, ''), ' ') THEN trim(substr({c}, strpos({c}, ' ') + 1)) ELSE '' END AS {c}" for c in ("col_1", "col_2", "col_3", "col_4")) + """ FROM h)
+SELECT doc_key, page_number, CAST(row_number() OVER (PARTITION BY doc_key, page_number ORDER BY row_number, half) AS INTEGER) AS row_number, col_1, col_2, col_3, col_4 FROM s""")
 def split_row(spark, sf_dir):
-    return E.split_row(lay.edit_table(spark, sf_dir), first_page(spark, sf_dir), 2, " ")
+    return E.split_row(lay.edit_table(spark, sf_dir), edit_page(spark, sf_dir), 2, " ")
 
 
-@query(WITH + L7 + """, g AS (SELECT page_number, CASE WHEN page_number = p AND row_number IN (1, 3) THEN 1 ELSE row_number END AS gr, page_number = p AND row_number IN (1, 3) AS here, t.* EXCLUDE (page_number) FROM t, fp),
-s AS (SELECT page_number, gr, """ + ", ".join(f"CASE WHEN bool_or(here) THEN coalesce(string_agg(trim({c}), ' ' ORDER BY row_number) FILTER (trim(coalesce({c}, '')) <> ''), '') ELSE max({c}) END AS {c}" for c in ("col_1", "col_2", "col_3", "col_4")) + """ FROM g GROUP BY page_number, gr)
-SELECT page_number, CAST(row_number() OVER (PARTITION BY page_number ORDER BY gr) AS INTEGER) AS row_number, col_1, col_2, col_3, col_4 FROM s""")
+@query(WITH + L7 + """, g AS (SELECT doc_key, page_number, CASE WHEN doc_key = d AND page_number = p AND row_number IN (1, 3) THEN 1 ELSE row_number END AS gr, doc_key = d AND page_number = p AND row_number IN (1, 3) AS here, t.* EXCLUDE (doc_key, page_number) FROM t, fp),
+s AS (SELECT doc_key, page_number, gr, """ + ", ".join(f"CASE WHEN bool_or(here) THEN coalesce(string_agg(trim({c}), ' ' ORDER BY row_number) FILTER (trim(coalesce({c}, '')) <> ''), '') ELSE max({c}) END AS {c}" for c in ("col_1", "col_2", "col_3", "col_4")) + """ FROM g GROUP BY doc_key, page_number, gr)
+SELECT doc_key, page_number, CAST(row_number() OVER (PARTITION BY doc_key, page_number ORDER BY gr) AS INTEGER) AS row_number, col_1, col_2, col_3, col_4 FROM s""")
 def merge_rows(spark, sf_dir):
-    p = first_page(spark, sf_dir)
+    p = edit_page(spark, sf_dir)
     return E.merge_rows(lay.edit_table(spark, sf_dir), [(p, 3), (p, 1)])
 
 
-@query(WITH + L7 + """, b AS (SELECT page_number, row_number, 0 AS sub, col_1, col_2, col_3, col_4 FROM t UNION ALL SELECT p, 1, 1, '', '', '', '' FROM fp)
-SELECT page_number, CAST(row_number() OVER (PARTITION BY page_number ORDER BY row_number, sub) AS INTEGER) AS row_number, col_1, col_2, col_3, col_4 FROM b""")
+@query(WITH + L7 + """, b AS (SELECT doc_key, page_number, row_number, 0 AS sub, col_1, col_2, col_3, col_4 FROM t UNION ALL SELECT d, p, 1, 1, '', '', '', '' FROM fp)
+SELECT doc_key, page_number, CAST(row_number() OVER (PARTITION BY doc_key, page_number ORDER BY row_number, sub) AS INTEGER) AS row_number, col_1, col_2, col_3, col_4 FROM b""")
 def insert_row(spark, sf_dir):
-    return E.insert_row(lay.edit_table(spark, sf_dir), first_page(spark, sf_dir), 1)
+    return E.insert_row(lay.edit_table(spark, sf_dir), edit_page(spark, sf_dir), 1)
 
 
-@query(WITH + L7 + """ SELECT page_number, CAST(row_number() OVER (PARTITION BY page_number ORDER BY row_number) AS INTEGER) AS row_number, col_1, col_2, col_3, col_4 FROM t, fp WHERE NOT (page_number = p AND row_number IN (1, 3))""")
+@query(WITH + L7 + """ SELECT doc_key, page_number, CAST(row_number() OVER (PARTITION BY doc_key, page_number ORDER BY row_number) AS INTEGER) AS row_number, col_1, col_2, col_3, col_4 FROM t, fp WHERE NOT (doc_key = d AND page_number = p AND row_number IN (1, 3))""")
 def delete_rows(spark, sf_dir):
-    p = first_page(spark, sf_dir)
+    p = edit_page(spark, sf_dir)
     return E.delete_rows(lay.edit_table(spark, sf_dir), [(p, 1), (p, 3)])
 
 
-@query(WITH + L7 + " SELECT page_number, CAST(row_number() OVER (PARTITION BY page_number ORDER BY row_number) AS INTEGER) AS row_number, col_1 FROM t WHERE row_number % 2 = 0")
+@query(WITH + L7 + " SELECT * FROM t")
 def normalize_row_numbers(spark, sf_dir):
-    return E.normalize_row_numbers(lay.edit_table(spark, sf_dir).filter("row_number % 2 = 0").select("page_number", "row_number", "col_1"))
+    gaps = lay.edit_table(spark, sf_dir).withColumn("row_number", F.col("row_number") * 2 + 5)
+    return E.normalize_row_numbers(gaps)
 
 
-@query(WITH + L7 + " SELECT page_number, row_number, CASE WHEN page_number = p THEN upper(col_2) || '!' ELSE col_1 END AS col_1, col_2, col_3, col_4 FROM t, fp")
+@query(WITH + L7 + " SELECT doc_key, page_number, row_number, CASE WHEN doc_key = d AND page_number = p THEN upper(col_2) || '!' ELSE col_1 END AS col_1, col_2, col_3, col_4 FROM t, fp")
 def commit_page_edits(spark, sf_dir):
-    table, p = lay.edit_table(spark, sf_dir), first_page(spark, sf_dir)
+    table, p = lay.edit_table(spark, sf_dir), edit_page(spark, sf_dir)
     edited = L.page_slice(table, p).withColumn("col_1", F.concat(F.upper("col_2"), F.lit("!")))
     return E.commit_page_edits(table, p, edited)[0]
 
@@ -504,31 +532,39 @@ sy AS (SELECT page_number, row_index, col_index, count(*) FILTER (cy <= 28) AS n
 GUIDE_X, GUIDE_Y = 85, 28
 
 
+def split_inputs(spark, sf_dir, layout):
+    """(table, cells and boxes of the page to split, the page)."""
+    items, page = layout(spark, sf_dir), first_page(spark, sf_dir)
+    slant = extract.upright(items)
+    own, found = extract.page_frames(items, page, slant)
+    return extract.page_table(extract.analyzed(items, slant), 4), found, own, page
+
+
 def guided(spark, sf_dir, layout=lay.tight):
     items = layout(spark, sf_dir)
     a = extract.analyzed(items, extract.upright(items))
     return items, extract.cells(a), a
 
 
-@query(WITH + L6 + CLUSTERED + GUIDED + " SELECT * FROM sx")
+@query(of_document(WITH + L6 + CLUSTERED + GUIDED + " SELECT * FROM sx"))
 def guide_partition(spark, sf_dir):
     items, found, _ = guided(spark, sf_dir)
     return G.partition_cells(found, items, "x", GUIDE_X)
 
 
-@query(WITH + L6 + CLUSTERED + GUIDED + " SELECT DISTINCT page_number, col_index FROM sx WHERE n_before > 0 AND n_after > 0")
+@query(of_document(WITH + L6 + CLUSTERED + GUIDED + " SELECT DISTINCT page_number, col_index FROM sx WHERE n_before > 0 AND n_after > 0"))
 def columns_crossing(spark, sf_dir):
     items, found, _ = guided(spark, sf_dir)
     return G.columns_crossing(found, items, GUIDE_X)
 
 
-@query(WITH + L5 + CLUSTERED + GUIDED + " SELECT page_number, row_index FROM sy GROUP BY ALL HAVING sum(n_before) > 0 AND sum(n_after) > 0")
+@query(of_document(WITH + L5 + CLUSTERED + GUIDED + " SELECT page_number, row_index FROM sy GROUP BY ALL HAVING sum(n_before) > 0 AND sum(n_after) > 0"))
 def rows_crossing(spark, sf_dir):
     items, found, _ = guided(spark, sf_dir, lay.gaps)
     return G.rows_crossing(found, items, GUIDE_Y)
 
 
-@query(WITH + L6 + CLUSTERED + GUIDED + " SELECT DISTINCT page_number, row_index FROM sy WHERE n_before > 0 AND n_after > 0")
+@query(of_document(WITH + L6 + CLUSTERED + GUIDED + " SELECT DISTINCT page_number, row_index FROM sy WHERE n_before > 0 AND n_after > 0"))
 def rows_crossing_cell(spark, sf_dir):
     items, found, _ = guided(spark, sf_dir)
     return G.cells_crossing_rows(found, items, GUIDE_Y)
@@ -537,18 +573,18 @@ def rows_crossing_cell(spark, sf_dir):
 VISUAL = GUIDED + TEXTS.removeprefix(COLUMNS) + PAGE_TABLE.removeprefix(TEXTS)
 
 
-@query(WITH + L6 + CLUSTERED + VISUAL + """ SELECT t.page_number, t.row_number, CASE WHEN t.page_number = p THEN coalesce(before, CASE WHEN c.col_index IS NULL THEN col_1 ELSE '' END) ELSE col_1 END AS col_1_left, CASE WHEN t.page_number = p THEN coalesce(after, '') ELSE '' END AS col_1_right, col_2, col_3, col_4
-FROM pt t CROSS JOIN fp LEFT JOIN cells c ON c.page_number = t.page_number AND c.row_index = t.row_number AND c.col_index = 1 LEFT JOIN sx ON sx.page_number = t.page_number AND sx.row_index = t.row_number AND sx.col_index = 1""")
+@query(of_document(WITH + L6 + CLUSTERED + VISUAL + """ SELECT t.page_number, t.row_number, CASE WHEN t.page_number = p THEN coalesce(before, CASE WHEN c.col_index IS NULL THEN col_1 ELSE '' END) ELSE col_1 END AS col_1_left, CASE WHEN t.page_number = p THEN coalesce(after, '') ELSE '' END AS col_1_right, col_2, col_3, col_4
+FROM pt t CROSS JOIN fp LEFT JOIN cells c ON c.page_number = t.page_number AND c.row_index = t.row_number AND c.col_index = 1 LEFT JOIN sx ON sx.page_number = t.page_number AND sx.row_index = t.row_number AND sx.col_index = 1"""))
 def split_column_visual(spark, sf_dir):
-    items, found, a = guided(spark, sf_dir)
-    return G.split_column_visual(extract.page_table(a, 4).drop("doc_key"), found, items, first_page(spark, sf_dir), "col_1", GUIDE_X)
+    table, found, items, page = split_inputs(spark, sf_dir, lay.tight)
+    return G.split_column_visual(table, found, items, page, "col_1", GUIDE_X)
 
 
-@query(WITH + L6 + CLUSTERED + VISUAL + """ SELECT t.page_number, t.row_number, CASE WHEN t.page_number = p THEN coalesce(x1.before, '') ELSE col_1 END AS col_1_a, CASE WHEN t.page_number = p THEN coalesce(x1.after, '') ELSE '' END AS col_1_right, CASE WHEN t.page_number = p AND c.col_index IS NOT NULL THEN coalesce(x3.before, '') ELSE col_2 END AS col_2_a, CASE WHEN t.page_number = p THEN coalesce(x3.after, '') ELSE '' END AS col_2_right, col_3, col_4
-FROM pt t CROSS JOIN fp LEFT JOIN sx x1 ON x1.page_number = t.page_number AND x1.row_index = t.row_number AND x1.col_index = 1 LEFT JOIN cells c ON c.page_number = t.page_number AND c.row_index = t.row_number AND c.col_index = 3 LEFT JOIN sx x3 ON x3.page_number = t.page_number AND x3.row_index = t.row_number AND x3.col_index = 3""")
+@query(of_document(WITH + L6 + CLUSTERED + VISUAL + """ SELECT t.page_number, t.row_number, CASE WHEN t.page_number = p THEN coalesce(x1.before, '') ELSE col_1 END AS col_1_a, CASE WHEN t.page_number = p THEN coalesce(x1.after, '') ELSE '' END AS col_1_right, CASE WHEN t.page_number = p AND c.col_index IS NOT NULL THEN coalesce(x3.before, '') ELSE col_2 END AS col_2_a, CASE WHEN t.page_number = p THEN coalesce(x3.after, '') ELSE '' END AS col_2_right, col_3, col_4
+FROM pt t CROSS JOIN fp LEFT JOIN sx x1 ON x1.page_number = t.page_number AND x1.row_index = t.row_number AND x1.col_index = 1 LEFT JOIN cells c ON c.page_number = t.page_number AND c.row_index = t.row_number AND c.col_index = 3 LEFT JOIN sx x3 ON x3.page_number = t.page_number AND x3.row_index = t.row_number AND x3.col_index = 3"""))
 def split_columns_visual(spark, sf_dir):
-    items, found, a = guided(spark, sf_dir)
-    return G.split_columns_visual(extract.page_table(a, 4).drop("doc_key"), found, items, first_page(spark, sf_dir), ["col_1", "col_2", "no_such"], GUIDE_X, "a", "")
+    table, found, items, page = split_inputs(spark, sf_dir, lay.tight)
+    return G.split_columns_visual(table, found, items, page, ["col_1", "col_2", "no_such"], GUIDE_X, "a", "")
 
 
 ROW_CASES = ", ".join(f"CASE WHEN NOT here THEN col_{i} WHEN half = 0 THEN CASE WHEN c{i}.col_index IS NULL THEN col_{i} ELSE coalesce(y{i}.before, '') END ELSE coalesce(y{i}.after, '') END AS col_{i}" for i in range(1, 5))
@@ -558,16 +594,16 @@ s AS (SELECT h.page_number, h.row_number, half, """ + ROW_CASES + " FROM h " + R
 SELECT page_number, CAST(row_number() OVER (PARTITION BY page_number ORDER BY row_number, half) AS INTEGER) AS row_number, col_1, col_2, col_3, col_4 FROM s"""
 
 
-@query(WITH + L1 + CLUSTERED + VISUAL + SPLIT_ROWS.format(rows="2"))
+@query(of_document(WITH + L1 + CLUSTERED + VISUAL + SPLIT_ROWS.format(rows="2")))
 def split_row_visual(spark, sf_dir):
-    items, found, a = guided(spark, sf_dir, lay.report)
-    return G.split_row_visual(extract.page_table(a, 4).drop("doc_key"), found, items, first_page(spark, sf_dir), 2, GUIDE_Y)
+    table, found, items, page = split_inputs(spark, sf_dir, lay.report)
+    return G.split_row_visual(table, found, items, page, 2, GUIDE_Y)
 
 
-@query(WITH + L1 + CLUSTERED + VISUAL + SPLIT_ROWS.format(rows="1, 2"))
+@query(of_document(WITH + L1 + CLUSTERED + VISUAL + SPLIT_ROWS.format(rows="1, 2")))
 def split_rows_visual(spark, sf_dir):
-    items, found, a = guided(spark, sf_dir, lay.report)
-    return G.split_rows_visual(extract.page_table(a, 4).drop("doc_key"), found, items, first_page(spark, sf_dir), [1, 2], GUIDE_Y)
+    table, found, items, page = split_inputs(spark, sf_dir, lay.report)
+    return G.split_rows_visual(table, found, items, page, [1, 2], GUIDE_Y)
 
 
 # -- sessions and exports --------------------------------------------------------------------------------
@@ -600,18 +636,18 @@ def oplog_effective(spark, sf_dir):
     return session.oplog_effective(lay.op_log(spark, sf_dir))
 
 
-@query(WITH + L7 + " SELECT count(*) AS original_row_count, count(*) FILTER (NOT (page_number = p AND row_number = 1)) AS corrected_row_count, 'page_number,row_number,col_1,col_2,col_3,col_4' AS original_columns, 'page_number,row_number,col_1,col_2,col_3,col_4' AS corrected_columns FROM t, fp")
+@query(WITH + L7 + " SELECT count(*) AS original_row_count, count(*) FILTER (NOT (doc_key = d AND page_number = p AND row_number = 1)) AS corrected_row_count, 'doc_key,page_number,row_number,col_1,col_2,col_3,col_4' AS original_columns, 'doc_key,page_number,row_number,col_1,col_2,col_3,col_4' AS corrected_columns FROM t, fp")
 def lineage_report(spark, sf_dir):
     table = lay.edit_table(spark, sf_dir)
-    return session.lineage_report(table, E.delete_rows(table, [(first_page(spark, sf_dir), 1)]))
+    return session.lineage_report(table, E.delete_rows(table, [(edit_page(spark, sf_dir), 1)]))
 
 
-@query(WITH + L7 + " SELECT page_number, row_number, concat_ws(',', page_number, row_number, col_1, col_2, coalesce(col_3, ''), col_4) AS line FROM t")
+@query(WITH + L7 + " SELECT doc_key, page_number, row_number, concat_ws(',', doc_key, page_number, row_number, col_1, col_2, coalesce(col_3, ''), col_4) AS line FROM t")
 def export_csv(spark, sf_dir):
     return sinks.csv_lines(lay.edit_table(spark, sf_dir))
 
 
-@query()
+@query(WITH + L7 + " SELECT doc_key, page_number, row_number, trim(concat_ws(' ', CASE WHEN trim(col_1) <> '' THEN col_1 END, CASE WHEN trim(col_4) <> '' THEN col_4 END)) AS \"both\", col_2 AS flag, col_3 FROM t")
 def oplog_apply(spark, sf_dir):
     own = session.Session(lay.edit_table(spark, sf_dir))
     own.apply("merge_columns", E.merge_columns, columns=["col_1", "col_4"], output="both")
@@ -621,7 +657,7 @@ def oplog_apply(spark, sf_dir):
     return own.current
 
 
-@query()
+@query("""SELECT 's' AS session, CAST(1 AS BIGINT) AS seq, 'delete_columns' AS action, '{"columns": ["col_4"]}' AS metadata UNION ALL SELECT 's', 2, 'undo', '{}'""")
 def operation_log(spark, sf_dir):
     own = session.Session(lay.edit_table(spark, sf_dir))
     own.apply("delete_columns", E.delete_columns, columns=["col_4"])
@@ -629,14 +665,27 @@ def operation_log(spark, sf_dir):
     return session.operation_log("s", own.log, spark).select("session", "seq", "action", "metadata")
 
 
-@query()
+@query(WITH + L7 + " SELECT doc_key, page_number, row_number, CAST(to_json({'doc_key': doc_key, 'page_number': page_number, 'row_number': row_number, 'col_1': col_1, 'col_2': col_2, 'col_3': col_3, 'col_4': col_4}) AS VARCHAR) AS json FROM t")
 def export_metadata(spark, sf_dir):
     return sinks.json_rows(lay.edit_table(spark, sf_dir))
 
 
-@query()
-def page_meta(spark, sf_dir):
-    items = lay.gaps(spark, sf_dir)
-    return extract.page_meta(items, lay.pages_of(items)).drop("doc_key")
+BAND = """,
+st AS (SELECT *, row_index - row_number() OVER (PARTITION BY page_number ORDER BY row_index) AS g FROM ext WHERE n >= 2 OR width >= 0.35::DOUBLE * 480),
+runs AS (SELECT page_number, min(row_index) AS s, max(row_index) AS e FROM st GROUP BY page_number, g),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY page_number ORDER BY e - s DESC, s) = 1),
+last AS (SELECT page_number, max(row_index) AS l FROM ext GROUP BY page_number),
+band AS (SELECT page_number, CAST(coalesce(s - 1, 0) AS INTEGER) AS band_start, CAST(coalesce(e, l) - 1 AS INTEGER) AS band_end FROM last LEFT JOIN best USING (page_number)),
+edge AS (SELECT page_number, segment_id, min(x0) AS l, max(x1) AS r FROM al WHERE aligns GROUP BY ALL),
+ed AS (SELECT page_number, segment_id, CASE WHEN len(boundaries) = 0 THEN centers ELSE list_transform(range(1, len(boundaries) + 2), lambda i: (list_concat([l], boundaries, [r])[i] + list_concat([l], boundaries, [r])[i + 1]) / 2) END AS cs FROM bnd JOIN cen USING (page_number, segment_id) JOIN edge USING (page_number, segment_id)),
+listed AS (SELECT page_number, string_agg(array_to_string(list_transform(cs, lambda x: CAST(round(x, 4) AS VARCHAR)), ','), ';' ORDER BY segment_id) AS centers FROM ed GROUP BY page_number)
+SELECT page_number, 480.0::DOUBLE AS page_width, 842.0::DOUBLE AS page_height, 0.0::DOUBLE AS slant_angle, band_start, band_end, centers, array_to_string(list_transform(range(1, w + 1), lambda i: 'col_' || i), ',') AS names
+FROM band JOIN listed USING (page_number) JOIN wide USING (page_number)"""
 
 
+@query(of_document(WITH + L5 + CLUSTERED + COLUMNS + BAND))
+def page_meta(spark, sf_dir):
+    items = lay.gaps(spark, sf_dir)
+    meta = extract.page_meta(items, lay.pages_of(items))
+    listed = F.array_join(F.transform("column_centers", lambda c: F.array_join(F.transform(c, lambda x: F.round(x, 4).cast("string")), ",")), ";")
+    return meta.select("doc_key", "page_number", "page_width", "page_height", "slant_angle", F.col("band.start").alias("band_start"), F.col("band.end").alias("band_end"), listed.alias("centers"), F.array_join("column_names", ",").alias("names"))

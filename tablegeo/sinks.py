@@ -12,6 +12,8 @@ from xml.sax.saxutils import escape
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablegeo.schema import page_keys
+
 
 def ordered(df: DataFrame) -> DataFrame:
     return df.orderBy(*[c for c in ("doc_key", "page_number", "row_number") if c in df.columns])
@@ -29,7 +31,7 @@ def csv_lines(df: DataFrame) -> DataFrame:
         text = F.coalesce(F.col(c).cast("string"), F.lit(""))
         return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
-    return df.select("page_number", "row_number", F.concat_ws(",", *map(cell, df.columns)).alias("line"))
+    return df.select(*page_keys(df), "row_number", F.concat_ws(",", *map(cell, df.columns)).alias("line"))
 
 
 def _letters(n: int) -> str:
@@ -82,7 +84,7 @@ def write_xlsx(df: DataFrame, path: str, sheet: str = "corrected_table") -> None
 def json_rows(df: DataFrame) -> DataFrame:
     """Each row as a JSON object; NaN becomes null."""
     plain = [F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
-    return df.select("page_number", "row_number", F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias("json"))
+    return df.select(*page_keys(df), "row_number", F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def metadata_json(original: DataFrame, corrected: DataFrame, log: list[dict[str, Any]]) -> str:

@@ -76,9 +76,9 @@ def slanted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edit_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L7: a page table with nulls, blanks and delimiters."""
-    k = F.col("k")
-    return numbered_lines(spark, sf_dir).select("page_number", F.col("rn").alias("row_number"), k.cast("string").alias("col_1"), F.when(k % 2 == 0, F.concat("flag", F.lit(" "), "status")).otherwise(F.col("flag")).alias("col_2"), F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.lit(" ")).otherwise(F.col("quantity")).alias("col_3"), F.col("status").alias("col_4"))
+    """L7: page tables of two documents, whose page numbers repeat, with nulls, blanks and delimiters."""
+    k, order = F.col("k"), F.col("page_number")
+    return numbered_lines(spark, sf_dir).select(F.when(order % 2 == 0, "even").otherwise("odd").alias("doc_key"), F.floor(order / 2).cast("int").alias("page_number"), F.col("rn").alias("row_number"), k.cast("string").alias("col_1"), F.when(k % 2 == 0, F.concat("flag", F.lit(" "), "status")).otherwise(F.col("flag")).alias("col_2"), F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.lit(" ")).otherwise(F.col("quantity")).alias("col_3"), F.col("status").alias("col_4"))
 
 
 def ocr_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

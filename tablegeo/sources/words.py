@@ -6,6 +6,7 @@ read as an option.  PDF and OCR libraries are plug-ins: a callable that gives wo
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -111,15 +112,20 @@ OCR_CONFIGS: list[dict[str, Any]] = [
 ]
 
 
-def build_engine(make: Callable[..., Any]) -> Any:
-    """A recogniser with the first options it takes."""
-    error: TypeError | None = None
-    for options in OCR_CONFIGS:
+_ENGINES: dict = {}
+
+
+def engine_of(make: Callable[..., Any], options: list[dict] = OCR_CONFIGS) -> Any:
+    """The recogniser of this Python worker, made at its first page: with the richest of the ``options`` whose names
+    its signature takes (all of them where the signature is open or unknown)."""
+    if make not in _ENGINES:
         try:
-            return make(**options)
-        except TypeError as e:
-            error = e
-    raise error or TypeError("no options")
+            known = inspect.signature(make).parameters
+            free = any(p.kind is p.VAR_KEYWORD for p in known.values())
+        except (TypeError, ValueError):
+            known, free = {}, True
+        _ENGINES[make] = make(**next(o for o in [*options, {}] if free or set(o) <= set(known)))
+    return _ENGINES[make]
 
 
 def pdf_words(content: bytes, page_number: int) -> list[tuple[str, float, list[tuple[float, float]]]]:
@@ -170,3 +176,73 @@ def read_pages(files: DataFrame, pages: DataFrame, reader: PageWords = pdf_words
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ITEMS.split(", ")])
 
     return pages.select("doc_key", "page_number").join(files.select("doc_key", "content"), "doc_key").repartition("doc_key", "page_number").mapInPandas(run, ITEMS)
+
+
+RENDERED = "doc_key string, page_number int, width int, height int, scale double, image binary"
+
+
+def pdf_render(content: bytes, page_number: int, dpi: int) -> tuple[int, int, float, bytes]:
+    """(width, height, pixels a point, RGB bytes row by row) of a PDF page; needs PyMuPDF."""
+    try:
+        import fitz
+    except ImportError as e:
+        raise RuntimeError("rendering PDF pages needs the package PyMuPDF") from e
+    with fitz.open(stream=content, filetype="pdf") as document:
+        picture = document[page_number - 1].get_pixmap(dpi=dpi, alpha=False)
+    return picture.width, picture.height, dpi / 72, bytes(picture.samples)
+
+
+def render_pages(files: DataFrame, pages: DataFrame, render: Callable[[bytes, int, int], tuple] = pdf_render, dpi: int = 300) -> DataFrame:
+    """RENDERED: the images of the pages (doc_key, page_number) of binary files (doc_key, content), pages dealt over
+    all tasks."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for doc, page, content in zip(batch.doc_key, batch.page_number, batch.content, strict=True):  # one image at a time
+                yield pd.DataFrame([(doc, int(page), *render(bytes(content), int(page), dpi))], columns=[c.split()[0] for c in RENDERED.split(", ")])
+
+    return pages.select("doc_key", "page_number").join(files.select("doc_key", "content"), "doc_key").repartition("doc_key", "page_number").mapInPandas(run, RENDERED)
+
+
+def whole_pages(images: DataFrame) -> DataFrame:
+    """Each image of RENDERED as one tile."""
+    return images.select("*", F.lit(0).alias("left"), F.lit(0).alias("top"), F.col("width").alias("right"), F.col("height").alias("bottom"))
+
+
+def scan(tiles: DataFrame, make: Callable[..., Any], recognise: Callable[[Any, bytes, int, int], list[tuple]]) -> DataFrame:
+    """Recogniser results of tiles (RENDERED with left, top, right, bottom in pixels), as ``items.ocr_entries`` takes
+    them: (doc_key, page_number, left, top, scale, offset_x, offset_y, result).  Tiles are tasks of their own; an
+    engine is made by ``make`` once in each worker and asked by recognise(engine, RGB bytes, width, height) for
+    (quad, text, score) in pixels of the tile."""
+    point = "struct<x:double,y:double>"
+    schema = f"doc_key string, page_number int, left int, top int, scale double, offset_x double, offset_y double, result array<struct<quad:array<{point}>,text:string,score:double>>"
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            engine, rows = engine_of(make), []
+            for r in batch.itertuples(index=False):
+                wide = 3 * (r.right - r.left)
+                part = b"".join(r.image[3 * (y * r.width + r.left) :][:wide] for y in range(r.top, r.bottom))
+                found = [{"quad": [{"x": float(x), "y": float(y)} for x, y in quad], "text": text, "score": float(score)} for quad, text, score in recognise(engine, part, r.right - r.left, r.bottom - r.top)]
+                rows.append((r.doc_key, r.page_number, r.left, r.top, r.scale, float(r.left), float(r.top), found))
+            yield pd.DataFrame(rows, columns=["doc_key", "page_number", "left", "top", "scale", "offset_x", "offset_y", "result"])
+
+    return tiles.repartition("doc_key", "page_number", "left", "top").mapInPandas(run, schema)
+
+
+def scanned_items(native: DataFrame, images: DataFrame, make: Callable[..., Any], recognise: Callable[[Any, bytes, int, int], list[tuple]], tile: int = 1400, overlap: int = 220) -> DataFrame:
+    """ITEMS of pages from three sources: the text layer (``native``: ITEMS), a scan of the whole page and scans of its
+    tiles, in this priority; repeated detections are merged away and boxes numbered anew."""
+    from tablegeo.operators import items as I  # noqa: E741
+
+    columns = [c.split()[0] for c in ITEMS.split(", ")]
+    parts = [native.select(*columns).withColumns({"priority": F.lit(1), "seq": F.col("item_index").cast("long")})]
+    for priority, tiles in ((2, whole_pages(images)), (3, I.tile_grid(images, tile, overlap))):
+        boxes = I.build_boxes(I.ocr_entries(scan(tiles, make, recognise)))
+        seq = F.col("top").cast("long") * (1 << 40) + F.col("left").cast("long") * (1 << 20) + F.col("entry")
+        parts.append(boxes.withColumns({"priority": F.lit(priority), "seq": seq, "item_index": F.col("entry")}).select(*columns, "priority", "seq"))
+    return I.merge_items(parts[0].unionByName(parts[1]).unionByName(parts[2])).select(*columns)

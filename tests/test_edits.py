@@ -7,11 +7,13 @@ import zipfile
 from io import BytesIO
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablegeo import sinks
 from tablegeo.operators import edits as E
 from tablegeo.operators import guides as G
-from tablegeo.plans.session import Session, operation_log, state_key
+from tablegeo.operators import lookup as L
+from tablegeo.plans.session import Session, Sessions, memoised, operation_log, state_key
 from tests.conftest import rows
 
 
@@ -160,3 +162,86 @@ def test_exports(table, tmp_path):
     assert zipfile.is_zipfile(BytesIO(sinks.xlsx_bytes(["a"], [("<&>",)])))
     report = json.loads(sinks.metadata_json(table, table, []))
     assert report["original_rows"][0]["col_3"] is None and len(report["corrected_rows"]) == 4
+
+
+@pytest.fixture
+def two(spark):
+    """Two documents whose page numbers repeat."""
+    data = [("d1", 1, 1, "a b", "x"), ("d1", 1, 2, "c", "y"), ("d2", 1, 1, "e f", "z"), ("d2", 1, 2, "g", None), ("d2", 2, 1, "h", "w")]
+    return spark.createDataFrame(data, "doc_key string, page_number int, row_number int, col_1 string, col_2 string")
+
+
+def by_document(df):
+    return [tuple(r) for r in df.orderBy("doc_key", "page_number", "row_number").collect()]
+
+
+def test_edits_of_one_document_leave_others(two):
+    d1, d2 = ("d1", 1), ("d2", 1)
+    rest = [("d1", 1, 1, "a b", "x"), ("d1", 1, 2, "c", "y")]
+    own = by_document(two)
+    assert by_document(E.delete_rows(two, [(d2, 1)])) == [*rest, ("d2", 1, 1, "g", None), own[4]]
+    assert by_document(E.edit_cell(two, d2, 1, "col_1", "n")) == [*rest, ("d2", 1, 1, "n", "z"), *own[3:]]
+    assert by_document(E.move_cell(two, (d1, 1, "col_1"), (d2, 2, "col_2")))[0][3] == "" and by_document(E.move_cell(two, (d1, 1, "col_1"), (d2, 2, "col_2")))[3][4] == "a b"
+    assert by_document(E.split_row(two, d2, 1, " ")) == [*rest, ("d2", 1, 1, "e", "z"), ("d2", 1, 2, "f", ""), ("d2", 1, 3, "g", None), own[4]]
+    assert by_document(E.merge_rows(two, [(d2, 2), (d2, 1)])) == [*rest, ("d2", 1, 1, "e f g", "z"), own[4]]
+    assert by_document(E.merge_rows(two, [(d2, 1), (d1, 2)])) == [rest[0], ("d1", 1, 2, "c e f", "y z"), ("d2", 1, 1, "g", None), own[4]]
+    assert by_document(E.insert_row(two, d2, 1)) == [*rest, own[2], ("d2", 1, 2, "", ""), ("d2", 1, 3, "g", None), own[4]]
+    edited = L.page_slice(two, d2).fillna("n")
+    changed, yes = E.commit_page_edits(two, d2, edited)
+    assert yes and by_document(changed) == [*own[:3], ("d2", 1, 2, "g", "n"), own[4]]
+    assert L.page_slice(two, d2).columns == ["row_number", "col_1", "col_2"] and L.page_slice(two, d2).count() == 2
+    assert by_document(E.normalize_row_numbers(two.filter("row_number > 1"))) == [("d1", 1, 1, "c", "y"), ("d2", 1, 1, "g", None)]
+    assert E.insert_column(two).columns[-1] == "col_3"
+    for wrong in (lambda: E.delete_rows(two, [(1, 1)]), lambda: E.edit_cell(two, ("d1", 2), 1, "col_1", "v"), lambda: E.insert_row(two, 1)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_guides_of_one_document_leave_others(two, spark):
+    boxes = [(d, 1, i, t, x, y, x + 10, y + 8.0) for d in ("d1", "d2") for i, (t, x, y) in enumerate([("a", 0.0, 0.0), ("b", 20.0, 2.0), ("c", 0.0, 20.0)])]
+    items = spark.createDataFrame(boxes, "doc_key string, page_number int, item_index int, text string, x0 double, y0 double, x1 double, y1 double")
+    found = [("d1", 1, 1, 1, "a b", [0, 1]), ("d1", 1, 2, 1, "c", [2]), ("d2", 1, 1, 1, "a", [0]), ("d2", 1, 2, 1, "b c", [1, 2])]
+    cells = spark.createDataFrame(found, "doc_key string, page_number int, row_index int, col_index int, text string, source_item_indexes array<int>").withColumns({"x0": F.lit(0.0), "y0": F.lit(0.0), "x1": F.lit(0.0), "y1": F.lit(0.0)})
+    assert sorted(tuple(r) for r in G.columns_crossing(cells, items, 10).collect()) == [("d1", 1, 1), ("d2", 1, 1)]
+    assert sorted(tuple(r) for r in G.rows_crossing(cells, items, 10).collect()) == [("d2", 1, 2)]
+    assert sorted(tuple(r) for r in G.cells_crossing_rows(cells, items, 10).collect()) == [("d2", 1, 2)]
+    assert G.partition_cells(cells, items, "x", 10).count() == 4
+    own = by_document(two)
+    split = by_document(G.split_column_visual(two, cells, items, ("d2", 1), "col_1", 10))
+    assert split == [("d1", 1, 1, "a b", "", "x"), ("d1", 1, 2, "c", "", "y"), ("d2", 1, 1, "a", "", "z"), ("d2", 1, 2, "c", "b", None), ("d2", 2, 1, "h", "", "w")]
+    assert by_document(G.split_row_visual(two, cells, items, ("d2", 1), 2, 10)) == [*own[:3], ("d2", 1, 2, "b", None), ("d2", 1, 3, "c", ""), own[4]]
+    assert G.crossing_row_numbers(two, cells, items, ("d2", 1), 10) == [2] and G.crossing_row_numbers(two, cells, items, ("d1", 1), 10) == []
+    long = two.select("doc_key", "page_number", "row_number", F.lit(1).alias("col_index"), F.col("col_1").alias("text"))
+    looked = {(r.doc_key, r.row_number): r.source_item_indexes for r in L.cell_lookup(long, cells).filter("page_number = 1").collect()}
+    assert looked == {("d1", 1): [0, 1], ("d1", 2): [2], ("d2", 1): [0], ("d2", 2): [1, 2]}
+
+
+def test_sessions_open_once(two):
+    made, sessions = [], Sessions()
+
+    def make():
+        made.append(1)
+        return two
+
+    one = sessions.open(state_key("k"), make)
+    one.apply("delete_columns", E.delete_columns, columns=["col_2"])
+    assert sessions.open(state_key("k"), make) is one and len(made) == 1 and one.current.columns[-1] == "col_1"
+    assert sessions.open(state_key("k", [1]), make) is not one and len(made) == 2
+    assert one.draft("k", ("d2", 1)).columns == ["row_number", "col_1"]
+    sessions.close(state_key("k"))
+    assert sessions.open(state_key("k"), make).log == []
+
+
+def test_parsed_once(two, spark, tmp_path):
+    made = []
+
+    def parse():
+        made.append(1)
+        return two
+
+    for _ in range(2):
+        assert rows(memoised(spark, str(tmp_path), "k", "v1", None, parse)) == rows(two)
+    assert len(made) == 1
+    memoised(spark, str(tmp_path), "k", "v2", None, parse)
+    memoised(spark, str(tmp_path), "k", "v2", [1], parse)
+    assert len(made) == 3
