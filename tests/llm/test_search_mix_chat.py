@@ -99,7 +99,7 @@ def test_quotes(spark):
     by = {(r.conv_id, r.turn): r for r in found.collect()}
     parents = {k: (r.parent_conv, r.parent_turn) for k, r in by.items() if r.parent_turn is not None}
     assert parents == {(1, 1): (1, 0), (1, 2): (1, 1), (1, 3): (1, 0), (2, 0): (1, 1)}
-    assert by[1, 2].own_text == "Thanks." and by[1, 2].path == [0, 1, 2] and by[1, 2].depth == 2
+    assert by[1, 2].own_text == "Thanks." and (by[1, 2].root_turn, by[1, 2].position, by[1, 2].depth) == (0, 2, 2)
     assert by[1, 2].n_passages == 2 and by[1, 2].n_linked == 2 and by[1, 4].n_linked == 0 and by[1, 4].own_text == "ok"
     ordered = [(r.conv_id, r.turn) for r in quotes.in_reply_order(found).filter("conv_id = 1").collect()]
     assert ordered == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (1, 6)]
@@ -113,6 +113,89 @@ def test_reply_order_is_depth_first(spark):
     assert turns == [0, 2, 4, *range(5, 25), 1, 3]
 
 
+def brute_links(chat):
+    """Parents and reply order by definition, message by message."""
+    plain = lambda t: " ".join(t.lower().split())
+    kinds = lambda t: [[t], __import__("re").split(r"\n\s*\n", t), t.split("\n")]
+    size = lambda t: len("".join(t.split()))
+    own, asked, sayers = {}, {}, {}
+    for conv, turn, text in chat:
+        body, stretches, passages = quotes.parse(text)
+        own[conv, turn], asked[conv, turn] = body, passages
+        for part in (body, *stretches):
+            for pieces in kinds(part):
+                for p in pieces:
+                    if plain(p):
+                        sayers.setdefault(plain(p), set()).add((conv, turn))
+    parents = {}
+    for (conv, turn), passages in asked.items():
+        votes = {}
+        for level, said in passages:
+            best = {}
+            for pieces in kinds(said):
+                found = {}
+                for p in {plain(p): p for p in pieces if plain(p)}.values():
+                    here = sorted(t for c, t in sayers.get(plain(p), ()) if c == conv)
+                    source = (conv, here[0]) if here and here[0] < turn else min((s for s in sayers.get(plain(p), ()) if s[0] != conv), default=None)
+                    if source:
+                        found[source] = found.get(source, 0) + size(p)
+                for source, n in found.items():
+                    best[source] = max(best.get(source, 0), n)
+            linked = [(s[0] == conv, n, s[1], s[0]) for s, n in best.items() if 2 * n >= size(said)]
+            if linked:
+                near, n, t, c = max(linked)
+                votes[level, (c, t)] = votes.get((level, (c, t)), 0) + n
+        if votes:
+            parents[conv, turn] = max((-level, s[0] == conv, n, s[1], s[0], s) for (level, s), n in votes.items())[-1]
+    order = []
+    for conv in sorted({c for c, _ in own}):
+        inner = {t: p[1] for (c, t), p in parents.items() if c == conv and p[0] == conv}
+
+        def walk(turn, conv=conv, inner=inner):
+            order.append((conv, turn))
+            for t in sorted(t for t, p in inner.items() if p == turn):
+                walk(t)
+
+        for t in sorted(t for c, t in own if c == conv and t not in inner):
+            walk(t)
+    return parents, order
+
+
+def test_quotes_brute_force(spark):
+    """Whole texts, paragraphs, some lines and re-wrapped lines are quoted, nested, interleaved, across conversations."""
+    import random
+
+    rng, chat, lines = random.Random(6), [], ["yes", "no", "thank you"]
+    for conv in range(6):
+        said = []
+        for turn in range(14):
+            parts = []
+            for _ in range(rng.randrange(3)):
+                c, t, old = rng.choice(chat) if chat and rng.random() < 0.3 else (rng.choice(said) if said else (0, 0, "nobody said that"))
+                body = old.split("\n")
+                at = rng.randrange(len(body))
+                some = body[at : at + 1 + rng.randrange(3)]
+                if rng.random() < 0.3:
+                    some = [w for line in some for w in line.split("  ")]
+                parts.append("\n".join(("> " if rng.random() < 0.8 else ">> ") + line for line in some))
+                parts.append("\n".join(" ".join(f"w{rng.randrange(10**4)}" for _ in range(4)) for _ in range(rng.randrange(3))))
+            parts.append("\n".join(rng.choice(lines) if rng.random() < 0.2 else " ".join(f"w{rng.randrange(10**4)}" for _ in range(5)) + rng.choice(["", "", "\n"]) for _ in range(3)))
+            said.append((conv, turn, "\n".join(p for p in parts if p)))
+        chat += said
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in chat], "conv_id long, turn long, role string, text string").repartition(3)
+    found = quotes.link_quotes(df)
+    parents, order = brute_links(chat)
+    assert len(parents) > 30
+    assert {(r.conv_id, r.turn): (r.parent_conv, r.parent_turn) for r in found.collect() if r.parent_turn is not None} == parents
+    assert [(r.conv_id, r.turn) for r in quotes.in_reply_order(found).collect()] == order
+
+
+def test_partial_and_interleaved_quotes(spark):
+    chat = [(1, 0, "u", "first line\nsecond line\nthird line\n\nnext paragraph\n\nlast paragraph"), (1, 1, "u", "> second line\n> third line\nanswer one\nmore\n> next paragraph\n>\n> last paragraph\nanswer two"), (1, 2, "u", "> answer one\n> more\nindeed"), (1, 3, "u", "> something else\n> entirely\n> last paragraph?\nhm")]
+    found = {r.turn: r for r in quotes.link_quotes(spark.createDataFrame(chat, "conv_id long, turn long, role string, text string")).collect()}
+    assert [found[t].parent_turn for t in range(4)] == [None, 0, 1, None] and found[1].n_linked == 2 and found[2].depth == 2
+
+
 def test_registered(spark, data):
     import __spark_entry__ as entry
 
