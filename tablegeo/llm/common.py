@@ -53,6 +53,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a materialised frame that nothing reads any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def text_bytes(column: str | Column) -> Column:
     """A text as UTF-8 bytes, null as no bytes; Arrow then moves it without checking or decoding it."""
     column = F.col(column) if isinstance(column, str) else column

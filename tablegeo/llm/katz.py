@@ -1,33 +1,33 @@
 """LM scoring: a Katz backoff bigram model with Good-Turing discounts.
 
-*Model.*  P(w|v) = d(r) r / c(v) for a pair seen r times in training, d(r) being Katz's Good-Turing discount;
-otherwise alpha(v) P(w), with alpha(v) computed from all seen pairs of v so that P(.|v) sums to one exactly.
-The recursion ends at the add-one unigram P(w) = (c(w) + 1) / (N + V + 1), which leaves one share to all
-unknown words together.  Pairs of all words are counted.  Only a caller who gives a ``vocabulary`` lets the
-words beyond so many most frequent stand for one class in pairs, whose share is dealt to its words in
-proportion to their unigram.  A text is scored from a start symbol to an end symbol; words are
+*Model.*  For a pair seen r times in training, P(w|v) = d(r) r / t(v), d(r) being Katz's Good-Turing discount
+and t(v) = c(v); otherwise alpha(v) P(w).  The recursion ends at the add-one unigram P(w) = (c(w) + 1) / (N + V + 1),
+which leaves one share to all unknown words together, so the words seen after v never cover everything.  A context
+that discounts take nothing from (all its pairs are frequent, or no discount is usable) has t(v) = c(v) + 1: one
+count is left to unseen words.  alpha(v) is made from whole numbers: how many pairs of v were seen once to TRUSTED
+times, and the sum of c(w) + 1 over the words seen after it, so P(.|v) sums to one exactly.  All words and all pairs
+count; nothing is a class, cut off or sampled.  A text is scored from a start symbol to an end symbol; words are
 `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, known by 64-bit hashes.
 
-*Tables.*  Counts live in partitioned tables of sorted arrays: words by hash, pairs of frequent words by
-(mixed) key of their numbers, other pairs with their rarer words: at the context's partition if it is not
-frequent, else at the word's.  So no frequent word gathers its pairs anywhere, and c(v), P(w) and alpha(v)
-follow where a pair lies; only the counts of second words of two rare ones are fetched (``known``).  Counting
-merges inside the tasks and ships sorted arrays, one binary value for each task and partition, instead of a
-row for each n-gram.
-
-*Scoring.*  A token's score is log P(w) + log alpha(v), and for a seen pair what the pair gains over that.
-Frequent words and pairs are looked up in broadcast arrays of bounded size, a cache that decides no result.
-The rest goes, as arrays again, to the partition of the table that holds it; what comes back is one partial
-sum for each text and partition.  A hot word or pair therefore never travels, and no text does.
-
-Defined results: a null text is the empty text, which holds the end symbol alone; repeated rows and null ids
-get a row each; texts of any length are scored whole; with an empty training set every token is unknown.
-Only the id and text columns are read.
+*Tables.*  Texts are coded once in blocks: the block's distinct words and, token by token, their places.  Words, and
+pairs of words, are dealt by hash to parts; a part merges what all blocks hold, so a word or pair that a third of all
+texts share is one entry for each block.  The model is two tables, one row for each part: words with c(w) and the
+numbers that alpha(w) is made of, and pairs with r.  A part also answers each block: the counts of what it asked for,
+and which pairs the block is the first to hold; these it adds to the numbers of their contexts, which go to the words'
+parts.  So a frequent context never gathers its pairs anywhere.  The number of parts follows the size of the blocks.
+
+*Scoring.*  Blocks ask the parts of both tables for their distinct words and pairs, get arrays of counts back where
+the blocks are dealt to, and each token is evaluated there: the pair if it was seen, else the context's alpha and the
+word.  Nothing the size of the data is broadcast or collected.
+
+Defined results: ids are integers, or strings of them; a null text is the empty text, which holds the end symbol
+alone; repeated rows and null ids get a row each; texts of any length are scored whole; with an empty training set
+every token is unknown.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,28 +36,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegeo.llm.common import BASE, bound_batches, materialize, mix, prefix_sums, range_hashes, staged, text_bytes, values
+from tablegeo.llm.common import BASE, bound_batches, discard, materialize, mix, prefix_sums, range_hashes, staged, text_bytes, values
 
-#: Bounds of the broadcast arrays: words and pairs looked up without a shuffle.  Keys of 32 bits hold pairs of
-#: at most MOST_HOT words.
-HOT_WORDS, HOT_PAIRS, MOST_HOT = 60_000, 65_536, 65_000
 #: Counts above this are trusted as they are (Katz's k).
 TRUSTED = 5
-#: Bytes of texts worked on at once, words of a very long text hashed at once, entries a task merges at once.
-BLOCK_BYTES, HASH_BYTES, MERGED = 1 << 21, 1 << 19, 1_500_000
-END = np.uint64(0x0E4D)
-#: Odd factor (and its inverse) that spreads 32-bit pair keys over partitions, one-to-one.
-SPREAD = np.uint32(0x9E3779B1)
-UNSPREAD = np.uint32(pow(int(SPREAD), -1, 1 << 32))
+#: Bytes of texts of a block, words of a very long text hashed at once, and entries of a part of a table, about.
+BLOCK_BYTES, HASH_BYTES, PART_ENTRIES = 1 << 22, 1 << 19, 1_500_000
+#: The end and the start symbol.
+END, START = np.uint64(0x0E4D), np.uint64(0x57A7)
 
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
-BLOB = "part int, block long, kind int, a binary, b binary, c binary, d binary"
-WORDS_TABLE, PAIRS_TABLE, KNOWN, RARE_TABLE, WORDS_ASKED, PAIRS_ASKED, RARE_ASKED, TEXTS = range(8)
-TABLE = "part int, kind int, a binary, b binary, c binary, d binary, n long"
-#: In pairs with a rare word, frequent words are their numbers plus this, the others their hashes.
-CODED = 1 << 16
+#: Rows between blocks and parts, and their kinds: a part's stored table comes before what blocks send, a block's texts
+#: before what parts answer; totals go to the driver.
+ROW = "part int, block long, kind int, a binary, b binary, c binary, d binary, e binary"
+TABLE, SENT, TEXTS, WORDS, PAIRS, TOTALS = range(6)
 
 
 # -- tokens --------------------------------------------------------------------------------------------
@@ -108,52 +102,51 @@ def token_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.n
         yield emit()
 
 
-def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(found?, place) of keys in a sorted array."""
-    if not len(table):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return table[at] == keys, at
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers as their first bytes, their second bytes and so on, which compresses well; in front, how many
+    bytes each needs."""
+    most = int(x.max()) if len(x) else 0
+    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64
+    x = x.astype(kind)
+    return bytes([x.itemsize]) + x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
-def merged(keys: list[np.ndarray], counts: list[np.ndarray], *more: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Sorted distinct keys with the sums of their counts, and one of their further values each."""
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[first], np.add.reduceat(count, first) if len(first) else count, *(np.concatenate(m)[order[first]] for m in more)
+def unplaned(data: bytes) -> np.ndarray:
+    size = data[0]
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(size, -1).T).reshape(-1).view(f"u{size}").astype(np.uint64)
 
 
-def part_of(keys: np.ndarray, bits: int, width: int = 64) -> np.ndarray:
-    return (keys >> keys.dtype.type(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+def whole(data: bytes) -> np.ndarray:
+    return unplaned(data).astype(np.int64)
 
 
-def cuts_of(part: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(part, start, end) of ascending parts."""
-    cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
-    return [(p, int(cuts[p]), int(cuts[p + 1])) for p in range(1 << bits) if cuts[p] < cuts[p + 1]]
+def rising(keys: np.ndarray) -> bytes:
+    """Sorted keys as their steps."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-def sliced(keys: np.ndarray, bits: int, width: int) -> list[tuple[int, int, int]]:
-    """(part, start, end) of sorted keys by their leading bits."""
-    return cuts_of(part_of(keys, bits, width), bits)
+def risen(data: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(data), dtype=np.uint64)
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers as their first bytes, their second bytes and so on, which compresses well."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+def sliced(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
+    """(part, which of the sorted keys) by their leading bits."""
+    if not len(keys):
+        return []
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    some = np.flatnonzero(np.diff(part, prepend=-1))
+    return [(int(part[i]), slice(int(i), int(j))) for i, j in zip(some, np.append(some[1:], len(part)), strict=True)]
 
 
-def unplaned(data: bytes, dtype=np.uint64) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
+def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    columns = list(zip(*((*r, *[None] * (8 - len(r))) for r in rows), strict=True)) if rows else [[]] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "block", "kind", "a", "b", "c", "d", "e"])
 
 
-def rows_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-    columns = list(zip(*((*r, *[None] * (7 - len(r))) for r in rows), strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "block", "kind", "a", "b", "c", "d"])
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(i).to_pylist() for i in range(3)), *(values(batch.column(i), 8) for i in range(3, 8)), strict=True)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -167,492 +160,307 @@ def settled(df: DataFrame) -> DataFrame:
         conf.unset(name) if before is None else conf.set(name, before)
 
 
-# -- model ---------------------------------------------------------------------------------------------
+# -- blocks --------------------------------------------------------------------------------------------
 
 
 @dataclass
-class Arrays:
-    """What every task needs; its size is bounded by MOST_HOT and HOT_PAIRS."""
-
-    words: np.ndarray  # sorted hashes of the frequent words; the word's number is its place
-    counts: np.ndarray
-    tokens: int  # N
-    types: int  # V
-    tail: float  # unigram share of all other words
-    whole: bool  # other words are themselves in pairs, not a class
-    discounts: np.ndarray  # d(r) for r up to TRUSTED, 1 beyond
-    context: np.ndarray  # c(v) by number; other words are number K, the start K + 1
-    alpha: np.ndarray
-    hot: np.ndarray  # sorted mixed keys of hot pairs
-    hot_counts: np.ndarray
-
-    @property
-    def k(self) -> int:
-        return len(self.words)
-
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1.0) / (self.tokens + 1.0 * (self.types + 1)))
-
-    def low(self) -> np.ndarray:
-        """Log of the lower-level probability of each number of the pair model."""
-        return np.append(self.unigram(self.counts), np.log10(self.tail))
-
-    def kept(self, counts: np.ndarray) -> np.ndarray:
-        return self.discounts[np.minimum(counts, TRUSTED + 1)] * counts
-
-    def gain(self, contexts: np.ndarray, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """What seen pairs of numbers add to log alpha(v) + log P(w)."""
-        return np.log10(self.kept(counts) / self.context[contexts] / self.alpha[contexts]) - self.low()[numbers]
-
-
-def numbered(tokens: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(known?, number, context) of tokens."""
-    k = len(words)
-    known, at = find(words, tokens)
-    number = np.where(known, at, k)
-    context = np.empty_like(number)
-    context[1:] = number[:-1]
-    context[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = k + 1
-    return known, number, context
-
+class Block:
+    """Texts in code: distinct words (the start symbol among them) and, for each token, its word's and its context's
+    place."""
+
+    keys: np.ndarray
+    sizes: np.ndarray  # tokens of each text
+    word: np.ndarray
+    context: np.ndarray
+
+    @classmethod
+    def of(cls, row: tuple) -> Block:
+        keys, sizes, word = risen(row[4]), whole(row[5]), whole(row[6])
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        context[np.cumsum(sizes) - sizes] = np.searchsorted(keys, START)
+        return cls(keys, sizes, word, context)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted distinct keys of the pairs, a token with each, each token's pair)."""
+        plain = self.context * len(self.keys) + self.word
+        distinct, first, at = np.unique(plain, return_index=True, return_inverse=True)
+        keys = mix(self.keys[distinct // len(self.keys)] * BASE + self.keys[distinct % len(self.keys)])
+        order = np.argsort(keys)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return keys[order], first[order], place[at]
+
+
+def coded(texts: DataFrame) -> DataFrame:
+    """The blocks of texts (id, bytes) as ROWs: ids and which are null, words, sizes, tokens; ``part`` holds how many
+    thousand distinct pairs there are, about."""
 
-def pair_keys(context: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
-    return (context * (k + 2) + number).astype(np.uint32) * SPREAD
-
-
-def rare_pairs(tokens: np.ndarray, sizes: np.ndarray, number: np.ndarray, context: np.ndarray, k: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which tokens?, v, w): the pairs with a rare word, coded; none where rare words are a class."""
-    apart = (number == k) | (context == k) if whole else np.zeros(len(tokens), bool)
-    at = np.flatnonzero(apart)
-    coded = lambda number, tokens: np.where(number == k, tokens, (number + CODED).astype(np.uint64))
-    return apart, coded(context[at], tokens[np.maximum(at - 1, 0)]), coded(number[at], tokens[at])
-
-
-def frequent(codes: np.ndarray) -> np.ndarray:
-    return (codes >= CODED) & (codes < 2 * CODED)
-
-
-def rare_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * BASE + w)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for ids, tokens, sizes in token_blocks(batches):
+            keys, word = np.unique(np.append(tokens, START), return_inverse=True)
+            word = word[:-1]
+            void = np.array([i is None for i in ids])
+            plain = np.array([0 if i is None else i for i in ids], np.int64)
+            yield rows_of([(1 + len(word) // 1000, number, TEXTS, plain.tobytes() + void.tobytes(), rising(keys), planes(sizes), planes(word))])
+            number += 1
 
+    return materialize(texts.mapInArrow(staged("katz", run), ROW))
 
-def home(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The word with which a pair with a rare word lies."""
-    return np.where(frequent(v), w, v)
 
+def send(blocks: DataFrame, bits: int, of_pairs: bool, counted: bool) -> DataFrame:
+    """To each part, what each block holds: its distinct words or pairs, with how often if they are ``counted``."""
 
-def count_words(texts: DataFrame, bits: int) -> DataFrame:
-    """(part, keys, counts, n): the partitioned table of words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_row(batches):
+            block = Block.of(row)
+            if of_pairs:
+                keys, _, at = block.pairs()
+            else:
+                keys, at = block.keys, block.word
+            times = np.bincount(at, minlength=len(keys)) if counted else None
+            if counted and not of_pairs:
+                times[np.searchsorted(keys, START)] = len(block.sizes)
+            yield rows_of([(part, row[1], SENT, rising(keys[some]), planes(times[some]) if counted else None) for part, some in sliced(keys, bits)])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit():
-            key, n = merged(keys, counts)
-            return rows_of([(part, 0, WORDS_TABLE, key[i:j].tobytes(), n[i:j].tobytes()) for part, i, j in sliced(key, bits, 64)])
+    return blocks.mapInArrow(staged("katz", run), ROW)
 
-        keys, counts, held = [], [], 0
-        for _, tokens, _ in token_blocks(batches):
-            key, n = np.unique(tokens, return_counts=True)
-            keys.append(key)
-            counts.append(n.astype(np.int64))
-            held += len(key)
-            if held >= MERGED:
-                yield emit()
-                keys, counts, held = [], [], 0
-        if keys:
-            yield emit()
-
-    counted = texts.mapInArrow(staged("katz", count), BLOB).select("part", "kind", "a", "b", "c")
-    merged_rows = counted.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(staged("katz", merge_tables), TABLE)
-    return settled(merged_rows.select("part", F.col("a").alias("keys"), F.col("b").alias("counts"), "n"))
-
-
-def count_pairs(texts: DataFrame, bits: int, words, table: DataFrame, whole: bool) -> DataFrame:
-    """(part, kind, a, b, c, d, n): the partitioned tables of pairs.  Of frequent words: keys, counts; with a
-    rare word: v, w, counts, and the count of the word each lies with."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit():
-            key, n = merged(keys, counts)
-            out = [(part, 0, PAIRS_TABLE, key[i:j].tobytes(), n[i:j].tobytes()) for part, i, j in sliced(key, bits, 32)]
-            if rare:
-                _, n, v, w = merged(*zip(*rare, strict=True))
-                own = home(v, w)
-                order = np.argsort(own)
-                v, w, n, own = v[order], w[order], n[order], own[order]
-                out += [(part, 0, RARE_TABLE, planes(v[i:j]), planes(w[i:j]), planes(n[i:j])) for part, i, j in sliced(own, bits, 64)]
-            return rows_of(out)
-
-        k = len(words.value)
-        keys, counts, rare, held = [], [], [], 0
-        for _, tokens, sizes in token_blocks(batches):
-            _, number, context = numbered(tokens, sizes, words.value)
-            apart, v, w = rare_pairs(tokens, sizes, number, context, k, whole)
-            key, n = np.unique(pair_keys(context[~apart], number[~apart], k), return_counts=True)
-            keys.append(key)
-            counts.append(n.astype(np.int64))
-            held += len(key)
-            if len(v):
-                key, first, n = np.unique(rare_keys(v, w), return_index=True, return_counts=True)
-                rare.append((key, n.astype(np.int64), v[first], w[first]))
-                held += 2 * len(key)
-            if held >= MERGED:
-                yield emit()
-                keys, counts, rare, held = [], [], [], 0
-        if keys:
-            yield emit()
 
-    counted = texts.mapInArrow(staged("katz", count), BLOB).select("part", "kind", "a", "b", "c")
-    if whole:
-        held = table.select("part", F.lit(WORDS_TABLE).alias("kind"), F.col("keys").alias("a"), F.col("counts").alias("b"), F.lit(None).cast("binary").alias("c"))
-        counted = counted.unionByName(held)
-    merged_rows = counted.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(staged("katz", merge_tables), TABLE)
-    return settled(merged_rows.filter(F.col("kind") != WORDS_TABLE))
+def by_part(rows: DataFrame, answer: Callable[[list, list], Iterator[tuple]]) -> DataFrame:
+    """What ``answer`` makes of each part's (stored table, sent rows)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table, sent = None, [], []
+        for row in each_row(batches):
+            if row[0] != now:
+                if now is not None:
+                    for made in answer(now, table, sent):
+                        yield rows_of([made])
+                now, table, sent = row[0], [], []
+            (table if row[2] == TABLE else sent).append(row)
+        if now is not None:
+            for made in answer(now, table, sent):
+                yield rows_of([made])
 
-def packed(counts: np.ndarray) -> bytes:
-    return (counts.astype(np.uint32) if counts.max() < 1 << 32 else counts).tobytes()
+    return rows.repartition("part").sortWithinPartitions("part", "kind", "block").mapInArrow(staged("katz", run), ROW)
 
 
-def merge_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of each kind and partition from its sorted counts."""
+def by_block(rows: DataFrame, work: Callable[[tuple, dict[int, list]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``work`` makes of each block and the answers to it, by kind and in the order of parts."""
 
-    def emit():
-        out = merged(*zip(*held, strict=True))
-        key, n = out[:2]
-        row = [key.tobytes(), packed(n), None, None]
-        if now[1] == RARE_TABLE:
-            v, w = out[2:]
-            own = home(v, w)
-            order = np.argsort(own, kind="stable")
-            v, w, n, own = v[order], w[order], n[order], own[order]
-            row = [planes(v), planes(w), packed(n), packed(words[1][find(words[0], own)[1]])]
-        elif now[1] == WORDS_TABLE:
-            words[:] = key, n
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((*now, *row, len(key)), kinds, strict=True)], names=["part", "kind", "a", "b", "c", "d", "n"])
-
-    now, held, size, words = None, [], 0, [None, None]
-    for batch in batches:
-        for part, kind, *blobs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(values(batch.column(i), 16) for i in (2, 3, 4)), strict=True):
-            if (part, kind) != now:
-                if held:
-                    yield emit()
-                now, held, size = (part, kind), [], 0
-            if kind == RARE_TABLE:
-                v, w = unplaned(blobs[0]), unplaned(blobs[1])
-                held.append((rare_keys(v, w), unplaned(blobs[2], np.int64), v, w))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, answers = None, {}
+        for row in each_row(batches):
+            if row[2] == TEXTS:
+                if texts is not None:
+                    yield from work(texts, answers)
+                texts, answers = row, {}
             else:
-                held.append(unpack(blobs[0], blobs[1], np.uint64 if kind == WORDS_TABLE else np.uint32))
-            size += len(held[-1][0])
-            if len(held) > 1 and size > 2 * len(held[0][0]) + MERGED:
-                held = [merged(*zip(*held, strict=True))]
-                size = len(held[0][0])
-    if held:
-        yield emit()
+                answers.setdefault(row[2], []).append(row)
+        if texts is not None:
+            yield from work(texts, answers)
 
+    return rows.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(staged("katz", run), schema)
 
-def unpack(keys: bytes, counts: bytes, dtype) -> tuple[np.ndarray, np.ndarray]:
-    key = np.frombuffer(keys, dtype)
-    return key, counts_of(counts, len(key))
 
+def joined(parts: list[bytes], read=whole) -> np.ndarray:
+    return np.concatenate([read(p) for p in parts]) if parts else np.zeros(0, np.int64)
 
-def counts_of(counts: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(counts, np.uint32 if len(counts) == 4 * size else np.int64).astype(np.int64)
 
+# -- model ---------------------------------------------------------------------------------------------
 
-def coarse(counts: np.ndarray) -> np.ndarray:
-    """Counts with three leading digits: a histogram of a few thousand lines whatever the input."""
-    unit = 10 ** np.maximum(0, np.floor(np.log10(np.maximum(counts, 1))).astype(np.int64) - 2)
-    return counts // unit * unit
-
-
-def histogram(table: DataFrame) -> list[tuple[int, int, int]]:
-    """(count, entries, sum): ascending, of the rows (counts, n)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for counts, size in zip(values(batch.column(0), 1), batch.column(1).to_pylist(), strict=True):
-                n = counts_of(counts, size)
-                step, at, entries = np.unique(coarse(n), return_inverse=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(entries), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["step", "entries", "total"])
-
-    rows = table.select("counts", "n").mapInArrow(staged("katz", run), "step long, entries long, total long").groupBy("step").agg(F.sum("entries").alias("entries"), F.sum("total").alias("total"))
-    return sorted((r.step, r.entries, r.total) for r in rows.collect())
-
-
-def most_frequent(table: DataFrame, dtype, steps: list[tuple[int, int, int]], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the entries above the least step that lets at most ``most`` through."""
-    total, least = 0, 1 << 62
-    for step, entries, _ in reversed(steps):
-        if total + entries > most:
-            break
-        total, least = total + entries, step
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, counts in zip(values(batch.column(0), 1), values(batch.column(1), 1), strict=True):
-                key, n = unpack(keys, counts, dtype)
-                big = n >= least
-                yield pa.RecordBatch.from_arrays([pa.array([key[big].tobytes()], pa.binary()), pa.array([n[big].tobytes()], pa.binary())], names=["keys", "counts"])
 
-    found = table.select("keys", "counts").mapInArrow(staged("katz", run), "keys binary, counts binary").filter(F.octet_length("keys") > 0).collect()
-    if not found:
-        return np.zeros(0, dtype), np.zeros(0, np.int64)
-    return merged([np.frombuffer(bytes(r[0]), dtype) for r in found], [np.frombuffer(bytes(r[1]), np.int64) for r in found])
+def merged(sent: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(sorted distinct keys, sums of their counts, first place of each among all that was sent, what was sent)."""
+    own = [risen(r[3]) for r in sent]
+    key, times = np.concatenate(own), joined([r[4] for r in sent])
+    order = np.argsort(key, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    return key[order][head], np.add.reduceat(times[order], head), order[head], own
+
+
+def count_words(part: int, table: list, sent: list) -> Iterator[tuple]:
+    """The words' table of a part, its totals (N, V), and to each block the counts of its words."""
+    keys, times, _, own = merged(sent)
+    yield part, 0, TABLE, rising(keys), planes(times)
+    words = keys != START
+    yield part, 0, TOTALS, np.array([times[words].sum(), words.sum()], np.int64).tobytes()
+    for row, asked in zip(sent, own, strict=True):
+        yield part, row[1], WORDS, planes(times[np.searchsorted(keys, asked)])
+
+
+def count_pairs(part: int, table: list, sent: list) -> Iterator[tuple]:
+    """The pairs' table of a part, how many pairs were seen how often, and to each block the counts of its pairs and
+    which of them it is the first to hold."""
+    keys, times, first, own = merged(sent)
+    yield part, 0, TABLE, rising(keys), planes(times)
+    yield part, 0, TOTALS, np.bincount(np.minimum(times, TRUSTED + 2), minlength=TRUSTED + 3).tobytes()
+    leads = np.zeros(sum(map(len, own)), bool)
+    leads[first] = True
+    at = 0
+    for row, asked in zip(sent, own, strict=True):
+        yield part, row[1], PAIRS, planes(times[np.searchsorted(keys, asked)]), np.packbits(leads[at : at + len(asked)]).tobytes()
+        at += len(asked)
+
+
+def contexts(bits: int) -> Callable:
+    """What a block adds to its contexts: sums of c(w) + 1 and numbers of pairs seen 1 to TRUSTED times."""
+
+    def work(texts: tuple, answers: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        block = Block.of(texts)
+        counts = joined([r[3] for r in answers[WORDS]])
+        times = joined([r[3] for r in answers[PAIRS]])
+        leads = np.concatenate([np.unpackbits(np.frombuffer(r[4], np.uint8))[: len(unplaned(r[3]))] for r in answers[PAIRS]]).astype(bool)
+        some = block.pairs()[1][leads]
+        v, r, n = block.context[some], times[leads], len(block.keys)
+        facts = [np.bincount(v, weights=counts[block.word[some]] + 1, minlength=n).astype(np.int64)]
+        facts += [np.bincount(v[r == k], minlength=n) for k in range(1, TRUSTED + 1)]
+        held = np.flatnonzero(facts[0])
+        facts = np.stack(facts)[:, held]
+        yield rows_of([(part, texts[1], SENT, rising(block.keys[held][s]), planes(facts[0][s]), *packed(facts[1:, s])) for part, s in sliced(block.keys[held], bits)])
+
+    return work
+
+
+def packed(numbers: np.ndarray) -> list[bytes]:
+    """The numbers of pairs seen once, and of those seen 2 to TRUSTED times one after another."""
+    return [planes(numbers[0]), planes(numbers[1:].reshape(-1))]
+
+
+def add_contexts(part: int, table: list, sent: list) -> Iterator[tuple]:
+    """The words' table with the facts of each word as a context."""
+    keys, counts = risen(table[0][3]), whole(table[0][4])
+    sums = np.zeros((TRUSTED + 1, len(keys)), np.int64)
+    for r in sent:
+        at = np.searchsorted(keys, risen(r[3]))  # distinct
+        sums[0, at] += whole(r[4])
+        sums[1, at] += whole(r[5])
+        sums[2:, at] += whole(r[6]).reshape(TRUSTED - 1, -1)
+    yield part, 0, TABLE, table[0][3], planes(counts), planes(sums[0]), *packed(sums[1:])
 
 
 def katz_discounts(seen: dict[int, int]) -> np.ndarray:
     """d(r) by r from the numbers of pairs seen r times; 1 where the estimate is unusable."""
     n = [seen.get(r, 0) for r in range(TRUSTED + 2)]
     out = np.ones(TRUSTED + 2)
-    if n[1] and all(n[1:]):
+    if n[1] and n[TRUSTED + 1] < n[1] / (TRUSTED + 1):
         last = (TRUSTED + 1) * n[TRUSTED + 1] / n[1]
         for r in range(1, TRUSTED + 1):
-            d = ((r + 1) * n[r + 1] / n[r] / r - last) / (1 - last) if last < 1 else 1.0
-            out[r] = d if 0 < d < 1 else 1.0
-    if out[1] == 1.0 and n[1]:  # too little data for Good-Turing: something must be left to unseen pairs
-        out[1 : TRUSTED + 1] = [(r - 0.5) / r for r in range(1, TRUSTED + 1)]
+            if n[r]:
+                d = ((r + 1) * n[r + 1] / n[r] / r - last) / (1 - last)
+                out[r] = d if 0 < d < 1 else 1.0
     return out
 
 
-def context_sums(pairs: DataFrame, sent) -> list:
-    """(v, c, kept, covered): of each frequent context the count, the discounted count, the lower level's share
-    of the words seen after it.  At most MOST_HOT + 2 rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = sent.value
-        k, share = arrays.k, 10.0 ** arrays.low()
-        for batch in batches:
-            for kind, size, a, b, c, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(values(batch.column(i), 1) for i in (2, 3, 4, 5)), strict=True):
-                if kind == PAIRS_TABLE:
-                    key, n = unpack(a, b, np.uint32)
-                    plain = (key * UNSPREAD).astype(np.int64)
-                    v, low = plain // (k + 2), share[plain % (k + 2)]
-                else:  # after a frequent context the rare word is the second
-                    v = unplaned(a)
-                    some = frequent(v)
-                    v, n = v[some].astype(np.int64) - CODED, counts_of(c, size)[some]
-                    low = 10.0 ** arrays.unigram(counts_of(d, size)[some])
-                sums = [np.bincount(v, weights=x, minlength=k + 2) for x in (n, arrays.kept(n), low)]
-                some = np.flatnonzero(sums[0])
-                yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(s[some]) for s in sums)], names=["v", "c", "kept", "covered"])
-
-    return pairs.select("kind", "n", "a", "b", "c", "d").mapInArrow(staged("katz", run), "v long, c double, kept double, covered double").groupBy("v").agg(*(F.sum(x).alias(x) for x in ("c", "kept", "covered"))).collect()
-
-
-def second_words(pairs: DataFrame, words: DataFrame, bits: int) -> DataFrame:
-    """(part, a, b): words and counts, for each partition the second words of its pairs of two rare words."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, a, b in zip(batch.column(0).to_pylist(), values(batch.column(1), 1), values(batch.column(2), 1), strict=True):
-                v, w = unplaned(a), unplaned(b)
-                w = np.unique(w[~frequent(v) & ~frequent(w)])
-                yield rows_of([(at, part, KNOWN, w[i:j].tobytes(), None) for at, i, j in sliced(w, bits, 64)] or [(0, part, KNOWN, b"", None)])
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = table = None
-        for batch in batches:
-            for part, block, kind, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), values(batch.column(3), 16), values(batch.column(4), 16), strict=True):
-                if kind == WORDS_TABLE:
-                    now, table = part, unpack(a, b, np.uint64)
-                elif a and now == part:
-                    w = np.frombuffer(a, np.uint64)
-                    yield rows_of([(block, 0, KNOWN, a, packed(table[1][find(table[0], w)[1]]))])
-
-    asked = pairs.filter(F.col("kind") == RARE_TABLE).select("part", "a", "b").mapInArrow(staged("katz", ask), BLOB).select("part", "block", "kind", "a", "b")
-    held = words.select("part", F.lit(-1).cast("long").alias("block"), F.lit(WORDS_TABLE).alias("kind"), F.col("keys").alias("a"), F.col("counts").alias("b"))
-    return settled(held.unionByName(asked).repartition("part").sortWithinPartitions("part", "block").mapInArrow(staged("katz", tell), BLOB).select("part", "a", "b"))
-
-
-def alphas(c, kept, covered):
-    """What is left to unseen words over their lower level's share."""
-    return np.maximum(1 - kept / c, 1e-12) / np.maximum(1 - covered, 1e-12)
-
-
 @dataclass
 class KatzModel:
-    arrays: Arrays
+    """N, V and the discounts, and the tables, a ROW for each part."""
+
+    tokens: int
+    types: int
+    discounts: np.ndarray
     words: DataFrame
     pairs: DataFrame
-    known: DataFrame | None
-    bits: int
-
-
-def partition_bits(df: DataFrame) -> int:
-    """Bits of a word's or pair's hash that name its part: some parts to a shuffle partition, as a task holds one at a time."""
-    return max(2, (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 3).bit_length() - 1)
-
-
-def train(texts: DataFrame, text: str = "text", vocabulary: int | None = None, hot_pairs: int = HOT_PAIRS, hot_words: int = HOT_WORDS) -> KatzModel:
-    """Count all texts of a frame and fit the model, of all words unless a ``vocabulary`` is given."""
-    if max(vocabulary or 0, hot_words) > MOST_HOT:
-        raise ValueError(f"at most {MOST_HOT} words can be numbered; without a vocabulary, all words are in pairs")
-    spark = texts.sparkSession
-    bound_batches(spark)
-    bits, whole = partition_bits(texts), vocabulary is None
-    read = texts.select(F.lit(0).cast("long").alias("id"), text_bytes(text).alias("text"))
-    words = count_words(read, bits)
-    steps = histogram(words)
-    tokens, types = sum(s[2] for s in steps), sum(s[1] for s in steps)
-    own, counts = most_frequent(words, np.uint64, steps, hot_words if whole else vocabulary)
-    k = len(own)
-    tail = float((tokens - counts.sum()) + (types - k) + 1) / (tokens + types + 1)
-    pairs = count_pairs(read, bits, spark.sparkContext.broadcast(own), words, whole)
-    near = pairs.filter(F.col("kind") == PAIRS_TABLE).select(F.col("a").alias("keys"), F.col("b").alias("counts"), "n")
-    rare = pairs.filter(F.col("kind") == RARE_TABLE).select(F.col("c").alias("counts"), "n")
-    steps = histogram(near)
-    seen: dict[int, int] = {}
-    for s, n, _ in [*steps, *(histogram(rare) if whole else [])]:
-        seen[s] = seen.get(s, 0) + n
-    arrays = Arrays(own, counts, tokens, types, tail, whole, katz_discounts(seen), np.zeros(k + 2), np.ones(k + 2), *most_frequent(near, np.uint32, steps, hot_pairs))
-    for r in context_sums(pairs, spark.sparkContext.broadcast(arrays)):
-        arrays.context[r.v] = r.c
-        arrays.alpha[r.v] = alphas(r.c, r.kept, r.covered)
-    return KatzModel(arrays, words, pairs, second_words(pairs, words, bits) if whole else None, bits)
+    word_bits: int
+    pair_bits: int
+
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        """log10 P(w) by c(w)."""
+        return np.log10((counts + 1.0) / (self.tokens + 1.0 * (self.types + 1)))
+
+    def backoff(self, counts: np.ndarray, covered: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 t(v), log10 alpha(v)) of contexts by their facts; of contexts never seen, alpha is 1."""
+        taken = ((1 - self.discounts[1 : TRUSTED + 1]) * np.arange(1, TRUSTED + 1)) @ few
+        none = taken <= 0
+        total = np.where(none, counts + 1, counts).astype(float)
+        shares = float(self.tokens + self.types + 1)
+        alpha = np.where(none, 1.0, taken) / total * shares / (shares - covered)
+        return np.log10(np.maximum(total, 1)), np.where(counts > 0, np.log10(alpha), 0.0)
+
+
+def bits_of(entries: int) -> int:
+    return max(2, int(entries // PART_ENTRIES).bit_length())
+
+
+def totals(rows: DataFrame) -> np.ndarray:
+    """The sum of the parts' totals: a few numbers for each part."""
+    found = [np.frombuffer(bytes(r.a), np.int64) for r in rows.filter(F.col("kind") == TOTALS).select("a").toLocalIterator()]
+    return np.sum(found, axis=0) if found else np.zeros(TRUSTED + 3, np.int64)
+
+
+def kind(rows: DataFrame, *which: int) -> DataFrame:
+    return rows.filter(F.col("kind").isin(*which))
+
+
+def train(texts: DataFrame, text: str = "text") -> KatzModel:
+    """Count all texts of a frame and fit the model."""
+    bound_batches(texts.sparkSession)
+    blocks = coded(texts.select(F.lit(0).cast("long").alias("id"), text_bytes(text).alias("text")))
+    size = 1000 * (blocks.agg(F.sum("part")).first()[0] or 0)
+    word_bits, pair_bits = bits_of(size // 4), bits_of(size)
+    first = settled(by_part(send(blocks, word_bits, False, True), count_words))
+    second = settled(by_part(send(blocks, pair_bits, True, True), count_pairs))
+    tokens, types = (int(x) for x in totals(first)[:2])
+    seen = dict(enumerate(totals(second)[: TRUSTED + 2].tolist()))
+    added = by_block(blocks.unionByName(kind(first, WORDS)).unionByName(kind(second, PAIRS)), contexts(word_bits), ROW)
+    words = settled(by_part(kind(first, TABLE).unionByName(added), add_contexts))
+    pairs = kind(second, TABLE)
+    discard(blocks)
+    return KatzModel(tokens, types, katz_discounts(seen), words, pairs, word_bits, pair_bits)
 
 
 # -- scores --------------------------------------------------------------------------------------------
 
 
-def asked(batches: Iterator[pa.RecordBatch], arrays: Arrays, bits: int) -> Iterator[pa.RecordBatch]:
-    """What is known on the spot, and questions to the tables' partitions."""
-    low, log_alpha, number_of_block = arrays.low(), np.log10(arrays.alpha), (TaskContext.get().partitionId() << 32) if TaskContext.get() else 0
-    for ids, tokens, sizes in token_blocks(batches):
-        known, number, context = numbered(tokens, sizes, arrays.words)
-        text = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-        base = np.where(known, np.append(low[:-1], 0)[number], 0.0)
-        apart, v, w = rare_pairs(tokens, sizes, number, context, arrays.k, arrays.whole)
-        key = pair_keys(context, number, arrays.k)
-        hot, at = find(arrays.hot, key)
-        hot &= ~apart
-        score = base + log_alpha[context]  # of rare contexts 0: it comes with the answer about the word
-        score[hot] += arrays.gain(context[hot], number[hot], arrays.hot_counts[at[hot]])
-        total = lambda x, text=text, n=len(sizes): np.bincount(text, weights=x, minlength=n)
-        facts = np.stack([sizes.astype(float), total(known), total(base), total(score)])
-        void = np.array([i is None for i in ids])
-        plain = np.array([0 if i is None else i for i in ids], np.int64)
-        rows = [(number_of_block % (1 << bits), number_of_block, TEXTS, plain.tobytes(), void.tobytes(), facts.tobytes())]
-        near = ~hot & ~apart
-        for kind, keys, some, part in (
-            (WORDS_ASKED, tokens[~known], text[~known], part_of(tokens[~known], bits)),
-            (PAIRS_ASKED, key[near], text[near], part_of(key[near], bits, 32)),
-            (RARE_ASKED, rare_keys(v, w), text[apart], part_of(home(v, w), bits)),
-        ):
-            order = np.lexsort((keys, part)) if kind == RARE_ASKED else np.argsort(keys, kind="stable")
-            keys, some = keys[order], some[order]
-            rows += [(at, number_of_block, kind, planes(keys[i:j]), planes(some[i:j])) for at, i, j in cuts_of(part[order], bits)]
-        yield rows_of(rows)
-        number_of_block += 1
-
-
-def fitted(v: np.ndarray, w: np.ndarray, n: np.ndarray, own: np.ndarray, known: tuple[np.ndarray, np.ndarray], arrays: Arrays) -> tuple:
-    """((keys, gains), (contexts, log alphas)) of a partition's pairs with a rare word."""
-    after, plain = frequent(v), frequent(w)
-    count = own.copy()  # c(w): of the word the pair lies with, of a frequent word, or fetched
-    count[plain] = arrays.counts[w[plain].astype(np.int64) - CODED]
-    both = ~after & ~plain
-    count[both] = known[1][find(known[0], w[both])[1]]
-    low, kept = arrays.unigram(count), arrays.kept(n)
-    rare = np.flatnonzero(~after)
-    contexts, first, at = np.unique(v[rare], return_index=True, return_inverse=True)
-    c = own[rare][first]
-    alpha = alphas(c, *(np.bincount(at, weights=x[rare], minlength=len(contexts)) for x in (kept, 10.0**low)))
-    below = np.empty(len(v))
-    below[rare] = (c * alpha)[at]
-    some = v[after].astype(np.int64) - CODED
-    below[after] = arrays.context[some] * arrays.alpha[some]
-    keys = rare_keys(v, w)
-    order = np.argsort(keys)
-    return (keys[order], (np.log10(kept / below) - low)[order]), (contexts, np.log10(alpha))
-
-
-def answered(batches: Iterator[pa.RecordBatch], arrays: Arrays) -> Iterator[pa.RecordBatch]:
-    """Partial sums for each text and partition; tables come before the questions of their partition."""
-    k, none = arrays.k, np.zeros(0)
-    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    empty = {WORDS_TABLE: nothing, PAIRS_TABLE: (np.zeros(0, np.uint32), nothing[1]), RARE_TABLE: ((nothing[0], none), (nothing[0], none))}
-    now, tables, known = None, dict(empty), []
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(3)]
-        for part, block, kind, a, b, c, d in zip(*columns, *(values(batch.column(i), 8) for i in (3, 4, 5, 6)), strict=True):
-            if part != now:
-                now, tables, known = part, dict(empty), []
-            if kind == TEXTS:
-                yield rows_of([(0, block, TEXTS, a, b, c)])
-            elif kind in (WORDS_TABLE, PAIRS_TABLE):
-                tables[kind] = unpack(a, b, empty[kind][0].dtype)
-            elif kind == KNOWN:
-                known.append(unpack(a, b, np.uint64))
-            elif kind == RARE_TABLE:
-                v = unplaned(a)
-                tables[kind] = fitted(v, unplaned(b), counts_of(c, len(v)), counts_of(d, len(v)), merged(*zip(*known, strict=True)) if known else nothing, arrays)
-            else:
-                keys = unplaned(a, np.uint32 if kind == PAIRS_ASKED else np.uint64)
-                if kind == WORDS_ASKED:
-                    table, counts = tables[WORDS_TABLE]
-                    found, at = find(table, keys)
-                    base = arrays.unigram(np.where(found, counts[at] if len(counts) else 0, 0))
-                    contexts, log_alpha = tables[RARE_TABLE][1]
-                    follows, at = find(contexts, keys)
-                    parts = found.astype(float), base, base + np.where(follows, log_alpha[at] if len(contexts) else 0, 0)
-                elif kind == PAIRS_ASKED:
-                    table, counts = tables[PAIRS_TABLE]
-                    found, at = find(table, keys)
-                    plain = (keys[found] * UNSPREAD).astype(np.int64)
-                    score = np.zeros(len(keys))
-                    score[found] = arrays.gain(plain // (k + 2), plain % (k + 2), counts[at[found]])
-                    parts = (score,)
-                else:
-                    table, gains = tables[RARE_TABLE][0]
-                    found, at = find(table, keys)
-                    parts = (np.where(found, gains[at] if len(gains) else 0, 0),)
-                some, place = np.unique(unplaned(b, np.uint32), return_inverse=True)
-                sums = [np.bincount(place, weights=p) for p in parts]
-                yield rows_of([(0, block, kind, some.astype(np.uint32).tobytes(), None, np.stack(sums).tobytes())])
-
-
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each text, when a block's partial sums are all there."""
+def found_in(keys: np.ndarray, asked: np.ndarray, *facts: np.ndarray) -> list[np.ndarray]:
+    """Facts of the keys asked for, 0 of those that are not there."""
+    if not len(keys):
+        return [np.zeros(len(asked), np.int64) for _ in facts]
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    known = keys[at] == asked
+    return [np.where(known, f[at], 0) for f in facts]
 
-    def emit():
-        out = [pa.array(ids, pa.int64(), mask=void)] + [pa.array(facts[i].astype(np.int64)) for i in (0, 1)] + [pa.array(facts[i]) for i in (2, 3)]
-        return pa.RecordBatch.from_arrays(out, names=["id", "n_tokens", "n_known", "base_score", "score"])
 
-    now = facts = ids = void = None
-    for batch in batches:
-        for block, kind, a, b, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values(batch.column(2), 8), values(batch.column(3), 8), values(batch.column(4), 8), strict=True):
-            if kind == TEXTS:  # the first of its block
-                if now is not None:
-                    yield emit()
-                now, ids, void = block, np.frombuffer(a, np.int64), np.frombuffer(b, bool)
-                facts = np.frombuffer(c, float).reshape(4, -1).copy()
-                continue
-            some = np.frombuffer(a, np.uint32)
-            sums = np.frombuffer(c, float).reshape(-1, len(some))
-            for row, part in zip((1, 2, 3) if kind == WORDS_ASKED else (3,), sums, strict=True):
-                facts[row, some] += part
-    if now is not None:
-        yield emit()
+def tell_words(part: int, table: list, sent: list) -> Iterator[tuple]:
+    keys, facts = np.zeros(0, np.uint64), np.zeros((TRUSTED + 2, 0), np.int64)
+    if table:
+        keys = risen(table[0][3])
+        facts = np.stack([*(whole(x) for x in table[0][4:7]), *whole(table[0][7]).reshape(TRUSTED - 1, -1)])
+    for row in sent:
+        found = np.stack(found_in(keys, risen(row[3]), *facts))
+        yield part, row[1], WORDS, planes(found[0]), planes(found[1]), *packed(found[2:])
+
+
+def tell_pairs(part: int, table: list, sent: list) -> Iterator[tuple]:
+    keys, times = (risen(table[0][3]), whole(table[0][4])) if table else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for row in sent:
+        yield part, row[1], PAIRS, planes(found_in(keys, risen(row[3]), times)[0])
 
 
 def score(texts: DataFrame, model: KatzModel, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score): one row for each row of ``texts``; scores are
     log10 probabilities under the unigram and the whole model."""
-    spark = texts.sparkSession
-    bound_batches(spark)
-    sent, bits = spark.sparkContext.broadcast(model.arrays), model.bits
-    read = texts.select(F.col(id_column).cast("long"), text_bytes(text))
-    questions = read.mapInArrow(lambda batches: asked(batches, sent.value, bits), BLOB)
-    void = F.lit(None).cast("binary")
-    held = [model.words.select("part", F.lit(-1).cast("long").alias("block"), F.lit(WORDS_TABLE).alias("kind"), F.col("keys").alias("a"), F.col("counts").alias("b"), void.alias("c"), void.alias("d"))]
-    held.append(model.pairs.select("part", F.lit(-1).cast("long").alias("block"), "kind", "a", "b", "c", "d"))
-    if model.known is not None:
-        held.append(model.known.select("part", F.lit(-1).cast("long").alias("block"), F.lit(KNOWN).alias("kind"), "a", "b", void.alias("c"), void.alias("d")))
-    for t in held:
-        questions = questions.unionByName(t)
-    dealt = questions.repartition("part").sortWithinPartitions("part", "block", "kind")
-    sums = dealt.mapInArrow(lambda batches: answered(batches, sent.value), BLOB)
-    back = sums.select("block", "kind", "a", "b", "c").repartition("block").sortWithinPartitions("block", F.desc("kind"))
-    rows = back.mapInArrow(staged("katz", gathered), "id long, n_tokens long, n_known long, base_score double, score double")
-    return rows.select(F.col("id").alias(id_column), "n_tokens", "n_known", F.lit(model.arrays.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    bound_batches(texts.sparkSession)
+    blocks = coded(texts.select(F.col(id_column).cast("long"), text_bytes(text)))
+    first = settled(by_part(model.words.unionByName(send(blocks, model.word_bits, False, False)), tell_words))
+    second = settled(by_part(model.pairs.unionByName(send(blocks, model.pair_bits, True, False)), tell_pairs))
+    small = KatzModel(model.tokens, model.types, model.discounts, None, None, 0, 0)
+
+    def work(row: tuple, answers: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        block, told = Block.of(row), answers[WORDS]
+        counts, covered, once = (joined([r[i] for r in told]) for i in (3, 4, 5))
+        few = np.concatenate([once[None], np.concatenate([whole(r[6]).reshape(TRUSTED - 1, -1) for r in told], axis=1)])
+        total, alpha = small.backoff(counts, covered, few)
+        base = small.unigram(counts)[block.word]
+        times = joined([r[3] for r in answers[PAIRS]])[block.pairs()[2]]
+        seen = np.log10(np.maximum(small.discounts[np.minimum(times, TRUSTED + 1)] * times, 1e-300)) - total[block.context]
+        each = np.where(times > 0, seen, alpha[block.context] + base)
+        owner, n = np.repeat(np.arange(len(block.sizes)), block.sizes), len(block.sizes)
+        known = np.bincount(owner, weights=counts[block.word] > 0, minlength=n).astype(np.int64)
+        ids, void = np.frombuffer(row[3], np.int64, count=n), np.frombuffer(row[3], bool, offset=8 * n)
+        columns = [pa.array(ids, mask=void), pa.array(block.sizes), pa.array(known), *(pa.array(np.bincount(owner, weights=x, minlength=n)) for x in (base, each))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "n_known", "base_score", "score"])
+
+    rows = by_block(blocks.unionByName(first).unionByName(second), work, "id long, n_tokens long, n_known long, base_score double, score double")
+    return rows.select(F.col("id").alias(id_column), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

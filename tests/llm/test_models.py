@@ -21,90 +21,101 @@ def tokens(text):
     return [*WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or "")), None]
 
 
-@pytest.mark.parametrize("vocabulary,hot", [(60_000, 65_536), (60_000, 3), (40, 10)])
-def test_katz(docs, vocabulary, hot):
-    taught = docs.filter("doc_id is null or doc_id % 7 <> 2")
-    model = katz.train(taught, vocabulary=vocabulary, hot_pairs=hot)
-    texts = [tokens(r.text) for r in taught.collect()]
-    c = Counter(w for t in texts for w in t)
-    n, v = sum(c.values()), len(c)
-    keep = set(c) if vocabulary > v else None
-    base = lambda w: (c[w] + 1) / (n + v + 1)
-    got = {}
-    for r in katz.score(docs, model).collect():
-        got.setdefault(r.doc_id, []).append(r)
-    if keep is None:  # the class of all other words: read the vocabulary from the model
-        hashes = set(model.arrays.words.tolist())
-        keep = {w for w in c if (int(katz.END) if w is None else int(katz.word_hashes(w.encode())[1][0])) in hashes}
-    assert len(keep) <= vocabulary
-    name = lambda w: w if w in keep else "\0class"
-    tail = sum(base(w) for w in c if w not in keep) + 1 / (n + v + 1)
-    low = lambda w: base(w) if w in keep else tail
-    pairs = Counter()
-    for t in texts:
-        t = ["\0start", *map(name, t)]
-        pairs.update(zip(t, t[1:]))
-    d = katz.katz_discounts(dict(Counter(pairs.values())))
-    total, kept, covered = Counter(), Counter(), Counter()
-    for (a, b), k in pairs.items():
-        total[a] += k
-        kept[a] += k * d[min(k, katz.TRUSTED + 1)]
-        covered[a] += tail if b == "\0class" else base(b)
-
-    def probability(a, b):
-        k = pairs.get((a, name(b)), 0)
-        inside = base(b) / tail if b not in keep else 1.0
-        if k:
-            return d[min(k, katz.TRUSTED + 1)] * k / total[a] * inside
-        alpha = (1 - kept[a] / total[a]) / (1 - covered[a]) if total[a] else 1.0
-        return alpha * low(b) * inside
-
-    # the model sums to one for every context, unknown words together being one outcome
-    for a in list(total)[:30]:
-        assert abs(sum(probability(a, w) for w in c) + probability(a, "\0unknown word") - 1) < 1e-9
-    for r in docs.collect():
-        t = tokens(r.text)
-        score = sum(math.log10(probability(a, b)) for a, b in zip(["\0start", *map(name, t)], t))
-        own = [x for x in got[r.doc_id] if x.n_tokens == len(t) and abs(x.score - score) < 1e-6 * max(1, abs(score))]
-        assert own, (r.doc_id, score, got[r.doc_id])
-        assert abs(own[0].base_score - sum(math.log10(base(w)) for w in t)) < 1e-6 * max(1, len(t))
-        assert own[0].n_known == sum(c[w] > 0 for w in t) and own[0].train_tokens == n
-
-
-@pytest.mark.parametrize("cache", [{}, {"hot_words": 40, "hot_pairs": 10}, {"hot_words": 0, "hot_pairs": 0}])
-def test_katz_counts_pairs_of_all_words(spark, docs, cache):
-    """More words than keys of 32 bits can number, none of them a class, whatever the cache holds."""
-    many = [(1000 + i, " ".join(f"w{(i * 700 + j) % (997 if j % 3 == 0 else 10**9)}" for j in range(700)), "en", "s", 0) for i in range(200)]
-    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    every = own.unionByName(spark.createDataFrame(many, own.schema)).repartition(3).cache()
-    taught = every.filter("doc_id is null or doc_id % 7 <> 2")
-    model = katz.train(taught, **cache)
-    texts = [tokens(r.text) for r in taught.collect()]
-    c = Counter(w for t in texts for w in t)
-    n, v = sum(c.values()), len(c)
-    assert v > katz.MOST_HOT
-    pairs = Counter(p for t in texts for p in zip(["\0start", *t], t))
-    d = katz.katz_discounts(dict(Counter(pairs.values())))
-    base = lambda w: (c[w] + 1) / (n + v + 1)
-    total, kept, covered = Counter(), Counter(), Counter()
-    for (a, b), k in pairs.items():
-        total[a] += k
-        kept[a] += k * d[min(k, katz.TRUSTED + 1)]
-        covered[a] += base(b)
-
-    def probability(a, b):
-        k = pairs.get((a, b), 0)
-        if k:
-            return d[min(k, katz.TRUSTED + 1)] * k / total[a]
-        return (max(1 - kept[a] / total[a], 1e-12) / (1 - covered[a]) if total[a] else 1.0) * base(b)
-
+class BruteKatz:
+    """The model from its definition, over words as strings; None is the end."""
+
+    def __init__(self, texts):
+        self.c = Counter(w for t in texts for w in t)
+        self.n, self.v = sum(self.c.values()), len(self.c)
+        self.pairs = Counter(p for t in texts for p in zip(["\0start", *t], t))
+        n = Counter(self.pairs.values())
+        k, d = katz.TRUSTED, {}
+        for r in range(1, k + 1):  # Katz (1987), eq. 15
+            if n[r] and n[1] and (k + 1) * n[k + 1] < n[1]:
+                last = (k + 1) * n[k + 1] / n[1]
+                d[r] = ((r + 1) * n[r + 1] / (n[r] * r) - last) / (1 - last)
+        self.d = {r: x for r, x in d.items() if 0 < x < 1}
+        self.after = {}
+        for (a, b), r in self.pairs.items():
+            self.after.setdefault(a, {})[b] = r
+
+    def base(self, w):
+        return (self.c[w] + 1) / (self.n + self.v + 1)
+
+    def probability(self, a, b):
+        seen = self.after.get(a, {})
+        if not seen:
+            return self.base(b)
+        kept = {w: self.d.get(r, 1.0) * r for w, r in seen.items()}
+        count = sum(seen.values())
+        total = count if count - sum(kept.values()) > 1e-9 else count + 1
+        if b in seen:
+            return kept[b] / total
+        return (1 - sum(kept.values()) / total) / (1 - sum(map(self.base, seen))) * self.base(b)
+
+
+def check_katz(every, taught):
+    model = katz.train(taught)
+    brute = BruteKatz([tokens(r.text) for r in taught.collect()])
+    assert (model.tokens, model.types) == (brute.n, brute.v)
     got = {}
     for r in katz.score(every, model).collect():
         got.setdefault(r.doc_id, []).append(r)
     for r in every.collect():
         t = tokens(r.text)
-        score = sum(math.log10(probability(a, b)) for a, b in zip(["\0start", *t], t))
-        assert any(x.n_tokens == len(t) and abs(x.score - score) < 1e-6 * max(1, abs(score)) for x in got[r.doc_id]), (r.doc_id, score, got[r.doc_id])
+        score = sum(math.log10(brute.probability(a, b)) for a, b in zip(["\0start", *t], t))
+        own = [x for x in got[r.doc_id] if x.n_tokens == len(t) and abs(x.score - score) < 1e-6 * max(1, abs(score))]
+        assert own, (r.doc_id, score, got[r.doc_id])
+        assert abs(own[0].base_score - sum(math.log10(brute.base(w)) for w in t)) < 1e-6 * max(1, len(t))
+        assert own[0].n_known == sum(brute.c[w] > 0 for w in t) and own[0].train_tokens == brute.n
+    return model, brute
+
+
+@pytest.mark.parametrize("part", [1_500_000, 50])
+def test_katz(docs, part, monkeypatch):
+    monkeypatch.setattr(katz, "PART_ENTRIES", part)
+    own = docs.select("doc_id", "text").repartition(5)
+    check_katz(own.cache(), own.filter("doc_id is null or doc_id % 7 <> 2").cache())
+
+
+def sums_to_one(model, brute, contexts):
+    """The model's own arrays, context by context: seen pairs, unseen words and the unknown ones together."""
+    facts, pairs = {}, {}
+    for r in model.words.collect():
+        keys = katz.risen(bytes(r.a))
+        few = np.concatenate([katz.whole(bytes(r.d))[None], katz.whole(bytes(r.e)).reshape(katz.TRUSTED - 1, -1)])
+        total, alpha = model.backoff(katz.whole(bytes(r.b)), katz.whole(bytes(r.c)), few)
+        facts |= dict(zip(keys.tolist(), zip(total, alpha, katz.whole(bytes(r.b)), strict=True), strict=True))
+    for r in model.pairs.collect():
+        pairs |= dict(zip(katz.risen(bytes(r.a)).tolist(), katz.whole(bytes(r.b)).tolist(), strict=True))
+    hash_of = lambda w: katz.END if w is None else katz.START if w == "\0start" else katz.word_hashes(w.encode())[1][0]
+    hashes = np.array([hash_of(w) for w in brute.c], np.uint64)
+    low = 10 ** model.unigram(np.array(list(brute.c.values())))
+    for a in contexts:
+        keys = katz.mix(np.full(1, hash_of(a), np.uint64) * katz.BASE + hashes).tolist()
+        times = np.array([pairs.get(k, 0) for k in keys])
+        total, alpha, _ = facts[int(hash_of(a))]
+        p = np.where(times > 0, model.discounts[np.minimum(times, katz.TRUSTED + 1)] * times / 10**total, 10**alpha * low)
+        assert abs(p.sum() + 10**alpha * 10 ** model.unigram(np.zeros(1))[0] - 1) < 1e-9, a
+        assert (p > 0).all()
+
+
+def test_katz_sums_to_one(spark, docs):
+    own = docs.select("doc_id", "text")
+    model = katz.train(own)
+    brute = BruteKatz([tokens(r.text) for r in own.collect()])
+    sums_to_one(model, brute, list(brute.after)[:60])
+    often = spark.createDataFrame([(i, "a b c a b d") for i in range(40)], "doc_id long, text string")  # every pair is frequent
+    model, brute = check_katz(often.unionByName(spark.createDataFrame([(99, "a d z b b")], often.schema)), often)
+    sums_to_one(model, brute, list(brute.after))
+
+
+def test_katz_many_words(spark, docs):
+    """More words than 16 bits can number, all of them in pairs."""
+    many = [(1000 + i, " ".join(f"w{(i * 700 + j) % (997 if j % 3 == 0 else 10**9)}" for j in range(700))) for i in range(200)]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(many, "doc_id long, text string")).repartition(3).cache()
+    model, brute = check_katz(every, every.filter("doc_id is null or doc_id % 7 <> 2"))
+    assert brute.v > 1 << 16
 
 
 def test_katz_empty(nothing, docs):
