@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,17 +104,18 @@ def token_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.n
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Whole numbers as their first bytes, their second bytes and so on, which compresses well; in front, how many
-    bytes each needs."""
+    """Whole numbers as their first bytes, their second bytes and so on, compressed; in front, how many bytes each
+    needs."""
     most = int(x.max()) if len(x) else 0
     kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64
     x = x.astype(kind)
-    return bytes([x.itemsize]) + x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return bytes([x.itemsize]) + zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 1)
 
 
 def unplaned(data: bytes) -> np.ndarray:
     size = data[0]
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=1).reshape(size, -1).T).reshape(-1).view(f"u{size}").astype(np.uint64)
+    raw = np.frombuffer(zstandard.decompress(data[1:]), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(f"u{size}").astype(np.uint64)
 
 
 def whole(data: bytes) -> np.ndarray:
@@ -183,13 +185,19 @@ class Block:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(sorted distinct keys of the pairs, a token with each, each token's pair)."""
-        plain = self.context * len(self.keys) + self.word
-        distinct, first, at = np.unique(plain, return_index=True, return_inverse=True)
-        keys = mix(self.keys[distinct // len(self.keys)] * BASE + self.keys[distinct % len(self.keys)])
-        order = np.argsort(keys)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return keys[order], first[order], place[at]
+        keys = mix(self.keys[self.context] * BASE + self.keys[self.word])
+        return grouped(keys)
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, a place of each, which of them stands at each place)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.cumsum(fresh) - 1
+    return ordered[fresh], order[fresh], at
 
 
 def coded(texts: DataFrame) -> DataFrame:
@@ -272,12 +280,12 @@ def joined(parts: list[bytes], read=whole) -> np.ndarray:
 
 
 def merged(sent: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(sorted distinct keys, sums of their counts, first place of each among all that was sent, what was sent)."""
+    """(sorted distinct keys, sums of their counts, one place of each among all that was sent, which of them each
+    sender sent)."""
     own = [risen(r[3]) for r in sent]
-    key, times = np.concatenate(own), joined([r[4] for r in sent])
-    order = np.argsort(key, kind="stable")
-    head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-    return key[order][head], np.add.reduceat(times[order], head), order[head], own
+    keys, one, at = grouped(np.concatenate(own))
+    times = np.bincount(at, weights=joined([r[4] for r in sent]), minlength=len(keys)).astype(np.int64)  # exact below 2**53
+    return keys, times, one, np.split(at, np.cumsum([len(x) for x in own])[:-1])
 
 
 def count_words(part: int, table: list, sent: list) -> Iterator[tuple]:
@@ -286,22 +294,21 @@ def count_words(part: int, table: list, sent: list) -> Iterator[tuple]:
     yield part, 0, TABLE, rising(keys), planes(times)
     words = keys != START
     yield part, 0, TOTALS, np.array([times[words].sum(), words.sum()], np.int64).tobytes()
-    for row, asked in zip(sent, own, strict=True):
-        yield part, row[1], WORDS, planes(times[np.searchsorted(keys, asked)])
+    for row, at in zip(sent, own, strict=True):
+        yield part, row[1], WORDS, planes(times[at])
 
 
 def count_pairs(part: int, table: list, sent: list) -> Iterator[tuple]:
     """The pairs' table of a part, how many pairs were seen how often, and to each block the counts of its pairs and
-    which of them it is the first to hold."""
-    keys, times, first, own = merged(sent)
+    which of them it is the one to report."""
+    keys, times, one, own = merged(sent)
     yield part, 0, TABLE, rising(keys), planes(times)
     yield part, 0, TOTALS, np.bincount(np.minimum(times, TRUSTED + 2), minlength=TRUSTED + 3).tobytes()
-    leads = np.zeros(sum(map(len, own)), bool)
-    leads[first] = True
-    at = 0
-    for row, asked in zip(sent, own, strict=True):
-        yield part, row[1], PAIRS, planes(times[np.searchsorted(keys, asked)]), np.packbits(leads[at : at + len(asked)]).tobytes()
-        at += len(asked)
+    leads, first = np.zeros(sum(map(len, own)), bool), 0
+    leads[one] = True
+    for row, at in zip(sent, own, strict=True):
+        yield part, row[1], PAIRS, planes(times[at]), np.packbits(leads[first : first + len(at)]).tobytes()
+        first += len(at)
 
 
 def contexts(bits: int) -> Callable:
