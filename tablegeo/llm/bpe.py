@@ -46,12 +46,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_kind(content: dict, path: str) -> None:
+    """Refuse a file whose splitting or model is not the one built here, instead of giving other tokens."""
+    splitter = content.get("pre_tokenizer") or {}
+    known = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space", True)
+    model = content["model"]
+    plain = model.get("type", "BPE") == "BPE" and not (model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("byte_fallback"))
+    added = content.get("added_tokens", [])
+    if not known or not plain or content.get("normalizer") or any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError(f"{path} is not byte-level BPE with the usual splitting, no normalizer and plain added tokens")
+
+
 class Vocabulary:
     """Tokens of a ``tokenizers`` JSON file with byte-level BPE, with what encoding and decoding need."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             content = json.load(file)
+        check_kind(content, path)
         letter, vocab = byte_letters(), content["model"]["vocab"]
         size = 1 + max([*vocab.values(), *(t["id"] for t in content["added_tokens"])])
         self.bytes: list[bytes] = [b""] * size

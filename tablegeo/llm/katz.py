@@ -414,6 +414,7 @@ def train(texts: DataFrame, text: str = "text") -> KatzModel:
     words = settled(by_part(kind(first, TABLE).unionByName(added), add_contexts))
     pairs = kind(second, TABLE)
     discard(blocks)
+    discard(first)
     return KatzModel(tokens, types, katz_discounts(seen), words, pairs, word_bits, pair_bits)
 
 

@@ -1,10 +1,11 @@
 """Token counts.
 
 A map-side lookup in two tiers, without any shuffle of pre-tokens.  Tier one is a compact table of the
-lengths (in tokens) of the corpus's frequent pre-tokens: every task counts the pre-tokens of all its texts
-and hands on only its most frequent ones, whose sums give the table, at most ``table_size`` entries, which
-is broadcast.  Tier two encodes the misses, each worker remembering what it has encoded.  The table decides
-only how fast a length is found, never what it is.
+lengths (in tokens) of the corpus's frequent pre-tokens: every task counts the pre-tokens of all its texts and
+hands on one compressed list of its most frequent ones; the lists are merged in a tree, ``FAN`` at a time, each
+cut to ``table_size`` entries again, and the last one gives the table, which is broadcast.  Tier two encodes the
+misses, each worker remembering what it has encoded.  The table decides only how fast a length is found, never
+what it is.
 
 Defined results: a null text counts as empty (0 tokens); invalid UTF-8 is replaced by U+FFFD first; very
 long texts are counted whole.  The count is a column expression, so rows, repeats and further columns stay;
@@ -17,20 +18,39 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegeo.llm.bpe import PieceCache, vocabulary
-from tablegeo.llm.common import bound_batches, text_bytes, values, worker_cache
+from tablegeo.llm.common import bound_batches, materialize, staged, text_bytes, values, worker_cache
 
 #: Entries of the broadcast table, and the longest pre-token (in characters) it may hold: about 2 MB at most.
 TABLE_SIZE, TABLE_LENGTH = 50_000, 32
 #: Pre-tokens that a task counts at once; beyond, it keeps the more frequent half.
 TASK_PIECES = 200_000
+#: Lists merged at once.
+FAN = 32
+
+
+def packed(counts: Counter, table_size: int) -> bytes:
+    """The most frequent pre-tokens and their counts, as one compressed list."""
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:table_size]
+    return zstandard.compress("\0".join(f"{n}:{p}" for p, n in top).encode("utf-8", "surrogatepass"), 1)
+
+
+def unpacked(data: bytes) -> Counter:
+    out: Counter = Counter()
+    for line in zstandard.decompress(data).decode("utf-8", "surrogatepass").split("\0"):
+        n, _, piece = line.partition(":")
+        if n:
+            out[piece] += int(n)
+    return out
 
 
 def frequent_pieces(df: DataFrame, text: str, path: str, table_size: int = TABLE_SIZE) -> DataFrame:
-    """(piece, n): the pre-tokens that tasks found most frequent, with the sum of the tasks' counts."""
+    """(part, top): for each task a list of the pre-tokens it found most frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, counts = vocabulary(path).pattern.findall, Counter()
@@ -39,18 +59,36 @@ def frequent_pieces(df: DataFrame, text: str, path: str, table_size: int = TABLE
                 counts.update(find(value.decode("utf-8", "replace")))
                 if len(counts) > TASK_PIECES:
                     counts = Counter(dict(counts.most_common(TASK_PIECES // 2)))
-        top = [(p, n) for p, n in counts.most_common(table_size) if n > 1 and len(p) <= TABLE_LENGTH]
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
+        top = Counter({p: n for p, n in counts.items() if n > 1 and len(p) <= TABLE_LENGTH and "\0" not in p})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "top": pa.array([packed(top, table_size)], pa.binary())})
+
+    return df.select(text_bytes(text).alias("b")).mapInArrow(staged("bpe", run), "part long, top binary")
+
+
+def merged_once(lists: DataFrame, groups: int, table_size: int) -> DataFrame:
+    """(part, top): the lists merged into so many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, Counter] = {}
+        for batch in batches:
+            for part, top in zip(batch.column(0).to_pylist(), values(batch.column(1), 1), strict=True):
+                sums.setdefault(part, Counter()).update(unpacked(top))
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int64()), "top": pa.array([packed(c, table_size) for c in sums.values()], pa.binary())})
 
-    pieces = df.select(text_bytes(text).alias("b")).mapInArrow(run, "piece string, n long")
-    return pieces.groupBy("piece").agg(F.sum("n").alias("n"))
+    dealt = lists.select(F.pmod("part", F.lit(groups)).alias("part"), "top").repartition("part")
+    return dealt.mapInArrow(staged("bpe", run), "part long, top binary")
 
 
 def length_table(df: DataFrame, text: str, path: str, table_size: int = TABLE_SIZE) -> dict[str, int]:
     """Tier one: token lengths of the corpus's most frequent pre-tokens; never over ``table_size`` rows."""
-    rows = frequent_pieces(df, text, path, table_size).orderBy(F.desc("n"), "piece").limit(table_size).collect()
+    lists = materialize(frequent_pieces(df, text, path, table_size))
+    left = lists.count()
+    while left > 1:
+        left = -(-left // FAN)
+        lists = materialize(merged_once(lists, left, table_size))
+    found = lists.first()
     encode = vocabulary(path).encode_piece
-    return {r.piece: len(encode(r.piece.encode())) for r in rows}
+    return {piece: len(encode(piece.encode())) for piece in unpacked(bytes(found.top))} if found else {}
 
 
 def token_count(text: str | Column, path: str, table) -> Column:
@@ -68,8 +106,9 @@ def token_count(text: str | Column, path: str, table) -> Column:
         for batch in batches:
             yield pa.array([count(v) for v in values(batch)], pa.int64())
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "long")(text_bytes(text))
+    task = staged("bpe", run)
+    task.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(task, "long")(text_bytes(text))
 
 
 def with_token_counts(df: DataFrame, text: str, path: str, output: str = "n_tokens", table_size: int = TABLE_SIZE) -> DataFrame:

@@ -50,3 +50,29 @@ def test_counts(spark, docs, nothing, library):
     assert rows(counted.select("doc_id", "n_tokens")) == rows(token_counts.with_token_counts(docs, "text", path).select("doc_id", "n_tokens"))
     assert token_counts.with_token_counts(nothing, "text", path).count() == 0
     assert len(token_counts.length_table(docs, "text", path, 5)) <= 5
+
+
+def test_lists_merge_in_a_tree(spark, monkeypatch):
+    """Frequent pre-tokens, whatever the number of tasks and the width of the tree."""
+    path, rng = tokenizer_path(), random.Random(3)
+    words = [f"word{i}" for i in range(30)]
+    data = [(" ".join(rng.choices(words, weights=[40 - i for i in range(30)], k=200)),) for _ in range(60)]
+    counts: dict = {}
+    for (t,) in data:
+        for p in bpe.vocabulary(path).pattern.findall(t):
+            counts[p] = counts.get(p, 0) + 1
+    wanted = {p for p, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:8]}
+    monkeypatch.setattr(token_counts, "FAN", 2)
+    found = token_counts.length_table(spark.createDataFrame(data, "text string").repartition(7), "text", path, 40)
+    assert wanted <= set(found) and all(n == len(bpe.vocabulary(path).encode_piece(p.encode())) for p, n in found.items())
+
+
+def test_other_files_are_refused(tmp_path):
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        content = json.load(file)
+    bpe.check_kind(content, "x")
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": content["model"] | {"type": "Unigram"}}, {"added_tokens": [{"content": "x", "id": 1, "lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.check_kind(content | change, "x")
