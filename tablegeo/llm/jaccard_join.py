@@ -46,6 +46,8 @@ HALF = np.uint64(1 << 63)
 PLACE = 512
 #: Lists up to this length are worked on together, so many pairs at once.
 SHORT, EXPANDED = 12, 1_000_000
+#: Elements that a task counts for the sketch at once.
+SKETCHED = 2_000_000
 #: Elements for each counter of a set's outline, and the most counters.
 OUTLINE, COUNTERS = 4, 512
 #: Bits of a set's bitmap.
@@ -140,25 +142,34 @@ def cell_of(elements: np.ndarray, bits: int) -> np.ndarray:
 def count_sketch(docs: DataFrame, n: int, bits: int, elements: int) -> np.ndarray:
     """How frequent the elements of each cell are: twice log2 of the cell's count over the mean, plus one.  One
     byte for each cell, so the size is bounded by SKETCH_BITS."""
-    width, mean = 1 << max(0, bits - 12), max(1.0, elements / 2 / (1 << bits))
+    width, mean = 1 << max(0, bits - 9), max(1.0, elements / 2 / (1 << bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << bits, np.uint32)
+        def emit() -> pa.RecordBatch:
+            cells, times = np.unique(np.concatenate(held), return_counts=True)
+            cuts = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, width))
+            parts = [(i, small(cells[a:b] - i * width), small(times[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+            return pa.RecordBatch.from_pydict({"slice": pa.array([p[0] for p in parts], pa.int32()), "cells": pa.array([p[1] for p in parts], pa.binary()), "times": pa.array([p[2] for p in parts], pa.binary())})
+
+        held, size = [np.zeros(0, np.int64)], 0
         for _, chunk in each_chunk(batches):
             sizes, found, same = chunk_sets(chunk, n)
             found = found[np.repeat(same == np.arange(len(same)), sizes)]
-            np.add.at(cells, cell_of(found[found < HALF], bits), np.uint32(1))
-        parts = [(i, small(cells[i * width : (i + 1) * width])) for i in range(len(cells) // width)]
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([p[0] for p in parts], pa.int32()), "cells": pa.array([p[1] for p in parts], pa.binary())})
+            held.append(cell_of(found[found < HALF], bits))
+            size += len(held[-1])
+            if size >= SKETCHED:
+                yield emit()
+                held, size = [np.zeros(0, np.int64)], 0
+        yield emit()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for i, cells in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
-                sums[i] = sums.get(i, 0) + large(cells)
+            for i, cells, times in zip(batch.column(0).to_pylist(), values(batch.column(1)), values(batch.column(2)), strict=True):
+                sums.setdefault(i, np.zeros(width, np.int64))[large(cells)] += large(times)
         yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": pa.array([(2 * np.log2(x / mean + 1)).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())})
 
-    rows = over_chunks(docs, count, "slice int, cells binary").repartition("slice").mapInArrow(staged("jaccard", add), "slice int, cells binary")
+    rows = over_chunks(docs, count, "slice int, cells binary, times binary").repartition("slice").mapInArrow(staged("jaccard", add), "slice int, cells binary")
     out = np.zeros(1 << bits, np.uint8)
     for r in rows.toLocalIterator():
         out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(bytes(r.cells), np.uint8)
@@ -444,7 +455,7 @@ def labelled_rows(df: DataFrame, id_column: str, text: str, n: int, percent: int
     """(key, digest, n_shingles, label): one row for each row; rows of one component share the label."""
     spark = df.sparkSession
     bound_batches(spark)
-    bits = max(2, (int(spark.conf.get("spark.sql.shuffle.partitions")) // 3).bit_length() - 1)
+    bits = 1 + int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()  # several parts to a task; a part is merged at once
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID))
     docs = df.select(key.alias("key"), text_bytes(text).alias("bytes"))
     dealt = chunks(docs)

@@ -304,7 +304,7 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     spark = df.sparkSession
     bound_batches(spark)
     gram = gram or max(1, depth * GRAM // DEPTH)
-    bits = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() - 1)  # a partition is compared at once
+    bits = 2 + int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()  # several parts to a task; a part is compared at once
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID))
     texts = chunks(df.select(key.alias("key"), text_bytes(text).alias("bytes")))
     one = pass_one(texts, depth, gram, bits)
