@@ -46,6 +46,8 @@ HALF = np.uint64(1 << 63)
 PLACE = 512
 #: Lists up to this length are worked on together, so many pairs at once.
 SHORT, EXPANDED = 12, 1_000_000
+#: Rows of lists with one head that are kept together.
+PLACED = 5_000
 #: Elements that a task counts for the sketch at once.
 SKETCHED = 2_000_000
 #: Elements for each counter of a set's outline, and the most counters.
@@ -185,12 +187,12 @@ def rarity(elements: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return out
 
 
-INDEX = "token long, node long, n int, pos int, size int"
+INDEX = "token long, node long, n int, pos int, size int, head long"
 
 
 def index_lists(docs: DataFrame, n: int, percent: int, classes, bits: int) -> DataFrame:
-    """INDEX: the prefix elements that more than one set has, with set size, position in the order and the
-    length of the element's list."""
+    """INDEX: the prefix elements that more than one set has, with set size, position in the order, the length of
+    the element's list and its head: the set where the element stands earliest."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, chunk in each_chunk(batches):
@@ -212,15 +214,15 @@ def index_lists(docs: DataFrame, n: int, percent: int, classes, bits: int) -> Da
             token = np.concatenate([np.frombuffer(h[1], np.uint64) for h in held])
             node = np.concatenate([node_of(h[0], large(h[2])) for h in held])
             position, size = (np.concatenate([large(h[i]) for h in held]) for i in (3, 4))
-            order = np.argsort(token, kind="stable")
+            order = np.lexsort((node, size, position, token))
             again = np.zeros(len(token), bool)
             again[1:] = token[order][1:] == token[order][:-1]
             order = order[again | np.append(again[1:], False)]
-            _, which, length = np.unique(token[order], return_inverse=True, return_counts=True)
-            length = length[which].astype(np.int32)
+            _, first, which, length = np.unique(token[order], return_index=True, return_inverse=True, return_counts=True)
+            length, head = length[which].astype(np.int32), node[order][first][which]
             for i in range(0, len(order), 1 << 17):
                 o = order[i : i + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array(token[o].view(np.int64)), pa.array(node[o]), pa.array(size[o].astype(np.int32)), pa.array(position[o].astype(np.int32)), pa.array(length[i : i + (1 << 17)])], names=["token", "node", "n", "pos", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[o].view(np.int64)), pa.array(node[o]), pa.array(size[o].astype(np.int32)), pa.array(position[o].astype(np.int32)), pa.array(length[i : i + (1 << 17)]), pa.array(head[i : i + (1 << 17)])], names=["token", "node", "n", "pos", "size", "head"])
 
         now, held = None, []
         for batch in batches:
@@ -282,8 +284,12 @@ def cross_pairs(index: DataFrame, followers: DataFrame, nodes: DataFrame, percen
     bitmaps = nodes.filter("bitmap is not null").select("node", "bitmap")
     long_rows = named.filter(F.col("size") > SHORT).join(bitmaps, "node", "left")
     both = named.filter(F.col("size") <= SHORT).withColumn("bitmap", F.lit(None).cast("binary")).unionByName(long_rows)
-    dealt = both.select("token", "n", "pos", "node", F.coalesce("leader", "node").alias("leader"), F.coalesce("label", "node").alias("label"), "bitmap")
-    dealt = dealt.repartition("token").sortWithinPartitions("token", "n", "pos", "node")
+    # Lists with one head hold much the same sets: they are dealt together, so that a pair they share is told once, but
+    # to as many places as keep a place near PLACED rows.
+    many = index.groupBy("head").agg((1 + F.floor(F.count(F.lit(1)) / PLACED)).alias("places"))
+    both = both.join(many, "head").withColumn("place", F.pmod(F.xxhash64("token"), F.col("places")))
+    dealt = both.select("token", "n", "pos", "node", F.coalesce("leader", "node").alias("leader"), F.coalesce("label", "node").alias("label"), "bitmap", "head", "place")
+    dealt = dealt.repartition("head", "place").sortWithinPartitions("token", "n", "pos", "node")
 
     def long_list(n, pos, node, leader, label, bitmap) -> Iterator[np.ndarray]:
         """Everything outside the list's main component against the block of sizes it can be similar to."""
@@ -326,7 +332,7 @@ def cross_pairs(index: DataFrame, followers: DataFrame, nodes: DataFrame, percen
             return pa.RecordBatch.from_arrays([pa.array(v[fresh]) for v in (x, y, a, b)], names=["x", "y", "a", "b"])
 
         found, held = [], 0
-        for token, n, pos, node, leader, label, bitmap in lists(batches):
+        for token, n, pos, node, leader, label, bitmap, _, _ in lists(batches):
             n, pos = n.astype(np.int64), pos.astype(np.int64)
             cuts = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
             size = np.diff(cuts)
