@@ -54,7 +54,7 @@ SKETCHED = 2_000_000
 OUTLINE, COUNTERS = 4, 512
 #: Bits of a set's bitmap.
 BITMAP = 1024
-#: Places that a component's rows are dealt to.
+#: Places that a component's rows, or the rows of lists with one head, are dealt to.
 SALTS = 16
 
 
@@ -293,8 +293,11 @@ def cross_pairs(index: DataFrame, followers: DataFrame, nodes: DataFrame, percen
     both = named.filter(F.col("size") <= SHORT).withColumn("bitmap", F.lit(None).cast("binary")).unionByName(long_rows)
     # Lists with one head hold much the same sets: they are dealt together, so that a pair they share is told once, but
     # to as many places as keep a place near PLACED rows.
-    many = index.groupBy("head").agg((1 + F.floor(F.count(F.lit(1)) / PLACED)).alias("places"))
-    both = both.join(many, "head").withColumn("place", F.pmod(F.xxhash64("token"), F.col("places")))
+    # The few heads of several places stand once for each salt: one head may have a third of all rows.
+    many = index.groupBy("head").agg((1 + F.floor(F.count(F.lit(1)) / PLACED)).alias("places")).filter("places > 1")
+    many = many.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = both.withColumn("salt", F.pmod(F.xxhash64("node", "token"), F.lit(SALTS)).cast("int"))
+    both = salted.join(many, ["head", "salt"], "left").withColumn("place", F.pmod(F.xxhash64("token"), F.coalesce("places", F.lit(1).cast("long"))))
     dealt = both.select("token", "n", "pos", "node", F.coalesce("leader", "node").alias("leader"), F.coalesce("label", "node").alias("label"), "bitmap", "head", "place")
     dealt = dealt.repartition("head", "place").sortWithinPartitions("token", "n", "pos", "node")
 
