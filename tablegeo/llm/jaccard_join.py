@@ -141,40 +141,50 @@ def cell_of(elements: np.ndarray, bits: int) -> np.ndarray:
     return (elements >> np.uint64(63 - bits)).astype(np.int64)
 
 
-def count_sketch(docs: DataFrame, n: int, bits: int, elements: int) -> np.ndarray:
-    """How frequent the elements of each cell are: twice log2 of the cell's count over the mean, plus one.  One
-    byte for each cell, so the size is bounded by SKETCH_BITS."""
-    width, mean = 1 << max(0, bits - 9), max(1.0, elements / 2 / (1 << bits))
+def slice_width(bits: int) -> int:
+    """Cells that are added up together."""
+    return 1 << max(0, bits - 9)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit() -> pa.RecordBatch:
-            cells, times = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(cells, np.arange(0, (1 << bits) + 1, width))
-            parts = [(i, small(cells[a:b] - i * width), small(times[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
-            return pa.RecordBatch.from_pydict({"slice": pa.array([p[0] for p in parts], pa.int32()), "cells": pa.array([p[1] for p in parts], pa.binary()), "times": pa.array([p[2] for p in parts], pa.binary())})
-
-        held, size = [np.zeros(0, np.int64)], 0
-        for _, chunk in each_chunk(batches):
-            sizes, found, same = chunk_sets(chunk, n)
-            found = found[np.repeat(same == np.arange(len(same)), sizes)]
-            held.append(cell_of(found[found < HALF], bits))
-            size += len(held[-1])
-            if size >= SKETCHED:
-                yield emit()
-                held, size = [np.zeros(0, np.int64)], 0
-        yield emit()
+
+class CellCounts:
+    """Counts of the cells of a task's elements, sent whenever SKETCHED elements are held."""
+
+    def __init__(self, bits: int):
+        self.bits, self.held, self.size = bits, [np.zeros(0, np.int64)], 0
+
+    def add(self, elements: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+        self.held.append(cell_of(elements[elements < HALF], self.bits))
+        self.size += len(self.held[-1])
+        return self.rows() if self.size >= SKETCHED else []
+
+    def rows(self) -> list[tuple[int, bytes, bytes]]:
+        """(slice, cells in the slice, times) of what is held, which is let go."""
+        width = slice_width(self.bits)
+        cells, times = np.unique(np.concatenate(self.held), return_counts=True)
+        cuts = np.searchsorted(cells, np.arange(0, (1 << self.bits) + 1, width))
+        self.held, self.size = [np.zeros(0, np.int64)], 0
+        return [(i, small(cells[a:b] - i * width), small(times[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if a < b]
+
+
+def count_sketch(counts: DataFrame, fine: int, elements: int) -> np.ndarray:
+    """How frequent the elements of each cell are: twice log2 of the cell's count over the mean, plus one.  One
+    byte for each cell, so the size is bounded by SKETCH_BITS.  ``counts`` has 2**``fine`` cells, as texts were
+    counted before the number of elements was known; neighbours are added up to the cells that it asks for."""
+    bits = min(fine, sketch_bits(elements))
+    width, fold, mean = slice_width(fine), 1 << (fine - bits), max(1.0, elements / 2 / (1 << bits))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, cells, times in zip(batch.column(0).to_pylist(), values(batch.column(1)), values(batch.column(2)), strict=True):
                 sums.setdefault(i, np.zeros(width, np.int64))[large(cells)] += large(times)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": pa.array([(2 * np.log2(x / mean + 1)).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())})
+        folded = [x.reshape(-1, fold).sum(axis=1) for x in sums.values()]
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": pa.array([(2 * np.log2(x / mean + 1)).astype(np.uint8).tobytes() for x in folded], pa.binary())})
 
-    rows = over_chunks(docs, count, "slice int, cells binary, times binary").repartition("slice").mapInArrow(staged("jaccard", add), "slice int, cells binary")
+    rows = counts.repartition("slice").mapInArrow(staged("jaccard", add), "slice int, cells binary")
     out = np.zeros(1 << bits, np.uint8)
     for r in rows.toLocalIterator():
-        out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(bytes(r.cells), np.uint8)
+        out[r.slice * width // fold : (r.slice + 1) * width // fold] = np.frombuffer(bytes(r.cells), np.uint8)
     return out
 
 
@@ -441,20 +451,37 @@ def linked(checked: DataFrame, percent: int) -> DataFrame:
     return checked.filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("a_size") + F.col("b_size") - F.col("both"))).select("a", "b")
 
 
-def numbered(docs: DataFrame, n: int) -> DataFrame:
+NUMBERED = "key long, n_shingles long, node long, outline binary, bitmap binary, digest binary, slice int, cells binary, times binary"
+
+
+def numbered(docs: DataFrame, n: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """(key, n_shingles, node, outline, bitmap, digest): every row with its node and the MD5 of its text; outline
-    and bitmap stand with the node's own row."""
+    and bitmap stand with the node's own row.  And (slice, cells, times): counts for the sketch.  The texts are
+    read once for both."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    names = [field.split()[0] for field in NUMBERED.split(", ")]
+
+    def batch(columns: list, rows: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(rows, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def counts(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield batch([None] * 6 + list(zip(*rows, strict=True)), len(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = CellCounts(bits)
         for number, chunk in each_chunk(batches):
             sizes, elements, same = chunk_sets(chunk, n)
             ends = np.cumsum(sizes)
             own = [elements[e - s : e] if s and k == i else None for i, (s, e, k) in enumerate(zip(sizes.tolist(), ends.tolist(), same.tolist(), strict=True))]
             outlines, bitmaps = ([None if x is None else f(x) for x in own] for f in (outline, bitmap_of))
             digests = [hashlib.md5(chunk.bytes[e - s : e]).digest() for s, e in zip(chunk.sizes.tolist(), chunk.ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(chunk.keys), pa.array(sizes), pa.array(node_of(number, same)), pa.array(outlines, pa.binary()), pa.array(bitmaps, pa.binary()), pa.array(digests, pa.binary())], names=["key", "n_shingles", "node", "outline", "bitmap", "digest"])
+            yield batch([chunk.keys, sizes, node_of(number, same), outlines, bitmaps, digests, None, None, None], len(sizes))
+            yield from counts(counter.add(elements[np.repeat(same == np.arange(len(same)), sizes)]))
+        yield from counts(counter.rows())
 
-    return materialize(over_chunks(docs, run, "key long, n_shingles long, node long, outline binary, bitmap binary, digest binary"))
+    both = materialize(over_chunks(docs, run, NUMBERED))
+    return both.filter("slice is null").select(*names[:6]), both.filter("slice is not null").select(*names[6:])
 
 
 def labelled_rows(df: DataFrame, id_column: str, text: str, n: int, percent: int) -> DataFrame:
@@ -465,9 +492,11 @@ def labelled_rows(df: DataFrame, id_column: str, text: str, n: int, percent: int
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID))
     docs = df.select(key.alias("key"), text_bytes(text).alias("bytes"))
     dealt = chunks(docs)
-    nodes = numbered(docs, n)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    fine = sketch_bits(size // 2)  # a word has a byte and a space at least
+    nodes, counts = numbered(docs, n, fine)
     total = nodes.filter("outline is not null").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    classes = spark.sparkContext.broadcast(count_sketch(docs, n, sketch_bits(total), total))
+    classes = spark.sparkContext.broadcast(count_sketch(counts, fine, total))
     index = index_lists(docs, n, percent, classes, bits)
     slack, reach = 1e-9, 1 - percent / 100
 
