@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegeo.llm import bpe, exact_dedup, jaccard_join, katz, mixing, quotes, suffix_dedup, token_counts, topk, toxicity
+from tablegeo.llm import bpe, exact_dedup, jaccard_join, katz, manifest, mixing, quotes, suffix_dedup, token_counts, topk, toxicity
 from tablegeo.llm.common import bound_batches, text_bytes
 
 
@@ -78,7 +78,17 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.filter("vec_id % 100 = 0"), "vec_id", "v", 10)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_katz": op6_katz, "op7_quotes": op7_quotes, "op8_exact_dedup": op8_exact_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk": op10_topk}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document; tampering deletes line ends of the texts whose id has an even checksum."""
+    docs = table(spark, sf_dir, "documents")
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = manifest.verified(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"text": tampered})
+    proof = manifest.digest(manifest.siblings("path")).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_katz": op6_katz, "op7_quotes": op7_quotes, "op8_exact_dedup": op8_exact_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk": op10_topk, "op11_manifest": op11_manifest}
 
 ORACLE = {
     "op3_mixing": """
@@ -127,5 +137,50 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 10
+""",
+    "op11_manifest": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+crcs AS (
+  SELECT doc_id, xor(list_reduce(list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), crc_table),
+fields AS (
+  SELECT d.doc_id, source, text,
+    coalesce(strlen(CAST(d.doc_id AS VARCHAR)) || ':' || CAST(d.doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+      || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-') AS head,
+    CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed
+  FROM documents d LEFT JOIN crcs ON d.doc_id = crcs.doc_id),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS other FROM fields)),
+nodes(source, level, i, h, n) AS (
+  SELECT source, 0, i, leaf, count(*) OVER (PARTITION BY source) FROM leaves
+  UNION ALL
+  SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY source, level, i // 3),
+subroots AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, i, h, n) AS (
+  SELECT 0, i, h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, i // 3),
+heights AS (SELECT source, max(level) AS height FROM nodes GROUP BY source),
+all_nodes AS (
+  SELECT source, level, i, h, n FROM nodes WHERE n > 1
+  UNION ALL
+  SELECT s.source, height + t.level, t.i, t.h, t.n FROM tops t, subroots s JOIN heights ON s.source IS NOT DISTINCT FROM heights.source WHERE t.n > 1),
+runs AS (SELECT source, level, i // 3 AS parent, list({'i': i, 'h': h} ORDER BY i) AS each FROM all_nodes GROUP BY ALL),
+walk(key, doc_id, source, leaf, level, i, folded, sides) AS (
+  SELECT row_number() OVER (), doc_id, source, leaf, 0, i, other, '' FROM leaves
+  UNION ALL
+  SELECT key, w.doc_id, w.source, leaf, w.level + 1,
+    CASE WHEN w.level + 1 = height THEN s.i ELSE parent END,
+    sha256(array_to_string(list_transform(each, lambda x: CASE WHEN x.i = w.i THEN folded ELSE x.h END), '')),
+    sides || array_to_string(list_transform(list_filter(each, lambda x: x.i <> w.i), lambda x: x.h), '')
+  FROM (SELECT w.key, w.doc_id, w.source, w.leaf, w.level, CASE WHEN w.level = 0 AND height = 0 THEN s.i ELSE w.i END AS i, w.folded, w.sides, height, s.i AS si
+    FROM walk w JOIN heights ON w.source IS NOT DISTINCT FROM heights.source JOIN subroots s ON w.source IS NOT DISTINCT FROM s.source) w
+  JOIN runs ON w.source IS NOT DISTINCT FROM runs.source AND w.level = runs.level AND w.i // 3 = parent
+  JOIN subroots s ON w.source IS NOT DISTINCT FROM s.source),
+last AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY level DESC) AS back FROM walk)
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(sides) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
+FROM last l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source, (SELECT h FROM tops WHERE n = 1) r WHERE back = 1
 """,
 }
