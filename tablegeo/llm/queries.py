@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegeo.llm import bpe, exact_dedup, jaccard_join, katz, manifest, mixing, quotes, suffix_dedup, token_counts, topk, toxicity
+from tablegeo.llm import bpe, exact_dedup, jaccard_join, katz, manifest, mixing, quotes, suffix_dedup, token_counts, topk, toxicity, winnow
 from tablegeo.llm.common import bound_batches, text_bytes
 
 
@@ -88,7 +88,15 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", proof, F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_katz": op6_katz, "op7_quotes": op7_quotes, "op8_exact_dedup": op8_exact_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk": op10_topk, "op11_manifest": op11_manifest}
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: its words inside windows of benchmark items, and which items."""
+    found = winnow.with_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("leak.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    out = found.select("doc_id", "leak.n_words", hit.alias("n_hit"), F.size("leak.item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("leak.item_ids", ",").cast("binary"), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_katz": op6_katz, "op7_quotes": op7_quotes, "op8_exact_dedup": op8_exact_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk": op10_topk, "op11_manifest": op11_manifest, "op12_winnowing": op12_winnowing}
 
 ORACLE = {
     "op3_mixing": """
@@ -182,5 +190,22 @@ walk(key, doc_id, source, leaf, level, i, folded, sides) AS (
 last AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY level DESC) AS back FROM walk)
 SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(sides) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
 FROM last l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source, (SELECT h FROM tops WHERE n = 1) r WHERE back = 1
+""",
+    "op12_winnowing": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS t
+  FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM i WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT r, s, n, array_to_string(w[s:s + n - 1], ' ') AS t FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lengths)),
+hits AS (SELECT r, s, p.n, item_id FROM places p JOIN windows USING (n, t)),
+covered AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS x FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 """,
 }
