@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegeo.llm import bpe, exact_dedup, jaccard_join, katz, manifest, mixing, quotes, suffix_dedup, token_counts, topk, toxicity, winnow
+from tablegeo.llm import bpe, exact_dedup, jaccard_join, katz, manifest, mixing, periods, quotes, suffix_dedup, token_counts, topk, toxicity, winnow
 from tablegeo.llm.common import bound_batches, text_bytes
 
 
@@ -96,7 +96,27 @@ def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_katz": op6_katz, "op7_quotes": op7_quotes, "op8_exact_dedup": op8_exact_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk": op10_topk, "op11_manifest": op11_manifest, "op12_winnowing": op12_winnowing}
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document; those whose id's checksum ends in 0 are made periodic first, as the contract says."""
+    bound_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    sum32 = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select("doc_id", "text", sum32.alias("h"), F.when(sum32 % 10 == 0, F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).alias("words"))
+    g, n = F.floor(F.col("h") / 10), F.size("words")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", F.when(i >= a, a + (i - a) % p).otherwise(i)))
+    changed = words.select("doc_id", F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+    found = changed.select("doc_id", periods.with_runs("text").alias("found"))
+    found = found.select("doc_id", "found", periods.longest("found.runs").alias("best"))
+    lines = F.array_join(F.transform("found.runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("found.runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli")
+    digests = F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2("found.collapsed", 256).alias("collapsed_sha256")
+    return found.select("doc_id", F.size("found.runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli, *digests)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_token_counts": op2_token_counts, "op3_mixing": op3_mixing, "op4_jaccard": op4_jaccard, "op5_toxicity": op5_toxicity, "op6_katz": op6_katz, "op7_quotes": op7_quotes, "op8_exact_dedup": op8_exact_dedup, "op9_suffix_dedup": op9_suffix_dedup, "op10_topk": op10_topk, "op11_manifest": op11_manifest, "op12_winnowing": op12_winnowing, "op13_periods": op13_periods}
 
 ORACLE = {
     "op3_mixing": """
