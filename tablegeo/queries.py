@@ -15,7 +15,7 @@ from tablegeo.operators import lookup as L
 from tablegeo.operators import rows as R
 from tablegeo.plans import extract, session
 from tablegeo.sources import layouts as lay
-from tablegeo.sources import words
+from tablegeo.sources import pages, painted, words
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -122,6 +122,7 @@ tt AS (SELECT page_number, row_index AS row_number, table_col AS col_index, trim
 tgrid AS (SELECT DISTINCT page_number, row_index AS row_number, CAST(unnest(range(1, n_cols + 1)) AS INTEGER) AS col_index FROM col),
 long AS (SELECT g.page_number, g.row_number, g.col_index, coalesce(text, '') AS text FROM tgrid g LEFT JOIN tt USING (page_number, row_number, col_index))"""
 WITH = "WITH RECURSIVE "
+NEAR = "abs({0}.x0 - {1}.x0) <= greatest(2, 0.35::DOUBLE * least({0}.x1 - {0}.x0, {1}.x1 - {1}.x0)) AND abs({0}.x1 - {1}.x1) <= greatest(2, 0.35::DOUBLE * least({0}.x1 - {0}.x0, {1}.x1 - {1}.x0)) AND abs({0}.y0 - {1}.y0) <= greatest(2, 0.35::DOUBLE * least({0}.y1 - {0}.y0, {1}.y1 - {1}.y0)) AND abs({0}.y1 - {1}.y1) <= greatest(2, 0.35::DOUBLE * least({0}.y1 - {0}.y0, {1}.y1 - {1}.y0))"
 L7 = NL + """,
 t AS (SELECT CASE WHEN page_number % 2 = 0 THEN 'even' ELSE 'odd' END AS doc_key, CAST(page_number // 2 AS INTEGER) AS page_number, rn AS row_number, CAST(k AS VARCHAR) AS col_1, CASE WHEN k % 2 = 0 THEN flag || ' ' || status ELSE flag END AS col_2,
   CASE WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN ' ' ELSE quantity END AS col_3, status AS col_4 FROM nl),
@@ -155,6 +156,48 @@ def native_words(spark, sf_dir):
     return words.text_words(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").select("page_number", "line_no", "word_no", "text", "x0", "x1", "y0", "y1")
 
 
+@query(WORDS_SQL.replace("SELECT page_number, CAST(line_no", "SELECT CAST(page_number AS VARCHAR) AS doc_key, CAST(1 + line_no // 50 AS INTEGER) AS page_number, CAST(row_number() OVER (PARTITION BY page_number, line_no // 50 ORDER BY line_no, word_no) - 1 AS INTEGER) AS item_index, CAST(line_no").replace("CAST(line_no AS INTEGER) AS line_no, CAST(word_no AS INTEGER) AS word_no, ", "").replace("12.0::DOUBLE * line_no", "12.0::DOUBLE * (line_no % 50)").replace("AS y1 FROM b WHERE text <> ''", "AS y1 FROM b WHERE trim(text, chr(9) || chr(13) || chr(11) || chr(12)) <> ''"))
+def document_words(spark, sf_dir):
+    """Documents opened, pages listed and read in one stage: texts of 50 lines to a page."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_key"), F.col("text").cast("binary").alias("content"))
+    return pages.read_pages(docs, plugin=pages.text_pages(50)).select("doc_key", "page_number", "item_index", "text", "x0", "x1", "y0", "y1")
+
+
+#: Painted pages (see ``sources.painted``) in pixels at 144 dpi, the three looks at them, and what each look shows.
+PAINTED = FIELDS + """,
+boxes AS (SELECT page_number // 8 AS d, page_number % 8 + 1 AS p, rn, c, (k % 4096) * 4096 + rn * 8 + c AS v, 120 * c AS x0, 28 * rn - 8 AS y0, 120 * c + 12 * length(text) AS x1, 28 * rn + 8 AS y1 FROM fields),
+sizes AS (SELECT d, p, 600 AS width, 28 * max(rn) + 20 AS height FROM boxes GROUP BY ALL),
+tops AS (SELECT *, unnest(CASE WHEN height <= 240 THEN [0] ELSE list_sort(list_distinct(list_concat(range(0, height - 240 + 1, 180), [height - 240]))) END) AS "top" FROM sizes),
+tiles AS (SELECT *, unnest([0, 180, 360]) AS "left" FROM tops),
+looks AS (SELECT d, p, 2 AS priority, 0 AS "left", 0 AS "top", width AS "right", height AS bottom FROM sizes UNION ALL SELECT d, p, 3, "left", "top", least("left" + 240, width), least("top" + 240, height) FROM tiles),
+seen AS (SELECT b.d, b.p, priority, "left", "top", v, greatest(x0, "left") AS x0, greatest(y0, "top") AS y0, least(x1, "right") AS x1, least(y1, bottom) AS y1 FROM boxes b JOIN looks l ON b.d = l.d AND b.p = l.p
+  WHERE x0 < "right" AND x1 > "left" AND y0 < bottom AND y1 > "top" AND NOT (priority = 2 AND c = 4)),
+det AS (
+  SELECT CAST(d AS VARCHAR) AS doc_key, p, 1 AS priority, CAST(row_number() OVER (PARTITION BY d, p ORDER BY rn) - 1 AS BIGINT) AS seq, CAST(v AS VARCHAR) AS text, 1.0::DOUBLE AS confidence, x0 / 2 AS x0, y0 / 2 AS y0, x1 / 2 AS x1, y1 / 2 AS y1 FROM boxes WHERE c = 1
+  UNION ALL
+  SELECT CAST(d AS VARCHAR), p, priority, CAST("top" AS BIGINT) * 1099511627776 + "left" * 1048576 + row_number() OVER (PARTITION BY d, p, priority, "left", "top" ORDER BY v) - 1, CAST(v AS VARCHAR), 0.5::DOUBLE + ((x1 - x0) * (y1 - y0))::DOUBLE / 4000, x0 / 2, y0 / 2, x1 / 2, y1 / 2 FROM seen)"""
+
+
+@query(WITH + PAINTED + " SELECT doc_key, CAST(p AS INTEGER) AS page_number, priority, seq, text, confidence, x0, y0, x1, y1 FROM det")
+def page_detections(spark, sf_dir):
+    """Text layer, whole page and tiles of rendered pages: images stay in the stage that paints and reads them."""
+    found = pages.detections(painted.documents(spark, sf_dir), painted.RECOGNISER, plugin=painted.PLUGIN, dpi=144, tile=240, overlap=60)
+    return found.select("doc_key", "page_number", "priority", "seq", "text", "confidence", "x0", "y0", "x1", "y1")
+
+
+@query(WITH + PAINTED + f""", s AS (SELECT *, row_number() OVER (PARTITION BY doc_key, p, text ORDER BY priority, confidence DESC, y0, x0, seq) AS ord FROM det),
+m AS (
+  SELECT doc_key, p, text, ord, [struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1)] AS kept, true AS new FROM s WHERE ord = 1
+  UNION ALL
+  SELECT s.doc_key, s.p, s.text, s.ord, CASE WHEN len(list_filter(m.kept, lambda z: {NEAR.format('z', 's')})) > 0 THEN m.kept ELSE list_append(m.kept, struct_pack(x0 := s.x0, y0 := s.y0, x1 := s.x1, y1 := s.y1)) END,
+    len(list_filter(m.kept, lambda z: {NEAR.format('z', 's')})) = 0
+  FROM m JOIN s ON s.doc_key = m.doc_key AND s.p = m.p AND s.text = m.text AND s.ord = m.ord + 1)
+SELECT s.doc_key, CAST(s.p AS INTEGER) AS page_number, CAST(row_number() OVER (PARTITION BY s.doc_key, s.p ORDER BY y0, x0, priority, confidence DESC, seq) - 1 AS INTEGER) AS item_index, s.text, confidence, x0, y0, x1, y1 FROM s JOIN m USING (doc_key, p, text, ord) WHERE m.new""")
+def scanned_items(spark, sf_dir):
+    found = pages.scanned_items(painted.documents(spark, sf_dir), painted.RECOGNISER, plugin=painted.PLUGIN, dpi=144, tile=240, overlap=60)
+    return found.select("doc_key", "page_number", "item_index", "text", "confidence", "x0", "y0", "x1", "y1")
+
+
 TILES = "CASE WHEN {0} <= 1400 THEN [0] ELSE list_sort(list_distinct(list_concat(range(0, {0} - 1400 + 1, 1180), [{0} - 1400]))) END"
 
 
@@ -194,7 +237,6 @@ det AS (
   UNION ALL SELECT page_number, text, item_index, k, c, 2, 0.5::DOUBLE + ((13 * k + c) % 50)::DOUBLE / 100, ((3 * k + c) % 7 - 3) * 0.5::DOUBLE, ((k + 2 * c) % 5 - 2) * 0.5::DOUBLE, x0, y0, x1, y1 FROM items WHERE (k + c) % 4 <> 0
   UNION ALL SELECT page_number, text, item_index, k, c, 3, 0.5::DOUBLE + ((17 * k + c) % 50)::DOUBLE / 100, ((5 * k + c) % 11 - 5) * 0.75::DOUBLE, 0, x0, y0, x1, y1 FROM items WHERE (k + c) % 3 <> 0),
 d AS (SELECT page_number, text, priority, confidence, x0 + dx AS x0, y0 + dy AS y0, x1 + dx AS x1, y1 + dy AS y1, priority * 100000 + item_index AS seq FROM det)"""
-NEAR = "abs({0}.x0 - {1}.x0) <= greatest(2, 0.35::DOUBLE * least({0}.x1 - {0}.x0, {1}.x1 - {1}.x0)) AND abs({0}.x1 - {1}.x1) <= greatest(2, 0.35::DOUBLE * least({0}.x1 - {0}.x0, {1}.x1 - {1}.x0)) AND abs({0}.y0 - {1}.y0) <= greatest(2, 0.35::DOUBLE * least({0}.y1 - {0}.y0, {1}.y1 - {1}.y0)) AND abs({0}.y1 - {1}.y1) <= greatest(2, 0.35::DOUBLE * least({0}.y1 - {0}.y0, {1}.y1 - {1}.y0))"
 
 
 #: One text of a page after another, so that pairs are made inside groups and never over a whole page.

@@ -1,23 +1,25 @@
-"""Sources of positioned words: plain text in a fixed pitch, files of word boxes, PDF pages and recognisers.
+"""Sources of positioned words: plain text in a fixed pitch and files of word boxes (pages and scans: ``pages``).
 
 ``register`` makes ``spark.read.format("wordboxes")`` available: JSON lines with doc_key, page_number, text,
-confidence and either quad (list of [x, y]) or x0, y0, x1, y1, read in parallel by file, with the pages to
-read as an option.  PDF and OCR libraries are plug-ins: a callable that gives words for a page."""
+confidence and either quad (list of [x, y]) or x0, y0, x1, y1, read in parallel by ranges of bytes, with
+filters on document and page pushed down."""
 
 from __future__ import annotations
 
-import inspect
 import json
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Iterable, Iterator
+from typing import Any, BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 
 from tablegeo.schema import ITEMS
+from tablegeo.sources.pruning import Pruned, listed, open_file, size_of, task_bytes
 
 PITCH, LINE, HEIGHT = 6.0, 12.0, 8.0
+#: Bytes of a file that one task reads.
+TASK_BYTES = 64 << 20
 
 
 def text_words(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -30,42 +32,71 @@ def text_words(df: DataFrame, key: str, text: str) -> DataFrame:
     return placed.withColumn("y0", LINE * F.col("line_no")).withColumn("y1", F.col("y0") + HEIGHT).drop("w")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
+class _Range(InputPartition):
+    def __init__(self, path: str, start: int, end: int):
+        super().__init__((path, start, end))
+        self.path, self.start, self.end = path, start, end
+
+
+def _line_before(file: BinaryIO, end: int) -> tuple[bytes, int]:
+    """The last line that is not blank among those that start before byte ``end``, whole, and where the next starts."""
+    size = 1 << 12
+    while True:
+        start = max(0, end - size)
+        file.seek(start)
+        chunk = file.read(end - start) + file.readline()
+        whole = chunk if start == 0 else chunk[chunk.find(b"\n") + 1 :] if b"\n" in chunk[:-1] else b""
+        found = [line for line in whole.split(b"\n") if line.strip()]
+        if found or start == 0:
+            return (found[-1] if found else b""), start + len(chunk)
+        size *= 4
 
 
 class _Reader(DataSourceReader):
+    """Files in ranges of bytes.  A range owns the pages whose first line starts in it, and reads those to their end, so
+    boxes of a page are numbered by one task."""
+
     def __init__(self, options: dict[str, str]):
-        self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
-        self.pages = {int(p) for p in options.get("pages", "").split(",") if p}
+        self.paths, self.task_bytes, self.wanted = listed(options), task_bytes(options, TASK_BYTES), Pruned()
+        if asked := options.get("pages", ""):
+            self.wanted.only(int(p) for p in asked.split(",") if p)
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        return self.wanted.take(filters)
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
+        return [_Range(p, start, start + self.task_bytes) for p in self.paths for start in range(0, max(1, size_of(p)), self.task_bytes)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        counts: dict[tuple, int] = {}
-        with open(partition.path, encoding="utf-8") as file:
-            for line in file:
+        page_of = lambda w: (w.get("doc_key", partition.path), int(w["page_number"]))
+        with open_file(partition.path) as file:
+            earlier, at = _line_before(file, partition.start) if partition.start else (b"", 0)
+            now, index, owned = page_of(json.loads(earlier)) if earlier.strip() else None, -1, False
+            file.seek(at)
+            while line := file.readline():
+                here, at = at, at + len(line)
                 if not line.strip():
                     continue
                 w = json.loads(line)
-                page = int(w["page_number"])
-                if self.pages and page not in self.pages:
-                    continue
+                if (page := page_of(w)) != now:
+                    if here >= partition.end:
+                        return
+                    now, index, owned = page, -1, True
+                elif here >= partition.end and not owned:
+                    return
                 text = str(w.get("text") or "").strip()
-                if not text:
+                if not text or not owned:
                     continue
-                quad = w.get("quad") or [[w["x0"], w["y0"]], [w["x1"], w["y0"]], [w["x1"], w["y1"]], [w["x0"], w["y1"]]]
-                xs, ys = [float(p[0]) for p in quad], [float(p[1]) for p in quad]
-                key = (w.get("doc_key", partition.path), page)
-                counts[key] = counts.get(key, -1) + 1
-                yield (key[0], page, counts[key], text, float(w.get("confidence", 1.0)), min(xs), min(ys), max(xs), max(ys), [{"x": x, "y": y} for x, y in zip(xs, ys, strict=True)])
+                index += 1
+                if self.wanted.has_document(page[0]) and self.wanted.has_page(page[1]):
+                    quad = w.get("quad") or [[w["x0"], w["y0"]], [w["x1"], w["y0"]], [w["x1"], w["y1"]], [w["x0"], w["y1"]]]
+                    xs, ys = [float(p[0]) for p in quad], [float(p[1]) for p in quad]
+                    yield (*page, index, text, float(w.get("confidence", 1.0)), min(xs), min(ys), max(xs), max(ys), [{"x": x, "y": y} for x, y in zip(xs, ys, strict=True)])
 
 
 class WordBoxes(DataSource):
-    """Word boxes in JSON lines; option ``paths`` (comma list, on storage all executors mount), ``pages``."""
+    """Word boxes in JSON lines, the lines of a page next to each other; options ``paths`` (comma list, on storage that
+    all executors reach), ``pages`` (comma list), ``bytesPerTask``.  Filters on document and page are pushed down."""
 
     @classmethod
     def name(cls) -> str:
@@ -79,6 +110,7 @@ class WordBoxes(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WordBoxes)
 
 
@@ -89,160 +121,3 @@ def boxes_from_json(lines: DataFrame, column: str = "value") -> DataFrame:
     corner = F.array(*(F.array(a, b) for a, b in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))
     quad = F.transform(F.coalesce("quad", corner), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     return w.select("doc_key", "page_number", "text", F.coalesce("confidence", F.lit(1.0)).alias("confidence"), quad.alias("quad"))
-
-
-#: (content, page_number) -> words as (text, confidence, quad in page points).
-PageWords = Callable[[bytes, int], list[tuple[str, float, list[tuple[float, float]]]]]
-
-#: Recogniser options tried in order.
-OCR_CONFIGS: list[dict[str, Any]] = [
-    {
-        "text_score": 0.25,
-        "min_height": 8,
-        "min_side_len": 16,
-        "max_side_len": 4000,
-        "det_limit_side_len": 1216,
-        "det_limit_type": "min",
-        "det_thresh": 0.2,
-        "det_box_thresh": 0.35,
-        "det_unclip_ratio": 1.8,
-        "return_word_box": True,
-    },
-    {},
-]
-
-
-_ENGINES: dict = {}
-
-
-def engine_of(make: Callable[..., Any], options: list[dict] = OCR_CONFIGS) -> Any:
-    """The recogniser of this Python worker, made at its first page: with the richest of the ``options`` whose names
-    its signature takes (all of them where the signature is open or unknown)."""
-    if make not in _ENGINES:
-        try:
-            known = inspect.signature(make).parameters
-            free = any(p.kind is p.VAR_KEYWORD for p in known.values())
-        except (TypeError, ValueError):
-            known, free = {}, True
-        _ENGINES[make] = make(**next(o for o in [*options, {}] if free or set(o) <= set(known)))
-    return _ENGINES[make]
-
-
-def pdf_words(content: bytes, page_number: int) -> list[tuple[str, float, list[tuple[float, float]]]]:
-    """Words of a PDF page's text layer, in reading order; needs PyMuPDF."""
-    try:
-        import fitz
-    except ImportError as e:
-        raise RuntimeError("reading PDF pages needs the package PyMuPDF") from e
-    with fitz.open(stream=content, filetype="pdf") as document:
-        words = document[page_number - 1].get_text("words", sort=True)
-    return [(w[4], 1.0, [(w[0], w[1]), (w[2], w[1]), (w[2], w[3]), (w[0], w[3])]) for w in words]
-
-
-def pdf_page_count(content: bytes) -> int:
-    """Number of pages of a PDF; needs PyMuPDF."""
-    try:
-        import fitz
-    except ImportError as e:
-        raise RuntimeError("reading PDF files needs the package PyMuPDF") from e
-    with fitz.open(stream=content, filetype="pdf") as document:
-        return document.page_count
-
-
-def count_pages(files: DataFrame, count: Callable[[bytes], int] = pdf_page_count) -> DataFrame:
-    """(doc_key, n_pages) of binary files (doc_key, content); ``operators.items.page_numbers`` lists them."""
-
-    def run(batches):
-        for batch in batches:
-            yield batch[["doc_key"]].assign(n_pages=[count(bytes(c)) for c in batch.content])
-
-    return files.select("doc_key", "content").mapInPandas(run, "doc_key string, n_pages int")
-
-
-def read_pages(files: DataFrame, pages: DataFrame, reader: PageWords = pdf_words) -> DataFrame:
-    """Items of the pages (doc_key, page_number) of binary files (doc_key, content): pages are dealt over all
-    tasks, and a reader is called once for each."""
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            rows = []
-            for doc, page, content in zip(batch.doc_key, batch.page_number, batch.content, strict=True):
-                for i, (text, confidence, quad) in enumerate(reader(bytes(content), int(page))):
-                    if text.strip():
-                        xs, ys = [float(p[0]) for p in quad], [float(p[1]) for p in quad]
-                        rows.append((doc, int(page), i, text.strip(), float(confidence), min(xs), min(ys), max(xs), max(ys), [{"x": x, "y": y} for x, y in zip(xs, ys, strict=True)]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ITEMS.split(", ")])
-
-    return pages.select("doc_key", "page_number").join(files.select("doc_key", "content"), "doc_key").repartition("doc_key", "page_number").mapInPandas(run, ITEMS)
-
-
-RENDERED = "doc_key string, page_number int, width int, height int, scale double, image binary"
-
-
-def pdf_render(content: bytes, page_number: int, dpi: int) -> tuple[int, int, float, bytes]:
-    """(width, height, pixels a point, RGB bytes row by row) of a PDF page; needs PyMuPDF."""
-    try:
-        import fitz
-    except ImportError as e:
-        raise RuntimeError("rendering PDF pages needs the package PyMuPDF") from e
-    with fitz.open(stream=content, filetype="pdf") as document:
-        picture = document[page_number - 1].get_pixmap(dpi=dpi, alpha=False)
-    return picture.width, picture.height, dpi / 72, bytes(picture.samples)
-
-
-def render_pages(files: DataFrame, pages: DataFrame, render: Callable[[bytes, int, int], tuple] = pdf_render, dpi: int = 300) -> DataFrame:
-    """RENDERED: the images of the pages (doc_key, page_number) of binary files (doc_key, content), pages dealt over
-    all tasks."""
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            for doc, page, content in zip(batch.doc_key, batch.page_number, batch.content, strict=True):  # one image at a time
-                yield pd.DataFrame([(doc, int(page), *render(bytes(content), int(page), dpi))], columns=[c.split()[0] for c in RENDERED.split(", ")])
-
-    return pages.select("doc_key", "page_number").join(files.select("doc_key", "content"), "doc_key").repartition("doc_key", "page_number").mapInPandas(run, RENDERED)
-
-
-def whole_pages(images: DataFrame) -> DataFrame:
-    """Each image of RENDERED as one tile."""
-    return images.select("*", F.lit(0).alias("left"), F.lit(0).alias("top"), F.col("width").alias("right"), F.col("height").alias("bottom"))
-
-
-def scan(tiles: DataFrame, make: Callable[..., Any], recognise: Callable[[Any, bytes, int, int], list[tuple]]) -> DataFrame:
-    """Recogniser results of tiles (RENDERED with left, top, right, bottom in pixels), as ``items.ocr_entries`` takes
-    them: (doc_key, page_number, left, top, scale, offset_x, offset_y, result).  Tiles are tasks of their own; an
-    engine is made by ``make`` once in each worker and asked by recognise(engine, RGB bytes, width, height) for
-    (quad, text, score) in pixels of the tile."""
-    point = "struct<x:double,y:double>"
-    schema = f"doc_key string, page_number int, left int, top int, scale double, offset_x double, offset_y double, result array<struct<quad:array<{point}>,text:string,score:double>>"
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            engine, rows = engine_of(make), []
-            for r in batch.itertuples(index=False):
-                wide = 3 * (r.right - r.left)
-                part = b"".join(r.image[3 * (y * r.width + r.left) :][:wide] for y in range(r.top, r.bottom))
-                found = [{"quad": [{"x": float(x), "y": float(y)} for x, y in quad], "text": text, "score": float(score)} for quad, text, score in recognise(engine, part, r.right - r.left, r.bottom - r.top)]
-                rows.append((r.doc_key, r.page_number, r.left, r.top, r.scale, float(r.left), float(r.top), found))
-            yield pd.DataFrame(rows, columns=["doc_key", "page_number", "left", "top", "scale", "offset_x", "offset_y", "result"])
-
-    return tiles.repartition("doc_key", "page_number", "left", "top").mapInPandas(run, schema)
-
-
-def scanned_items(native: DataFrame, images: DataFrame, make: Callable[..., Any], recognise: Callable[[Any, bytes, int, int], list[tuple]], tile: int = 1400, overlap: int = 220) -> DataFrame:
-    """ITEMS of pages from three sources: the text layer (``native``: ITEMS), a scan of the whole page and scans of its
-    tiles, in this priority; repeated detections are merged away and boxes numbered anew."""
-    from tablegeo.operators import items as I  # noqa: E741
-
-    columns = [c.split()[0] for c in ITEMS.split(", ")]
-    parts = [native.select(*columns).withColumns({"priority": F.lit(1), "seq": F.col("item_index").cast("long")})]
-    for priority, tiles in ((2, whole_pages(images)), (3, I.tile_grid(images, tile, overlap))):
-        boxes = I.build_boxes(I.ocr_entries(scan(tiles, make, recognise)))
-        seq = F.col("top").cast("long") * (1 << 40) + F.col("left").cast("long") * (1 << 20) + F.col("entry")
-        parts.append(boxes.withColumns({"priority": F.lit(priority), "seq": seq, "item_index": F.col("entry")}).select(*columns, "priority", "seq"))
-    return I.merge_items(parts[0].unionByName(parts[1]).unionByName(parts[2])).select(*columns)

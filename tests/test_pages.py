@@ -163,65 +163,6 @@ def test_word_box_source(spark, tmp_path):
     assert [(r.page_number, r.text, r.x0, r.x1) for r in parsed] == [(1, "a", 1.0, 3.0), (2, "b", 0.0, 2.0)]
 
 
-def test_plug_in_reader(spark):
-    from tablegeo.sources import words
-
-    def reader(content, page):
-        return [(f"{content.decode()}{page}", 0.5, [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0)]), (" ", 1.0, [(0.0, 0.0)] * 4)]
-
-    files = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"y"))], "doc_key string, content binary")
-    pages = I.page_numbers(words.count_pages(files, lambda content: 2))
-    items = words.read_pages(files, pages, reader)
-    assert sorted(r.text for r in items.collect()) == ["x1", "x2", "y1", "y2"]
-    assert items.columns == [c.split()[0] for c in ITEMS.split(", ")]
-    calls = []
-
-    def engine(min_height=1, **options):
-        calls.append({"min_height": min_height, **options})
-        return "engine"
-
-    def plain_engine():
-        calls.append({})
-        return "plain"
-
-    assert words.engine_of(engine) == "engine" == words.engine_of(engine) and len(calls) == 1 and "det_thresh" in calls[0]
-    assert words.engine_of(plain_engine) == "plain" and calls[1] == {}
-
-
-def test_scans_of_pages_and_tiles(spark):
-    """Native words, a scan of the whole page and scans of tiles as one plan, with an engine that reads red dots:
-    a dot's green and blue tell its text; small dots (blue 1) are only seen in tiles."""
-    from tablegeo.sources import words
-
-    width, height = 50, 30
-
-    def render(content, page, dpi):
-        picture = bytearray(3 * width * height)
-        for x, y, green, blue in ((5, 5, 65, 0), (40, 20, 66, 0), (30, 10, 67, 1)):
-            at = 3 * (y * width + x)
-            picture[at : at + 3] = bytes([255, green + page, blue])
-        return width, height, 2.0, bytes(picture)
-
-    def make():
-        return {"made": True}
-
-    def recognise(engine, image, wide, high):
-        assert engine["made"] and len(image) == 3 * wide * high
-        for at in range(0, len(image), 3):
-            if image[at] == 255 and not (image[at + 2] and wide == width):
-                x, y = at // 3 % wide, at // 3 // wide
-                yield [(x, y), (x + 8, y), (x + 8, y + 4), (x, y + 4)], chr(image[at + 1]), 0.9
-
-    files = spark.createDataFrame([("a", bytearray(b"x"))], "doc_key string, content binary")
-    pages = spark.createDataFrame([("a", 0), ("a", 1)], "doc_key string, page_number int")
-    images = words.render_pages(files, pages, render)
-    native = words.read_pages(files, pages, lambda content, page: [("A", 1.0, [(2.5, 2.5), (6.5, 2.5), (6.5, 4.5), (2.5, 4.5)])])
-    found = words.scanned_items(native, images, make, recognise, tile=20, overlap=5)
-    assert found.columns == [c.split()[0] for c in ITEMS.split(", ")]
-    got = sorted((r.page_number, r.text, r.x0, r.y0, r.confidence) for r in found.collect())
-    assert got == [(0, "A", 2.5, 2.5, 1.0), (0, "B", 20.0, 10.0, 0.9), (0, "C", 15.0, 5.0, 0.9), (1, "A", 2.5, 2.5, 1.0), (1, "B", 2.5, 2.5, 0.9), (1, "C", 20.0, 10.0, 0.9), (1, "D", 15.0, 5.0, 0.9)]
-
-
 def test_escape_and_strip(spark):
     from tablegeo.functions.text import escape_html, strip_ws
 
