@@ -65,9 +65,12 @@ class _Reader(DataSourceReader):
         return self.wanted.take(filters)
 
     def partitions(self) -> list[InputPartition]:
-        return [_Range(p, start, start + self.task_bytes) for p in self.paths for start in range(0, max(1, size_of(p)), self.task_bytes)]
+        ranges = [_Range(p, start, start + self.task_bytes) for p in self.paths for start in range(0, size_of(p), self.task_bytes)]
+        return ranges or [_Range("", 0, 0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if not partition.path:
+            return
         page_of = lambda w: (w.get("doc_key", partition.path), int(w["page_number"]))
         with open_file(partition.path) as file:
             earlier, at = _line_before(file, partition.start) if partition.start else (b"", 0)
