@@ -1,50 +1,64 @@
-"""Columns of segments, and the cells of rows.  Everything works in windows under the page keys, so frames
-dealt by page stay where they are."""
+"""Columns of segments, and the cells of rows.  Everything groups under the page keys, so frames dealt by page
+stay where they are; a segment's boxes are one array while its columns are looked for."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegeo.functions.geometry import bucket, center_x, nearest
+from tablegeo.functions.geometry import bucket, center_x, let, nearest
 from tablegeo.functions.text import strip_ws
 from tablegeo.schema import PAGE
 
 SEGMENT = [*PAGE, "segment_id"]
 
 
-def segment_window() -> Window:
-    return Window.partitionBy(*SEGMENT)
+def _median(values: Column) -> Column:
+    """Median of a sorted array, null if it is empty."""
+    n = F.size(values)
+    return F.when(n > 0, (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2)
 
 
-def median_width() -> Column:
-    """Median positive width of the boxes that align the segment (null without any)."""
-    width = F.col("x1") - F.col("x0")
-    return F.median(F.when(F.col("aligns") & (width > 0), width)).over(segment_window())
+def cluster_means(values: Column, tolerance: Column) -> Column:
+    """The ascending means of a sorted array clustered by single linkage: a value starts a cluster when it is more than
+    the tolerance over the one before."""
+    state = "struct<means: array<double>, total: double, n: int, last: double>"
+    closed = lambda s: F.when(s["n"] > 0, F.concat(s["means"], F.array(s["total"] / s["n"]))).otherwise(s["means"])
 
+    def step(s: Column, v: Column) -> Column:
+        near = (s["n"] > 0) & (v - s["last"] <= tolerance)
+        return F.when(near, F.struct(s["means"].alias("means"), (s["total"] + v).alias("total"), (s["n"] + 1).alias("n"), v.alias("last")).cast(state)).otherwise(
+            F.struct(closed(s).alias("means"), v.alias("total"), F.lit(1).alias("n"), v.alias("last")).cast(state)
+        )
 
-def with_boundary_params(aligned: DataFrame) -> DataFrame:
-    """Adds min_gap and merge_tolerance of the segment."""
-    width = F.coalesce(median_width(), F.lit(24.0))
-    return aligned.withColumns({"min_gap": F.greatest(F.lit(10.0), width * 0.22), "merge_tolerance": F.greatest(F.lit(12.0), width * 0.35)})
+    empty = F.struct(F.array().cast("array<double>").alias("means"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(0.0).alias("last")).cast(state)
+    return F.aggregate(values, empty, step, closed)
 
 
-def with_separators(params: DataFrame) -> DataFrame:
-    """Adds separator: the middle of the gap to the next box of the row where it is wide enough, else null."""
-    along = Window.partitionBy(*PAGE, "row_index").orderBy("x0", "rx", "ry", "item_index")
-    after = F.lead("x0").over(along)
-    return params.withColumn("separator", F.when(F.col("aligns") & (F.col("row_n") >= 2) & (after - F.col("x1") >= F.col("min_gap")), (F.col("x1") + after) / 2))
+def segments(aligned: DataFrame) -> DataFrame:
+    """One row for each segment: (page, segment_id, boxes, min_gap, merge_tolerance, spread, separators, boundaries,
+    centers), ``boxes`` being its rows of ``aligned`` without the keys and ``separators`` the middles of the gaps to the
+    next box of a row that are wide enough, with the row and box before them."""
+    rest = [c for c in aligned.columns if c not in SEGMENT]
+    grouped = aligned.groupBy(*SEGMENT).agg(F.collect_list(F.struct(*rest)).alias("boxes"))
+    used = F.filter("boxes", lambda b: b["aligns"])
+    widths = let(F.array_sort(F.filter(F.transform(used, lambda b: b["x1"] - b["x0"]), lambda w: w > 0)), _median)
+    sized = grouped.withColumn("_width", widths)
+    known = F.coalesce("_width", F.lit(24.0))
+    sized = sized.withColumns({"min_gap": F.greatest(F.lit(10.0), known * 0.22), "merge_tolerance": F.greatest(F.lit(12.0), known * 0.35), "spread": F.greatest(F.lit(18.0), F.coalesce(F.col("_width") * 0.6, F.lit(24.0)))})
+    keys = ["row_index", "x0", "rx", "ry", "item_index", "x1"]
+    along = F.array_sort(F.transform(F.filter("boxes", lambda b: b["aligns"] & (b["row_n"] >= 2)), lambda b: F.struct(*(b[k].alias(k) for k in keys))))
 
+    def gaps(line: Column) -> Column:
+        after = F.slice(line, F.lit(2), F.size(line))
+        pairs = F.zip_with(F.slice(line, F.lit(1), F.size(after)), after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        wide = F.filter(pairs, lambda p: (p["a"]["row_index"] == p["b"]["row_index"]) & (p["b"]["x0"] - p["a"]["x1"] >= F.col("min_gap")))
+        return F.transform(wide, lambda p: F.struct(((p["a"]["x1"] + p["b"]["x0"]) / 2).alias("separator"), p["a"]["row_index"].alias("row_index"), p["a"]["item_index"].alias("item_index")))
 
-def with_cluster_means(df: DataFrame, value: str, tolerance: str, output: str) -> DataFrame:
-    """Adds the ascending means of the segment's values (nulls aside) clustered by single linkage: a value
-    starts a cluster when it is more than the tolerance over the one before."""
-    up = segment_window().orderBy(F.col(value).asc_nulls_first(), "row_index", "item_index")
-    step = F.when(F.col(value) - F.lag(value).over(up) <= F.col(tolerance), 0).when(F.col(value).isNotNull(), 1)
-    marked = df.withColumn("_step", step).withColumn("_cluster", F.sum("_step").over(up))
-    mean = F.avg(value).over(Window.partitionBy(*SEGMENT, "_cluster"))
-    means = marked.withColumn("_mean", F.when(F.col(value).isNotNull(), mean))
-    return means.withColumn(output, F.array_sort(F.collect_set("_mean").over(segment_window()))).drop("_step", "_cluster", "_mean")
+    cut = sized.withColumn("separators", let(along, gaps))
+    boundaries = cluster_means(F.array_sort(F.transform("separators", lambda s: s["separator"])), F.col("merge_tolerance"))
+    centers = cluster_means(F.array_sort(F.transform(used, lambda b: (b["x0"] + b["x1"]) / 2)), F.col("spread"))
+    return cut.withColumns({"boundaries": boundaries, "centers": centers}).drop("_width")
 
 
 def with_columns(aligned: DataFrame) -> DataFrame:
@@ -52,10 +66,7 @@ def with_columns(aligned: DataFrame) -> DataFrame:
 
     A segment with boundaries has one column more than boundaries.  Without any, table texts go to the
     nearest center while cells take the whole row as column 1; both are kept as they are."""
-    bounded = with_cluster_means(with_separators(with_boundary_params(aligned)), "separator", "merge_tolerance", "boundaries")
-    spread = F.greatest(F.lit(18.0), F.coalesce(median_width() * 0.6, F.lit(24.0)))
-    centered = bounded.withColumns({"_cx": F.when(F.col("aligns"), center_x()), "_spread": spread})
-    found = with_cluster_means(centered, "_cx", "_spread", "centers").drop("_cx", "_spread")
+    found = segments(aligned).select(*SEGMENT, "boundaries", "centers", F.inline("boxes")).select(*aligned.columns, "boundaries", "centers")
     has = F.size("boundaries") > 0
     by_boundary = bucket(center_x(), F.col("boundaries"))
     return found.withColumns({"n_cols": F.when(has, F.size("boundaries") + 1).otherwise(F.size("centers")), "table_col": F.when(has, by_boundary).otherwise(nearest(center_x(), F.col("centers"))), "cell_col": by_boundary})
@@ -109,7 +120,8 @@ def cell_grid(columns: DataFrame) -> DataFrame:
 
 def table_texts(columns: DataFrame) -> DataFrame:
     """(page, row_number, n_cols, texts): the texts of each row by table column, short rows as they are."""
-    parts = columns.groupBy(*PAGE, "row_index", "table_col", "n_cols").agg(ordered_text().alias("text"))
-    by_row = parts.groupBy(*PAGE, "row_index", "n_cols").agg(F.map_from_entries(F.collect_list(F.struct("table_col", "text"))).alias("m"))
-    texts = F.transform(F.sequence(F.lit(1), F.col("n_cols")), lambda i: F.coalesce(F.col("m")[i], F.lit("")))
+    parts = F.array_sort(F.collect_list(F.struct("x0", "rx", "ry", "item_index", "text", "table_col")))
+    by_row = columns.groupBy(*PAGE, "row_index", "n_cols").agg(parts.alias("parts"))
+    of = lambda i: F.transform(F.filter("parts", lambda p: p["table_col"] == i), lambda p: p["text"])
+    texts = F.transform(F.sequence(F.lit(1), F.col("n_cols")), lambda i: strip_ws(F.array_join(of(i), " ")))
     return by_row.select(*PAGE, F.col("row_index").alias("row_number"), "n_cols", texts.alias("texts"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablegeo.operators.items import rotate_centers
+from tablegeo.functions.geometry import edge_angle
 from tablegeo.schema import PAGE
 
+#: What ``page_rows`` adds.
+PAGE_ROWS = ["slant_angle", "rx", "ry", "row_index", "segment_id", "row_n", "aligns"]
+
 
 def row_tolerance(items: DataFrame) -> DataFrame:
     """(page, y_tolerance): three quarters of the median positive height, 6 at least; 8 without heights."""
@@ -18,32 +23,134 @@ def row_tolerance(items: DataFrame) -> DataFrame:
     return items.groupBy(*PAGE).agg(F.greatest(F.lit(6.0), F.coalesce(F.median(F.when(height > 0, height)) * 0.75, F.lit(8.0))).alias("y_tolerance"))
 
 
-def cluster_rows(items: DataFrame, slant: DataFrame | None = None) -> DataFrame:
-    """Adds rx, ry and row_index (from 1): down the page an item joins the row while it is within tolerance
-    of the mean of the row so far.  That mean makes it a fold, which runs over sorted partitions and holds
-    three numbers; a page of any size is never gathered."""
-    placed = rotate_centers(items, slant).join(row_tolerance(items), PAGE)
-    kept = [c for c in placed.columns if c != "y_tolerance"]
-    at = {c: i for i, c in enumerate(placed.columns)}
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, row, total, n = None, 0, 0.0, 0
-        for batch in batches:
-            get = lambda c, b=batch: b.column(at[c]).to_pylist()
-            out = []
-            for doc, page, ry, tolerance in zip(get("doc_key"), get("page_number"), get("ry"), get("y_tolerance"), strict=True):
-                if (doc, page) != now:
-                    now, row, total, n = (doc, page), 1, ry, 1
-                elif abs(ry - total / n) <= tolerance:
-                    total, n = total + ry, n + 1
-                else:
-                    row, total, n = row + 1, ry, 1
-                out.append(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in kept), pa.array(out, pa.int32())], names=[*kept, "row_index"])
-
-    sorted_items = placed.repartition(*PAGE).sortWithinPartitions(*PAGE, "ry", "item_index")
-    out = placed.select(*kept).schema.add("row_index", "integer")
-    return sorted_items.mapInArrow(fold, out)
+def _medians(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Median of each group's values (NaN aside), NaN without any."""
+    given = ~np.isnan(values)
+    values, group = values[given], group[given]
+    order, count = np.lexsort((values, group)), np.bincount(group, minlength=groups)
+    first, values = np.cumsum(count) - count, values[order]
+    out = np.full(groups, np.nan)
+    some = np.flatnonzero(count)
+    out[some] = (values[first[some] + (count[some] - 1) // 2] + values[first[some] + count[some] // 2]) / 2
+    return out
+
+
+def _fold(y: np.ndarray, first: np.ndarray, size: np.ndarray, tolerance: np.ndarray) -> np.ndarray:
+    """Row of each value: down the page one joins the row while it is within tolerance of the mean of the row so far.
+    ``y`` holds pages one after another, sorted; all pages take a step at a time, the few longest go on alone."""
+    out = np.empty(len(y), np.int32)
+    longest = np.argsort(-size, kind="stable")
+    first, size, tolerance = first[longest], size[longest], tolerance[longest]
+    row, total, n = np.ones(len(size), np.int32), np.zeros(len(size)), np.zeros(len(size))
+    step, active = 0, len(size)
+    while active >= 16:
+        at = first[:active] + step
+        value = y[at]
+        joins = (n[:active] == 0) | (np.abs(value - total[:active] / np.maximum(n[:active], 1)) <= tolerance[:active])
+        row[:active] += ~joins
+        total[:active] = np.where(joins, total[:active] + value, value)
+        n[:active] = np.where(joins, n[:active] + 1, 1)
+        out[at] = row[:active]
+        step += 1
+        active = int(np.searchsorted(-size, -step, side="left"))
+    for i in range(active):
+        r, t, k, most, rows = int(row[i]), float(total[i]), int(n[i]), float(tolerance[i]), []
+        for value in y[first[i] + step : first[i] + size[i]].tolist():
+            if not k or abs(value - t / k) <= most:
+                t, k = t + value, k + 1
+            else:
+                r, t, k = r + 1, value, 1
+            rows.append(r)
+        out[first[i] + step : first[i] + size[i]] = rows
+    return out
+
+
+def _whole_pages(batches: Iterator[pa.RecordBatch], doc: int, page: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Batches cut at pages, of rows sorted by page: a table, and for each of its rows the number of its page in it."""
+    kept: pa.Table | None = None
+    for batch in _and_end(batches):
+        table = kept if batch is None else pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])])
+        if table is None or not len(table):
+            continue
+        table = table.combine_chunks()
+        keys = pc.fill_null(table.column(doc).combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        numbers = pc.fill_null(table.column(page).cast(pa.int64()), -(1 << 40)).to_numpy()
+        change = np.concatenate([[True], (keys[1:] != keys[:-1]) | (numbers[1:] != numbers[:-1])])
+        cut = len(table) if batch is None else int(np.flatnonzero(change)[-1])
+        if cut:
+            yield table.slice(0, cut), np.cumsum(change[:cut]) - 1
+        kept = table.slice(cut)
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def page_rows(items: DataFrame, slant: DataFrame | float | None = None, carry: Sequence[str] | None = None) -> DataFrame:
+    """Items with ``slant_angle``, rx and ry (their centers turned back by it), row_index, segment_id (both from 1),
+    row_n and aligns: what ``cluster_rows``, ``segment_rows`` and ``alignment_rows`` say, in one dealing by page.
+
+    The slant is estimated from the quads, or given for all pages (a number) or each (page, slant_angle; none: 0).
+    Pages follow each other in a task's sorted rows; a batch's pages are worked off together as arrays of numbers, a
+    page is held whole.  Columns of these names are replaced.  ``carry`` names the columns that go through the stage
+    besides keys, item_index and edges (by default all)."""
+    items = items.drop(*PAGE_ROWS)
+    if isinstance(slant, DataFrame):
+        items = items.join(slant.select(*PAGE, F.col("slant_angle").alias("_slant")), PAGE, "left")
+    given = F.coalesce("_slant", F.lit(0.0)) if isinstance(slant, DataFrame) else F.lit(None if slant is None else float(slant)).cast("double")
+    needed = [*PAGE, "item_index", "x0", "y0", "x1", "y1"]
+    kept = [c for c in items.columns if c != "_slant" and (carry is None or c in needed or c in carry)]
+    square = F.size("quad") == 4 if "quad" in items.columns else F.lit(False)
+    edge = lambda i, j: F.when(square, edge_angle(F.col("quad")[i], F.col("quad")[j])) if "quad" in items.columns else F.lit(None).cast("double")
+    dealt = items.select(*kept, given.alias("_given"), edge(0, 1).alias("_above"), edge(3, 2).alias("_below")).repartition(*PAGE).sortWithinPartitions(*PAGE)
+    at, estimated = {c: i for i, c in enumerate(dealt.columns)}, slant is None
+
+    def numbers(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(at[name]).cast(pa.float64()).to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, page in _whole_pages(batches, at["doc_key"], at["page_number"]):
+            n = int(page[-1]) + 1
+            x0, y0, x1, y1 = (numbers(table, c) for c in ("x0", "y0", "x1", "y1"))
+            first = np.searchsorted(page, np.arange(n))
+            size = np.diff(np.append(first, len(page)))
+            height = y1 - y0
+            tolerance = np.maximum(6.0, np.nan_to_num(_medians(np.where(height > 0, height, np.nan), page, n) * 0.75, nan=8.0))
+            angle = numbers(table, "_given")[first]
+            if estimated:
+                angle = np.nan_to_num(_medians(np.concatenate([numbers(table, "_above"), numbers(table, "_below")]), np.concatenate([page, page]), n), nan=0.0)
+            turn = np.radians(-angle)[page]
+            x, y = (x0 + x1) / 2, (y0 + y1) / 2
+            rx, ry = x * np.cos(turn) - y * np.sin(turn), x * np.sin(turn) + y * np.cos(turn)
+            order = np.lexsort((numbers(table, "item_index"), ry, page))
+            row = _fold(ry[order], first, size, tolerance)
+            head = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(page) != 0)]))
+            of = page[head]
+            top, bottom, many = np.minimum.reduceat(y0[order], head), np.maximum.reduceat(y1[order], head), np.diff(np.append(head, len(row)))
+            gap = np.maximum(14.0, _medians(bottom - top, of, n) * 1.35)
+            new_page = np.concatenate([[True], np.diff(of) != 0])
+            new = np.concatenate([[False], top[1:] - bottom[:-1] > gap[of[1:]]]) & ~new_page
+            started = np.cumsum(new)
+            segment = started - np.maximum.accumulate(np.where(new_page, started, 0)) + 1
+            opens = np.flatnonzero(new | new_page)
+            most = np.repeat(np.maximum.reduceat(many, opens), np.diff(np.append(opens, len(many))))
+            each = np.empty(len(order), np.int64)
+            each[order] = np.repeat(np.arange(len(head)), many)
+            found = [angle[page], rx, ry, row[head][each], segment[each].astype(np.int32), many[each].astype(np.int32), ((many >= 2) | (most < 2))[each]]
+            arrays = [*(table.column(at[c]) for c in kept), *map(pa.array, found)]
+            yield from pa.table(arrays, names=[*kept, *PAGE_ROWS]).to_batches(max_chunksize=10_000)
+
+    schema = items.select(*kept).schema
+    for name, kind in zip(PAGE_ROWS, ("double", "double", "double", "integer", "integer", "integer", "boolean"), strict=True):
+        schema = schema.add(name, kind)
+    return dealt.mapInArrow(run, schema)
+
+
+def cluster_rows(items: DataFrame, slant: DataFrame | float | None = 0.0) -> DataFrame:
+    """Adds rx, ry and row_index (from 1): down the page an item joins the row while it is within tolerance of the mean
+    of the row so far.  The slant is as in ``page_rows``, by default none."""
+    return page_rows(items, slant).drop("slant_angle", "segment_id", "row_n", "aligns")
 
 
 def dealt_by_page(df: DataFrame) -> DataFrame:

@@ -5,26 +5,22 @@ page first (``max_columns``, the one action)."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegeo.operators import columns as C
 from tablegeo.operators import rows as R
-from tablegeo.operators.items import estimate_slant
 from tablegeo.schema import PAGE, column_names, on_page
 
 
-def analyzed(items: DataFrame, slant: DataFrame | None = None) -> DataFrame:
-    """Items with row_index, segment_id, boundaries, centers and columns.  ``slant``: (page, slant_angle),
-    by default estimated from the quads."""
-    slant = estimate_slant(items) if slant is None else slant
-    rows = R.dealt_by_page(R.cluster_rows(items, slant))
-    return C.with_columns(R.alignment_rows(R.segment_rows(rows)))
-
-
-def upright(items: DataFrame) -> DataFrame:
-    """The slant of pages known to stand straight."""
-    return items.select(*PAGE).distinct().withColumn("slant_angle", F.lit(0.0))
+def analyzed(items: DataFrame, slant: DataFrame | float | None = None, carry: Sequence[str] = ("text",)) -> DataFrame:
+    """Items with row_index, segment_id, boundaries, centers and columns, and their page's slant_angle.  ``slant`` is
+    estimated from the quads, or given: a number for all pages, or (page, slant_angle).  Two shuffles by page: one
+    before the stage of slant and rows, one behind it.  Of the items' columns, keys, item_index, edges and those of
+    ``carry`` go along."""
+    return C.with_columns(R.dealt_by_page(R.page_rows(items, slant, carry)))
 
 
 def cells(analysis: DataFrame) -> DataFrame:
@@ -48,10 +44,10 @@ def page_table(analysis: DataFrame, width: int | None = None) -> DataFrame:
     return texts.select("doc_key", "page_number", "row_number", *(F.coalesce(F.get("texts", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)))
 
 
-def page_frames(items: DataFrame, page: tuple[str, int], slant: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def page_frames(items: DataFrame, page: tuple[str, int], slant: DataFrame | float | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, cells) of one page: what splits along a guide need, read and analysed for that page only."""
     own = items.filter(on_page(items, page))
-    return own, cells(analyzed(own, None if slant is None else slant.filter(on_page(slant, page))))
+    return own, cells(analyzed(own, slant.filter(on_page(slant, page)) if isinstance(slant, DataFrame) else slant))
 
 
 def table_long(analysis: DataFrame) -> DataFrame:
@@ -61,12 +57,11 @@ def table_long(analysis: DataFrame) -> DataFrame:
 
 def page_meta(items: DataFrame, pages: DataFrame, analysis: DataFrame | None = None) -> DataFrame:
     """(page, page_width, page_height, slant_angle, band, column_centers, column_names)."""
-    slant = estimate_slant(items)
-    analysis = analyzed(items, slant) if analysis is None else analysis
+    analysis = analyzed(items) if analysis is None else analysis
     centers = C.column_centers(analysis).groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", "centers"))), lambda s: s["centers"]).alias("column_centers"))
-    wide = analysis.groupBy(*PAGE).agg(F.max("n_cols").alias("w"))
+    wide = analysis.groupBy(*PAGE).agg(F.max("n_cols").alias("w"), F.first("slant_angle").alias("slant_angle"))
     band = R.table_band(analysis, pages).select(*PAGE, F.struct(F.col("band_start").cast("int").alias("start"), F.col("band_end").cast("int").alias("end")).alias("band"))
-    out = pages.join(slant, PAGE, "left").join(band, PAGE, "left").join(centers, PAGE, "left").join(wide, PAGE, "left")
+    out = pages.join(band, PAGE, "left").join(centers, PAGE, "left").join(wide, PAGE, "left")
     names = F.transform(F.sequence(F.lit(1), F.coalesce("w", F.lit(1))), lambda i: F.concat(F.lit("col_"), i.cast("string")))
     nothing = F.struct(F.lit(0).alias("start"), F.lit(-1).alias("end"))
     return out.select(*PAGE, "page_width", "page_height", F.coalesce("slant_angle", F.lit(0.0)).alias("slant_angle"), F.coalesce("band", nothing).alias("band"), F.coalesce("column_centers", F.array().cast("array<array<double>>")).alias("column_centers"), names.alias("column_names"))

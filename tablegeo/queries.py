@@ -58,8 +58,7 @@ def of_document(sql: str) -> str:
 
 
 def analysis(spark: SparkSession, sf_dir: str, layout=lay.gaps) -> DataFrame:
-    items = layout(spark, sf_dir)
-    return extract.analyzed(items, extract.upright(items))
+    return extract.analyzed(layout(spark, sf_dir))
 
 
 # -- SQL of the layouts ----------------------------------------------------------------------------------
@@ -352,14 +351,14 @@ def alignment_rows(spark, sf_dir):
 
 @query(WITH + L5 + CLUSTERED + COLUMNS + " SELECT page_number, segment_id, round(min_gap, 6) AS min_gap, round(merge_tolerance, 6) AS merge_tolerance FROM par")
 def boundary_params(spark, sf_dir):
-    params = C.with_boundary_params(R.alignment_rows(R.segment_rows(R.cluster_rows(lay.gaps(spark, sf_dir)))))
-    return params.select("page_number", "segment_id", F.round("min_gap", 6).alias("min_gap"), F.round("merge_tolerance", 6).alias("merge_tolerance")).distinct()
+    params = C.segments(R.page_rows(lay.gaps(spark, sf_dir)))
+    return params.select("page_number", "segment_id", F.round("min_gap", 6).alias("min_gap"), F.round("merge_tolerance", 6).alias("merge_tolerance"))
 
 
 @query(WITH + L5 + CLUSTERED + COLUMNS + " SELECT page_number, segment_id, row_index, item_index, v AS separator FROM sep")
 def column_separators(spark, sf_dir):
-    rows = C.with_separators(C.with_boundary_params(R.alignment_rows(R.segment_rows(R.cluster_rows(lay.gaps(spark, sf_dir))))))
-    return rows.filter("separator is not null").select("page_number", "segment_id", "row_index", "item_index", "separator")
+    found = C.segments(R.page_rows(lay.gaps(spark, sf_dir)))
+    return found.select("page_number", "segment_id", F.inline("separators")).select("page_number", "segment_id", "row_index", "item_index", "separator")
 
 
 @query(WITH + L5 + CLUSTERED + COLUMNS + " SELECT page_number, segment_id, round(m, 6) AS boundary FROM means")
@@ -421,6 +420,28 @@ def extract_table(spark, sf_dir):
     return extract.table_long(analysis(spark, sf_dir))
 
 
+#: Any layout turned as in L4: hulls of the turned corners, the slant from the edges, and centers turned back by it.
+TURNED = """,
+turn AS (SELECT *, cos(radians((page_number % 7 - 3) * 0.5::DOUBLE)) AS co, sin(radians((page_number % 7 - 3) * 0.5::DOUBLE)) AS si FROM straight),
+quads AS (SELECT *, x0 * co - y0 * si AS ax, x0 * si + y0 * co AS ay, x1 * co - y0 * si AS bx, x1 * si + y0 * co AS by_, x1 * co - y1 * si AS cx, x1 * si + y1 * co AS cy, x0 * co - y1 * si AS dx, x0 * si + y1 * co AS dy FROM turn),
+slants AS (SELECT page_number, radians(-median(a)) AS back FROM (SELECT page_number, degrees(atan2(by_ - ay, bx - ax)) AS a FROM quads UNION ALL SELECT page_number, degrees(atan2(cy - dy, cx - dx)) FROM quads) GROUP BY page_number),
+hulls AS (SELECT page_number, rn, k, c, text, item_index, least(ax, bx, cx, dx) AS x0, greatest(ax, bx, cx, dx) AS x1, least(ay, by_, cy, dy) AS y0, greatest(ay, by_, cy, dy) AS y1 FROM quads),
+items AS (SELECT hulls.*, (x0 + x1) / 2 * cos(back) - (y0 + y1) / 2 * sin(back) AS rx0, (x0 + x1) / 2 * sin(back) + (y0 + y1) / 2 * cos(back) AS ry0 FROM hulls JOIN slants USING (page_number))"""
+CLUSTERED_TURNED = CLUSTERED.replace("(x0 + x1) / 2 AS rx, (y0 + y1) / 2 AS ry", "rx0 AS rx, ry0 AS ry").replace("ORDER BY (y0 + y1) / 2, item_index", "ORDER BY ry0, item_index")
+
+
+@query(WITH + L1.replace("items AS (", "straight AS (") + TURNED + CLUSTERED_TURNED + " SELECT page_number, item_index, row_index FROM rows0")
+def cluster_slanted_rows(spark, sf_dir):
+    """Slant, its removal and rows together."""
+    return R.page_rows(lay.slanted(spark, sf_dir)).select("page_number", "item_index", "row_index")
+
+
+@query(of_document(WITH + L5.replace("items AS (", "straight AS (") + TURNED + CLUSTERED_TURNED + TEXTS.replace("rx > b", "(x0 + x1) / 2 > b").replace("abs(rx - m)", "abs((x0 + x1) / 2 - m)") + " SELECT * FROM long"))
+def extract_slanted_table(spark, sf_dir):
+    """Extraction of slanted pages: rows by centers turned back, columns by the boxes as they lie."""
+    return extract.table_long(analysis(spark, sf_dir, lambda s, d: lay.slanted(s, d, lay.gaps)))
+
+
 PAGE_TABLE = TEXTS + ",\npt AS (SELECT page_number, row_number, coalesce(max(text) FILTER (col_index = 1), '') AS col_1, coalesce(max(text) FILTER (col_index = 2), '') AS col_2, coalesce(max(text) FILTER (col_index = 3), '') AS col_3, coalesce(max(text) FILTER (col_index = 4), '') AS col_4 FROM long GROUP BY ALL)"
 
 
@@ -432,7 +453,7 @@ def page_table(spark, sf_dir):
 @query(of_document(WITH + INSIDE.replace("items AS", "all_items AS").replace("FROM items i", "FROM all_items i") + ", items AS (SELECT a.* EXCLUDE (item_index), CAST(row_number() OVER (PARTITION BY page_number ORDER BY a.item_index) - 1 AS INTEGER) AS item_index FROM all_items a JOIN hit h USING (page_number, item_index) WHERE inside)" + CLUSTERED + TEXTS + " SELECT * FROM long"))
 def selective_extract(spark, sf_dir):
     items = I.select_in_polygon(lay.report(spark, sf_dir), polygon(*DIAMOND))
-    return extract.table_long(extract.analyzed(items, extract.upright(items)))
+    return extract.table_long(extract.analyzed(items))
 
 
 # -- reading tables --------------------------------------------------------------------------------------
@@ -465,7 +486,7 @@ UNION ALL SELECT page_number, 'max_row', 0, CAST(max(row_number) AS VARCHAR) FRO
 @query(of_document(WITH + L1 + CLUSTERED + CELLS + TEXTS.removeprefix(COLUMNS) + PAGE_TABLE.removeprefix(TEXTS) + PAYLOAD))
 def workspace_payload(spark, sf_dir):
     items = lay.report(spark, sf_dir)
-    a = extract.analyzed(items, extract.upright(items))
+    a = extract.analyzed(items)
     return L.workspace_payload(extract.page_table(a, 4), extract.cells(a), items)
 
 
@@ -577,14 +598,13 @@ GUIDE_X, GUIDE_Y = 85, 28
 def split_inputs(spark, sf_dir, layout):
     """(table, cells and boxes of the page to split, the page)."""
     items, page = layout(spark, sf_dir), first_page(spark, sf_dir)
-    slant = extract.upright(items)
-    own, found = extract.page_frames(items, page, slant)
-    return extract.page_table(extract.analyzed(items, slant), 4), found, own, page
+    own, found = extract.page_frames(items, page)
+    return extract.page_table(extract.analyzed(items), 4), found, own, page
 
 
 def guided(spark, sf_dir, layout=lay.tight):
     items = layout(spark, sf_dir)
-    a = extract.analyzed(items, extract.upright(items))
+    a = extract.analyzed(items)
     return items, extract.cells(a), a
 
 

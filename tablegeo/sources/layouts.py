@@ -67,12 +67,12 @@ def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moved.withColumn("seq", F.col("priority") * 100000 + F.col("item_index")).drop("dx", "dy", "rn", "c", "k", "item_index")
 
 
-def slanted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L4: L1 turned by (page mod 7 - 3) half degrees."""
+def slanted(spark: SparkSession, sf_dir: str, layout=report) -> DataFrame:
+    """L4: L1 (or another layout) turned by (page mod 7 - 3) half degrees."""
     angle = (F.pmod(F.col("page_number"), F.lit(7)) - 3) * 0.5
     turned = F.transform("quad", lambda p: point(*rotated(p["x"], p["y"], angle)))
     side = lambda f, axis: f(F.transform("quad", lambda p: p[axis]))
-    return report(spark, sf_dir).withColumn("quad", turned).withColumns({"x0": side(F.array_min, "x"), "y0": side(F.array_min, "y"), "x1": side(F.array_max, "x"), "y1": side(F.array_max, "y")})
+    return layout(spark, sf_dir).withColumn("quad", turned).withColumns({"x0": side(F.array_min, "x"), "y0": side(F.array_min, "y"), "x1": side(F.array_max, "x"), "y1": side(F.array_max, "y")})
 
 
 def edit_table(spark: SparkSession, sf_dir: str) -> DataFrame:

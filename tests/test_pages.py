@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from tablegeo.functions.geometry import in_polygon, point, tile_starts
@@ -47,7 +49,7 @@ def test_row_tolerance_is_inclusive_and_chains(spark):
 def test_no_heights_or_widths_fall_back(spark):
     items = page(spark, [("a", 0, 0, 0, 0), ("b", 30, 8, 30, 8)])
     assert R.row_tolerance(items).first().y_tolerance == 8.0
-    params = C.with_boundary_params(R.alignment_rows(R.segment_rows(R.cluster_rows(items)))).first()
+    params = C.segments(R.page_rows(items)).first()
     assert (params.min_gap, params.merge_tolerance) == (10.0, 12.0)
 
 
@@ -168,3 +170,73 @@ def test_escape_and_strip(spark):
 
     row = spark.range(1).select(strip_ws(F.lit("\t 　a b\n ")).alias("a"), escape_html(F.lit("<a & 'b'>")).alias("b")).first()
     assert (row.a, row.b) == ("a b", "&lt;a &amp; &#39;b&#39;&gt;")
+
+
+def scattered(spark, n_pages: int, seed: int):
+    """Pages of many sizes, two of them long, with ties, boxes without height, odd quads and a null document."""
+    rng, out = random.Random(seed), []
+    for p in range(n_pages):
+        size = {3: 4000, 7: 2500}.get(p, rng.randrange(1, 60))
+        for i in range(size):
+            x, y = rng.randrange(200) / 2, rng.randrange(40 + size) * 2.5
+            w, h = rng.choice([0, 4.5, 9, 30]), rng.choice([0, 6, 8, 8, 11])
+            quad = [(x, y), (x + w, y + p % 3 * 0.25), (x + w, y + h), (x, y + h)][: 4 if rng.random() < 0.9 else 3]
+            out.append((None if p % 11 == 5 else f"d{p % 4}", p, i, f"t{i}", 1.0, x, y, x + w, y + h, quad))
+    rng.shuffle(out)
+    return spark.createDataFrame(out, ITEMS)
+
+
+def test_page_stage_agrees_with_single_steps(spark):
+    """Slant, rows, segments and aligning rows in one dealing are those of the operators one by one, whatever the
+    batches are."""
+    items = scattered(spark, 40, 4).cache()
+    steps = I.rotate_centers(items.fillna("", ["doc_key"]), I.estimate_slant(items.fillna("", ["doc_key"])))
+    want = {}
+    tolerance = {(r.doc_key, r.page_number): r.y_tolerance for r in R.row_tolerance(items.fillna("", ["doc_key"])).collect()}
+    pages: dict = {}
+    for r in steps.collect():
+        pages.setdefault((r.doc_key, r.page_number), []).append((r.ry, r.item_index))
+    for key, boxes in pages.items():
+        row, total, n = 0, 0.0, 0
+        for ry, item in sorted(boxes):
+            if n and abs(ry - total / n) <= tolerance[key]:
+                total, n = total + ry, n + 1
+            else:
+                row, total, n = row + 1, ry, 1
+            want[(*key, item)] = row
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for batch in ("10000", "7"):
+        spark.conf.set(name, batch)
+        try:
+            found = R.page_rows(items)
+            assert {(r.doc_key or "", r.page_number, r.item_index): r.row_index for r in found.collect()} == want
+        finally:
+            spark.conf.unset(name)
+    known = found.fillna("", ["doc_key"])
+    stepwise = R.alignment_rows(R.segment_rows(known.drop("segment_id", "row_n", "aligns")))
+    columns = ["doc_key", "page_number", "item_index", "segment_id", "row_n", "aligns"]
+    assert known.select(*columns).exceptAll(stepwise.select(*columns)).count() == 0
+    slants = {(r.doc_key, r.page_number): r.slant_angle for r in I.estimate_slant(items.fillna("", ["doc_key"])).collect()}
+    assert all(slants[(r.doc_key, r.page_number)] == r.slant_angle for r in known.select("doc_key", "page_number", "slant_angle").collect())
+
+
+def test_slant_given(spark):
+    items = scattered(spark, 6, 9)
+    given = spark.createDataFrame([("d0", 0, 2.0), ("d1", 1, 0.0)], "doc_key string, page_number int, slant_angle double")
+    angles = {(r.doc_key, r.page_number): r.slant_angle for r in R.page_rows(items, given).collect()}
+    assert angles[("d0", 0)] == 2.0 and set(angles.values()) == {0.0, 2.0}
+    flat = R.page_rows(items.drop("quad"), 0.0, carry=["text"])
+    assert flat.columns == ["doc_key", "page_number", "item_index", "text", "x0", "y0", "x1", "y1", *R.PAGE_ROWS]
+    assert flat.filter("ry <> (y0 + y1) / 2 or rx <> (x0 + x1) / 2").count() == 0
+    assert R.page_rows(items.limit(0)).count() == 0 and extract.table_long(extract.analyzed(items.limit(0))).count() == 0
+
+
+def test_extraction_shuffles_twice(spark):
+    items = scattered(spark, 3, 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = extract.table_long(extract.analyzed(items))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 2
+        assert extract.cells(extract.analyzed(items))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
