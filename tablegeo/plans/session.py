@@ -45,6 +45,7 @@ class Pending:
 
 
 def operation_record(action: str, metadata: dict[str, Any]) -> dict[str, Any]:
+    """An entry of the log (fixed names: those of the exported history, as in ``Pending.to_metadata``)."""
     return {"timestamp": datetime.now(UTC).isoformat(), "action": action, "metadata": metadata}
 
 
@@ -106,6 +107,7 @@ class Session:
             target.append(self.current)
             self.current, self.pending = source.pop(), None
             self.log.append(operation_record(action, {}))
+            self.drafts.clear()
         return self.current
 
     def store_draft(self, key: str, page: int | tuple[str, int], rows: DataFrame) -> None:

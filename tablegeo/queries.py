@@ -13,7 +13,7 @@ from tablegeo.operators import guides as G
 from tablegeo.operators import items as I
 from tablegeo.operators import lookup as L
 from tablegeo.operators import rows as R
-from tablegeo.plans import extract, session
+from tablegeo.plans import extract, replay, session
 from tablegeo.sources import layouts as lay
 from tablegeo.sources import pages, painted, words
 
@@ -684,7 +684,7 @@ def state_key(spark, sf_dir):
     return orders.select(session.state_key_column(F.col("o_orderkey").cast("string"), pages).alias("state_key"))
 
 
-@query("""WITH RECURSIVE l AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE WHEN event_id % 5 = 0 THEN 'undo' WHEN event_id % 5 = 1 THEN 'redo' ELSE 'apply' END AS kind FROM events),
+EFFECTIVE = """WITH RECURSIVE l AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE WHEN event_id % 5 = 0 THEN 'undo' WHEN event_id % 5 = 1 THEN 'redo' ELSE 'apply' END AS kind FROM events),
 f AS (
   SELECT session, CAST(0 AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS done, CAST([] AS BIGINT[]) AS undone FROM l WHERE seq = 1
   UNION ALL
@@ -692,12 +692,39 @@ f AS (
     CASE WHEN kind = 'apply' THEN list_append(done, l.seq) WHEN kind = 'undo' THEN done[1:len(done) - 1] WHEN len(undone) > 0 THEN list_append(done, undone[len(undone)]) ELSE done END,
     CASE WHEN kind = 'apply' THEN CAST([] AS BIGINT[]) WHEN kind = 'undo' AND len(done) > 0 THEN list_append(undone, done[len(done)]) WHEN kind = 'redo' THEN undone[1:len(undone) - 1] ELSE undone END
   FROM f JOIN l ON l.session = f.session AND l.seq = f.seq + 1),
-e AS (SELECT * FROM f QUALIFY seq = max(seq) OVER (PARTITION BY session))
+e AS (SELECT * FROM f QUALIFY seq = max(seq) OVER (PARTITION BY session))"""
+
+
+@query(EFFECTIVE + """
 SELECT session, CAST(generate_subscripts(done, 1) AS INTEGER) AS position, unnest(done) AS seq FROM e""")
 def oplog_effective(spark, sf_dir):
     return session.oplog_effective(lay.op_log(spark, sf_dir))
 
 
+LOGGED = """CASE WHEN event_id % 5 = 0 THEN 'undo' WHEN event_id % 5 = 1 THEN 'redo' ELSE 'edit_cell' END AS action,
+  CASE WHEN event_id % 5 < 2 THEN '{}' ELSE '{"page":1,"row_number":' || (1 + event_id % 13) || ',"column":"col_' || (1 + event_id % 3) || '","value":"' || event_type || '-' || event_id || '"}' END AS metadata"""
+
+
+@query(f"SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, {LOGGED} FROM events")
+def operation_log(spark, sf_dir):
+    """Each user's events as an operation log of cell edits, undos and redos."""
+    return lay.edit_log(spark, sf_dir).select("session", "seq", "action", "metadata")
+
+
+@query(EFFECTIVE + f""",
+o AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, 1 + event_id % 13 AS row_number, 1 + event_id % 3 AS col, event_type || '-' || event_id AS value FROM events),
+k AS (SELECT session, unnest(done) AS seq, generate_subscripts(done, 1) AS position FROM e),
+w AS (SELECT o.* FROM o JOIN k USING (session, seq) QUALIFY row_number() OVER (PARTITION BY session, row_number, col ORDER BY position DESC) = 1),
+t AS (SELECT o_custkey - 1 AS session, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus, o_totalprice, o_orderdate) AS INTEGER) AS row_number, CAST(o_orderkey AS VARCHAR) AS col_1, o_orderstatus AS col_2, o_orderpriority AS col_3 FROM orders)
+SELECT t.session, CAST(1 AS INTEGER) AS page_number, t.row_number, coalesce(a.value, col_1) AS col_1, coalesce(b.value, col_2) AS col_2, coalesce(c.value, col_3) AS col_3 FROM t
+LEFT JOIN w a ON t.session = a.session AND t.row_number = a.row_number AND a.col = 1
+LEFT JOIN w b ON t.session = b.session AND t.row_number = b.row_number AND b.col = 2
+LEFT JOIN w c ON t.session = c.session AND t.row_number = c.row_number AND c.col = 3""")
+def oplog_replay(spark, sf_dir):
+    """Every customer's table of orders after the edits in force of their log."""
+    return replay.replay_edits(lay.order_tables(spark, sf_dir), lay.edit_log(spark, sf_dir))
+
+
 @query(WITH + L7 + " SELECT count(*) AS original_row_count, count(*) FILTER (NOT (doc_key = d AND page_number = p AND row_number = 1)) AS corrected_row_count, 'doc_key,page_number,row_number,col_1,col_2,col_3,col_4' AS original_columns, 'doc_key,page_number,row_number,col_1,col_2,col_3,col_4' AS corrected_columns FROM t, fp")
 def lineage_report(spark, sf_dir):
     table = lay.edit_table(spark, sf_dir)
@@ -719,14 +746,6 @@ def oplog_apply(spark, sf_dir):
     return own.current
 
 
-@query("""SELECT 's' AS session, CAST(1 AS BIGINT) AS seq, 'delete_columns' AS action, '{"columns": ["col_4"]}' AS metadata UNION ALL SELECT 's', 2, 'undo', '{}'""")
-def operation_log(spark, sf_dir):
-    own = session.Session(lay.edit_table(spark, sf_dir))
-    own.apply("delete_columns", E.delete_columns, columns=["col_4"])
-    own.undo()
-    return session.operation_log("s", own.log, spark).select("session", "seq", "action", "metadata")
-
-
 @query(WITH + L7 + " SELECT doc_key, page_number, row_number, CAST(to_json({'doc_key': doc_key, 'page_number': page_number, 'row_number': row_number, 'col_1': col_1, 'col_2': col_2, 'col_3': col_3, 'col_4': col_4}) AS VARCHAR) AS json FROM t")
 def export_metadata(spark, sf_dir):
     return sinks.json_rows(lay.edit_table(spark, sf_dir))

@@ -103,5 +103,21 @@ def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), seq.alias("seq"), kind.alias("kind"))
 
 
+def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OP_LOG: each user's events as cell edits, undos and redos."""
+    from tablegeo.plans.replay import log_entries
+
+    number = F.col("event_id")
+    edit = F.struct(F.lit(1).alias("page"), (1 + number % 13).alias("row_number"), F.concat(F.lit("col_"), 1 + number % 3).alias("column"), F.concat_ws("-", "event_type", number).alias("value"))
+    action = F.when(number % 5 == 0, "undo").when(number % 5 == 1, "redo").otherwise("edit_cell")
+    return log_entries(_table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], action, F.when(number % 5 >= 2, edit)).fillna("{}", ["metadata"])
+
+
+def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page table for each session: the orders of the customer of that number."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"))
+    return _table(spark, sf_dir, "orders").select((F.col("o_custkey") - 1).alias("session"), F.lit(1).alias("page_number"), place.alias("row_number"), F.col("o_orderkey").cast("string").alias("col_1"), F.col("o_orderstatus").alias("col_2"), F.col("o_orderpriority").alias("col_3"))
+
+
 def pages_of(items: DataFrame, width: float = 480.0, height: float = 842.0) -> DataFrame:
     return items.select(*PAGE).distinct().withColumns({"page_width": F.lit(width), "page_height": F.lit(height)})
