@@ -1,14 +1,16 @@
 """Corrections of page tables.  A page is its number or, in tables of many documents (with ``doc_key``), the
 pair (doc_key, page_number); rows are named by (page, row_number).  Every operator is lazy, except for the checks
-that name a row, which look for it first; no operator touches a document that it does not name."""
+that name a row, which look for it first; no operator touches a document that it does not name.  Tables that carry
+the boxes of their cells (see ``provenance``) keep them through every correction."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablegeo.functions.boxes import boxes_of, has_boxes, replaced, with_entries, without
 from tablegeo.functions.text import join_nonblank, join_stripped, partition, strip_ws, text_of
-from tablegeo.schema import data_columns, on_page, page_keys
+from tablegeo.schema import BOXES, data_columns, on_page, page_keys
 
 Page = int | tuple[str, int]
 
@@ -57,6 +59,7 @@ def merge_columns(df: DataFrame, columns: list[str], output: str = "") -> DataFr
         raise ValueError(f"column {name} exists")
     value = join_nonblank(F.array(*(text_of(F.col(c)) for c in columns))).alias(name)
     at = min(at, len(rest))
+    df = with_entries(df, lambda e: replaced(e, columns, {name: F.flatten(F.array(*(boxes_of(e, c) for c in columns)))}))
     return df.select(*rest[:at], value, *rest[at:])
 
 
@@ -71,6 +74,7 @@ def split_column(df: DataFrame, column: str, delimiter: str, left: str = "", rig
         raise ValueError(f"column {names[0]} or {names[1]} exists")
     as_regex = len(delimiter) > 1 if regex is None else regex
     pattern = delimiter if as_regex else "\\Q" + delimiter + "\\E"
+    df = with_entries(df, lambda e: replaced(e, [column], {n: boxes_of(e, column) for n in names}))
     text = text_of(F.col(column))
     parts = F.split(text, pattern, 2)
     any_hit = df.agg(F.coalesce(F.max(F.size(parts) > 1), F.lit(False)).alias("_hit"))  # one row
@@ -93,7 +97,7 @@ def delete_columns(df: DataFrame, columns: list[str]) -> DataFrame:
         raise ValueError("at least one column is removed")
     for c in columns:
         _named(df, c)
-    return df.drop(*columns)
+    return with_entries(df, lambda e: without(e, *columns)).drop(*columns)
 
 
 def rename_column(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -102,7 +106,8 @@ def rename_column(df: DataFrame, column: str, name: str) -> DataFrame:
         raise ValueError("the new name is empty")
     if name in df.columns and name != column:
         raise ValueError(f"column {name} exists")
-    return df.withColumnRenamed(column, name)
+    renamed = lambda b: F.struct(F.when(b["column"] == column, F.lit(name)).otherwise(b["column"]).alias("column"), b["boxes"].alias("boxes"))
+    return with_entries(df, lambda e: F.transform(e, renamed)).withColumnRenamed(column, name)
 
 
 def edit_cell(df: DataFrame, page: Page, row_number: int, column: str, value: str) -> DataFrame:
@@ -119,8 +124,13 @@ def move_cell(df: DataFrame, source: tuple[Page, int, str], target: tuple[Page,
     _named(df, column)
     _named(df, to_column)
     _require(df, [(page, row), (to_page, to_row)], "no such source or target cell")
-    moved = df.filter(_key(df, page, row)).limit(1).select(strip_ws(text_of(F.col(column))).alias("_moved"))  # one row
+    own = [boxes_of(F.col(BOXES), column).alias("_moved_boxes")] if has_boxes(df) else []
+    moved = df.filter(_key(df, page, row)).limit(1).select(strip_ws(text_of(F.col(column))).alias("_moved"), *own)  # one row
     both = df.crossJoin(F.broadcast(moved))
+    if own:
+        cleared = F.when(_key(df, page, row), without(F.col(BOXES), column)).otherwise(F.col(BOXES))
+        grown = replaced(cleared, [], {to_column: F.concat(boxes_of(cleared, to_column), "_moved_boxes")})
+        both = both.withColumn(BOXES, F.when(_key(df, to_page, to_row) & (F.col("_moved") != ""), grown).otherwise(cleared)).drop("_moved_boxes")
     clear = lambda c: F.when(_key(df, page, row), F.lit("")).otherwise(c)
     old = strip_ws(text_of(F.col(to_column)))
     joined = F.when(old != "", F.concat(old, F.lit(" "), F.col("_moved"))).otherwise(F.col("_moved"))
@@ -150,10 +160,14 @@ def merge_rows(df: DataFrame, rows: list[tuple[Page, int]]) -> DataFrame:
         raise ValueError("at least two rows are merged")
     _require(df, rows, "no such row")
     chosen, names, keys = _keys(df, rows), data_columns(df), [*page_keys(df), "row_number"]
-    ordered = F.array_sort(F.collect_list(F.struct(*keys, *names)))
+    held = [BOXES] if has_boxes(df) else []
+    ordered = F.array_sort(F.collect_list(F.struct(*keys, *names, *held)))
     joined = lambda c: join_stripped(F.transform("_all", lambda s: s[c])).alias(c)
     first = F.col("_all")[0]
-    one = df.filter(chosen).agg(ordered.alias("_all")).select(*(first[c].alias(c) for c in keys), *map(joined, names))
+    one = df.filter(chosen).agg(ordered.alias("_all"))
+    together = lambda c: F.flatten(F.transform("_all", lambda s: boxes_of(s[BOXES], c)))
+    kept = [replaced(first[BOXES], [], {c: together(c) for c in names}).alias(BOXES)] if held else []
+    one = one.select(*(first[c].alias(c) for c in keys), *map(joined, names), *kept)
     return normalize_row_numbers(df.filter(~chosen).unionByName(one))
 
 
@@ -163,7 +177,8 @@ def insert_row(df: DataFrame, page: Page, after_row: int | None = None) -> DataF
     kinds = {f.name: f.dataType for f in df.schema.fields}
     on_page(df, page)  # is it a page of this table?
     own = dict(zip(reversed(page_keys(df)), reversed(page if isinstance(page, tuple) else (page,)), strict=False)) | {"row_number": after}
-    blank = df.sparkSession.range(1).select(*(F.lit(own.get(c, "")).cast(kinds[c]).alias(c) for c in df.columns))
+    value = lambda c: F.array() if c == BOXES else F.lit(own.get(c, ""))
+    blank = df.sparkSession.range(1).select(*(value(c).cast(kinds[c]).alias(c) for c in df.columns))
     both = df.withColumn("_sub", F.lit(0)).unionByName(blank.withColumn("_sub", F.lit(1)))
     return normalize_row_numbers(both, "_sub").drop("_sub")
 

@@ -1,6 +1,6 @@
 """Splits along a guide line: boxes with their center on or before the guide go left or up, the others right
-or down.  Cells are found by their present position in the table, as they were extracted.  Cells and boxes belong
-to the page of their document; a page is named as in ``edits``.  Splits of one page look only at that page's cells
+or down.  Cells are found by their present position in the table, as they were extracted; in a table that carries the
+boxes of its cells (see ``provenance``) by those, and ``cells`` is not looked at.  Cells and boxes belong to the page of their document; a page is named as in ``edits``.  Splits of one page look only at that page's cells
 and boxes, so frames that are made for one page (see ``plans.extract.page_frames``) are all they need."""
 
 from __future__ import annotations
@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablegeo.functions.boxes import has_boxes
 from tablegeo.functions.geometry import center_x, center_y
 from tablegeo.functions.text import strip_ws, text_of
+from tablegeo.operators import provenance as P
 from tablegeo.operators.edits import Page, _require, normalize_row_numbers
 from tablegeo.schema import SYSTEM_COLUMNS, data_columns, on_page, page_keys
 
@@ -67,6 +69,8 @@ def split_columns_visual(table: DataFrame, cells: DataFrame, items: DataFrame, p
     all of them come from one look at the page's cells."""
     left, right = left.strip() or "left", right.strip() or "right"
     named = [(c, f"{c}_{left}", f"{c}_{right}") for c in columns if c in table.columns]
+    if has_boxes(table):
+        return P.split_columns(table, items, page, named, guide_x)
     return _split_columns(table, cells, items, page, named, guide_x)
 
 
@@ -102,6 +106,8 @@ def data_of(columns: list[str]) -> list[str]:
 def split_column_visual(table: DataFrame, cells: DataFrame, items: DataFrame, page: Page, column: str, guide_x, left: str = "", right: str = "") -> DataFrame:
     """Replaces a column by its texts left and right of the guide; rows of other pages stay left."""
     table.columns.index(column)
+    if has_boxes(table):
+        return P.split_columns(table, items, page, [(column, left.strip() or f"{column}_left", right.strip() or f"{column}_right")], guide_x)
     return _split_columns(table, cells, items, page, [(column, left.strip() or f"{column}_left", right.strip() or f"{column}_right")], guide_x)
 
 
@@ -111,6 +117,8 @@ def split_rows_visual(table: DataFrame, cells: DataFrame, items: DataFrame, page
     if not rows:
         return table
     _require(table, [(page, r) for r in rows], "no such row")
+    if has_boxes(table):
+        return P.split_rows(table, items, page, rows, guide_y)
     names, keys = data_columns(table), [*page_keys(table), "row_number"]
     sides = _sides(table, cells, items, page, F.col("row_index").isin(rows), "y", guide_y)
     value = F.struct(F.coalesce("before", F.lit("")).alias("a"), F.coalesce("after", F.lit("")).alias("b"))

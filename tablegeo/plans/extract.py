@@ -27,6 +27,11 @@ def cells(analysis: DataFrame) -> DataFrame:
     return C.cell_grid(analysis)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame, written to the checkpoint folder where there is one: what several later steps read is made once."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
+
 def max_columns(analysis: DataFrame) -> int:
     return analysis.agg(F.max("n_cols")).first()[0] or 1
 
@@ -37,8 +42,7 @@ def page_table(analysis: DataFrame, width: int | None = None) -> DataFrame:
     are analysed once and nothing stays in memory; else they are analysed twice."""
     texts = C.table_texts(analysis)
     if width is None:
-        if texts.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            texts = texts.checkpoint()
+        texts = stored(texts)
         width = texts.agg(F.max("n_cols")).first()[0]
     names = column_names(width or 1)
     return texts.select("doc_key", "page_number", "row_number", *(F.coalesce(F.get("texts", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)))

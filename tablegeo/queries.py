@@ -12,6 +12,7 @@ from tablegeo.operators import edits as E
 from tablegeo.operators import guides as G
 from tablegeo.operators import items as I
 from tablegeo.operators import lookup as L
+from tablegeo.operators import provenance as P
 from tablegeo.operators import rows as R
 from tablegeo.plans import extract, replay, session
 from tablegeo.sources import layouts as lay
@@ -649,6 +650,30 @@ def split_columns_visual(spark, sf_dir):
     return G.split_columns_visual(table, found, items, page, ["col_1", "col_2", "no_such"], GUIDE_X, "a", "")
 
 
+def traced_inputs(spark, sf_dir):
+    """(traced table after an inserted column and a deleted row, items, the page to split)."""
+    items, page = lay.tight(spark, sf_dir), first_page(spark, sf_dir)
+    found = extract.analyzed(items)
+    table = extract.stored(P.traced(extract.page_table(found, 4), extract.cells(found)))
+    return E.delete_rows(E.insert_column(table, "col_1", "new"), [(page, 1)]), items, page
+
+
+@query(of_document(WITH + L6 + CLUSTERED + VISUAL + """, d AS (SELECT pt.*, page_number = p AS here, CASE WHEN page_number = p THEN row_number - 1 ELSE row_number END AS r FROM pt CROSS JOIN fp WHERE NOT (page_number = p AND row_number = 1))
+SELECT d.page_number, CAST(r AS INTEGER) AS row_number, CASE WHEN here AND x1.row_index IS NOT NULL THEN x1.before ELSE col_1 END AS col_1_a, CASE WHEN here THEN coalesce(x1.after, '') ELSE '' END AS col_1_right, '' AS "new",
+  CASE WHEN here AND x2.row_index IS NOT NULL THEN x2.before ELSE col_2 END AS col_2_a, CASE WHEN here THEN coalesce(x2.after, '') ELSE '' END AS col_2_right, col_3, col_4
+FROM d LEFT JOIN sx x1 ON x1.page_number = d.page_number AND x1.row_index = d.row_number AND x1.col_index = 1 LEFT JOIN sx x2 ON x2.page_number = d.page_number AND x2.row_index = d.row_number AND x2.col_index = 2"""))
+def split_after_edits(spark, sf_dir):
+    """A guide after an inserted column and a deleted row meets the boxes of what the cells hold now."""
+    table, items, page = traced_inputs(spark, sf_dir)
+    return G.split_columns_visual(table, None, items, page, ["col_1", "col_2"], GUIDE_X, "a", "").drop("_boxes")
+
+
+@query(of_document(WITH + L6 + CLUSTERED + VISUAL + """ SELECT x.page_number, CAST(CASE WHEN x.page_number = p THEN row_index - 1 ELSE row_index END AS INTEGER) AS row_number, 'col_' || col_index AS "column", CAST(n_before AS INTEGER) AS n_before, CAST(n_after AS INTEGER) AS n_after, before, after FROM sx x CROSS JOIN fp WHERE NOT (x.page_number = p AND row_index = 1)"""))
+def partition_after_edits(spark, sf_dir):
+    table, items, _ = traced_inputs(spark, sf_dir)
+    return P.sides(table, items, "x", GUIDE_X).drop("boxes_before", "boxes_after")
+
+
 ROW_CASES = ", ".join(f"CASE WHEN NOT here THEN col_{i} WHEN half = 0 THEN CASE WHEN c{i}.col_index IS NULL THEN col_{i} ELSE coalesce(y{i}.before, '') END ELSE coalesce(y{i}.after, '') END AS col_{i}" for i in range(1, 5))
 ROW_JOINS = " ".join(f"LEFT JOIN cells c{i} ON c{i}.page_number = h.page_number AND c{i}.row_index = h.row_number AND c{i}.col_index = {i} LEFT JOIN sy y{i} ON y{i}.page_number = h.page_number AND y{i}.row_index = h.row_number AND y{i}.col_index = {i}" for i in range(1, 5))
 SPLIT_ROWS = """, h AS (SELECT pt.*, CAST(unnest(CASE WHEN page_number = p AND row_number IN ({rows}) THEN [0, 1] ELSE [0] END) AS INTEGER) AS half, page_number = p AND row_number IN ({rows}) AS here FROM pt, fp),

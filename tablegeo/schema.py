@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: What identifies a page; every operator on boxes works page by page under these keys.
 PAGE = ["doc_key", "page_number"]
 #: Columns of a page table that are not data.
-SYSTEM_COLUMNS = ["doc_key", "page_number", "row_number"]
+BOXES = "_boxes"
+SYSTEM_COLUMNS = ["doc_key", "page_number", "row_number", BOXES]
 
 POINT = "struct<x:double,y:double>"
 ITEMS = f"doc_key string, page_number int, item_index int, text string, confidence double, x0 double, y0 double, x1 double, y1 double, quad array<{POINT}>"
