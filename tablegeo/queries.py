@@ -220,10 +220,10 @@ def bbox_build(spark, sf_dir):
     return boxes.select("page_number", "text", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
-@query(WITH + L1 + ", s AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_number ORDER BY item_index) - 1 AS INTEGER) AS entry FROM items) SELECT page_number, entry, CAST(x0 AS INTEGER) AS x0, CAST(y0 AS INTEGER) AS y0, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1, text FROM s")
+@query(WITH + L1 + ", s AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_number ORDER BY item_index) - 1 AS INTEGER) AS entry FROM items) SELECT page_number, entry, CAST(x0 AS INTEGER) AS x0, CAST(y0 AS INTEGER) AS y0, CAST(x1 AS INTEGER) AS x1, CAST(y1 AS INTEGER) AS y1, text, round((0.5::DOUBLE + ((13 * k + c) % 50)::DOUBLE / 100) / 3, 4) AS confidence FROM s")
 def ocr_viewer_rows(spark, sf_dir):
-    entries = lay.report(spark, sf_dir).withColumn("entry", F.col("item_index"))
-    return I.viewer_rows(entries).select("page_number", "entry", "x0", "y0", "x1", "y1", "text")
+    entries = lay.report(spark, sf_dir).withColumns({"entry": F.col("item_index"), "confidence": (0.5 + F.pmod(13 * F.col("k") + F.col("c"), F.lit(50)) / 100) / 3})
+    return I.viewer_rows(entries).select("page_number", "entry", "x0", "y0", "x1", "y1", "text", "confidence")
 
 
 @query(WITH + L1 + " SELECT page_number, string_agg(text, chr(10) ORDER BY item_index) AS text, count(*) AS n_boxes FROM items GROUP BY page_number")
