@@ -14,7 +14,7 @@ from tablegeo.operators import items as I
 from tablegeo.operators import lookup as L
 from tablegeo.operators import provenance as P
 from tablegeo.operators import rows as R
-from tablegeo.plans import extract, replay, session
+from tablegeo.plans import extract, parsed, replay, session
 from tablegeo.sources import layouts as lay
 from tablegeo.sources import pages, painted, words
 
@@ -709,6 +709,30 @@ def state_key(spark, sf_dir):
     return orders.select(session.state_key_column(F.col("o_orderkey").cast("string"), pages).alias("state_key"))
 
 
+@query("""WITH l AS (SELECT *, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents),
+w AS (SELECT doc_id, lang, n_chars, 1 + line_no // 20 AS page, unnest(string_split(line, ' ')) AS word FROM l),
+v AS (SELECT *, CASE WHEN n_chars > 2000 THEN 'v2' ELSE 'v1' END AS version FROM w WHERE trim(word, chr(9) || chr(13) || chr(11) || chr(12)) <> '' AND NOT (coalesce(lang, '') = 'de' AND page > 1))
+SELECT CAST(doc_id AS VARCHAR) AS doc_key, version, CAST(page AS INTEGER) AS page_number, count(*) AS n_words, CAST(sum(CASE version WHEN 'v1' THEN length(word) ELSE strlen(word) END) AS BIGINT) AS size,
+  coalesce(lang = 'en', false) AND version = 'v1' AS reused FROM v GROUP BY ALL""")
+def parse_store(spark, sf_dir):
+    """A store of parses that knows one language's documents is asked for all: long ones in a newer version, another
+    language's first pages only.  What it has is read, the rest is parsed in one plan."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_key", F.col("doc_id").cast("string"))
+    files = docs.select("doc_key", F.col("text").cast("binary").alias("content"))
+    store = parsed.ParseStore(spark, parsed.working_folder(spark))
+
+    def parse(asked):
+        found = pages.read_pages(files.join(asked.select("doc_key"), "doc_key", "left_semi"), plugin=pages.text_pages(20)).join(asked, "doc_key")
+        size = F.when(F.col("version") == "v1", F.char_length("text")).otherwise(F.octet_length("text"))
+        chosen = found.filter("size(pages) <= 0 or pages is null or array_contains(pages, page_number)")
+        return chosen.groupBy("entry", "doc_key", "version", "page_number").agg(F.count(F.lit(1)).alias("n_words"), F.sum(size).alias("size"))
+
+    everything = F.lit(None).cast("array<int>")
+    store.parsed(docs.filter("lang = 'en'").select("doc_key", F.lit("v1").alias("version"), everything.alias("pages")), parse)
+    newer, first = F.when(F.col("n_chars") > 2000, "v2").otherwise("v1"), F.when(F.col("lang") == "de", F.array(F.lit(1)))
+    return store.parsed(docs.select("doc_key", newer.alias("version"), first.alias("pages")), parse).drop("entry")
+
+
 EFFECTIVE = """WITH RECURSIVE l AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE WHEN event_id % 5 = 0 THEN 'undo' WHEN event_id % 5 = 1 THEN 'redo' ELSE 'apply' END AS kind FROM events),
 f AS (
   SELECT session, CAST(0 AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS done, CAST([] AS BIGINT[]) AS undone FROM l WHERE seq = 1
