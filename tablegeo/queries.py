@@ -800,6 +800,27 @@ def export_metadata(spark, sf_dir):
     return sinks.json_rows(lay.edit_table(spark, sf_dir))
 
 
+XML = " || ".join(f"""coalesce('<c t="inlineStr"><is><t xml:space="preserve">' || {c} || '</t></is></c>', '<c/>')""" for c in ("col_1", "col_2", "col_3", "col_4"))
+
+
+@query(WITH + L7 + f""" SELECT doc_key, page_number, row_number, '<row><c t="inlineStr"><is><t xml:space="preserve">' || doc_key || '</t></is></c><c><v>' || page_number || '</v></c><c><v>' || row_number || '</v></c>' || {XML} || '</row>' AS xml FROM t""")
+def export_xlsx(spark, sf_dir):
+    """Rows of a worksheet, as ``sinks.write_xlsx`` puts them into a workbook."""
+    return sinks.xlsx_rows(lay.edit_table(spark, sf_dir))
+
+
+@query(WITH + L7 + """, r AS (SELECT * FROM t UNION ALL SELECT t.* REPLACE (CASE WHEN doc_key = d AND page_number = p THEN row_number - 1 ELSE row_number END AS row_number) FROM t CROSS JOIN fp WHERE NOT (doc_key = d AND page_number = p AND row_number = 1)),
+x AS (SELECT unnest(['    {', '      "doc_key": "' || doc_key || '",', '      "page_number": ' || page_number || ',', '      "row_number": ' || row_number || ',', '      "col_1": "' || col_1 || '",', '      "col_2": "' || col_2 || '",',
+    '      "col_3": ' || coalesce('"' || col_3 || '"', 'null') || ',', '      "col_4": "' || col_4 || '"', '    },']) AS line FROM r
+  UNION ALL SELECT unnest(['{', '  "original_rows": [', '  ],', '  "corrected_rows": [', '  ],', '  "operation_history": []', '}', '    }', '    }']))
+SELECT line, count(*) - CASE line WHEN '    },' THEN 2 ELSE 0 END AS n FROM x GROUP BY line""")
+def metadata_document(spark, sf_dir):
+    """The report written as one JSON file, read back by lines."""
+    table, path = lay.edit_table(spark, sf_dir), parsed.working_folder(spark)
+    sinks.write_metadata(table, E.delete_rows(table, [(edit_page(spark, sf_dir), 1)]), [], path)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 BAND = """,
 st AS (SELECT *, row_index - row_number() OVER (PARTITION BY page_number ORDER BY row_index) AS g FROM ext WHERE n >= 2 OR width >= 0.35::DOUBLE * 480),
 runs AS (SELECT page_number, min(row_index) AS s, max(row_index) AS e FROM st GROUP BY page_number, g),

@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import json
-import zipfile
-from collections.abc import Iterable
-from io import BytesIO
+import uuid
+from collections.abc import Iterator
 from typing import Any
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tablegeo.schema import page_keys
 
 
 def ordered(df: DataFrame) -> DataFrame:
-    return df.orderBy(*[c for c in ("doc_key", "page_number", "row_number") if c in df.columns])
+    """By document, page and row, as far as the table has them."""
+    keys = [c for c in ("doc_key", "page_number", "row_number") if c in df.columns]
+    return df.orderBy(*keys) if keys else df
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
@@ -34,51 +36,114 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return df.select(*page_keys(df), "row_number", F.concat_ws(",", *map(cell, df.columns)).alias("line"))
 
 
-def _letters(n: int) -> str:
-    out = ""
-    while n:
-        n, r = divmod(n - 1, 26)
-        out = chr(65 + r) + out
-    return out
+class OneFile:
+    """One file made of what tasks have written: it is put together in blocks inside the JVM of the driver, on any
+    store that Spark writes to, and gets its name when it is whole.  ``parts`` writes lines in their order, one file
+    for each task by Spark's own commit, so a task that runs twice leaves no trace; the folder of parts lies beside
+    the file and is removed at the end, also after an error."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.mark = spark, path, uuid.uuid4().hex
+        self.folder = f"{path}._parts-{self.mark}"
+
+    def _at(self, path: str) -> tuple[Any, Any]:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def parts(self, name: str, lines: DataFrame, separator: str = "\n") -> list[tuple[Any, int]]:
+        """Write the lines (one text column); (file, bytes) in their order, those of no bytes left out."""
+        lines.write.option("lineSep", separator).option("compression", "none").text(f"{self.folder}/{name}")
+        place, files = self._at(f"{self.folder}/{name}")
+        found = [(int(f.getPath().getName().split("-")[1]), f.getPath(), f.getLen()) for f in files.listStatus(place) if f.getPath().getName().startswith("part-") and f.getLen() > 0]
+        return [(file, size) for _, file, size in sorted(found, key=lambda f: f[0])]
+
+    def copy(self, parts: list[tuple[Any, int]], without: int = 0) -> None:
+        """Append the parts, the last one without its last bytes (a separator)."""
+        jvm = self.spark.sparkContext._jvm
+        for i, (file, size) in enumerate(parts, start=1):
+            source = self._at(file.toString())[1].open(file)
+            try:
+                jvm.org.apache.commons.io.IOUtils.copyLarge(source, self.out, 0, size - (without if i == len(parts) else 0))
+            finally:
+                source.close()
+
+    def put(self, text: str) -> None:
+        self.out.write(bytearray(text.encode()))
+
+    def __enter__(self) -> OneFile:
+        place, files = self._at(f"{self.path}._made-{self.mark}")
+        self.out = files.create(place, True)
+        return self
+
+    def __exit__(self, kind: Any, *_: Any) -> None:
+        made, files = self._at(f"{self.path}._made-{self.mark}")
+        try:
+            self.out.close()
+            if kind is None:
+                jvm, context = self.spark.sparkContext._jvm, self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext
+                how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+                context.getFileContext(made.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(made, self._at(self.path)[0], how)
+        finally:
+            files.delete(made, False)
+            files.delete(self._at(self.folder)[0], True)
+
+
+#: Rows of a worksheet (fixed by the format), the header among them.
+SHEET_ROWS = 1_048_576
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _xml_text(text: Column) -> Column:
+    """Text inside XML: what XML cannot hold is left out."""
+    legal = F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]", "")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        legal = F.replace(legal, F.lit(sign), F.lit(name))
+    return legal
+
+
+def _cell(value: Column, kind: str) -> Column:
+    text = F.concat(F.lit('<c t="inlineStr"><is><t xml:space="preserve">'), _xml_text(F.initcap(value.cast("string")) if kind == "boolean" else value.cast("string")), F.lit("</t></is></c>"))
+    if kind in NUMBERS or kind.startswith("decimal"):
+        number = F.concat(F.lit("<c><v>"), value.cast("string"), F.lit("</v></c>"))
+        text = F.when(F.isnan(value) | (F.abs(value) == float("inf")), text).otherwise(number) if kind in ("float", "double") else number
+    return F.coalesce(text, F.lit("<c/>"))
+
+
+def xlsx_rows(df: DataFrame) -> DataFrame:
+    """Each row as a row of a worksheet: numbers as numbers, other values as text, null as an empty cell.  Cells are
+    placed by their order, as the format allows, so that a row need not know its number."""
+    cells = [_cell(F.col(f"`{c}`"), kind) for c, kind in df.dtypes]
+    return df.select(*page_keys(df), *(c for c in ("row_number",) if c in df.columns), F.concat(F.lit("<row>"), *cells, F.lit("</row>")).alias("xml"))
 
 
-def _cell(row: int, column: int, value: Any) -> str:
-    if value is None:
-        return ""
-    if isinstance(value, (int, float)) and not isinstance(value, bool):
-        return f'<c r="{_letters(column)}{row}"><v>{value}</v></c>'
-    text = "".join(ch for ch in str(value) if ch in "\t\n\r" or ord(ch) >= 32)
-    return f'<c r="{_letters(column)}{row}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
-
-
-def xlsx_bytes(columns: list[str], rows: Iterable[tuple], sheet: str = "corrected_table") -> bytes:
-    """A workbook of one sheet, with only the standard library; rows are taken one by one."""
-    kinds = "http://schemas.openxmlformats.org"
+def write_xlsx(df: DataFrame, path: str, sheet: str = "corrected_table") -> None:
+    """One workbook of one sheet, in the order of the table, written over what is there.  Tasks write the rows; the
+    driver zips them in blocks, whatever their number, up to the rows that a sheet can have."""
+    spark, kinds = df.sparkSession, "http://schemas.openxmlformats.org"
     parts = {
         "[Content_Types].xml": f'<Types xmlns="{kinds}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
         "_rels/.rels": f'<Relationships xmlns="{kinds}/package/2006/relationships"><Relationship Id="rId1" Type="{kinds}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{kinds}/spreadsheetml/2006/main" xmlns:r="{kinds}/officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/workbook.xml": f'<workbook xmlns="{kinds}/spreadsheetml/2006/main" xmlns:r="{kinds}/officeDocument/2006/relationships"><sheets><sheet name="{escape(sheet, {chr(34): "&quot;"})}" sheetId="1" r:id="rId1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{kinds}/package/2006/relationships"><Relationship Id="rId1" Type="{kinds}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
     }
-    head, buffer = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>', BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as book:
+    entry, head = spark.sparkContext._jvm.java.util.zip.ZipEntry, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    names = "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(c)}</t></is></c>' for c in df.columns)
+    counted = Observation()
+    with OneFile(spark, path) as file:
+        # Numbers of rows are seen on the way: Spark counts them as they are written.
+        rows = file.parts("rows", xlsx_rows(ordered(df)).select("xml").observe(counted, F.count(F.lit(1)).alias("n")))
+        if counted.get["n"] >= SHEET_ROWS:
+            raise ValueError(f"{counted.get['n']} rows: a sheet has {SHEET_ROWS} with its header")
+        file.out = spark.sparkContext._jvm.java.util.zip.ZipOutputStream(file.out)
         for name, body in parts.items():
-            book.writestr(name, head + body)
-        with book.open("xl/worksheets/sheet1.xml", "w") as out:
-            out.write(f'{head}<worksheet xmlns="{kinds}/spreadsheetml/2006/main"><sheetData>'.encode())
-            for i, row in ((1, tuple(columns)),):
-                out.write(f'<row r="{i}">{"".join(_cell(i, j, v) for j, v in enumerate(row, start=1))}</row>'.encode())
-            for i, row in enumerate(rows, start=2):
-                out.write(f'<row r="{i}">{"".join(_cell(i, j, v) for j, v in enumerate(row, start=1))}</row>'.encode())
-            out.write(b"</sheetData></worksheet>")
-    return buffer.getvalue()
-
-
-def write_xlsx(df: DataFrame, path: str, sheet: str = "corrected_table") -> None:
-    """One workbook, written where this runs; rows are fetched partition by partition."""
-    data = xlsx_bytes(df.columns, (tuple(r) for r in ordered(df).toLocalIterator()), sheet)
-    with open(path, "wb") as file:
-        file.write(data)
+            file.out.putNextEntry(entry(name))
+            file.put(head + body)
+        file.out.putNextEntry(entry("xl/worksheets/sheet1.xml"))
+        file.put(f'{head}<worksheet xmlns="{kinds}/spreadsheetml/2006/main"><sheetData><row>{names}</row>\n')
+        file.copy(rows)
+        file.put("</sheetData></worksheet>")
+        file.out.closeEntry()
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -87,10 +152,25 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(*page_keys(df), "row_number", F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def metadata_json(original: DataFrame, corrected: DataFrame, log: list[dict[str, Any]]) -> str:
-    """The report of one table: rows before and after, and the operations."""
-    rows = lambda df: [json.loads(r.json) for r in json_rows(ordered(df)).toLocalIterator()]
-    return json.dumps({"original_rows": rows(original), "corrected_rows": rows(corrected), "operation_history": log}, indent=2, default=str)
+def _indented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """JSON objects as they stand in the report: two spaces a level, two levels deep."""
+    for batch in batches:
+        lines = [json.dumps(json.loads(text), indent=2).replace("\n", "\n    ") for text in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([f"    {line}" for line in lines], pa.string())], names=["line"])
+
+
+def write_metadata(original: DataFrame, corrected: DataFrame, log: list[dict[str, Any]], path: str) -> None:
+    """The report of one table as a JSON file: rows before and after, and the operations (``log`` is the session's own
+    list).  Tasks write the rows, indented; the driver joins their files in blocks."""
+    with OneFile(original.sparkSession, path) as file:
+        file.put("{")
+        for name, table in (("original_rows", original), ("corrected_rows", corrected)):
+            lines = json_rows(ordered(table)).select("json").mapInArrow(_indented, "line string")
+            parts = file.parts(name, lines, ",\n")
+            file.put(f'\n  "{name}": [' + ("\n" if parts else ""))
+            file.copy(parts, without=2)
+            file.put(("\n  ]" if parts else "]") + ",")
+        file.put(json.dumps({"operation_history": log}, indent=2, default=str)[1:])
 
 
 def png_data_uri(content: Column) -> Column:
