@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegeo.functions.geometry import center_x, center_y, corners, edge_angle, in_polygon, point, rotated, tile_starts
@@ -75,39 +76,118 @@ def _close(prefix_a: str, prefix_b: str):
     return near("x0", across) & near("x1", across) & near("y0", down) & near("y1", down)
 
 
+#: Boxes that can be the same meet in a grid.  The size class of a side grows by one with each doubling from 5 points on;
+#: sides that can belong together differ by one class at most, and edges by less than REACH at the smaller one's class.
+SMALLEST, REACH, CELL = 5.0, 4.0, 16.0
+
+
+def _size_class(side: Column) -> Column:
+    return F.floor(F.log2(F.greatest(side, F.lit(SMALLEST)) / SMALLEST))
+
+
+def _cells(level: Column, at: Column, reach: float) -> Column:
+    """The cells of a level's grid that an edge reaches."""
+    scale = F.pow(F.lit(2.0), level)
+    return F.sequence(F.floor((at - reach * scale) / (CELL * scale)), F.floor((at + reach * scale) / (CELL * scale)))
+
+
 def same_item_pairs(items: DataFrame, key: str = "seq") -> DataFrame:
-    """(page, key_a, key_b): boxes of a page that are taken for the same one, each pair once."""
-    side = lambda p: items.select(*PAGE, "text", *(F.col(c).alias(p + c) for c in (key, "x0", "y0", "x1", "y1")))
-    pairs = side("a_").join(side("b_"), [*PAGE, "text"]).filter(F.col(f"a_{key}") < F.col(f"b_{key}")).filter(_close("a_", "b_"))
+    """(page, key_a, key_b): boxes of a page that are taken for the same one, each pair once.  Boxes of equal text
+    meet in cells of a grid for their size, so repeats all over a page cost what they number, not its square; boxes
+    with an edge that is no number are like none."""
+    edges = ("x0", "y0", "x1", "y1")
+    finite = F.lit(True)
+    for c in edges:
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    sized = items.filter(finite).withColumns({"_cx": _size_class(F.col("x1") - F.col("x0")), "_cy": _size_class(F.col("y1") - F.col("y0"))})
+
+    def side(p: str, reach: float) -> DataFrame:
+        # A pair meets at its smaller class: each box stands in its own class's grid and in that of the class below.
+        own = sized.select(*PAGE, "text", "_cx", "_cy", *(F.col(c).alias(p + c) for c in (key, *edges)))
+        for axis in ("x", "y"):
+            own = own.withColumn(f"_l{axis}", F.explode(F.array(F.col(f"_c{axis}"), F.col(f"_c{axis}") - 1)))
+            own = own.withColumn(f"_g{axis}", F.explode(_cells(F.col(f"_l{axis}"), F.col(f"{p}{axis}0"), reach)))
+        return own.withColumnsRenamed({"_cx": f"{p}cx", "_cy": f"{p}cy"})
+
+    met = side("a_", 0.0).join(side("b_", REACH), [*PAGE, "text", "_lx", "_ly", "_gx", "_gy"])
+    level = (F.least("a_cx", "b_cx") == F.col("_lx")) & (F.least("a_cy", "b_cy") == F.col("_ly"))
+    pairs = met.filter(level & (F.col(f"a_{key}") < F.col(f"b_{key}"))).filter(_close("a_", "b_"))
     return pairs.select(*PAGE, F.col(f"a_{key}").alias(f"{key}_a"), F.col(f"b_{key}").alias(f"{key}_b"))
 
 
+class _Kept:
+    """The kept boxes of one text on one page: a list, and a grid once there are more than a few."""
+
+    FEW = 24
+
+    def __init__(self) -> None:
+        self.boxes: list[tuple] = []
+        self.grid: dict[tuple, list[tuple]] | None = None
+
+    @staticmethod
+    def _places(at: float, side: float, reach: float) -> list[tuple[int, int]]:
+        own = int(math.log2(max(side, SMALLEST) / SMALLEST))
+        found = []
+        for level in (own, own - 1):
+            scale = 2.0**level
+            found += [(level, cell) for cell in range(math.floor((at - reach * scale) / (CELL * scale)), math.floor((at + reach * scale) / (CELL * scale)) + 1)]
+        return found
+
+    def _cells(self, box: tuple, reach: float) -> Iterator[tuple]:
+        x0, y0, x1, y1 = box
+        down = self._places(y0, y1 - y0, reach)
+        return ((*x, *y) for x in self._places(x0, x1 - x0, reach) for y in down)
+
+    def _add(self, box: tuple) -> None:
+        for cell in self._cells(box, 0.0):
+            self.grid.setdefault(cell, []).append(box)
+
+    def new(self, box: tuple) -> bool:
+        """Keep the box unless a kept one is the same.  A box with an edge that is no number is like none."""
+        if not all(map(math.isfinite, box)):
+            return True
+        if self.grid is None:
+            near = self.boxes
+        else:
+            near = (other for cell in self._cells(box, REACH) for other in self.grid.get(cell, ()))
+        if any(_same(box, other) for other in near):
+            return False
+        if self.grid is None:
+            self.boxes.append(box)
+            if len(self.boxes) > self.FEW:
+                self.grid = {}
+                for other in self.boxes:
+                    self._add(other)
+        else:
+            self._add(box)
+        return True
+
+
+def _same(p: tuple, q: tuple) -> bool:
+    across = max(2.0, min(p[2] - p[0], q[2] - q[0]) * 0.35)
+    if abs(p[0] - q[0]) > across or abs(p[2] - q[2]) > across:
+        return False
+    down = max(2.0, min(p[3] - p[1], q[3] - q[1]) * 0.35)
+    return abs(p[1] - q[1]) <= down and abs(p[3] - q[3]) <= down
+
+
 def merge_items(items: DataFrame) -> DataFrame:
     """Greedy removal of repeated detections, numbered anew.  ``items`` has ``priority`` (source, best first)
     and ``seq`` (order in its source).  Boxes are met by priority, confidence, y0, x0; one is kept unless a
     kept one is the same.  Only equal texts can be the same, so the scan runs text by text, over sorted
-    partitions, holding one text's kept boxes at a time."""
+    partitions, holding one text's kept boxes at a time, in a grid where they are many."""
     columns = [c for c in items.columns if c != "item_index"]
     schema = items.select(*columns).schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept = None, []
+        now, kept = None, _Kept()
         for batch in batches:
             get = lambda n, b=batch: b.column(columns.index(n)).to_pylist()
             mask = []
-            for doc, page, text, x0, y0, x1, y1 in zip(get("doc_key"), get("page_number"), get("text"), get("x0"), get("y0"), get("x1"), get("y1"), strict=True):
+            for doc, page, text, *box in zip(get("doc_key"), get("page_number"), get("text"), get("x0"), get("y0"), get("x1"), get("y1"), strict=True):
                 if (doc, page, text) != now:
-                    now, kept = (doc, page, text), []
-                width, height = x1 - x0, y1 - y0
-                new = True
-                for a, b, c, d in kept:
-                    across, down = max(2.0, min(width, c - a) * 0.35), max(2.0, min(height, d - b) * 0.35)
-                    if abs(x0 - a) <= across and abs(x1 - c) <= across and abs(y0 - b) <= down and abs(y1 - d) <= down:
-                        new = False
-                        break
-                if new:
-                    kept.append((x0, y0, x1, y1))
-                mask.append(new)
+                    now, kept = (doc, page, text), _Kept()
+                mask.append(kept.new(tuple(box)))
             yield batch.filter(pa.array(mask, pa.bool_()))
 
     order = ["priority", F.desc("confidence"), "y0", "x0", "seq"]
