@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablegeo import sinks
 from tablegeo.functions.geometry import in_polygon, point
+from tablegeo.functions.text import strip_ws
 from tablegeo.operators import columns as C
 from tablegeo.operators import edits as E
 from tablegeo.operators import guides as G
@@ -718,13 +719,14 @@ def parse_store(spark, sf_dir):
     """A store of parses that knows one language's documents is asked for all: long ones in a newer version, another
     language's first pages only.  What it has is read, the rest is parsed in one plan."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_key", F.col("doc_id").cast("string"))
-    files = docs.select("doc_key", F.col("text").cast("binary").alias("content"))
     store = parsed.ParseStore(spark, parsed.working_folder(spark))
 
     def parse(asked):
-        found = pages.read_pages(files.join(asked.select("doc_key"), "doc_key", "left_semi"), plugin=pages.text_pages(20)).join(asked, "doc_key")
+        request = F.struct("entry", "doc_key", "version", "pages").alias("request")
+        found = words.text_words(docs.select("doc_key", "text").join(asked, "doc_key").select(request, "text"), "request", "text").filter(strip_ws(F.col("text")) != "")
         size = F.when(F.col("version") == "v1", F.char_length("text")).otherwise(F.octet_length("text"))
-        chosen = found.filter("size(pages) <= 0 or pages is null or array_contains(pages, page_number)")
+        paged = found.select("page_number.*", (1 + F.floor(F.col("line_no") / 20)).cast("int").alias("page_number"), "text")
+        chosen = paged.filter("size(pages) <= 0 or pages is null or array_contains(pages, page_number)")
         return chosen.groupBy("entry", "doc_key", "version", "page_number").agg(F.count(F.lit(1)).alias("n_words"), F.sum(size).alias("size"))
 
     everything = F.lit(None).cast("array<int>")
