@@ -40,20 +40,35 @@ def partition_cells(cells: DataFrame, items: DataFrame, axis: str, guide) -> Dat
     return cell_boxes(cells, items).groupBy(*cell_keys(cells)).agg(count(first).alias("n_before"), count(~first).alias("n_after"), text(first).alias("before"), text(~first).alias("after"))
 
 
+def crossed_columns(sides: DataFrame) -> DataFrame:
+    """(page, col_index): of both sides of cells, the columns with a cell that has boxes on both."""
+    return sides.filter("n_before > 0 and n_after > 0").select(*page_keys(sides), "col_index").distinct()
+
+
+def crossed_rows(sides: DataFrame) -> DataFrame:
+    """(page, row_index): rows with boxes on both sides, over the whole row."""
+    rows = sides.groupBy(*page_keys(sides), "row_index").agg(F.sum("n_before").alias("a"), F.sum("n_after").alias("b"))
+    return rows.filter("a > 0 and b > 0").select(*page_keys(sides), "row_index")
+
+
+def rows_with_crossed_cells(sides: DataFrame) -> DataFrame:
+    """(page, row_index): rows with a cell that itself has boxes on both sides."""
+    return sides.filter("n_before > 0 and n_after > 0").select(*page_keys(sides), "row_index").distinct()
+
+
 def columns_crossing(cells: DataFrame, items: DataFrame, guide_x) -> DataFrame:
     """(page, col_index): columns with a cell that has boxes on both sides."""
-    return partition_cells(cells, items, "x", guide_x).filter("n_before > 0 and n_after > 0").select(*page_keys(cells), "col_index").distinct()
+    return crossed_columns(partition_cells(cells, items, "x", guide_x))
 
 
 def rows_crossing(cells: DataFrame, items: DataFrame, guide_y) -> DataFrame:
     """(page, row_index): rows with boxes on both sides, over the whole row."""
-    sides = partition_cells(cells, items, "y", guide_y).groupBy(*page_keys(cells), "row_index").agg(F.sum("n_before").alias("a"), F.sum("n_after").alias("b"))
-    return sides.filter("a > 0 and b > 0").select(*page_keys(cells), "row_index")
+    return crossed_rows(partition_cells(cells, items, "y", guide_y))
 
 
 def cells_crossing_rows(cells: DataFrame, items: DataFrame, guide_y) -> DataFrame:
     """(page, row_index): rows with a cell that itself has boxes on both sides."""
-    return partition_cells(cells, items, "y", guide_y).filter("n_before > 0 and n_after > 0").select(*page_keys(cells), "row_index").distinct()
+    return rows_with_crossed_cells(partition_cells(cells, items, "y", guide_y))
 
 
 def _sides(table: DataFrame, cells: DataFrame, items: DataFrame, page: Page, some: Column, axis: str, guide) -> DataFrame:
