@@ -69,7 +69,11 @@ def viewer_text(rows: DataFrame) -> DataFrame:
 
 def _close(prefix_a: str, prefix_b: str):
     """Do two boxes of equal text agree within 35 % of the smaller side, or 2 points?"""
-    a, b = (lambda n: F.col(prefix_a + n)), (lambda n: F.col(prefix_b + n))
+    return _close_boxes({c: F.col(prefix_a + c) for c in ("x0", "y0", "x1", "y1")}, {c: F.col(prefix_b + c) for c in ("x0", "y0", "x1", "y1")})
+
+
+def _close_boxes(one, other) -> Column:
+    a, b = (lambda n: one[n]), (lambda n: other[n])
     across = F.greatest(F.lit(2.0), F.least(a("x1") - a("x0"), b("x1") - b("x0")) * 0.35)
     down = F.greatest(F.lit(2.0), F.least(a("y1") - a("y0"), b("y1") - b("y0")) * 0.35)
     near = lambda n, most: F.abs(a(n) - b(n)) <= most
@@ -91,15 +95,31 @@ def _cells(level: Column, at: Column, reach: float) -> Column:
     return F.sequence(F.floor((at - reach * scale) / (CELL * scale)), F.floor((at + reach * scale) / (CELL * scale)))
 
 
+#: Boxes of one text on one page up to this number are compared with each other; more meet in the grid.
+FEW = 32
+
+
 def same_item_pairs(items: DataFrame, key: str = "seq") -> DataFrame:
-    """(page, key_a, key_b): boxes of a page that are taken for the same one, each pair once.  Boxes of equal text
-    meet in cells of a grid for their size, so repeats all over a page cost what they number, not its square; boxes
-    with an edge that is no number are like none."""
+    """(page, key_a, key_b): boxes of a page that are taken for the same one, each pair once.  Few boxes of equal text
+    are one array, compared where they lie: no row for each box and cell meets a shuffle, and items dealt by page are
+    not shuffled at all.  Many meet in cells of a grid for their size, so repeats all over a page cost what they number,
+    not its square.  Boxes with an edge that is no number are like none."""
     edges = ("x0", "y0", "x1", "y1")
     finite = F.lit(True)
     for c in edges:
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    sized = items.filter(finite).withColumns({"_cx": _size_class(F.col("x1") - F.col("x0")), "_cy": _size_class(F.col("y1") - F.col("y0"))})
+    box = F.struct(F.col(key).alias("k"), *edges)
+    groups = items.filter(finite).groupBy(*PAGE, "text").agg(F.collect_list(box).alias("_g"))
+    near = lambda a, b: F.filter(b, lambda o: (a["k"] < o["k"]) & _close_boxes(a, o))
+    own = F.flatten(F.transform("_g", lambda a: F.transform(near(a, F.col("_g")), lambda o: F.struct(a["k"].alias("a"), o["k"].alias("b")))))
+    few = groups.filter(F.size("_g").between(2, FEW) & F.col("text").isNotNull()).select(*PAGE, F.inline(own)).select(*PAGE, F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"))
+    many = groups.filter((F.size("_g") > FEW) & F.col("text").isNotNull()).select(*PAGE, "text", F.inline("_g")).withColumnRenamed("k", key)
+    return few.unionByName(_pairs_by_grid(many, key))
+
+
+def _pairs_by_grid(items: DataFrame, key: str) -> DataFrame:
+    edges = ("x0", "y0", "x1", "y1")
+    sized = items.withColumns({"_cx": _size_class(F.col("x1") - F.col("x0")), "_cy": _size_class(F.col("y1") - F.col("y0"))})
 
     def side(p: str, reach: float) -> DataFrame:
         # A pair meets at its smaller class: each box stands in its own class's grid and in that of the class below.
@@ -175,7 +195,8 @@ def merge_items(items: DataFrame) -> DataFrame:
     """Greedy removal of repeated detections, numbered anew.  ``items`` has ``priority`` (source, best first)
     and ``seq`` (order in its source).  Boxes are met by priority, confidence, y0, x0; one is kept unless a
     kept one is the same.  Only equal texts can be the same, so the scan runs text by text, over sorted
-    partitions, holding one text's kept boxes at a time, in a grid where they are many."""
+    partitions, holding one text's kept boxes at a time, in a grid where they are many.  The scan shuffles nothing where the boxes are dealt by
+    page already; the numbers are given in one more dealing of what is kept."""
     columns = [c for c in items.columns if c != "item_index"]
     schema = items.select(*columns).schema
 
@@ -188,10 +209,11 @@ def merge_items(items: DataFrame) -> DataFrame:
                 if (doc, page, text) != now:
                     now, kept = (doc, page, text), _Kept()
                 mask.append(kept.new(tuple(box)))
-            yield batch.filter(pa.array(mask, pa.bool_()))
+            yield batch.select(columns).filter(pa.array(mask, pa.bool_()))
 
     order = ["priority", F.desc("confidence"), "y0", "x0", "seq"]
-    kept = items.select(*columns).repartition(*PAGE, "text").sortWithinPartitions(*PAGE, "text", *order).mapInArrow(scan, schema)
+    met = items.select(*columns, F.row_number().over(Window.partitionBy(*PAGE, "text").orderBy(*order)).alias("_met"))  # deals and sorts
+    kept = met.mapInArrow(scan, schema)
     place = Window.partitionBy(*PAGE).orderBy("y0", "x0", *order)
     return kept.withColumn("item_index", (F.row_number().over(place) - 1).cast("int"))
 

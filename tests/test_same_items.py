@@ -76,3 +76,20 @@ def test_one_text_all_over_a_page(spark):
     assert I.same_item_pairs(spread).count() == n
     assert I.merge_items(spread).agg(F.count("*"), F.max("seq")).first() == (n, n - 1)
     assert time.monotonic() - start < 120  # all pairs would be 5 * 10**9
+
+
+def test_boxes_dealt_by_page_are_not_shuffled_again(spark, data):
+    from tablegeo.sources import layouts as lay
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = lay.duplicates(spark, data)
+    assert plan(I.merge_items(found)).count("Exchange hashpartitioning") == 2  # the lines, the numbers
+
+
+def test_few_and_many(spark):
+    """Groups on both sides of the number up to which boxes are compared in place; no text is like no other."""
+    side = lambda page, n: [("d", page, "a", i, 1, 0.5, float(i // 2 * 50), 0.0, float(i // 2 * 50 + 9), 8.0) for i in range(n)]
+    none = [("d", 9, None, i, 1, 0.5, 0.0, 0.0, 9.0, 8.0) for i in range(2)]
+    df = spark.createDataFrame(side(1, I.FEW) + side(2, I.FEW + 2) + none, BOXES)
+    found = {(r.page_number, r.seq_a, r.seq_b) for r in I.same_item_pairs(df).collect()}
+    assert found == {(p, i, i + 1) for p, n in ((1, I.FEW), (2, I.FEW + 2)) for i in range(0, n, 2)}
