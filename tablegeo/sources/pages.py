@@ -20,6 +20,7 @@ import hashlib
 import inspect
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from importlib import import_module
 from typing import Any
 
@@ -164,6 +165,7 @@ def _columns(rows: list[tuple], kind: str) -> pa.RecordBatch:
 _TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary(), f"array<{POINT}>": pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))}
 
 
+@cache
 def _arrow(kind: str) -> pa.Schema:
     return pa.schema([(name, _TYPES[type_]) for name, type_ in (column.split(" ") for column in kind.split(", "))])
 
@@ -247,10 +249,17 @@ def count_pages(files: DataFrame, plugin: Plugin = PDF) -> DataFrame:
     return _counted(files.filter("content is not null"), _count_with(plugin))
 
 
+#: Rows of a batch that a task gives out; images go page by page.
+ROWS_PER_BATCH = 4096
+
+
 def _each_page(plugin: Plugin, work: Callable[[Any, str, int], Iterator[list[tuple]]], kind: str) -> Callable:
-    """A task: each document of its batches is opened once and ``work`` gives rows page by page."""
+    """A task: each document of its batches is opened once and ``work`` gives rows page by page, which leave together
+    with those of other pages."""
+    most = 1 if "binary" in kind else ROWS_PER_BATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             for i in range(len(batch)):
                 key, wanted = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
@@ -260,11 +269,16 @@ def _each_page(plugin: Plugin, work: Callable[[Any, str, int], Iterator[list[tup
                     for page in range(1, last + 1) if wanted is None else (p for p in wanted if 1 <= p <= last):
                         try:
                             for rows in work(document, key, page):
-                                yield _columns(rows, kind)
+                                held += rows
+                                if len(held) >= most:
+                                    yield _columns(held, kind)
+                                    held = []
                         except Exception as e:
                             raise RuntimeError(f"page {page} of {key}: {e}") from e
                 finally:
                     plugin.close(document)
+        if held:
+            yield _columns(held, kind)
 
     return run
 

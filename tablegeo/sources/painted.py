@@ -24,7 +24,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = _fields(numbered_lines(spark, sf_dir))
     colour = (F.col("k") % 4096) * 4096 + F.col("rn") * 8 + F.col("c")
     box = F.struct((F.col("page_number") % PAGES + 1).alias("p"), F.col("rn").alias("r"), F.col("c").alias("c"), colour.alias("v"), F.length("text").alias("n"))
-    grouped = fields.groupBy(F.floor(F.col("page_number") / PAGES).cast("string").alias("doc_key")).agg(F.sort_array(F.collect_list(box)).alias("boxes"))
+    # A given number of tasks is kept as it is: documents are small, and few tasks would paint and read them all.
+    dealt = fields.withColumn("doc_key", F.floor(F.col("page_number") / PAGES).cast("string")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_key")
+    grouped = dealt.groupBy("doc_key").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
     return grouped.select("doc_key", F.to_json("boxes").cast("binary").alias("content"))
 
 
@@ -58,11 +60,13 @@ def _render(document: dict[int, list[dict]], page: int, dpi: int) -> tuple[int,
 
 def _recognise(engine: str, samples: bytes, width: int, height: int) -> Iterator[tuple]:
     assert engine == "colours"
-    image = np.frombuffer(samples, np.uint8).reshape(-1, 3).astype(np.int64)
-    colour = image[:, 0] << 16 | image[:, 1] << 8 | image[:, 2]
-    at = np.flatnonzero(colour)
-    at = at[np.argsort(colour[at], kind="stable")]
-    values, first, count = np.unique(colour[at], return_index=True, return_counts=True)
+    image = np.frombuffer(samples, np.uint8).reshape(-1, 3)
+    at = np.flatnonzero(image[:, 0] | image[:, 1] | image[:, 2])
+    painted = image[at].astype(np.int64)
+    colour = painted[:, 0] << 16 | painted[:, 1] << 8 | painted[:, 2]
+    order = np.argsort(colour, kind="stable")
+    at = at[order]
+    values, first, count = np.unique(colour[order], return_index=True, return_counts=True)
     if width > COARSE:
         fine = values % 8 != 4
         values, first, count = values[fine], first[fine], count[fine]

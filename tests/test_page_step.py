@@ -59,3 +59,22 @@ def test_one_shuffle(spark, data):
 def test_no_pages(items):
     none = items.filter(F.lit(False))
     assert not extract.page_cells(none).count() and not R.page_segments(none).count() and not R.page_sides(none, "x", 1.0).count()
+
+
+def test_rows_of_pages_leave_together():
+    """Small pages do not leave a task in a batch each."""
+    import pyarrow as pa
+
+    from tablegeo.sources import pages
+
+    work = lambda document, key, page: iter([[(key, page, 0, "a", 1.0, 0.0, 0.0, 1.0, 1.0, [])]])
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(50)]), pa.array([b"x"] * 50), pa.nulls(50, pa.list_(pa.int32()))], ["doc_key", "content", "wanted"])
+    found = list(pages._each_page(pages.text_pages(), work, ITEMS)(iter([batch, batch])))
+    assert len(found) == 1 and found[0].num_rows == 100
+
+
+def test_painting_keeps_its_tasks(spark, data):
+    """Small documents are not put together into one task, which would paint and read all pages."""
+    from tablegeo.sources import painted
+
+    assert painted.documents(spark, data).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
