@@ -32,11 +32,12 @@ def lineage_items(cells: DataFrame, row_number: int | None = None, col_index: in
 
 def workspace_payload(table: DataFrame, cells: DataFrame, items: DataFrame) -> DataFrame:
     """(page, part, position, payload): what an editor shows, as JSON lines: rows (null as empty
-    text), cells and items, and the last row number."""
+    text), cells and items, and the last row number.  A cell without boxes has a hull of nulls, not none."""
     names, keys = data_columns(table), page_keys(table)
-    rows = table.select(*keys, F.lit("row").alias("part"), F.col("row_number").alias("position"), F.to_json(F.struct("row_number", *(text_of(F.col(c)).alias(c) for c in names))).alias("payload"))
-    boxes = items.select(*keys, F.lit("item").alias("part"), F.col("item_index").alias("position"), F.to_json(F.struct("item_index", "text", "confidence", "x0", "y0", "x1", "y1")).alias("payload"))
-    found = cells.select(*keys, F.lit("cell").alias("part"), (F.col("row_index") * 1000 + F.col("col_index")).alias("position"), F.to_json(F.struct("row_index", "col_index", "text", "x0", "y0", "x1", "y1", "source_item_indexes")).alias("payload"))
+    json = lambda *fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload")
+    rows = table.select(*keys, F.lit("row").alias("part"), F.col("row_number").alias("position"), json("row_number", *(text_of(F.col(c)).alias(c) for c in names)))
+    boxes = items.select(*keys, F.lit("item").alias("part"), F.col("item_index").alias("position"), json("item_index", "text", "confidence", "x0", "y0", "x1", "y1"))
+    found = cells.select(*keys, F.lit("cell").alias("part"), (F.col("row_index") * 1000 + F.col("col_index")).alias("position"), json("row_index", "col_index", "text", "x0", "y0", "x1", "y1", "source_item_indexes"))
     last = table.groupBy(*keys).agg(F.max("row_number").alias("n")).select(*keys, F.lit("max_row").alias("part"), F.lit(0).alias("position"), F.col("n").cast("string").alias("payload"))
     return rows.unionByName(found).unionByName(boxes).unionByName(last)
 
