@@ -39,7 +39,8 @@ def csv_lines(df: DataFrame) -> DataFrame:
 class OneFile:
     """One file made of what tasks have written: it is put together in blocks inside the JVM of the driver, on any
     store that Spark writes to, and gets its name when it is whole.  ``parts`` writes lines in their order, one file
-    for each task by Spark's own commit, so a task that runs twice leaves no trace; the folder of parts lies beside
+    for each task by Spark's own commit, so a task that runs twice leaves no trace; they are compressed, as rows of a
+    report repeat their names, and only the file itself holds them at length.  The folder of parts lies beside
     the file and is removed at the end, also after an error."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -50,22 +51,33 @@ class OneFile:
         place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def parts(self, name: str, lines: DataFrame, separator: str = "\n") -> list[tuple[Any, int]]:
-        """Write the lines (one text column); (file, bytes) in their order, those of no bytes left out."""
-        lines.write.option("lineSep", separator).option("compression", "none").text(f"{self.folder}/{name}")
+    def parts(self, name: str, lines: DataFrame, separator: str = "\n") -> list[Any]:
+        """Write the lines (one text column), compressed; the files in their order, those without lines left out."""
+        lines.write.option("lineSep", separator).option("compression", "lz4").text(f"{self.folder}/{name}")
         place, files = self._at(f"{self.folder}/{name}")
-        found = [(int(f.getPath().getName().split("-")[1]), f.getPath(), f.getLen()) for f in files.listStatus(place) if f.getPath().getName().startswith("part-") and f.getLen() > 0]
-        return [(file, size) for _, file, size in sorted(found, key=lambda f: f[0])]
+        found = [(int(f.getPath().getName().split("-")[1]), f.getPath(), f.getLen()) for f in files.listStatus(place) if f.getPath().getName().startswith("part-")]
+        return [file for _, file, size in sorted(found, key=lambda f: f[0]) if size > 64 or self._bytes(file)]
 
-    def copy(self, parts: list[tuple[Any, int]], without: int = 0) -> None:
+    def _open(self, file: Any) -> Any:
+        """What was written to a part, as a stream of the driver's JVM."""
+        place, files = self._at(file.toString())
+        codec = self.spark.sparkContext._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(self.spark.sparkContext._jsc.hadoopConfiguration()).getCodec(place)
+        return codec.createInputStream(files.open(place))
+
+    def _copied(self, file: Any, out: Any, size: int) -> int:
+        source = self._open(file)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, size)
+        finally:
+            source.close()
+
+    def _bytes(self, file: Any) -> int:
+        return self._copied(file, self.spark.sparkContext._jvm.java.io.OutputStream.nullOutputStream(), -1)
+
+    def copy(self, parts: list[Any], without: int = 0) -> None:
         """Append the parts, the last one without its last bytes (a separator)."""
-        jvm = self.spark.sparkContext._jvm
-        for i, (file, size) in enumerate(parts, start=1):
-            source = self._at(file.toString())[1].open(file)
-            try:
-                jvm.org.apache.commons.io.IOUtils.copyLarge(source, self.out, 0, size - (without if i == len(parts) else 0))
-            finally:
-                source.close()
+        for i, file in enumerate(parts, start=1):
+            self._copied(file, self.out, self._bytes(file) - without if without and i == len(parts) else -1)
 
     def put(self, text: str) -> None:
         self.out.write(bytearray(text.encode()))
