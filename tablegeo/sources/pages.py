@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from importlib import import_module
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -170,30 +171,54 @@ def _arrow(kind: str) -> pa.Schema:
     return pa.schema([(name, _TYPES[type_]) for name, type_ in (column.split(" ") for column in kind.split(", "))])
 
 
-def _box(corners: Iterable, scale: float = 1.0, left: int = 0, top: int = 0) -> tuple:
-    xs, ys = zip(*(((float(x) + left) / scale, (float(y) + top) / scale) for x, y in corners), strict=True)
-    return min(xs), min(ys), max(xs), max(ys), [{"x": x, "y": y} for x, y in zip(xs, ys, strict=True)]
+#: What a box of one look is held as until its batch leaves: these columns, the corners' coordinates one after another as
+#: they were given, and the scale and offset of the look.
+_GIVEN = ["doc_key", "page_number", "priority", "seq", "item_index", "text", "confidence"]
+
+
+def _corners(corners: Iterable) -> list[float]:
+    flat = [float(v) for x, y in corners for v in (x, y)]
+    if not flat:
+        raise ValueError("a box without corners")
+    return flat
+
+
+def _boxes(rows: list[tuple], kind: str) -> pa.RecordBatch:
+    """Held boxes as a batch of DETECTIONS or ITEMS; all corners are moved to page points at once."""
+    schema = _arrow(kind)
+    if not rows:
+        return _columns([], kind)
+    *given, flat, scale, left, top = zip(*rows, strict=True)
+    many = np.array([len(f) for f in flat]) // 2
+    points = np.fromiter(chain.from_iterable(flat), np.float64).reshape(-1, 2)
+    scale = np.repeat(np.array(scale, np.float64), many)
+    x, y = ((points[:, i] + np.repeat(np.array(offset, np.float64), many)) / scale for i, offset in enumerate((left, top)))
+    ends = np.cumsum(many)
+    first = ends - many
+    columns: dict[str, Any] = dict(zip(_GIVEN, given, strict=True)) | {"x0": np.minimum.reduceat(x, first), "y0": np.minimum.reduceat(y, first), "x1": np.maximum.reduceat(x, first), "y1": np.maximum.reduceat(y, first)}
+    columns["quad"] = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], ["x", "y"]))
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
 
 
 def _native(plugin: Plugin, document: Any, key: str, page: int) -> list[tuple]:
     kept = ((text.strip(), confidence, corners) for text, confidence, corners in plugin.words(document, page) if text.strip())
-    return [(key, page, 1, i, i, text, float(confidence), *_box(corners)) for i, (text, confidence, corners) in enumerate(kept)]
+    return [(key, page, 1, i, i, text, float(confidence), _corners(corners), 1.0, 0, 0) for i, (text, confidence, corners) in enumerate(kept)]
 
 
 def _scanned(plugin: Plugin, engine: Any, recognise: Callable, document: Any, key: str, page: int, dpi: int, tile: int, overlap: int) -> Iterator[list[tuple]]:
     """Boxes of the whole page, then of each tile: one list for each look at the image."""
     width, height, scale, samples = plugin.render(document, page, dpi)
-    image = np.frombuffer(samples, np.uint8)[: 3 * width * height].reshape(height, width, 3)
+    image = np.frombuffer(samples, np.uint8)[: 3 * width * height].reshape(height, 3 * width)
     looks = [(2, 0, 0, width, height)]
     looks += [(3, x, y, min(x + tile, width), min(y + tile, height)) for y in tile_corners(height, tile, overlap) for x in tile_corners(width, tile, overlap)]
     for priority, left, top, right, bottom in looks:
         if right <= left or bottom <= top:
             continue
-        part, rows = image[top:bottom, left:right].tobytes(), []
+        part, rows = np.ascontiguousarray(image[top:bottom, 3 * left : 3 * right]).tobytes(), []  # whole lines are copied, not pixels
+        seq = top * (1 << 40) + left * (1 << 20)
         for entry, (corners, text, score) in enumerate(recognise(engine, part, right - left, bottom - top)):
-            if corners is not None and text is not None and score is not None and text.strip():
-                seq = top * (1 << 40) + left * (1 << 20) + entry
-                rows.append((key, page, priority, seq, entry, text.strip(), float(score), *_box(corners, scale, left, top)))
+            if corners is not None and text is not None and score is not None and (stripped := text.strip()):
+                rows.append((key, page, priority, seq + entry, entry, stripped, float(score), _corners(corners), scale, left, top))
         del part
         yield rows
 
@@ -253,9 +278,9 @@ def count_pages(files: DataFrame, plugin: Plugin = PDF) -> DataFrame:
 ROWS_PER_BATCH = 4096
 
 
-def _each_page(plugin: Plugin, work: Callable[[Any, str, int], Iterator[list[tuple]]], kind: str) -> Callable:
+def _each_page(plugin: Plugin, work: Callable[[Any, str, int], Iterator[list[tuple]]], kind: str, batch_of: Callable[[list[tuple], str], pa.RecordBatch] = _columns) -> Callable:
     """A task: each document of its batches is opened once and ``work`` gives rows page by page, which leave together
-    with those of other pages."""
+    with those of other pages, as batches that ``batch_of`` makes."""
     most = 1 if "binary" in kind else ROWS_PER_BATCH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,14 +296,14 @@ def _each_page(plugin: Plugin, work: Callable[[Any, str, int], Iterator[list[tup
                             for rows in work(document, key, page):
                                 held += rows
                                 if len(held) >= most:
-                                    yield _columns(held, kind)
+                                    yield batch_of(held, kind)
                                     held = []
                         except Exception as e:
                             raise RuntimeError(f"page {page} of {key}: {e}") from e
                 finally:
                     plugin.close(document)
         if held:
-            yield _columns(held, kind)
+            yield batch_of(held, kind)
 
     return run
 
@@ -287,9 +312,9 @@ def read_pages(files: DataFrame, pages: DataFrame | None = None, plugin: Plugin
     """ITEMS: the text layer's words of the pages asked for (doc_key, page_number; none: all pages)."""
 
     def work(document: Any, key: str, page: int) -> Iterator[list[tuple]]:
-        yield [(k, p, i, *rest) for k, p, _, _, i, *rest in _native(plugin, document, key, page)]
+        yield _native(plugin, document, key, page)
 
-    return _dealt(files, pages, pages_per_task, _count_with(plugin)).mapInArrow(_each_page(plugin, work, ITEMS), ITEMS)
+    return _dealt(files, pages, pages_per_task, _count_with(plugin)).mapInArrow(_each_page(plugin, work, ITEMS, _boxes), ITEMS)
 
 
 def render_pages(files: DataFrame, pages: DataFrame | None = None, plugin: Plugin = PDF, dpi: int = 300, pages_per_task: int | None = None) -> DataFrame:
@@ -323,7 +348,7 @@ def detections(
         yield _native(plugin, document, doc, page)
         yield from _scanned(plugin, engine_of(make, options, key), recognise, document, doc, page, dpi, tile, overlap)
 
-    return _dealt(files, pages, pages_per_task, _count_with(plugin)).mapInArrow(_each_page(plugin, work, DETECTIONS), DETECTIONS, profile=profile)
+    return _dealt(files, pages, pages_per_task, _count_with(plugin)).mapInArrow(_each_page(plugin, work, DETECTIONS, _boxes), DETECTIONS, profile=profile)
 
 
 def scanned_items(files: DataFrame, recogniser: Recogniser, **how: Any) -> DataFrame:
@@ -377,8 +402,7 @@ class _PageReader(DataSourceReader):
             n = plugin.count(document)
             first, end = n * partition.part // partition.parts + 1, n * (partition.part + 1) // partition.parts
             for page in filter(self.wanted.has_page, range(first, end + 1)):
-                rows = [(k, p, i, *rest) for k, p, _, _, i, *rest in _native(plugin, document, partition.path, page)]
-                yield _columns(rows, ITEMS)
+                yield _boxes(_native(plugin, document, partition.path, page), ITEMS)
         finally:
             plugin.close(document)
 

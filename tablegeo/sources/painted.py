@@ -16,6 +16,8 @@ from tablegeo.sources.pages import Plugin, Recogniser, Word
 PAGES, WIDTH = 8, 300
 #: The engine misses small print (fourth fields) on images wider than this; tiles show it.
 COARSE = 500
+#: A colour as one number.
+CHANNELS = np.array([1 << 16, 1 << 8, 1])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,28 +53,40 @@ def _words(document: dict[int, list[dict]], page: int) -> Iterator[Word]:
 
 def _render(document: dict[int, list[dict]], page: int, dpi: int) -> tuple[int, int, float, bytes]:
     scale = dpi // 72
-    image = np.zeros((scale * (14 * max((b["r"] for b in document[page]), default=0) + 10), scale * WIDTH, 3), np.uint8)
+    width, height = scale * WIDTH, scale * (14 * max((b["r"] for b in document[page]), default=0) + 10)
+    image = np.zeros((height, 3 * width), np.uint8)
     for box in document[page]:
         x0, y0, x1, y1 = (scale * v for v in _place(box))
-        image[y0:y1, x0:x1] = (box["v"] >> 16, box["v"] >> 8 & 255, box["v"] & 255)
-    return image.shape[1], image.shape[0], float(scale), image.tobytes()
+        line = image[y0:y1, 3 * x0 : 3 * x1]
+        line[:] = np.frombuffer(box["v"].to_bytes(3, "big") * (line.shape[1] // 3), np.uint8)
+    return width, height, float(scale), image.tobytes()
 
 
 def _recognise(engine: str, samples: bytes, width: int, height: int) -> Iterator[tuple]:
+    """The hull of all pixels of each colour.  Equal lines under each other are looked at once, in runs of one colour."""
     assert engine == "colours"
-    image = np.frombuffer(samples, np.uint8).reshape(-1, 3)
-    at = np.flatnonzero(image[:, 0] | image[:, 1] | image[:, 2])
-    painted = image[at].astype(np.int64)
-    colour = painted[:, 0] << 16 | painted[:, 1] << 8 | painted[:, 2]
-    order = np.argsort(colour, kind="stable")
-    at = at[order]
-    values, first, count = np.unique(colour[order], return_index=True, return_counts=True)
-    if width > COARSE:
-        fine = values % 8 != 4
-        values, first, count = values[fine], first[fine], count[fine]
-    for value, start, n in zip(values.tolist(), first.tolist(), count.tolist(), strict=True):
-        y, x = np.divmod(at[start : start + n], width)
-        x0, y0, x1, y1 = int(x.min()), int(y.min()), int(x.max()) + 1, int(y.max()) + 1
+    lines = np.frombuffer(samples, np.uint64 if 3 * width % 8 == 0 else np.uint8).reshape(height, -1)
+    top = np.concatenate([[0], np.flatnonzero((lines[1:] != lines[:-1]).any(axis=1)) + 1])
+    band = lines[top].view(np.uint8).reshape(-1)
+    changes = np.flatnonzero(band[3:] != band[:-3]) // 3 + 1
+    starts = np.zeros(width * len(top), bool)
+    starts[::width] = True
+    starts[changes] = True
+    start = np.flatnonzero(starts)
+    colour = band.reshape(-1, 3)[start].astype(np.int64) @ CHANNELS
+    hulls: dict[int, list[int]] = {}
+    top = [*top.tolist(), height]
+    for value, at, end in zip(colour.tolist(), start.tolist(), [*start[1:].tolist(), len(starts)], strict=True):
+        if value and not (width > COARSE and value % 8 == 4):
+            of = at // width
+            x0, x1, y0, y1 = at - of * width, end - of * width, top[of], top[of + 1]
+            hull = hulls.get(value)
+            if hull is None:
+                hulls[value] = [x0, y0, x1, y1, (x1 - x0) * (y1 - y0)]
+            else:
+                hull[:] = min(hull[0], x0), hull[1], max(hull[2], x1), y1, hull[4] + (x1 - x0) * (y1 - y0)
+    for value in sorted(hulls):
+        x0, y0, x1, y1, n = hulls[value]
         yield [(x0, y0), (x1, y0), (x1, y1), (x0, y1)], str(value), 0.5 + n / 4000
 
 
