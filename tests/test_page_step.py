@@ -78,3 +78,18 @@ def test_painting_keeps_its_tasks(spark, data):
     from tablegeo.sources import painted
 
     assert painted.documents(spark, data).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_separators_and_params_are_those_of_the_segments(items):
+    found = C.segments(R.page_rows(items))
+    assert rows(R.page_params(items)) == rows(found.select(*PAGE, "segment_id", "min_gap", "merge_tolerance"))
+    each = found.select(*PAGE, "segment_id", F.inline("separators"))
+    assert rows(R.page_separators(items)) == rows(each) and each.count() > 50
+
+
+def test_separators_and_params_are_not_folded_box_by_box(spark, data):
+    from tablegeo.queries import QUERIES
+
+    for name in ("column_separators", "boundary_params"):
+        plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and plan.count("Exchange hashpartitioning") == 1
