@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ PLACED = 5_000
 SKETCHED = 2_000_000
 #: Elements for each counter of a set's outline, and the most counters.
 OUTLINE, COUNTERS = 4, 512
+#: Bytes of all texts for each part of the index, which is merged at once; of sets that leave a task together.
+PART_BYTES, SENT_BYTES = 16 << 20, 4 << 20
 #: Bits of a set's bitmap.
 BITMAP = 1024
 #: Places that a component's rows are dealt to.
@@ -141,6 +144,11 @@ def cell_of(elements: np.ndarray, bits: int) -> np.ndarray:
     return (elements >> np.uint64(63 - bits)).astype(np.int64)
 
 
+def part_bits(size: int, partitions: int) -> int:
+    """log2 of the index's parts: several to a task, and more where texts of ``size`` bytes would make large ones."""
+    return max(1 + int(partitions).bit_length(), int(size // PART_BYTES).bit_length())
+
+
 def slice_width(bits: int) -> int:
     """Cells that are added up together."""
     return 1 << max(0, bits - 9)
@@ -173,15 +181,23 @@ def count_sketch(counts: DataFrame, fine: int, elements: int) -> np.ndarray:
     bits = min(fine, sketch_bits(elements))
     width, fold, mean = slice_width(fine), 1 << (fine - bits), max(1.0, elements / 2 / (1 << bits))
 
+    def row(i: int, sums: np.ndarray) -> pa.RecordBatch:
+        folded = sums.reshape(-1, fold).sum(axis=1)
+        return pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "cells": pa.array([(2 * np.log2(folded / mean + 1)).astype(np.uint8).tobytes()], pa.binary())})
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        now, sums = None, np.zeros(width, np.int64)  # of one slice at a time
         for batch in batches:
             for i, cells, times in zip(batch.column(0).to_pylist(), values(batch.column(1)), values(batch.column(2)), strict=True):
-                sums.setdefault(i, np.zeros(width, np.int64))[large(cells)] += large(times)
-        folded = [x.reshape(-1, fold).sum(axis=1) for x in sums.values()]
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(list(sums), pa.int32()), "cells": pa.array([(2 * np.log2(x / mean + 1)).astype(np.uint8).tobytes() for x in folded], pa.binary())})
-
-    rows = counts.repartition("slice").mapInArrow(staged("jaccard", add), "slice int, cells binary")
+                if i != now:
+                    if now is not None:
+                        yield row(now, sums)
+                    now, sums = i, np.zeros(width, np.int64)
+                sums[large(cells)] += large(times)
+        if now is not None:
+            yield row(now, sums)
+
+    rows = counts.repartition("slice").sortWithinPartitions("slice").mapInArrow(staged("jaccard", add), "slice int, cells binary")
     out = np.zeros(1 << bits, np.uint8)
     for r in rows.toLocalIterator():
         out[r.slice * width // fold : (r.slice + 1) * width // fold] = np.frombuffer(bytes(r.cells), np.uint8)
@@ -348,14 +364,14 @@ def cross_pairs(index: DataFrame, followers: DataFrame, nodes: DataFrame, percen
             size = np.diff(cuts)
             mixed = np.add.reduceat((label != np.repeat(label[cuts[:-1]], size)).astype(np.int64), cuts[:-1]) > 0
             some = np.repeat(mixed & (size <= SHORT), size)
-            got = list(short_lists(np.repeat(np.arange(len(size)), size)[some], n[some], pos[some], node[some], leader[some], label[some]))
-            for i, j in zip(cuts[:-1][mixed & (size > SHORT)].tolist(), cuts[1:][mixed & (size > SHORT)].tolist(), strict=True):
-                got += long_list(n[i:j], pos[i:j], node[i:j], leader[i:j], label[i:j], bitmap[i:j])
-            found += got
-            held += sum(g.shape[1] for g in got)
-            if held > EXPANDED:
-                yield emit()
-                found, held = [], 0
+            short = short_lists(np.repeat(np.arange(len(size)), size)[some], n[some], pos[some], node[some], leader[some], label[some])
+            long = (long_list(n[i:j], pos[i:j], node[i:j], leader[i:j], label[i:j], bitmap[i:j]) for i, j in zip(cuts[:-1][mixed & (size > SHORT)].tolist(), cuts[1:][mixed & (size > SHORT)].tolist(), strict=True))
+            for got in chain(short, chain.from_iterable(long)):  # pairs leave while a list is still worked on
+                found.append(got)
+                held += got.shape[1]
+                if held > EXPANDED:
+                    yield emit()
+                    found, held = [], 0
         if held:
             yield emit()
 
@@ -419,14 +435,19 @@ def compared(texts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 chunk = Chunk(*(batch.column(j)[i].as_py() for j in (1, 2, 3)))
-                wanted = batch.column(4)[i].as_py()
-                begin, places = chunk.ends - chunk.sizes, sorted({w["i"] for w in wanted})
+                wanted = batch.column(4)[i].values
+                at, node, b, place = (wanted.field(c).to_numpy(zero_copy_only=False) for c in ("i", "node", "b", "place"))
+                begin, places = chunk.ends - chunk.sizes, np.unique(at).tolist()
                 sizes, elements = ngram_sets([chunk.bytes[begin[p] : chunk.ends[p]] for p in places], n)
                 ends = np.cumsum(sizes)
                 sets = {p: elements[e - s : e].tobytes() for p, s, e in zip(places, sizes.tolist(), ends.tolist(), strict=True)}
-                for j in range(0, len(wanted), 256):
-                    some = wanted[j : j + 256]
-                    yield pa.RecordBatch.from_pydict({"b": pa.array([w["b"] for w in some], pa.int64()), "place": pa.array([w["place"] for w in some], pa.int32()), "kind": pa.array([int(w["node"] != w["b"]) for w in some], pa.int32()), "a": pa.array([w["node"] for w in some], pa.int64()), "elements": pa.array([sets[w["i"]] for w in some], pa.binary())})
+                sent = np.cumsum([len(sets[p]) for p in at.tolist()])
+                j = 0
+                while j < len(at):  # few large sets, or many small ones
+                    end = max(j + 1, min(j + 256, int(np.searchsorted(sent, (sent[j - 1] if j else 0) + SENT_BYTES, side="right"))))
+                    some = slice(j, end)
+                    yield pa.RecordBatch.from_pydict({"b": pa.array(b[some], pa.int64()), "place": pa.array(place[some], pa.int32()), "kind": pa.array((node[some] != b[some]).astype(np.int32)), "a": pa.array(node[some], pa.int64()), "elements": pa.array([sets[p] for p in at[some].tolist()], pa.binary())})
+                    j = end
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, leader = None, np.zeros(0, np.uint64)
@@ -488,11 +509,11 @@ def labelled_rows(df: DataFrame, id_column: str, text: str, n: int, percent: int
     """(key, digest, n_shingles, label): one row for each row; rows of one component share the label."""
     spark = df.sparkSession
     bound_batches(spark)
-    bits = 1 + int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()  # several parts to a task; a part is merged at once
     key = F.coalesce(F.col(id_column).cast("long"), F.lit(LAST_ID))
     docs = df.select(key.alias("key"), text_bytes(text).alias("bytes"))
     dealt = chunks(docs)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
+    bits = part_bits(size, int(spark.conf.get("spark.sql.shuffle.partitions")))
     fine = sketch_bits(size // 2)  # a word has a byte and a space at least
     nodes, counts = numbered(docs, n, fine)
     total = nodes.filter("outline is not null").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
